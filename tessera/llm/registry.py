@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import line_dedup, mixing, packing, rules, simhash, token_counts
+from tessera.llm import crf, language, line_dedup, mixing, packing, rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        crf.op1_quality_classifier,
         rules.op2_quality_rules,
         line_dedup.op3_line_dedup,
         token_counts.op4_token_counts,
         mixing.op6_mixing_sources,
         simhash.op7_simhash_near_dedup,
+        language.op9_language_id,
         packing.op10_best_fit_packing,
     )
 }
