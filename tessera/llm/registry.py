@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import crf, language, line_dedup, mixing, packing, rules, simhash, token_counts
+from tessera.llm import crf, html, language, line_dedup, mixing, packing, rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_counts.op4_token_counts,
         mixing.op6_mixing_sources,
         simhash.op7_simhash_near_dedup,
+        html.op8_html_extraction,
         language.op9_language_id,
         packing.op10_best_fit_packing,
     )
