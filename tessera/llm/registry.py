@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import crf, html, language, line_dedup, mixing, packing, rules, simhash, token_counts
+from tessera.llm import crf, embedding_dedup, html, language, line_dedup, mixing, packing, rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rules.op2_quality_rules,
         line_dedup.op3_line_dedup,
         token_counts.op4_token_counts,
+        embedding_dedup.op5_embedding_near_dedup,
         mixing.op6_mixing_sources,
         simhash.op7_simhash_near_dedup,
         html.op8_html_extraction,
