@@ -116,18 +116,20 @@ def _places(patterns: list[tuple[tuple[int, ...], int]], counts: np.ndarray) ->
     return {"start": starts, "seq": seqs, "offset": offsets, "times": times}
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, order_by: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, order_by: tuple[str, ...] = ("doc_id", "piece"), run_of: str | None = None) -> DataFrame:
     """pieces with sequence_id and offset (long).  Column length: 1 to capacity.
 
     pieces is read twice, so it should be a written table.  Pieces of a length are
     numbered in `order_by` order within salted groups, so a length that a third of
     all pieces have is sorted by many tasks; to the driver come only counts by
     length and salt.  Ties are numbered arbitrarily, and each piece gets one place.
+    run_of names a column of small whole numbers from 0 that cuts the pieces into
+    ordered runs; it is the salt then, and pieces of a length are placed run by run.
     No pieces give no rows.
     """
     spark = pieces.sparkSession
     salts = min(512, max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.coalesce(run_of, F.lit(0)) if run_of else F.xxhash64(*order_by), F.lit(salts)).cast("int"))
     got = salted.groupBy("length", "_salt").count().toPandas()
     by = np.zeros((capacity + 1, salts), np.int64)
     by[got["length"].to_numpy(np.int64), got["_salt"].to_numpy(np.int64)] = got["count"].to_numpy(np.int64)
