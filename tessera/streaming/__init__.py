@@ -1 +1 @@
-
+"""Continuous indexing and log following on Structured Streaming."""
