@@ -22,7 +22,7 @@ from tessera.llm.sampling import fold, sampled_ids
 
 #: The fit sees about PER_CLASS documents of each label, and FIT_CHARS characters of
 #: text at most: the rest of the sample, in hash order, is left out of the fit alone.
-PER_CLASS, FIT_CHARS, ACCEPT = 2000, 16_000_000, 0.3
+PER_CLASS, FIT_CHARS, ACCEPT = 1500, 10_000_000, 0.3
 #: Characters whose features are made at a time (a longer text is made alone).
 _AT_ONCE = 1_000_000
 
@@ -154,7 +154,17 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.hstack([own, before, after, edge]), chars, lines
 
 
-N_FEATURES = 3 * _OWN + 3
+def _batches(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about _AT_ONCE characters, so that features are made in bounded memory."""
+    run, n = [], 0
+    for t in texts:
+        if run and n + len(t) > _AT_ONCE:
+            yield run
+            run, n = [], 0
+        run.append(t)
+        n += len(t)
+    if run:
+        yield run
 
 
 @dataclass
@@ -225,8 +235,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float], rounds: int =
     y = np.array([labels[k] for k in use], np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    x, chars, lines = line_features([texts[k] for k in use])
-    x = x.astype(np.float64)
+    x, chars, lines = (np.concatenate(c) for c in zip(*(line_features(t) for t in _batches([texts[k] for k in use])), strict=True))
     doc_w = np.array([weights[k] for k in use])
     doc_w = doc_w / doc_w.sum()
     row_w, row_y = np.repeat(doc_w / lines, lines), np.repeat(y, lines)
@@ -260,18 +269,14 @@ def score_texts(texts: list[str | None], model: Model | None) -> tuple[np.ndarra
     """(score, number of lines taken for bad) of each text; 0 for a text without a visible character."""
     out, bad = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     at = 0
-    while at < len(texts) and model:
-        upto, n = at, 0
-        while upto < len(texts) and (upto == at or n + len(texts[upto] or "") <= _AT_ONCE):
-            n += len(texts[upto] or "")
-            upto += 1
-        x, chars, lines = line_features([t or "" for t in texts[at:upto]])
+    for run in _batches([t or "" for t in texts]) if model else ():
+        x, chars, lines = line_features(run)
         good, _, _ = marginals(x @ model.weights, model.couple, lines)
         first = np.concatenate([[0], np.cumsum(lines)[:-1]])
         p = 1 / (1 + np.exp(-(model.gain * _logit(_mean(good, chars, lines)) + model.shift)))
-        out[at:upto] = np.where(np.add.reduceat(chars, first) > 0, p, 0.0)
-        bad[at:upto] = np.add.reduceat((good < 0.5) & (chars > 0), first)
-        at = upto
+        out[at : at + len(run)] = np.where(np.add.reduceat(chars, first) > 0, p, 0.0)
+        bad[at : at + len(run)] = np.add.reduceat((good < 0.5) & (chars > 0), first)
+        at += len(run)
     return out, bad
 
 
