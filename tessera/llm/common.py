@@ -57,7 +57,7 @@ def durable(df: DataFrame, what: str = "t") -> DataFrame:
     steps use is computed once.
     """
     path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
