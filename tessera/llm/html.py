@@ -183,23 +183,24 @@ def parse(html: str) -> tuple[list[tuple[str, list[int], bool]], list[tuple[int,
     return out, [(x.hashed, x.parent.hashed) for x in nodes if may(x)]
 
 
-_PARSED = "blocks array<struct<text:string,around:array<bigint>,ruled:boolean>>, subtrees array<struct<h:bigint,parent:bigint>>"
+_PARSED = "blocks array<struct<text:string,around:array<bigint>>>, subtrees array<struct<h:bigint,parent:bigint>>, open boolean"
 
 
 def _parsed(pages: DataFrame, html_col: str) -> DataFrame:
     keep = [c for c in pages.columns if c != html_col]
     given = pages.select(*keep, html_col)
     schema = wider(given.drop(html_col).schema, _PARSED)
-    kinds = [pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64())), ("ruled", pa.bool_())])), pa.list_(pa.struct([("h", pa.int64()), ("parent", pa.int64())]))]
+    kinds = [pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])), pa.list_(pa.struct([("h", pa.int64()), ("parent", pa.int64())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 b = whole.slice(k, 500)
                 got = [parse(h.as_py() or "") for h in b.column(len(keep))]
-                blocks = pa.array([[{"text": t, "around": a, "ruled": r} for t, a, r in x] for x, _ in got], kinds[0])
+                blocks = pa.array([[{"text": t, "around": a} for t, a, ruled in x if not ruled] for x, _ in got], kinds[0])
+                open_ = pa.array([any(a and not ruled for _, a, ruled in x) for x, _ in got])
                 subtrees = pa.array([[{"h": h, "parent": p} for h, p in x] for _, x in got], kinds[1])
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], blocks, subtrees], [*keep, "blocks", "subtrees"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], blocks, subtrees, open_], [*keep, "blocks", "subtrees", "open"])
 
     return given.mapInArrow(run, schema)
 
@@ -216,11 +217,14 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", recu
     names = [c for c in pages.columns if c != html_col]
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")).alias("_host")
     parsed = durable(_parsed(pages.select(*names, host, F.monotonically_increasing_id().alias("_row"), html_col), html_col), "pages")
-    found = parsed.select("_row", "_host", F.explode("subtrees").alias("s")).select("_row", "_host", "s.h", "s.parent")
+    found = parsed.select("_row", "_host", "open", F.explode("subtrees").alias("s")).select("_row", "_host", "open", "s.h", "s.parent")
     template = found.select("_host", "h", "parent").distinct().groupBy("_host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= recurs)
-    gone = found.select("_row", "_host", "h").distinct().join(template.select("_host", "h"), ["_host", "h"]).groupBy("_row").agg(F.collect_list("h").alias("_gone"))
-    both = parsed.drop("subtrees").join(gone, "_row", "left")
-    kept = F.expr("filter(blocks, b -> NOT b.ruled AND (_gone IS NULL OR NOT arrays_overlap(b.around, _gone)))")
+    gone = found.where("open").select("_row", "_host", "h").distinct().join(template.select("_host", "h"), ["_host", "h"]).groupBy("_row").agg(F.collect_list("h").alias("_gone"))
+    # only a page with text that mark-up leaves in doubt needs the join
+    sure = parsed.where("NOT open").withColumn("_gone", F.lit(None).cast("array<bigint>"))
+    doubt = parsed.where("open").join(gone, "_row", "left")
+    both = sure.unionByName(doubt)
+    kept = F.expr("filter(blocks, b -> _gone IS NULL OR NOT arrays_overlap(b.around, _gone))")
     text = F.array_join(F.transform(kept, lambda b: b.text), "\n")
     clash = [c for c in names if c not in ("text", "n_chars")]
     return both.select(*clash, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
