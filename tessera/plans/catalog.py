@@ -14,7 +14,7 @@ _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
 #: Modules that register queries.
-MODULES = ("lexical", "search", "structure", "maintenance", "graphs")
+MODULES = ("lexical", "search", "structure", "maintenance", "graphs", "analytics", "assessment", "streams")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
