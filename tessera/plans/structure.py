@@ -132,11 +132,17 @@ def org_to_md(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(from_org(made).cast("binary")).alias("digest"))
 
 
-@F.arrow_udf("string")
-def to_markdown(html: pa.Array) -> pa.Array:
+def to_markdown(column: str):
+    return F.arrow_udf(_to_markdown, "string")(column)
+
+
+def from_org(column):
+    return F.arrow_udf(_from_org, "string")(column)
+
+
+def _to_markdown(html: pa.Array) -> pa.Array:
     return pa.array([markup.html_to_markdown(h or "") for h in html.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
-def from_org(text: pa.Array) -> pa.Array:
+def _from_org(text: pa.Array) -> pa.Array:
     return pa.array([markup.org_to_markdown(t or "") for t in text.to_pylist()], pa.string())

@@ -66,7 +66,6 @@ def to_text(name: str, raw: bytes) -> str | None:
     return {".docx": markup.docx_to_text, ".pdf": _pdf}.get(kind, _ocr if kind in IMAGES else lambda _: None)(raw)
 
 
-@F.arrow_udf(_DOC)
 def _read(paths: pa.Array, contents: pa.Array) -> pa.Array:
     out = []
     for path, raw in zip(paths.to_pylist(), contents.to_pylist(), strict=True):
@@ -133,7 +132,7 @@ def scan(spark: SparkSession, sources: list[dict]) -> DataFrame:
         return spark.createDataFrame([], "path string, content string, hash string, tags string, links string, mtime double, chunk_size int, chunk_overlap int")
     if len(sources) > 1:
         found = found.groupBy("path").agg(F.min_by(F.struct("content", "mtime", "nth", "chunk_size", "chunk_overlap"), "nth").alias("f")).select("path", "f.*")
-    read = found.select(F.explode(_read("path", "content")).alias("d"), "mtime", "chunk_size", "chunk_overlap")
+    read = found.select(F.explode(F.arrow_udf(_read, _DOC)("path", "content")).alias("d"), "mtime", "chunk_size", "chunk_overlap")
     return documents_of(read.select(F.col("d.path").alias("path"), F.col("d.content").alias("raw"), F.col("d.tags").alias("given_tags"), "mtime", "chunk_size", "chunk_overlap"))
 
 
