@@ -334,4 +334,4 @@ def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs that the model accepts, with the columns of docs; all rows without a model."""
     if model is None:
         return docs
-    return classify(docs.withColumn("_text", F.col("text")), model, "_text").where("predicted = 1").select(docs.columns)
+    return classify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model).where("predicted = 1").select("row.*")

@@ -79,6 +79,8 @@ def parse(html: str) -> tuple[list[tuple[str, list[int], bool]], list[tuple[int,
             text.clear()
             if words:
                 block, node = " ".join(words), stack[-1]
+                while node.gone and node.tag not in _BLOCK and node.parent is not None:
+                    node = node.parent  # what an inline element hides was never kept
                 blocks.append((block, node))
                 node.parts.append(block)
                 node.size += len(block)
@@ -103,11 +105,11 @@ def parse(html: str) -> tuple[list[tuple[str, list[int], bool]], list[tuple[int,
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
+        shown = not stack[-1].gone or stack[-1].tag in _BLOCK
+        if shown and (m.start() if m else n) > at:
+            text.append(html[at : m.start() if m else n])
         if not m:
-            text.append(html[at:])
             break
-        if m.start() > at:
-            text.append(html[at : m.start()])
         at = m.end()
         end, tag, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
@@ -208,15 +210,16 @@ def _parsed(pages: DataFrame, html_col: str) -> DataFrame:
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", recurs: int = RECURS) -> DataFrame:
     """pages without html_col, with text (empty if none) and n_chars.
 
-    A null html is empty.  Pages without a host, or with a null url, are one host.
+    Columns of pages named text or n_chars give way.  A null html is empty.  Pages without a host, or with a null url, are one host.
     Every row stays, whatever its other columns; copies of a page are no evidence
     of a template.  A host may have most of the pages: its subtrees are counted by
     (host, subtree, parent) first, and the join back is an inner join that adaptive
     execution can split.
     """
-    names = [c for c in pages.columns if c != html_col]
+    names = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    more = pages.select(url_col, F.struct(*[F.col(c) for c in names]).alias("_row_"), html_col)
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")).alias("_host")
-    parsed = durable(_parsed(pages.select(*names, host, F.monotonically_increasing_id().alias("_row"), html_col), html_col), "pages")
+    parsed = durable(_parsed(more.select("_row_", host, F.monotonically_increasing_id().alias("_row"), html_col), html_col), "pages")
     found = parsed.select("_row", "_host", "open", F.explode("subtrees").alias("s")).select("_row", "_host", "open", "s.h", "s.parent")
     template = found.select("_host", "h", "parent").distinct().groupBy("_host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= recurs)
     gone = found.where("open").select("_row", "_host", "h").distinct().join(template.select("_host", "h"), ["_host", "h"]).groupBy("_row").agg(F.collect_list("h").alias("_gone"))
@@ -226,8 +229,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", recu
     both = sure.unionByName(doubt)
     kept = F.expr("filter(blocks, b -> _gone IS NULL OR NOT arrays_overlap(b.around, _gone))")
     text = F.array_join(F.transform(kept, lambda b: b.text), "\n")
-    clash = [c for c in names if c not in ("text", "n_chars")]
-    return both.select(*clash, text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return both.select("_row_.*", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

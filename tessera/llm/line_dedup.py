@@ -54,18 +54,19 @@ def dedup_lines(docs: DataFrame, lines: int = LINES, long_words: int = LONG_WORD
     blanks around them; kept lines are unchanged.  A null text stays null; texts of
     fewer than three lines lose only long lines.  A null doc_id comes before all
     others.  Rows with the same doc_id and text are one document, and lose nothing
-    to each other.  Skew: the firsts are pre-aggregated before their shuffle, and
+    to each other.  A column n_removed of docs gives way.  Skew: the firsts are pre-aggregated before their shuffle, and
     the join back is an inner join that adaptive execution can split.
     """
-    gone = repeats(docs, lines, long_words).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), "gone")
-    both = docs.withColumn("_th", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left")
-    both = both.withColumn("_lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), gone), i -> _lines[i]), '\n')")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    out = both.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    gone = repeats(docs, lines, long_words).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), F.col("gone").alias("_gone"))
+    names = [c for c in docs.columns if c != "n_removed"]
+    both = docs.select(F.struct(*names).alias("_row"), F.xxhash64("text").alias("_th")).join(gone, F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left")
+    both = both.select("_row", "_gone", F.when(F.col("_gone").isNotNull(), F.split("_row.text", "\n", -1)).alias("_lines"))
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\n')")
+    both = both.select("_row", "_gone", F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(kept).alias("_text"))
+    new = {"text": F.col("_text")}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("_gone").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType)
+    return both.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in names], F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

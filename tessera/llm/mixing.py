@@ -28,6 +28,8 @@ from tessera.llm.common import table
 #: the exponent that flattens corpus shares to target weights where none are given.
 BLOCK, PARTS, SOURCES, FLATTEN = 8, 1000, 256, 0.7
 _BUCKETS_LOG2 = 10
+#: What mix() adds; columns of these names give way.
+OWN = ("mix_source", "block", "release", "deadline", "slot", "position")
 
 
 def quantised(weights: dict[str, float], parts: int = PARTS) -> dict[str, int]:
@@ -105,7 +107,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     To the driver come the sums by weighted source and range, at most
     (sources + 1) * 1024 rows; what is broadcast has (sources + 1) phases at most.
     """
-    hashed = docs.withColumn("_h", F.xxhash64("doc_id", F.lit(seed))).withColumn("_b", F.shiftrightunsigned("_h", 64 - _BUCKETS_LOG2).cast("int"))
+    names = [c for c in docs.columns if c not in OWN]
+    docs = docs.select(*names)
+    hashed = docs.select("doc_id", "source", F.struct(*names).alias("_row")).withColumn("_h", F.xxhash64("doc_id", F.lit(seed))).withColumn("_b", F.shiftrightunsigned("_h", 64 - _BUCKETS_LOG2).cast("int"))
     if weights is None:
         named = [r.source for r in docs.where("source IS NOT NULL AND source <> ''").groupBy("source").count().orderBy(F.desc("count"), "source").limit(sources).collect()]
     else:
@@ -142,7 +146,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
         }
     )
     out = out.withColumn("position", F.col("slot") * block + F.col("_n") % block - missing)
-    return out.select(*docs.columns, "mix_source", "block", "release", "deadline", "slot", "position")
+    return out.select("_row.*", *OWN)
 
 
 def in_order(docs: DataFrame, **given) -> DataFrame:
@@ -150,9 +154,9 @@ def in_order(docs: DataFrame, **given) -> DataFrame:
     holds the n-th run of positions, sorted."""
     n = docs.count()
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    mixed = mix(docs, **given)
+    mixed = mix(docs.select("doc_id", "source", F.struct(*docs.columns).alias("row")), **given)
     dealt = mixed.repartitionById(parts, F.expr(f"CAST(position * {parts} div {max(n, 1)} AS INT)"))
-    return dealt.sortWithinPartitions("position").select(docs.columns)
+    return dealt.sortWithinPartitions("position").select("row.*")
 
 
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order_by: tuple[str, ...]
     No pieces give no rows.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
     salts = min(512, max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     salted = pieces.withColumn("_salt", F.pmod(F.coalesce(run_of, F.lit(0)) if run_of else F.xxhash64(*order_by), F.lit(salts)).cast("int"))
     got = salted.groupBy("length", "_salt").count().toPandas()

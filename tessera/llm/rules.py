@@ -26,12 +26,14 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs (without text_col) and the counts of each whole text (long; a null text has none).
+    """docs (without text_col) and the counts of each whole text (long; a null text has
+    none).  Columns of docs that are named like these counts give way.
 
     A text's repeated windows are found inside its own row: the window hashes are
     an array, and only a text with a repeat sorts them.  So no words are shuffled.
     """
-    others = [c for c in docs.columns if c != text_col]
+    made = [*BASE, "n_lines", "n_ended_lines", "n_upper", "n_distinct_words", "_t", "_w", "_l", "_h", "_s", "_p"]
+    others = [c for c in docs.columns if c not in (text_col, *made)]
     size = lambda c: F.size(c).cast("long")
     rest = lambda pattern: F.length(F.regexp_replace("_t", pattern, "")).cast("long")
     step = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).select(
