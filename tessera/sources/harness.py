@@ -1,0 +1,94 @@
+"""Memory files of agent tools: which tools there are, which files are theirs, and their state."""
+
+from __future__ import annotations
+
+import glob
+import os
+import re
+from dataclasses import dataclass, field
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import incremental, topics
+
+# What a preset takes of a root folder; zcode falls back to everything.
+PRESETS = {"zcode": "projects/*/memory/*", "codex": "*", "generic": "**/*"}
+FALLBACK = frozenset(["zcode"])
+
+
+@dataclass
+class Harness:
+    name: str
+    kind: str = "generic"
+    roots: list[str] = field(default_factory=list)
+    icon: str = "🗂️"
+    display: str = ""
+
+
+def configured(entries: list[dict], known: list[Harness] = ()) -> list[Harness]:
+    """Tools found on the machine, overridden or joined by configured ones of the same name."""
+    out = {h.name: h for h in known}
+    for e in entries:
+        name = str(e.get("name", "")).strip()
+        if not name:
+            continue
+        raw = e.get("paths") or e.get("path") or []
+        roots = [os.path.expanduser(os.path.expandvars(p.strip())) for p in ([raw] if isinstance(raw, str) else raw) if isinstance(p, str) and p.strip()]
+        old = out.get(name, Harness(name))
+        out[name] = Harness(name, str(e.get("type") or "generic").strip().lower(), roots, str(e.get("icon") or old.icon), str(e.get("display") or old.display))
+    return list(out.values())
+
+
+def _notes(root: Path, pattern: str) -> set[Path]:
+    found = (p for p in root.glob(pattern) if p.is_file() and p.suffix.lower() == ".md" and not p.name.startswith(("._", "~$")))
+    return {p for p in found if not any(x.startswith(".") for x in p.relative_to(root).parts[:-1])}
+
+
+def memory_files(h: Harness) -> list[Path]:
+    """A root is a folder (by preset), one file, or a glob; the fallback is for each root by itself."""
+    out: set[Path] = set()
+    for spec in h.roots:
+        root = Path(spec)
+        if re.search(r"[*?\[]", spec):
+            out |= {Path(p) for p in glob.glob(spec, recursive=True) if p.lower().endswith(".md") and os.path.isfile(p)}
+        elif root.is_file():
+            out |= {root} if root.suffix.lower() == ".md" else set()
+        elif root.is_dir():
+            out |= _notes(root, PRESETS.get(h.kind, PRESETS["generic"])) or (_notes(root, "**/*") if h.kind in FALLBACK else set())
+    return sorted(out)
+
+
+def prefix(root: str) -> str:
+    """The part of a root before its first wildcard folder."""
+    cut = re.split(r"[*?\[]", root, maxsplit=1)
+    return root if len(cut) == 1 else os.path.dirname(cut[0])
+
+
+def files(spark: SparkSession, harnesses: list[Harness]) -> DataFrame:
+    """(owner, path, name, content, text, mtime, size) of all tools' files; Spark reads them."""
+    owned = [(h.name, str(p.resolve())) for h in harnesses for p in memory_files(h)]
+    schema = "owner string, path string"
+    if not owned:
+        return spark.createDataFrame([], schema + ", name string, content binary, text string, mtime double, size long")
+    read = spark.read.format("binaryFile").load(sorted({p for _, p in owned}))
+    from tessera.sources.files import plain_path
+
+    read = read.select(plain_path(F.col("path")).alias("path"), "content", F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"))
+    both = spark.createDataFrame(owned, schema).join(read, "path")
+    return both.select("owner", "path", F.substring_index("path", "/", -1).alias("name"), "content", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), "mtime", "size")
+
+
+def stats(spark: SparkSession, harnesses: list[Harness], index: DataFrame, stored: DataFrame) -> DataFrame:
+    """(owner, files, chars, last_updated, chunks, status): one row for each tool; stored: (owner, fingerprint)."""
+    own = files(spark, harnesses)
+    names = spark.createDataFrame([(h.name,) for h in harnesses], "owner string")
+    sums = own.groupBy("owner").agg(F.count("*").alias("files"), F.sum("size").alias("chars"), F.max("mtime").alias("last_updated"))
+    roots = spark.createDataFrame([(h.name, prefix(r)) for h in harnesses for r in h.roots], "owner string, prefix string")
+    counts = incremental.per_source(index).join(F.broadcast(roots), F.startswith("source", "prefix")).select("owner", "source", "chunks").distinct()
+    chunks = counts.groupBy("owner").agg(F.sum("chunks").alias("chunks"))
+    fresh = topics.freshness(topics.fingerprints(own), stored)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = names.join(sums, "owner", "left").join(chunks, "owner", "left").join(fresh, "owner", "left")
+    return out.select("owner", zero("files"), zero("chars"), "last_updated", zero("chunks"), F.coalesce("status", F.lit("missing")).alias("status"))
