@@ -114,3 +114,13 @@ def near_duplicates(embeddings: DataFrame, least: float = COSINE, shard: int = S
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_OP5 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98 AND NOT isnan(list_cosine_similarity(a.e, b.e))),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, component_id = c.vec_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""

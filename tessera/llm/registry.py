@@ -25,4 +25,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE_OP3}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE_OP3, "op5_embedding_near_dedup": embedding_dedup.ORACLE_OP5}
