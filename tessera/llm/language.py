@@ -40,12 +40,15 @@ FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.s
 #: labels, and the N_GRAMS n-grams of 1 to 3 characters that most of them have.
 PER_LANGUAGE, LANGUAGES, N_GRAMS = 600, 64, 2000
 _WORD = re.compile(r"[^\W\d_]+")
-_REMEMBERED, _LONGEST = 200_000, 40
+#: Words that a worker remembers, numbers in its table of them, and the longest word that recurs.
+_REMEMBERED, _CELLS, _LONGEST = 500_000, 4_000_000, 40
 
 
 def grams(word: str) -> list[str]:
+    """Its letters, and all pairs and triples with the borders."""
     w = f" {word} "
-    return [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1) if n > 1 or w[i] != " "]
+    n = len(w)
+    return [*word, *(w[i : i + 2] for i in range(n - 1)), *(w[i : i + 3] for i in range(n - 2))]
 
 
 def family(lang: str) -> str:
@@ -154,36 +157,41 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self._at, self._long = model, {}, 0
+        self._most = min(_REMEMBERED, _CELLS // (model.weights.shape[1] + 1))
+        self._weights = np.vstack([model.weights, np.zeros((1, model.weights.shape[1]))])  # the last row: no known n-gram
         self._table = np.zeros((1024, model.weights.shape[1] + 1))
 
-    def _add(self, word: str) -> int:
-        at, found = len(self._at), grams(word)
-        if at == len(self._table):
+    def _add(self, words: list[str]) -> None:
+        at, get = len(self._at), self.model.gram.get
+        while at + len(words) > len(self._table):
             self._table = np.vstack([self._table, np.zeros_like(self._table)])
-        known = [i for g in found if (i := self.model.gram.get(g)) is not None]
-        self._table[at, :-1] = self.model.weights[known].sum(0)
-        self._table[at, -1] = len(found)
-        self._at[word] = at
-        self._long += len(word) > _LONGEST
-        return at
+        found = [grams(w) for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        known = np.array([get(g, -1) for x in found for g in x], np.int64)
+        self._table[at : at + len(words), :-1] = np.add.reduceat(self._weights[known], np.cumsum(sizes) - sizes)
+        self._table[at : at + len(words), -1] = sizes
+        self._at.update(zip(words, range(at, at + len(words)), strict=True))
+        self._long += sum(len(w) > _LONGEST for w in words)
 
     def sums(self, words: list[str]) -> np.ndarray:
         """The machines' sums over the words, and the number of n-grams."""
-        if len(self._at) > _REMEMBERED or self._long > 1000:
+        if len(self._at) > self._most or self._long > 1000:
             self._at.clear()
             self._long = 0
         get, out = self._at.get, np.zeros(self._table.shape[1])
-        for k in range(0, len(words), _REMEMBERED):
-            part = words[k : k + _REMEMBERED]
-            at = [i if (i := get(w)) is not None else self._add(w) for w in part]
-            out += self._table[at].sum(0)
+        for k in range(0, len(words), 200_000):
+            part = words[k : k + 200_000]
+            if new := list(dict.fromkeys(w for w in part if w not in self._at)):
+                self._add(new)
+            out += self._table[list(map(get, part))].sum(0)
         return out
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         sums = np.array([self.sums(_WORD.findall((t or "").lower())) for t in texts]).reshape(len(texts), -1)
         n = sums[:, -1]
         langs, score = self.model.decide(sums[:, :-1] / np.maximum(n, 1)[:, None] + self.model.bias)
-        return [x if k else "und" for x, k in zip(langs, n, strict=True)], np.where(n > 0, score, 0.0)
+        ok = np.array([k > 0 and any(map(str.isalpha, t)) for k, t in zip(n, texts, strict=True)], bool)
+        return [x if k else "und" for x, k in zip(langs, ok, strict=True)], np.where(ok, score, 0.0)
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
