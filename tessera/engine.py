@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import answers, chunking, governance, incremental, knowledge, links, logs, retrieve, supersession, topics
+from tessera.operators import answers, chunking, governance, incremental, knowledge, lexical, links, logs, retrieve, supersession, topics
 from tessera.sources import files, sinks
 from tessera.sources import logs as log_files
 
@@ -139,6 +139,10 @@ class Engine:
         chosen = mode or ("hybrid" if self.config.hybrid else "vector")
         common = {"mode": chosen, "tokenizer": self.config.tokenizer, "rrf_k": self.config.rrf_k, **given}
         feedback = self._feedback()
+        snapshot = self.table.current()
+        if snapshot and chosen != "vector":
+            path = f"{self.config.store}/lexical/{snapshot}-{self.config.tokenizer}"
+            common["index"] = lexical.LexicalIndex.kept(self.spark, path, docs, self.config.tokenizer)
         if rewrite and isinstance(query, str):
             variants = [query, *(v for v in rewrite(query) if isinstance(v, str) and v.strip())]
             fetch = retrieve.fetch_size(k)

@@ -49,6 +49,17 @@ class LexicalIndex:
     def load(cls, spark: SparkSession, path: str, name: str = "default") -> LexicalIndex:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "frequencies", "stats")), name)
 
+    @classmethod
+    def kept(cls, spark: SparkSession, path: str, docs: DataFrame, name: str = "default") -> LexicalIndex:
+        """The index saved under a path, made and saved first if it is not there.
+
+        The path names a snapshot of docs, so a changed corpus has another one.
+        """
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            cls.build(docs, name=name).save(path)
+        return cls.load(spark, path, name)
+
     def scores(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
         """(query_id, id, score > 0) for queries (query_id, text); a repeated term counts as often as it is there."""
         q = queries.select("query_id", F.explode(tokenizer(self.tokenizer)(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))

@@ -81,8 +81,9 @@ def hashed_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
 
 
-def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int, tokenizer: str = "default") -> DataFrame:
-    return lexical.top_k(lexical.search(docs, queries, name=tokenizer), k).select("query_id", "id", "score", "rank")
+def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int, tokenizer: str = "default", index: lexical.LexicalIndex | None = None) -> DataFrame:
+    scored = index.scores(queries) if index else lexical.search(docs, queries, name=tokenizer)
+    return lexical.top_k(scored, k).select("query_id", "id", "score", "rank")
 
 
 def literal_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -199,24 +200,25 @@ def search(
     tokenizer: str = "default",
     rrf_k: int = RRF_K,
     prefilter: bool = False,
+    index: lexical.LexicalIndex | None = None,
 ) -> DataFrame:
     """Ranked hits (query_id, rank, id, source, text, tags, mtime, distance, score) of
     queries (query_id, text) in docs (id, source, text, tags, mtime).
 
-    Payload is joined last, to the ids that are left.
+    Payload is joined last, to the ids that are left.  index: saved statistics of docs.
     """
     filtered = bool(tag or path_contains or since or exact or rerank_with)
     cond = filters(tag, path_contains, since, exact)
     if prefilter and filtered:
-        docs, cond = docs.where(cond), F.lit(True)
+        docs, cond, index = docs.where(cond), F.lit(True), None
     fetch = fetch_size(max(k, 0), mode == "hybrid", filtered)
     vector = hashed_top_k(docs, queries, fetch) if mode != "lexical" else None
     if mode == "vector":
         best = vector.withColumn("score", contribution(F.col("rank"), rrf_k))
     elif mode == "lexical":
-        best = lexical_top_k(docs, queries, fetch, tokenizer).withColumn("distance", F.lit(None).cast("double"))
+        best = lexical_top_k(docs, queries, fetch, tokenizer, index).withColumn("distance", F.lit(None).cast("double"))
     else:
-        best = fuse(vector, lexical_top_k(docs, queries, fetch, tokenizer), literal_hits(docs, queries), fetch, rrf_k)
+        best = fuse(vector, lexical_top_k(docs, queries, fetch, tokenizer, index), literal_hits(docs, queries), fetch, rrf_k)
         best = best.join(vector.select("query_id", "id", "distance"), ["query_id", "id"], "left")
     hits = docs.join(best.select("query_id", "id", "rank", "score", "distance"), "id").where(cond)
     if feedback is not None:
