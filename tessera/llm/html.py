@@ -4,9 +4,10 @@ Each page is parsed once, to its text blocks and a hash of every element's subtr
 (tag, class, id, and all it holds).  Spark counts, by host, in how many different
 parents each subtree occurs: a menu occurs in pages that differ, a paragraph of a
 copied article does not, for the copies are one parent.  Subtrees that recur are
-the site's template, and their blocks go.  What is no template but marked up as
-menu, notice, advert, form or comments goes by its mark-up, and where a page says
-which element is its main content, the rest of it goes.
+the site's template, and their blocks go, inside the element that a page calls its
+main content and outside it.  What is no template but marked up as menu, notice,
+advert, form or comments goes by its mark-up.  Last, where the main content holds
+half of the text that is left, or more, the rest goes.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import durable, table, wider
@@ -55,11 +56,12 @@ _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dt dd td th tr tbody t
 
 
 class _Node:
-    __slots__ = ("gone", "hashed", "main", "named", "parent", "parts", "size", "tag")
+    __slots__ = ("gone", "hashed", "holds", "live", "main", "named", "parent", "parts", "region", "size", "tag")
 
     def __init__(self, tag: str, parent: "_Node | None", gone: bool, main: int, named: str) -> None:
         self.tag, self.parent, self.gone, self.main, self.named = tag, parent, gone, main, named
         self.parts, self.size, self.hashed = [tag, named], 0, 0
+        self.live, self.holds, self.region = 0, False, self  # text that is not gone; holds the main region
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -67,9 +69,24 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def parse(html: str) -> tuple[list[tuple[str, list[int], bool]], list[tuple[int, int]]]:
-    """(blocks, subtrees): a block is its text, the hashes of the elements around it
-    that may be template, and whether its mark-up rules it out; a subtree that may be
-    template is its hash and its parent's."""
+    """(blocks, subtrees) as mark-up alone has them, with no other page of the host to
+    ask: a block is its text, the hashes of the elements around it that may be
+    template, and whether it is ruled out, also for lying outside the main content;
+    a subtree that may be template is its hash and its parent's."""
+    blocks, subtrees = weighed(html)
+    best = max((level for *_, level in blocks), default=0)
+    return [(t, around, level < best) for t, around, level in blocks], subtrees
+
+
+def weighed(html: str) -> tuple[list[tuple[str, list[int], int]], list[tuple[int, int]]]:
+    """(blocks, subtrees): a block that no mark-up rules out is its text, the hashes of
+    the elements around it that may be template, and its level: 2 in <main>, 1 in
+    <article>, 0 elsewhere; subtrees as in parse().
+
+    In <article> and <main>, paragraphs, headings, items, cells and inline elements
+    are no template however often they recur, for near copies and quoted passages
+    recur too; nor is an element with more than half of its region's text.  The
+    largest region of the highest level, and what holds it, is none either."""
     root = _Node("", None, False, 0, "")
     stack, nodes, blocks, text = [root], [], [], []
 
@@ -171,42 +188,64 @@ def parse(html: str) -> tuple[list[tuple[str, list[int], bool]], list[tuple[int,
         pop()
     root.hashed = xxhash.xxh64_intdigest("\x1f".join(root.parts)) - (1 << 63)
 
-    best = max((b.main for _, b in blocks if not b.gone), default=0)
-    whole = sum(len(t) for t, b in blocks if b.main == best and not b.gone)
-    may = lambda x: x.size and x.tag not in ("html", "body") and (x.main < best or x.main == 0 or (x.named and x.tag not in _PLAIN and x.main == x.parent.main and 2 * x.size <= whole))
+    for t, node in blocks:
+        if not node.gone:
+            node.live += len(t)
+    for x in reversed(nodes):
+        x.parent.live += x.live
+    regions = [x for x in nodes if x.live and x.main > x.parent.main]
+    x = max(regions, key=lambda x: (x.main, x.live), default=root)
+    while x is not root:
+        x.holds, x = True, x.parent
+    may = set()
+    for x in nodes:
+        x.region = x if x.main > x.parent.main else x.parent.region
+        if x.live and not x.gone and not x.holds and x.tag not in ("html", "body"):
+            if not x.main or x is x.region or (x.tag not in _PLAIN and 2 * x.live <= x.region.live):
+                may.add(x)
     out = []
     for t, node in blocks:
-        chain, x = [], node
-        while x.parent is not None:
-            if may(x):
-                chain.append(x.hashed)
-            x = x.parent
-        out.append((t, chain, node.gone or node.main < best))
-    return out, [(x.hashed, x.parent.hashed) for x in nodes if may(x)]
+        if not node.gone:
+            chain, x = [], node
+            while x.parent is not None:
+                if x in may:
+                    chain.append(x.hashed)
+                x = x.parent
+            out.append((t, chain, node.main))
+    return out, [(x.hashed, x.parent.hashed) for x in nodes if x in may]
 
 
-_PARSED = "blocks array<struct<text:string,around:array<bigint>>>, subtrees array<struct<h:bigint,parent:bigint>>, open boolean"
+_PARSED = "blocks array<struct<text:string,around:array<bigint>,level:int>>, subtrees array<struct<h:bigint,parent:bigint>>, open boolean"
 
 
 def _parsed(pages: DataFrame, html_col: str) -> DataFrame:
     keep = [c for c in pages.columns if c != html_col]
     given = pages.select(*keep, html_col)
     schema = wider(given.drop(html_col).schema, _PARSED)
-    kinds = [pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))])), pa.list_(pa.struct([("h", pa.int64()), ("parent", pa.int64())]))]
+    kinds = [pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64())), ("level", pa.int32())])), pa.list_(pa.struct([("h", pa.int64()), ("parent", pa.int64())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 b = whole.slice(k, 500)
-                got = [parse(h.as_py() or "") for h in b.column(len(keep))]
-                blocks = pa.array([[{"text": t, "around": a} for t, a, ruled in x if not ruled] for x, _ in got], kinds[0])
-                open_ = pa.array([any(a and not ruled for _, a, ruled in x) for x, _ in got])
+                got = [weighed(h.as_py() or "") for h in b.column(len(keep))]
+                blocks = pa.array([[{"text": t, "around": a, "level": v} for t, a, v in x] for x, _ in got], kinds[0])
+                open_ = pa.array([any(a for _, a, _ in x) for x, _ in got])
                 subtrees = pa.array([[{"h": h, "parent": p} for h, p in x] for _, x in got], kinds[1])
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], blocks, subtrees, open_], [*keep, "blocks", "subtrees", "open"])
 
     return given.mapInArrow(run, schema)
 
 
+def _main(blocks: Column) -> Column:
+    """The blocks of <main> if they hold half of the text or more, else those of <main>
+    and <article> if they do, else all."""
+    chars = lambda xs: F.aggregate(xs, F.lit(0), lambda n, b: n + F.length(b.text))
+    level = lambda n: F.filter(blocks, lambda b: b.level >= n)
+    half = lambda n: 2 * chars(level(n)) >= chars(blocks)
+    return F.when(half(2), level(2)).when(half(1), level(1)).otherwise(blocks)
+
+
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", recurs: int = RECURS) -> DataFrame:
     """pages without html_col, with text (empty if none) and n_chars.
 
@@ -227,7 +266,8 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", recu
     sure = parsed.where("NOT open").withColumn("_gone", F.lit(None).cast("array<bigint>"))
     doubt = parsed.where("open").join(gone, "_row", "left")
     both = sure.unionByName(doubt)
-    kept = F.expr("filter(blocks, b -> _gone IS NULL OR NOT arrays_overlap(b.around, _gone))")
+    kept = F.filter("blocks", lambda b: F.col("_gone").isNull() | ~F.arrays_overlap(b.around, F.col("_gone")))
+    kept = F.transform(F.array(kept), _main)[0]
     text = F.array_join(F.transform(kept, lambda b: b.text), "\n")
     return both.select("_row_.*", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 

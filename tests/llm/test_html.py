@@ -69,3 +69,28 @@ def test_templates(spark):
     assert by[1] == {f"Top of site\nAsk us\nText {i} is own\nBy the site" for i in range(html.RECURS - 1)}
     assert by[2] == {"Copied text\nof a page"} and by[3] == {"", "x"}
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_main_element_is_a_hint(spark):
+    """op8: the main text in a <div> beside teasers, <main> beside longer articles, template in and around <article>."""
+    own = "Main text {i} in no article, longer than all that the teasers beside it say"
+    pages = {
+        0: "<body><div>" + own + "</div><article>Teaser {i}</article><article>Card {i}</article></body>",
+        1: "<body><main>Intro {i}</main><article>" + own + "</article></body>",
+        2: "<body><div>A long line at the top of each page of the site, longer than its articles</div><article>Own {i}, with more text than that <div>In all articles</div></article></body>",
+        3: "<body><div>Beside {i}</div><article>" + own + "</article></body>",
+    }
+    df = spark.createDataFrame([(100 * k + i, f"http://h{k}.org/{i}", p.replace("{i}", str(i))) for k, p in pages.items() for i in range(html.RECURS)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    for i in range(html.RECURS):
+        text = own.format(i=i)
+        assert got[i] == f"{text}\nTeaser {i}\nCard {i}"
+        assert got[100 + i] == f"Intro {i}\n{text}"
+        assert got[200 + i] == f"Own {i}, with more text than that" and got[300 + i] == text
+
+
+def test_near_copies_are_no_template(spark):
+    copies = [(i, f"http://h.org/{i}", f"<body><div>Beside {i}</div><article><h1>Title</h1><p>A paragraph of a near copy</p><p>Own {i}</p></article></body>") for i in range(2 * html.RECURS)]
+    same = [(100 + i, f"http://s.org/{i}", f"<body><div>Beside {i}</div><article><h1>Title</h1><p>A paragraph of a copy</p></article></body>") for i in range(2 * html.RECURS)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(copies + same, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title\nA paragraph of a near copy\nOwn {i}" and got[100 + i] == "Title\nA paragraph of a copy" for i in range(2 * html.RECURS))
