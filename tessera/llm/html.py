@@ -6,7 +6,8 @@ parents each subtree occurs: a menu occurs in pages that differ, a paragraph of
 copied article does not, for the copies are one parent.  Subtrees that recur are
 the site's template, and their blocks go, inside the element that a page calls its
 main content and outside it.  What is no template but marked up as menu, notice,
-advert, form or comments goes by its mark-up.  Last, where the main content holds
+advert, form or comments goes by its mark-up, but no name rules out what holds the
+main content or most of the text.  Last, where the main content holds
 half of the text that is left, or more, the rest goes.
 """
 
@@ -56,10 +57,10 @@ _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dt dd td th tr tbody t
 
 
 class _Node:
-    __slots__ = ("gone", "hashed", "holds", "live", "main", "named", "parent", "parts", "region", "size", "tag")
+    __slots__ = ("gone", "hashed", "holds", "live", "main", "marked", "mute", "named", "parent", "parts", "region", "size", "tag")
 
-    def __init__(self, tag: str, parent: "_Node | None", gone: bool, main: int, named: str) -> None:
-        self.tag, self.parent, self.gone, self.main, self.named = tag, parent, gone, main, named
+    def __init__(self, tag: str, parent: "_Node | None", gone: bool, main: int, named: str, marked: bool, mute: bool) -> None:
+        self.tag, self.parent, self.gone, self.main, self.named, self.marked, self.mute = tag, parent, gone, main, named, marked, mute
         self.parts, self.size, self.hashed = [tag, named], 0, 0
         self.live, self.holds, self.region = 0, False, self  # text that is not gone; holds the main region
 
@@ -86,8 +87,11 @@ def weighed(html: str) -> tuple[list[tuple[str, list[int], int]], list[tuple[int
     In <article> and <main>, paragraphs, headings, items, cells and inline elements
     are no template however often they recur, for near copies and quoted passages
     recur too; nor is an element with more than half of its region's text.  The
-    largest region of the highest level, and what holds it, is none either."""
-    root = _Node("", None, False, 0, "")
+    largest region of the highest level, and what holds it, is none either.
+
+    A word of a class or id does not rule out what is or holds <main> or the only
+    <article>, nor, on a page without these, what has more than half of the text."""
+    root = _Node("", None, False, 0, "", False, False)
     stack, nodes, blocks, text = [root], [], [], []
 
     def flush() -> None:
@@ -96,7 +100,7 @@ def weighed(html: str) -> tuple[list[tuple[str, list[int], int]], list[tuple[int
             text.clear()
             if words:
                 block, node = " ".join(words), stack[-1]
-                while node.gone and node.tag not in _BLOCK and node.parent is not None:
+                while (node.gone or node.mute) and node.tag not in _BLOCK and node.parent is not None:
                     node = node.parent  # what an inline element hides was never kept
                 blocks.append((block, node))
                 node.parts.append(block)
@@ -122,7 +126,7 @@ def weighed(html: str) -> tuple[list[tuple[str, list[int], int]], list[tuple[int
     at, n = 0, len(html)
     while at < n:
         m = _TOKEN.search(html, at)
-        shown = not stack[-1].gone or stack[-1].tag in _BLOCK
+        shown = stack[-1].tag in _BLOCK or not (stack[-1].gone or stack[-1].mute)
         if shown and (m.start() if m else n) > at:
             text.append(html[at : m.start() if m else n])
         if not m:
@@ -173,8 +177,8 @@ def weighed(html: str) -> tuple[list[tuple[str, list[int], int]], list[tuple[int
             main = 2
         gone = parent.gone or tag in _GONE or got.get("role", "") in _ROLES or "hidden" in got or got.get("aria-hidden") == "true"
         gone = gone or "display:none" in got.get("style", "").replace(" ", "").lower() or (tag == "header" and not main)
-        gone = gone or bool(named) and tag not in ("html", "body", "main") and (not _MARKS.isdisjoint(_WORDS.split(named)) or (not main and "header" in _WORDS.split(named)))
-        node = _Node(tag, parent, gone, main, named)
+        marked = bool(named) and tag not in ("html", "body", "main") and (not _MARKS.isdisjoint(_WORDS.split(named)) or (not main and "header" in _WORDS.split(named)))
+        node = _Node(tag, parent, gone, main, named, marked, tag not in _BLOCK and (parent.mute or marked))
         stack.append(node)
         nodes.append(node)
         if tag in _RAW:
@@ -195,8 +199,15 @@ def weighed(html: str) -> tuple[list[tuple[str, list[int], int]], list[tuple[int
         x.parent.live += x.live
     regions = [x for x in nodes if x.live and x.main > x.parent.main]
     x = max(regions, key=lambda x: (x.main, x.live), default=root)
+    alone = x.main == 2 or sum(y.main == x.main for y in regions) == 1  # else there is none, or a list
+    spared = set()
     while x is not root:
-        x.holds, x = True, x.parent
+        x.holds = True
+        if alone:
+            spared.add(x)
+        x = x.parent
+    for x in nodes:
+        x.gone = x.gone or x.parent.gone or (x.marked and x not in spared and (alone or 2 * x.live <= root.live))
     may = set()
     for x in nodes:
         x.region = x if x.main > x.parent.main else x.parent.region

@@ -94,3 +94,33 @@ def test_near_copies_are_no_template(spark):
     same = [(100 + i, f"http://s.org/{i}", f"<body><div>Beside {i}</div><article><h1>Title</h1><p>A paragraph of a copy</p></article></body>") for i in range(2 * html.RECURS)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(copies + same, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Title\nA paragraph of a near copy\nOwn {i}" and got[100 + i] == "Title\nA paragraph of a copy" for i in range(2 * html.RECURS))
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div id=page class='layout has-sidebar'><article><p>a <b>b</b></p></article><div class=sidebar>s</div></div>", "a b"),
+        ("<article class='post comments-open'>own text<div class=comments>c</div></article>", "own text"),
+        ("<div class='content-widget'><h1>T</h1>most of the text</div><div class='related'>r</div>", "T\nmost of the text"),
+        ("<section class='related-work'><main>t</main></section>", "t"),
+        ("<body class=skip><div class='header alert-level'><p>most <i>of</i> it</p></div><p>t</p>", "most of it\nt"),
+        ("<span class=widget><article>t <b>u</b></article></span>", "t u"),
+        ("<div class=related><article>a</article><article>b</article></div><p>longer text</p>", "longer text"),
+        ("<nav class=x><article>n</article></nav><p>t</p>", "t"),
+        ("<div class=ad>an advert longer than the article</div><article>short</article>", "short"),
+    ],
+)
+def test_names_of_wrappers(page, want):
+    """op8: a word of a class does not rule out what holds the main content."""
+    assert text(page) == want
+
+
+def test_wrapper_of_a_whole_site(spark):
+    rows = [(i, f"http://h.org/{i}", f"<body><div class='layout has-sidebar'><article><p>Own {i}</p></article><div class=sidebar>s</div></div></body>") for i in range(2 * html.RECURS)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own {i}" for i in range(2 * html.RECURS)}
+
+
+def test_a_long_advert_beside_a_short_article(spark):
+    row = (1, "http://h.org/1", "<body><div class=ad>an advert longer than the article</div><article>short</article></body>")
+    assert [r.text for r in html.extract(spark.createDataFrame([row], "page_id long, url string, html string")).collect()] == ["short"]
