@@ -1,31 +1,37 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Time is cut into slots; each slot takes one block of documents of one source.  A
-source of weight w must have its j-th block (from 0) in the window from release
-floor(j / w) to deadline ceil((j + 1) / w); the released block with the earliest
-deadline goes first.  The weights sum to 1, so every block meets its deadline, and
-in every prefix each source is less than one block off its share.
-
-Weights are whole parts of `parts`, so the schedule repeats after that many slots:
-one period is planned on the driver, whatever the corpus, and a block's slot is
-arithmetic on its number.  When a source has run out, a new phase shares its part
-among the others, so every document is scheduled exactly once.
+Time is cut into slots; each slot takes one block of documents of one source.  In
+the ideal (fluid) schedule all sources with blocks left run at once, at rates in
+proportion to their exact weights; when one has run out, the others share its part.
+A source must have its j-th block (from 0) between the release, the slot in which the
+ideal one begins it, and the deadline, by which the ideal one has finished it: in
+weights of sum 1 and until a source runs out floor(j / w) and ceil((j + 1) / w).  The
+released block with the earliest deadline goes first.  So every block meets its
+deadline, and in every prefix each source is less than one block off its share.
+
+The plan is a row for each block, made on the driver from the sources' counts alone:
+its time grows with the number of blocks, an eighth of that of documents, and the
+logarithm of the number of sources.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-#: Documents in a block, slots in a period, sources with a weight of their own, and
-#: the exponent that flattens corpus shares to target weights where none are given.
+#: Documents in a block, slots of a plan that repeats, sources with a weight of their
+#: own, and the exponent that flattens corpus shares to target weights where none are given.
 BLOCK, PARTS, SOURCES, FLATTEN = 8, 1000, 256, 0.7
 _BUCKETS_LOG2 = 10
 #: What mix() adds; columns of these names give way.
@@ -89,11 +95,64 @@ def schedule(blocks: dict[str, int], weights: dict[str, float], parts: int = PAR
     return out
 
 
+def windows(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, Iterator[tuple[int, int]]]:
+    """(release, deadline) of each source's blocks in turn, from the weights as they are.
+
+    At virtual time v, source s has v * w of its blocks done, or all; so the slots used
+    are a function of v that bends where a source runs out.  All is in whole numbers.
+    """
+    exact = {s: Fraction(weights[s]) for s, n in blocks.items() if n}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    w = {s: int(x * unit) for s, x in exact.items()}
+    ends = sorted(w, key=lambda s: (Fraction(blocks[s], w[s]), s))
+    near = [blocks[s] / w[s] for s in ends]
+    done, rate = [0], [sum(w.values())]  # before the k-th source of ends has run out
+    for s in ends:
+        done.append(done[-1] + blocks[s])
+        rate.append(rate[-1] - w[s])
+
+    def at(j: int, s: str) -> tuple[int, int]:
+        """Slots used when s has j blocks done, as a whole number and a rest over w[s]."""
+        k = bisect_left(near, j / w[s])
+        while k and j * w[ends[k - 1]] <= blocks[ends[k - 1]] * w[s]:
+            k -= 1
+        while k < len(ends) - 1 and j * w[ends[k]] > blocks[ends[k]] * w[s]:
+            k += 1
+        n, rest = divmod(j * rate[k], w[s])
+        return done[k] + n, rest
+
+    def of(s: str) -> Iterator[tuple[int, int]]:
+        release = 0
+        for j in range(1, blocks[s] + 1):
+            n, rest = at(j, s)
+            yield release, n + (rest > 0)
+            release = n
+
+    return {s: of(s) for s in w}
+
+
+def plan(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int]]:
+    """(source, block, release, deadline) of slot 0, 1, ... until all blocks are placed."""
+    left = windows(blocks, weights)
+    waiting, ready = [(*next(of), s, 0) for s, of in left.items()], []
+    heapq.heapify(waiting)
+    for slot in range(sum(blocks.values())):
+        while waiting and waiting[0][0] <= slot:
+            release, deadline, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, s, j, release))
+        deadline, s, j, release = heapq.heappop(ready)
+        assert slot < deadline
+        yield s, j, release, deadline
+        after = next(left[s], None)
+        if after:
+            heapq.heappush(waiting, (*after, s, j + 1))
+
+
 def target_weights(counts: dict[str, int], flatten: float = FLATTEN) -> dict[str, float]:
     return {s: n**flatten for s, n in counts.items() if n}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, parts: int = PARTS, sources: int = SOURCES, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, sources: int = SOURCES, seed: int = 7) -> DataFrame:
     """docs with mix_source, block, release, deadline, slot and position (long, from 0, gapless).
 
     Within a source documents go in the order of a seeded hash of doc_id.  weights:
@@ -104,8 +163,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     order.  No rows give no rows.
 
     A source may hold most of the rows: it is numbered in 1024 ranges of the hash.
-    To the driver come the sums by weighted source and range, at most
-    (sources + 1) * 1024 rows; what is broadcast has (sources + 1) phases at most.
+    To the driver come the counts by weighted source; back goes the plan, a row for
+    each block.
     """
     names = [c for c in docs.columns if c not in OWN]
     docs = docs.select(*names)
@@ -120,32 +179,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     counts = {r.mix_source: r.n for r in by_range.groupBy("mix_source").agg(F.sum("count").alias("n")).collect()}
     w = target_weights(counts) if weights is None else {"": min(weights.values(), default=1.0)} | weights
     blocks = {s: -(-n // block) for s, n in counts.items()}
-    phases = schedule(blocks, w, parts)
-    spark = docs.sparkSession
-    rows, short = [], []
-    for p in phases:
-        total = sum(p.parts.values())
-        for s, a in p.parts.items():
-            rows.append((s, p.first[s], p.end[s], p.start, a, total, p.slots[s]))
-            if p.end[s] == blocks[s] and counts[s] % block:
-                j = blocks[s] - 1 - p.first[s]
-                short.append((p.start + j // a * total + p.slots[s][j % a], block - counts[s] % block))
-    known = F.broadcast(spark.createDataFrame(rows, "mix_source string, _first long, _end long, _start long, _a long, _total long, _slots array<int>"))
+    rows, position = [], 0
+    for slot, (s, j, release, deadline) in enumerate(plan(blocks, w)):
+        rows.append((s, j, release, deadline, slot, position))
+        position += block if (j + 1) * block <= counts[s] else counts[s] % block
+    kinds = [("mix_source", pa.string()), *((c, pa.int64()) for c in ("block", "release", "deadline", "slot", "_first"))]
+    planned = docs.sparkSession.createDataFrame(pa.table([pa.array(x, t) for x, (_, t) in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], [c for c, _ in kinds]))
     before = by_range.select("mix_source", "_b", (F.sum("count").over(W.partitionBy("mix_source").orderBy("_b")) - F.col("count")).alias("_before"))
     nth = F.row_number().over(W.partitionBy("mix_source", "_b").orderBy("_h", "doc_id")) - 1
     ranked = hashed.withColumn("_n", nth.cast("long")).join(F.broadcast(before), ["mix_source", "_b"]).withColumn("_n", F.col("_n") + F.col("_before"))
     ranked = ranked.withColumn("block", F.floor(F.col("_n") / block))
-    placed = ranked.join(known, "mix_source").where("block >= _first AND block < _end").withColumn("_j", F.col("block") - F.col("_first"))
-    gaps = F.array(*[F.struct(F.lit(s).cast("long").alias("s"), F.lit(n).cast("long").alias("n")) for s, n in short]) if short else None
-    missing = F.aggregate(F.filter(gaps, lambda x: x.s < F.col("slot")), F.lit(0).cast("long"), lambda a, x: a + x.n) if short else F.lit(0)
-    out = placed.withColumns(
-        {
-            "slot": F.expr("_start + _j div _a * _total + _slots[CAST(_j % _a AS INT)]"),
-            "release": F.expr("_start + _j * _total div _a"),
-            "deadline": F.expr("_start + ((_j + 1) * _total + _a - 1) div _a"),
-        }
-    )
-    out = out.withColumn("position", F.col("slot") * block + F.col("_n") % block - missing)
+    out = ranked.join(planned, ["mix_source", "block"]).withColumn("position", F.col("_first") + F.col("_n") % block)
     return out.select("_row.*", *OWN)
 
 

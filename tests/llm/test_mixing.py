@@ -77,3 +77,45 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "s", 9, 8), (2, "t", 7, 6)], "doc_id long, source string, position int, row int")
     assert sorted(r.position for r in mixing.mix(docs).collect()) == [0, 1]
     assert mixing.in_order(docs).columns == docs.columns and sorted(r.position for r in mixing.in_order(docs).collect()) == [7, 9]
+
+
+def fluid(blocks, weights, t):
+    """Blocks of each source that the ideal schedule has done after t slots."""
+    done, left = {s: Fraction(0) for s in blocks}, {s for s, n in blocks.items() if n}
+    while t and left:
+        total = sum(Fraction(weights[s]) for s in left)
+        step = min(t, *((blocks[s] - done[s]) * total / Fraction(weights[s]) for s in left)) if left else t
+        for s in left:
+            done[s] += step * Fraction(weights[s]) / total
+        t -= step
+        left = {s for s in left if done[s] < blocks[s]}
+    return done
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.integers(0, 40), st.floats(0.001, 50)), min_size=1))
+def test_less_than_a_block_off_the_target_weights(given_):
+    blocks, weights = {s: n for s, (n, _) in given_.items()}, {s: w for s, (_, w) in given_.items()}
+    got, where = Counter(), {}
+    for slot, (s, j, release, deadline) in enumerate(mixing.plan(blocks, weights)):
+        assert j == got[s] and release <= slot < deadline
+        got[s] += 1
+        where = fluid(blocks, weights, slot + 1)
+        assert all(abs(got[x] - where[x]) < 1 for x in blocks)
+    assert +got == +Counter(blocks)
+
+
+def test_default_weights_hold_over_a_long_run(spark):
+    """op6: a third of the rows in one source and 19 equal others; one with a tiny share."""
+    rows = 8 * 3000
+    docs = spark.range(rows).selectExpr("id AS doc_id", f"CASE WHEN id < 8 THEN 'tiny' WHEN id % 3 = 0 THEN 'big' ELSE concat('s', id % 19) END AS source")
+    got = mixing.mix(docs).collect()
+    w = mixing.target_weights(Counter(r.source for r in got))
+    total = sum(w.values())
+    by = {s: sorted(r.slot for r in got if r.source == s)[::8] for s in w}
+    out = min(max(x) for s, x in by.items() if s != "tiny")
+    for s in set(w) - {"tiny"}:
+        share = w[s] / (total - w["tiny"])
+        for t in range(1, out, 7):
+            assert abs(sum(x < t for x in by[s]) - share * t) < 2  # tiny has one slot
+    assert len(got) == rows and sorted(r.position for r in got) == list(range(rows))
