@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-#: Documents in a block, slots of a plan that repeats, sources with a weight of their
-#: own, and the exponent that flattens corpus shares to target weights where none are given.
-BLOCK, PARTS, SOURCES, FLATTEN = 8, 1000, 256, 0.7
+#: Documents in a block, slots of a plan that repeats, and the exponent that flattens
+#: corpus shares to target weights where none are given.
+BLOCK, PARTS, FLATTEN = 8, 1000, 0.7
 _BUCKETS_LOG2 = 10
 #: What mix() adds; columns of these names give way.
 OWN = ("mix_source", "block", "release", "deadline", "slot", "position")
@@ -152,28 +152,25 @@ def target_weights(counts: dict[str, int], flatten: float = FLATTEN) -> dict[str
     return {s: n**flatten for s, n in counts.items() if n}
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, sources: int = SOURCES, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """docs with mix_source, block, release, deadline, slot and position (long, from 0, gapless).
 
     Within a source documents go in the order of a seeded hash of doc_id.  weights:
-    by source; without them, the `sources` largest sources get their document
-    counts to the power FLATTEN.  All other sources, and null, are one source '' of
-    the rest, weighted alike (in given weights: by '', or as the smallest).
+    by source; without them, every source gets its document count to the power
+    FLATTEN, and null is the source ''.  With them, null and the sources that they
+    don't name are one source '' of the rest (weighted by '', or as the smallest).
     Every row is placed once; rows whose doc_ids are equal or null are placed in any
     order.  No rows give no rows.
 
     A source may hold most of the rows: it is numbered in 1024 ranges of the hash.
-    To the driver come the counts by weighted source; back goes the plan, a row for
-    each block.
+    To the driver come the counts by source; back goes the plan, a row for each block.
     """
     names = [c for c in docs.columns if c not in OWN]
     docs = docs.select(*names)
     hashed = docs.select("doc_id", "source", F.struct(*names).alias("_row")).withColumn("_h", F.xxhash64("doc_id", F.lit(seed))).withColumn("_b", F.shiftrightunsigned("_h", 64 - _BUCKETS_LOG2).cast("int"))
-    if weights is None:
-        named = [r.source for r in docs.where("source IS NOT NULL AND source <> ''").groupBy("source").count().orderBy(F.desc("count"), "source").limit(sources).collect()]
-    else:
-        named = [s for s in weights if s]
-    own = F.when(F.col("source").isin(named), F.col("source")).otherwise(F.lit("")) if named else F.lit("")
+    own = F.coalesce("source", F.lit(""))
+    if weights is not None:
+        own = F.when(F.col("source").isin([s for s in weights if s]), F.col("source")).otherwise(F.lit(""))
     hashed = hashed.withColumn("mix_source", own)
     by_range = hashed.groupBy("mix_source", "_b").count()
     counts = {r.mix_source: r.n for r in by_range.groupBy("mix_source").agg(F.sum("count").alias("n")).collect()}
@@ -187,7 +184,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     planned = docs.sparkSession.createDataFrame(pa.table([pa.array(x, t) for x, (_, t) in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], [c for c, _ in kinds]))
     before = by_range.select("mix_source", "_b", (F.sum("count").over(W.partitionBy("mix_source").orderBy("_b")) - F.col("count")).alias("_before"))
     nth = F.row_number().over(W.partitionBy("mix_source", "_b").orderBy("_h", "doc_id")) - 1
-    ranked = hashed.withColumn("_n", nth.cast("long")).join(F.broadcast(before), ["mix_source", "_b"]).withColumn("_n", F.col("_n") + F.col("_before"))
+    ranked = hashed.withColumn("_n", nth.cast("long")).join(before, ["mix_source", "_b"]).withColumn("_n", F.col("_n") + F.col("_before"))
     ranked = ranked.withColumn("block", F.floor(F.col("_n") / block))
     out = ranked.join(planned, ["mix_source", "block"]).withColumn("position", F.col("_first") + F.col("_n") % block)
     return out.select("_row.*", *OWN)

@@ -119,3 +119,15 @@ def test_default_weights_hold_over_a_long_run(spark):
         for t in range(1, out, 7):
             assert abs(sum(x < t for x in by[s]) - share * t) < 2  # tiny has one slot
     assert len(got) == rows and sorted(r.position for r in got) == list(range(rows))
+
+
+def test_every_source_has_a_share(spark):
+    """op6: 400 sources, more than once had windows of their own."""
+    docs = spark.range(8 * 2 * 400).selectExpr("id AS doc_id", "concat('s', id % 400) AS source")
+    got = mixing.mix(docs).collect()
+    by = {}
+    for r in got:
+        assert r.mix_source == r.source and r.release <= r.slot < r.deadline
+        by.setdefault(r.source, set()).add((r.block, r.slot))
+    assert len(by) == 400 and all({b: s // 400 for b, s in x} == {0: 0, 1: 1} for x in by.values())
+    assert sorted(r.position for r in got) == list(range(len(got)))
