@@ -27,8 +27,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (operator 7)."""
-    return simhash.keep_one(docs).select(COLUMNS)
+    """One document of each near-duplicate group: by SimHash (operator 7), and by
+    five-word shingles of a similarity of 0.8 or more."""
+    return simhash.keep_one(docs, width=5, least=0.8).select(COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

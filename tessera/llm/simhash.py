@@ -31,16 +31,20 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _BLOCK = 65_536
 
 
+def words(text: str | None) -> list[bytes]:
+    return _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """64-bit SimHash of the word shingles of a text; 0 for a text without words."""
-    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-    if not words:
+    got = words(text)
+    if not got:
         return 0
-    joined, n = b" ".join(words), len(words)
+    joined, n = b" ".join(got), len(got)
     if n < width:
         starts, ends = [0], [len(joined)]
     else:
-        size = np.fromiter(map(len, words), np.int64, n)
+        size = np.fromiter(map(len, got), np.int64, n)
         at = np.cumsum(size + 1) - size - 1
         starts, ends = at[: n - width + 1].tolist(), (at + size)[width - 1 :].tolist()
     one, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
@@ -106,11 +110,18 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, least: float | None = None) -> DataFrame:
     """docs without the near-duplicates of a row with a smaller doc_id; all columns stay.
 
+    With least, documents whose sets of `width`-word shingles have a Jaccard similarity
+    of that or more are near-duplicates too, however many bits differ.
     Rows that share a doc_id stay or go together, and stay if one of them is the
     smallest of its group.  Rows without a doc_id stay.
     """
-    gone = near_duplicates(docs).groupBy("id").agg(F.max(F.col("id") == F.col("component_id")).alias("kept")).where("NOT kept")
+    found = near_duplicates(docs).select("id", F.col("component_id").alias("component"))
+    if least is not None:
+        from tessera.llm.shingles import similar
+
+        found = similar(docs, durable(found.where("id IS NOT NULL"), "components"), width, least)
+    gone = found.groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("kept")).where("NOT kept")
     return docs.join(gone.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(docs.columns)

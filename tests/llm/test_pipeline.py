@@ -35,3 +35,32 @@ def test_nothing_in(spark, sf):
     docs = table(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_similar_documents_go_whatever_their_fingerprints(spark, sf):
+    """pipeline: no pair of five-word similarity >= 0.8 is left, and none below is joined by it."""
+    from tessera.llm import shingles, simhash
+
+    docs = table(spark, sf, "documents").select(corpus_pipeline.COLUMNS)
+    base = " ".join(f"w{i * 7919 % 1000}" for i in range(60))
+    near = [base, base.replace("w0 ", "other ", 1), base + " and more words at the end", base + " " + " ".join(f"v{i}" for i in range(60)), "two words", "two  WORDS", "", ""]
+    more = spark.createDataFrame([(10**6 + i, t, "en", "s", len(t)) for i, t in enumerate(near)], docs.schema)
+    docs = durable(docs.unionByName(more))
+    before = {r.id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()}
+    sets = {r.doc_id: set(shingles.shingles(r.text, 5).tolist()) for r in docs.collect()}
+    ids, parent = sorted(sets), dict(before)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    joined = 0
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            common = len(sets[a] & sets[b])
+            if common and common >= 0.8 * len(sets[a] | sets[b]) and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+                joined += 1
+    assert joined and kept == {x for x in ids if root(x) == x}
