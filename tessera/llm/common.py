@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +24,60 @@ def wider(schema: StructType, more: str) -> StructType:
     return StructType([*schema.fields, *_parse_datatype_string(more).fields])
 
 
+def tidy(df: DataFrame, need: tuple[str, ...] = (), made: tuple[str, ...] = ()) -> DataFrame:
+    """df with every name once, whatever its case, so that no name is ambiguous.
+
+    The needed columns come under these names, wherever they stand (where several differ
+    in case only, the one with the exact name, else the first).  Other columns that
+    are named like a needed or a made one, or like one before them, give way.
+    """
+    names = df.columns
+    low = [n.lower() for n in names]
+    at = {}
+    for n in need:
+        if n.lower() not in low:
+            raise ValueError(f"no column {n} among {', '.join(names)}")
+        at[names.index(n) if n in names else low.index(n.lower())] = n
+    taken, keep = {n.lower() for n in (*need, *made)}, []
+    for k, n in enumerate(names):
+        if k in at or low[k] not in taken:
+            keep.append((k, at.get(k, n)))
+            taken.add(low[k])
+    if keep == list(enumerate(names)):
+        return df
+    if len(set(low)) == len(low):
+        return df.select(*[F.col(f"`{names[k]}`").alias(n) for k, n in keep])
+    flat = df.toDF(*[f"c{k}" for k in range(len(names))])
+    return flat.select(*[F.col(f"c{k}").alias(n) for k, n in keep])
+
+
+def apart(df: DataFrame, need: tuple[str, ...], made: tuple[str, ...] = (), whole: bool = False) -> tuple[DataFrame, list[str]]:
+    """The needed columns and a struct _row of all others (with whole: of all columns) that
+    no made column replaces, so that names of ours clash with none of df's; and the
+    names in the struct, which has the field _ where there are none."""
+    df = tidy(df, need, made)
+    names = [c for c in df.columns if whole or c not in need]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(True).alias("_"))
+    return df.select(*need, row.alias("_row")), names
+
+
+def fields(names: list[str], of: str = "_row") -> list:
+    """The columns of a struct under their own names."""
+    return [F.col(f"{of}.`{c}`").alias(c) for c in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    local one where that is unset (tests in local mode)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-scratch"
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine serves a local master, as in tests;
+    any other master is refused.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/tessera-scratch"
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -63,6 +115,24 @@ def durable(df: DataFrame, what: str = "t") -> DataFrame:
     return out
 
 
+def written(spark: SparkSession, lines: Iterable[str], schema: str, what: str) -> DataFrame:
+    """A table of the driver's CSV lines, which go to the shared directory a megabyte at a
+    time; so Spark knows its size, and executors read it as any other table."""
+    path = f"{scratch_path(spark, what)}/rows.csv"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    run, size = [], 0
+    for line in lines:
+        run.append(line)
+        size += len(line)
+        if size > 1_000_000:
+            out.write(bytearray("".join(f"{x}\n" for x in run).encode()))
+            run, size = [], 0
+    out.write(bytearray("".join(f"{x}\n" for x in run).encode()))
+    out.close()
+    return spark.read.schema(schema).csv(path)
+
+
 def release(df: DataFrame) -> None:
     """Remove the files of a durable() frame that nothing reads any more."""
     path = getattr(df, "_scratch", None)

@@ -2,205 +2,237 @@
 
 Time is cut into slots; each slot takes one block of documents of one source.  In
 the ideal (fluid) schedule all sources with blocks left run at once, at rates in
-proportion to their exact weights; when one has run out, the others share its part.
-A source must have its j-th block (from 0) between the release, the slot in which the
-ideal one begins it, and the deadline, by which the ideal one has finished it: in
-weights of sum 1 and until a source runs out floor(j / w) and ceil((j + 1) / w).  The
-released block with the earliest deadline goes first.  So every block meets its
-deadline, and in every prefix each source is less than one block off its share.
-
-The plan is a row for each block, made on the driver from the sources' counts alone:
-its time grows with the number of blocks, an eighth of that of documents, and the
-logarithm of the number of sources.
+proportion to their weights, which are whole numbers; when one has run out, the others
+share its part.  A source must have its j-th block (from 0) between the release, the
+slot in which the ideal one begins it, and the deadline, by which the ideal one has
+finished it: in weights of sum 1 and until a source runs out floor(j / w) and
+ceil((j + 1) / w).  The released block with the earliest deadline goes first.  So
+every block meets its deadline, and in every prefix each source is less than one
+block off its share.
+
+Frames: whenever every source has had a whole multiple of its weight in blocks (or
+all of its blocks), the ideal schedule has no block begun, so all that is released is
+placed and the next frame starts afresh.  A frame has at most as many slots as the
+weights sum to.  Frames in which no source has its last block are alike between
+two that have one.  So the driver schedules at most two frames a source and one,
+whatever the number of documents; which frame a block is in, and where, is arithmetic.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import apart, fields, table, written
 
-#: Documents in a block, slots of a plan that repeats, and the exponent that flattens
-#: corpus shares to target weights where none are given.
-BLOCK, PARTS, FLATTEN = 8, 1000, 0.7
-_BUCKETS_LOG2 = 10
+#: Documents in a block, the exponent that flattens corpus shares to target weights where
+#: none are given, and about what those weights sum to at most.
+BLOCK, FLATTEN, PARTS = 8, 0.7, 16384
+#: Ranges of frames that are looked up by an equi-join, at most.
+_RANGES = 1 << 16
 #: What mix() adds; columns of these names give way.
 OWN = ("mix_source", "block", "release", "deadline", "slot", "position")
 
 
-def quantised(weights: dict[str, float], parts: int = PARTS) -> dict[str, int]:
-    """Whole parts, at least one each, in proportion (largest remainder); they sum to max(parts, number of weights)."""
-    parts, total = max(parts, len(weights)), sum(weights.values())
-    free = parts - len(weights)
-    exact = {s: max(0.0, w / total * parts - 1) for s, w in weights.items()}
-    scale = free / (sum(exact.values()) or 1)
-    out = {s: 1 + math.floor(x * scale + 1e-9) for s, x in exact.items()}
-    for s in sorted(weights, key=lambda s: (-(exact[s] * scale - (out[s] - 1)), s))[: parts - sum(out.values())]:
-        out[s] += 1
-    return out
-
+def whole(weights: dict[str, float]) -> dict[str, int]:
+    """The least whole numbers in the same proportions; a float counts as the decimal it prints as."""
+    exact = {s: Fraction(str(w)) if isinstance(w, float) else Fraction(w) for s, w in weights.items()}
+    if any(x <= 0 for x in exact.values()):
+        raise ValueError("weights must be positive")
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    out = {s: int(x * unit) for s, x in exact.items()}
+    common = math.gcd(*out.values())
+    return {s: x // common for s, x in out.items()}
+
+
+def target_weights(counts: dict[str, int], flatten: float = FLATTEN, parts: int = PARTS) -> dict[str, int]:
+    """The counts to the power `flatten`, as whole numbers from 1; scaled down where their sum exceeds `parts`."""
+    flat = {s: n**flatten for s, n in sorted(counts.items()) if n}
+    scale = max(1.0, math.fsum(flat.values()) / parts)
+    return {s: max(1, math.floor(x / scale + 0.5)) for s, x in flat.items()}
+
+
+def _frame(v: int, blocks: dict[str, int], weights: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of frame v, block and slots counted from its start."""
+    left = {s: min(weights[s], blocks[s] - v * weights[s]) for s in weights if blocks[s] > v * weights[s]}
+    # within the frame, at time u (0 to 1) source s has min(left, u * weight) blocks done;
+    # the slots used are a function of u that bends where a source runs out
+    ends = sorted({Fraction(n, weights[s]) for s, n in left.items()})
+    done, rate = [], []  # slots used and rate just after the k-th bend, from the start
+    for u in [Fraction(0), *ends]:
+        over = [s for s, n in left.items() if Fraction(n, weights[s]) <= u and u > 0]
+        done.append(sum(left[s] for s in over))
+        rate.append(sum(w for s, w in weights.items() if s in left and s not in set(over)))
 
-def period(parts: dict[str, int]) -> dict[str, list[int]]:
-    """The slots that each source's blocks get within one period, by earliest deadline first."""
-    total = sum(parts.values())
-    waiting = sorted((j * total // a, -(-(j + 1) * total // a), s) for s, a in parts.items() for j in range(a))
-    slots: dict[str, list[int]] = {s: [] for s in parts}
-    ready: list[tuple[int, str]] = []
-    at = 0
-    for slot in range(total):
-        while at < total and waiting[at][0] <= slot:
-            heapq.heappush(ready, waiting[at][1:])
-            at += 1
-        deadline, s = heapq.heappop(ready)
-        assert slot < deadline
-        slots[s].append(slot)
-    return slots
+    def of(s: str) -> Iterator[tuple[int, int]]:
+        k, release, w = 0, 0, weights[s]
+        for j in range(1, left[s] + 1):
+            while k < len(ends) - 1 and j * ends[k].denominator > ends[k].numerator * w:
+                k += 1
+            used = j * rate[k] + done[k] * w  # times w
+            yield release, -(-used // w)
+            release = used // w
+
+    each = {s: of(s) for s in left}
+    waiting, ready = [(*next(x), s, 0) for s, x in each.items()], []
+    heapq.heapify(waiting)
+    for slot in range(sum(left.values())):
+        while waiting and waiting[0][0] <= slot:
+            release, deadline, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, s, j, release))
+        deadline, s, j, release = heapq.heappop(ready)
+        assert release <= slot < deadline
+        yield s, j, release, deadline, slot
+        after = next(each[s], None)
+        if after:
+            heapq.heappush(waiting, (*after, s, j + 1))
 
 
 @dataclass
-class Phase:
-    """From slot `start` on, block first[s] + j of source s has slot start + j // a * total + slots[s][j % a]."""
+class Run:
+    """Frames v_from to v_to - 1, all scheduled like frame v_from, which starts at slot
+    `start`; each has `size` slots."""
 
+    v_from: int
+    v_to: int
     start: int
-    parts: dict[str, int]
-    slots: dict[str, list[int]]
-    first: dict[str, int]
-    end: dict[str, int]
-
-
-def schedule(blocks: dict[str, int], weights: dict[str, float], parts: int = PARTS) -> list[Phase]:
-    """Phases until all blocks are placed; in each, a source that ran out is gone."""
-    done, left, start, out = dict.fromkeys(blocks, 0), {s for s, n in blocks.items() if n}, 0, []
-    while left:
-        p = quantised({s: weights[s] for s in left}, parts)
-        slots, total = period(p), sum(p.values())
-        last = {s: (blocks[s] - done[s] - 1) // p[s] * total + slots[s][(blocks[s] - done[s] - 1) % p[s]] for s in left}
-        over = min(last.values()) + 1
-        got = {s: over // total * p[s] + sum(k < over % total for k in slots[s]) for s in left}
-        out.append(Phase(start, p, slots, {s: done[s] for s in left}, {s: done[s] + got[s] for s in left}))
-        for s in left:
-            done[s] += got[s]
-        left = {s for s in left if done[s] < blocks[s]}
-        start += over
-    return out
+    size: int
 
 
-def windows(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, Iterator[tuple[int, int]]]:
-    """(release, deadline) of each source's blocks in turn, from the weights as they are.
+def runs(blocks: dict[str, int], weights: dict[str, int]) -> list[Run]:
+    """All frames until all blocks are placed; one that has the last block of a source is alone."""
+    last = sorted({(n - 1) // weights[s] for s, n in blocks.items() if n})
+    out, v, start = [], 0, 0
 
-    At virtual time v, source s has v * w of its blocks done, or all; so the slots used
-    are a function of v that bends where a source runs out.  All is in whole numbers.
-    """
-    exact = {s: Fraction(weights[s]) for s, n in blocks.items() if n}
-    unit = math.lcm(*(x.denominator for x in exact.values()))
-    w = {s: int(x * unit) for s, x in exact.items()}
-    ends = sorted(w, key=lambda s: (Fraction(blocks[s], w[s]), s))
-    near = [blocks[s] / w[s] for s in ends]
-    done, rate = [0], [sum(w.values())]  # before the k-th source of ends has run out
-    for s in ends:
-        done.append(done[-1] + blocks[s])
-        rate.append(rate[-1] - w[s])
-
-    def at(j: int, s: str) -> tuple[int, int]:
-        """Slots used when s has j blocks done, as a whole number and a rest over w[s]."""
-        k = bisect_left(near, j / w[s])
-        while k and j * w[ends[k - 1]] <= blocks[ends[k - 1]] * w[s]:
-            k -= 1
-        while k < len(ends) - 1 and j * w[ends[k]] > blocks[ends[k]] * w[s]:
-            k += 1
-        n, rest = divmod(j * rate[k], w[s])
-        return done[k] + n, rest
-
-    def of(s: str) -> Iterator[tuple[int, int]]:
-        release = 0
-        for j in range(1, blocks[s] + 1):
-            n, rest = at(j, s)
-            yield release, n + (rest > 0)
-            release = n
+    def add(v_to: int) -> None:
+        nonlocal v, start
+        size = sum(max(0, min(weights[s], n - v * weights[s])) for s, n in blocks.items())
+        out.append(Run(v, v_to, start, size))
+        start, v = start + (v_to - v) * size, v_to
 
-    return {s: of(s) for s in w}
+    for x in last:
+        if v < x:
+            add(x)
+        add(x + 1)
+    return out
 
 
 def plan(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int]]:
     """(source, block, release, deadline) of slot 0, 1, ... until all blocks are placed."""
-    left = windows(blocks, weights)
-    waiting, ready = [(*next(of), s, 0) for s, of in left.items()], []
-    heapq.heapify(waiting)
-    for slot in range(sum(blocks.values())):
-        while waiting and waiting[0][0] <= slot:
-            release, deadline, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, s, j, release))
-        deadline, s, j, release = heapq.heappop(ready)
-        assert slot < deadline
-        yield s, j, release, deadline
-        after = next(left[s], None)
-        if after:
-            heapq.heappush(waiting, (*after, s, j + 1))
-
-
-def target_weights(counts: dict[str, int], flatten: float = FLATTEN) -> dict[str, float]:
-    return {s: n**flatten for s, n in counts.items() if n}
+    w = whole({s: x for s, x in weights.items() if blocks.get(s)}) if any(blocks.values()) else {}
+    blocks = {s: blocks[s] for s in w}
+    for r in runs(blocks, w):
+        like = list(_frame(r.v_from, blocks, w))
+        for v in range(r.v_from, r.v_to):
+            at = r.start + (v - r.v_from) * r.size
+            yield from ((s, v * w[s] + j, at + release, at + deadline) for s, j, release, deadline, _ in like)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """docs with mix_source, block, release, deadline, slot and position (long, from 0, gapless).
 
     Within a source documents go in the order of a seeded hash of doc_id.  weights:
-    by source; without them, every source gets its document count to the power
-    FLATTEN, and null is the source ''.  With them, null and the sources that they
-    don't name are one source '' of the rest (weighted by '', or as the smallest).
+    by source, positive; without them, every source gets target_weights() of the
+    document counts, and null is the source ''.  With them, null and the sources that
+    they don't name are one source '' of the rest (weighted by '', or as the smallest).
     Every row is placed once; rows whose doc_ids are equal or null are placed in any
-    order.  No rows give no rows.
+    order.  No rows give no rows.  Texts of any length are only carried.  Columns
+    named like those that are made, whatever their case, give way.
 
-    A source may hold most of the rows: it is numbered in 1024 ranges of the hash.
-    To the driver come the counts by source; back goes the plan, a row for each block.
+    A source may hold most of the rows: it is numbered in 4096 ranges of the hash.
+    To the driver come the counts by source; back goes the plan (see above), a written
+    table that is joined by its keys.
     """
-    names = [c for c in docs.columns if c not in OWN]
-    docs = docs.select(*names)
-    hashed = docs.select("doc_id", "source", F.struct(*names).alias("_row")).withColumn("_h", F.xxhash64("doc_id", F.lit(seed))).withColumn("_b", F.shiftrightunsigned("_h", 64 - _BUCKETS_LOG2).cast("int"))
+    spark = docs.sparkSession
+    given, names = apart(docs, ("doc_id", "source"), OWN, whole=True)
     own = F.coalesce("source", F.lit(""))
     if weights is not None:
         own = F.when(F.col("source").isin([s for s in weights if s]), F.col("source")).otherwise(F.lit(""))
-    hashed = hashed.withColumn("mix_source", own)
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
+    hashed = given.select("doc_id", "_row", own.alias("mix_source"), key.alias("_h")).withColumn("_b", F.substring("_h", 1, 3))
     by_range = hashed.groupBy("mix_source", "_b").count()
     counts = {r.mix_source: r.n for r in by_range.groupBy("mix_source").agg(F.sum("count").alias("n")).collect()}
-    w = target_weights(counts) if weights is None else {"": min(weights.values(), default=1.0)} | weights
+    w = target_weights(counts) if weights is None else whole(({"": min(weights.values(), default=1.0)} | weights)) if weights else {"": 1}
+    w = {s: w[s] for s in sorted(counts)}
     blocks = {s: -(-n // block) for s, n in counts.items()}
-    rows, position = [], 0
-    for slot, (s, j, release, deadline) in enumerate(plan(blocks, w)):
-        rows.append((s, j, release, deadline, slot, position))
-        position += block if (j + 1) * block <= counts[s] else counts[s] % block
-    kinds = [("mix_source", pa.string()), *((c, pa.int64()) for c in ("block", "release", "deadline", "slot", "_first"))]
-    planned = docs.sparkSession.createDataFrame(pa.table([pa.array(x, t) for x, (_, t) in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], [c for c, _ in kinds]))
+    number = {s: k for k, s in enumerate(w)}
+    short = {s: (-n) % block for s, n in counts.items()}  # rows that the last block lacks
+    frames = runs(blocks, w)
+    shift = max(0, ((frames[-1].v_to if frames else 1) - 1).bit_length() - _RANGES.bit_length() + 1)
+
+    def slots() -> Iterator[str]:
+        lacking = 0
+        for k, r in enumerate(frames):
+            for s, j, release, deadline, slot in _frame(r.v_from, blocks, w):
+                yield f"{k},{number[s]},{j},{release},{deadline},{slot},{lacking}"
+                if r.v_from * w[s] + j == blocks[s] - 1:
+                    lacking += short[s]
+
+    sources = written(spark, (f"{k},{w[s]},{s.encode().hex()}" for s, k in number.items()), "_s int, _w long, _name string", "sources")
+    sources = sources.select("_s", "_w", F.coalesce(F.unhex("_name").cast("string"), F.lit("")).alias("mix_source"))
+    ranges = written(spark, (f"{x},{k},{r.v_from},{r.v_to},{r.start},{r.size}" for k, r in enumerate(frames) for x in range(r.v_from >> shift, ((r.v_to - 1) >> shift) + 1)), "_range long, _like int, _from long, _to long, _start long, _size long", "frames")
+    placed = written(spark, slots(), "_like int, _s int, _j long, _release long, _deadline long, _slot long, _short long", "slots")
     before = by_range.select("mix_source", "_b", (F.sum("count").over(W.partitionBy("mix_source").orderBy("_b")) - F.col("count")).alias("_before"))
     nth = F.row_number().over(W.partitionBy("mix_source", "_b").orderBy("_h", "doc_id")) - 1
-    ranked = hashed.withColumn("_n", nth.cast("long")).join(before, ["mix_source", "_b"]).withColumn("_n", F.col("_n") + F.col("_before"))
-    ranked = ranked.withColumn("block", F.floor(F.col("_n") / block))
-    out = ranked.join(planned, ["mix_source", "block"]).withColumn("position", F.col("_first") + F.col("_n") % block)
-    return out.select("_row.*", *OWN)
+    ranked = hashed.withColumn("_n", nth.cast("long")).join(before, ["mix_source", "_b"]).join(sources, "mix_source")
+    ranked = ranked.select("mix_source", "_row", "_s", "_w", (F.col("_n") + F.col("_before")).alias("_n")).withColumn("block", F.floor(F.col("_n") / block))
+    ranked = ranked.withColumns({"_v": F.expr("block div _w"), "_j": F.expr("block % _w")}).withColumn("_range", F.shiftright("_v", shift))
+    found = ranked.join(ranges, "_range").where("_v >= _from AND _v < _to").withColumn("_at", F.expr("_start + (_v - _from) * _size"))
+    out = found.join(placed, ["_like", "_s", "_j"])
+    at = lambda c: (F.col("_at") + F.col(c)).alias(c[1:])
+    position = (F.col("_at") + F.col("_slot")) * block - F.col("_short") + F.col("_n") % block
+    return out.select(*fields(names), "mix_source", "block", at("_release"), at("_deadline"), at("_slot"), position.alias("position"))
 
 
 def in_order(docs: DataFrame, **given) -> DataFrame:
     """docs, all rows and columns, written in mixed order: the n-th part of the result
-    holds the n-th run of positions, sorted."""
+    holds the n-th run of positions, sorted.
+
+    No rows give no rows; of columns that differ in case only, the first stays.
+    """
     n = docs.count()
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    mixed = mix(docs.select("doc_id", "source", F.struct(*docs.columns).alias("row")), **given)
+    whole_row, names = apart(docs, ("doc_id", "source"), whole=True)
+    mixed = mix(whole_row.withColumnRenamed("_row", "row"), **given)
     dealt = mixed.repartitionById(parts, F.expr(f"CAST(position * {parts} div {max(n, 1)} AS INT)"))
-    return dealt.sortWithinPartitions("position").select("row.*")
+    return dealt.sortWithinPartitions("position").select(*fields(names, "row"))
 
 
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, block, release, deadline, slot, position of every document."""
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return out.select("doc_id", "source", "block", "release", "deadline", "slot", "position")
+
+
+#: The same by the definitions: windows from the ideal schedule over all sources, then one
+#: slot after another in a recursion.  state holds the next block of each source.
+ORACLE_OP6 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(concat_ws(':', '7', doc_id::VARCHAR)), doc_id) - 1 AS n FROM documents
+), c AS (
+  SELECT s, count(*) AS rows, pow(count(*)::DOUBLE, {FLATTEN}::DOUBLE) AS flat FROM d GROUP BY s
+), w AS (
+  SELECT s, (rows + {BLOCK - 1}) // {BLOCK} AS b, greatest(1, floor(flat / greatest(1, (SELECT sum(flat) FROM c) / {PARTS}) + 0.5))::BIGINT AS w, row_number() OVER (ORDER BY s) AS k FROM c
+), e AS (
+  SELECT a.s, a.k, a.j, any_value(a.w) AS w, sum(least(o.b * a.w, a.j * o.w))::BIGINT AS before, sum(least(o.b * a.w, (a.j + 1) * o.w))::BIGINT AS after
+  FROM (SELECT *, unnest(range(b)) AS j FROM w) a CROSS JOIN w o GROUP BY a.s, a.k, a.j
+), p AS (
+  SELECT s, k, j, before // w AS release, (after + w - 1) // w AS deadline FROM e
+), r AS (
+  SELECT 0::BIGINT AS slot, (SELECT list(0::BIGINT) FROM w) AS state, 0::BIGINT AS pick, 0::BIGINT AS block
+  UNION ALL
+  SELECT slot + 1, list_transform(state, lambda x, i: x + (i = pick.k)::BIGINT), pick.k, pick.j
+  FROM (SELECT r.slot, r.state, arg_min({{'k': p.k, 'j': p.j}}, (p.deadline, p.s)) AS pick FROM r JOIN p ON p.j = r.state[p.k] AND p.release <= r.slot GROUP BY r.slot, r.state)
+), f AS (
+  SELECT r.slot - 1 AS slot, p.s, p.j, p.release, p.deadline FROM r JOIN p ON p.k = r.pick AND p.j = r.block WHERE r.slot > 0
+)
+SELECT d.doc_id, d.source, f.j AS block, f.release, f.deadline, f.slot, row_number() OVER (ORDER BY f.slot, d.n) - 1 AS position
+FROM d JOIN f ON f.s = d.s AND f.j = d.n // {BLOCK}
+"""

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from tessera.llm import crf, embedding_dedup, html, language, line_dedup, mixing, packing, rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         language.op9_language_id,
         packing.op10_best_fit_packing,
     )
-} | {"pipeline": corpus_pipeline.run}
+}
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE_OP3, "op5_embedding_near_dedup": embedding_dedup.ORACLE_OP5}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE_OP3,
+    "op5_embedding_near_dedup": embedding_dedup.ORACLE_OP5,
+    "op6_mixing_sources": mixing.ORACLE_OP6,
+}

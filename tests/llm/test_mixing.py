@@ -10,34 +10,57 @@ from hypothesis import strategies as st
 from tessera.llm import mixing
 
 
+def test_whole_weights():
+    assert mixing.whole({"a": 0.6666666, "b": 0.3333334}) == {"a": 3333333, "b": 1666667}
+    assert mixing.whole({"a": 0.99995, "b": 0.00005}) == {"a": 19999, "b": 1} and mixing.whole({"a": 6.0}) == {"a": 1}
+    assert mixing.target_weights({"a": 10**9, "b": 1, "c": 0}) == {"a": 16384, "b": 1}
+    with pytest.raises(ValueError):
+        mixing.whole({"a": 0.0})
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcdefgh"), st.floats(0.01, 50), min_size=1), st.integers(1, 200))
-def test_a_period_is_fair(weights, parts):
-    p = mixing.quantised(weights, parts)
-    total = sum(p.values())
-    assert total == max(parts, len(weights)) and min(p.values()) >= 1
-    slots = mixing.period(p)
-    assert sorted(x for s in slots.values() for x in s) == list(range(total))
-    for s, at in slots.items():
-        for j, slot in enumerate(at):
-            assert j * total // p[s] <= slot < -(-(j + 1) * total // p[s])
-        for t in range(total + 1):
-            assert abs(sum(x < t for x in at) - Fraction(t * p[s], total)) < 1
-
-
-@settings(max_examples=40, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcdef"), st.integers(0, 60), min_size=1), st.integers(3, 40))
-def test_schedules_place_every_block_once(blocks, parts):
-    phases = mixing.schedule(blocks, {s: 1.0 + i for i, s in enumerate(sorted(blocks))}, parts)
-    used, done = [], Counter()
-    for p in phases:
-        total = sum(p.parts.values())
-        for s, a in p.parts.items():
-            assert p.first[s] == done[s]
-            for j in range(p.end[s] - p.first[s]):
-                used.append(p.start + j // a * total + p.slots[s][j % a])
-            done[s] = p.end[s]
-    assert sorted(used) == list(range(sum(blocks.values()))) and all(done[s] == n for s, n in blocks.items())
+@given(st.dictionaries(st.sampled_from("abcdef"), st.tuples(st.integers(0, 90), st.integers(1, 5)), min_size=1))
+def test_frames_of_a_run_are_alike(given_):
+    """op6: skipping over frames that are alike changes nothing: windows are those of the whole schedule."""
+    blocks = {s: n for s, (n, _) in given_.items() if n}
+    w = mixing.whole({s: given_[s][1] for s in blocks}) if blocks else {}
+
+    def used(s, j):
+        return sum(min(Fraction(n), Fraction(j * w[x], w[s])) for x, n in blocks.items())
+
+    got = list(mixing.plan(blocks, w))
+    for s, j, release, deadline in got:
+        assert release == used(s, j) // 1 and deadline == -(-used(s, j + 1) // 1)
+    assert Counter(s for s, *_ in got) == Counter(blocks)
+    assert sum((r.v_to - r.v_from) * r.size for r in mixing.runs(blocks, w)) == len(got)
+    assert len(mixing.runs(blocks, w)) <= 2 * len(blocks)
+
+
+def test_rows_follow_the_plan(spark, monkeypatch):
+    """op6: hundreds of frames, looked up in few ranges, equal the schedule made slot by slot."""
+    monkeypatch.setattr(mixing, "_RANGES", 4)
+    docs = spark.range(1500).selectExpr("id AS doc_id", "CASE WHEN id % 10 < 6 THEN 'a' WHEN id % 10 < 9 THEN 'b' ELSE 'c' END AS source")
+    w = {"a": 1, "b": 1, "c": 2}
+    got = {(r.mix_source, r.block, r.release, r.deadline, r.slot) for r in mixing.mix(docs, w, block=2).collect()}
+    want = {(s, j, release, deadline, k) for k, (s, j, release, deadline) in enumerate(mixing.plan({"a": 450, "b": 225, "c": 75}, w))}
+    assert got == want
+    assert sorted(r.position for r in mixing.mix(docs, w, block=7).collect()) == list(range(1500))
+
+
+def test_query_equals_oracle(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet' UNION ALL SELECT 1000000 + i, 'x', 'en', CASE WHEN i % 2 = 0 THEN 'few' END, 1 FROM range(21) t(i)")
+    more = spark.range(21).selectExpr("1000000 + id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'few' END AS source")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").unionByName(more)
+    got = mixing.mix(docs).select("doc_id", "source", "block", "release", "deadline", "slot", "position").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, c.execute(mixing.ORACLE_OP6).fetchall()))
+
+
+def test_native(spark, sf):
+    plan = mixing.op6_mixing_sources(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "ExistingRDD"))
 
 
 def test_query(spark, sf):
@@ -74,13 +97,15 @@ def test_order_of_files(spark, sf, tmp_path):
 
 
 def test_clashing_columns(spark):
-    docs = spark.createDataFrame([(1, "s", 9, 8), (2, "t", 7, 6)], "doc_id long, source string, position int, row int")
-    assert sorted(r.position for r in mixing.mix(docs).collect()) == [0, 1]
-    assert mixing.in_order(docs).columns == docs.columns and sorted(r.position for r in mixing.in_order(docs).collect()) == [7, 9]
+    docs = spark.createDataFrame([(1, "s", 9, 8, 7), (2, "t", 7, 6, 5)], "doc_id long, source string, Slot int, row int, ROW int")
+    got = mixing.mix(docs)
+    assert got.columns == ["doc_id", "source", "row", *mixing.OWN] and sorted(r.position for r in got.collect()) == [0, 1]
+    assert mixing.in_order(docs).columns == ["doc_id", "source", "Slot", "row"] and sorted(r.Slot for r in mixing.in_order(docs).collect()) == [7, 9]
 
 
 def fluid(blocks, weights, t):
     """Blocks of each source that the ideal schedule has done after t slots."""
+    weights = mixing.whole({s: weights[s] for s, n in blocks.items() if n}) if any(blocks.values()) else {}
     done, left = {s: Fraction(0) for s in blocks}, {s for s, n in blocks.items() if n}
     while t and left:
         total = sum(Fraction(weights[s]) for s in left)
@@ -112,6 +137,7 @@ def test_default_weights_hold_over_a_long_run(spark):
     got = mixing.mix(docs).collect()
     w = mixing.target_weights(Counter(r.source for r in got))
     total = sum(w.values())
+    assert w["tiny"] < w["big"] / 100
     by = {s: sorted(r.slot for r in got if r.source == s)[::8] for s in w}
     out = min(max(x) for s, x in by.items() if s != "tiny")
     for s in set(w) - {"tiny"}:
