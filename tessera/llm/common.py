@@ -6,13 +6,15 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 _made: dict[str, SparkSession] = {}
+_scopes: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,9 +114,32 @@ def durable(df: DataFrame, what: str = "t") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Durable frames made inside are released at the end, but for those handed to what it gives."""
+    kept: list[DataFrame] = []
+    _scopes.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        made = _scopes.pop()
+        for df in made:
+            if not any(df is k for k in kept):
+                release(df)
+            elif _scopes:
+                _scopes[-1].append(df)
+
+
 def written(spark: SparkSession, lines: Iterable[str], schema: str, what: str) -> DataFrame:
     """A table of the driver's CSV lines, which go to the shared directory a megabyte at a
     time; so Spark knows its size, and executors read it as any other table."""
@@ -136,8 +161,7 @@ def written(spark: SparkSession, lines: Iterable[str], schema: str, what: str) -
 def release(df: DataFrame) -> None:
     """Remove the files of a durable() frame that nothing reads any more."""
     path = getattr(df, "_scratch", None)
-    if path:
-        _made.pop(path, None)
+    if path and _made.pop(path, None):
         _remove(df.sparkSession, path)
 
 
