@@ -1,15 +1,18 @@
 from __future__ import annotations
 
+import random
 import re
+import time
 from html import unescape
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import html
 
 
 def text(page):
-    return "\n".join(t for t, _, ruled in html.parse(page)[0] if not ruled)
+    return "\n".join(t for t, ruled in html.parse(page) if not ruled)
 
 
 @pytest.mark.parametrize(
@@ -89,6 +92,80 @@ def test_main_element_is_a_hint(spark):
         assert got[200 + i] == f"Own {i}, with more text than that" and got[300 + i] == text
 
 
+def test_pages_are_counted_not_places(spark):
+    """op8: a subtree that recurs on one page is no template; an unnamed one in all articles of a host is."""
+    cards = "<body><article><h1>Shop</h1>" + "".join(f"<section><p>Card {k}</p><div>In stock</div></section>" for k in range(12)) + "</article></body>"
+    rows = [(1, "http://cards.org/1", cards)]
+    rows += [(100 + i, f"http://app.org/{i}", f"<article><h1>Title {i}</h1><p>Own text {i} of an article</p><div>Read our app</div></article>") for i in range(30)]
+    rows += [(200 + i, "http://copies.org/same", "<body><div>Beside</div><div>Copied text of a page</div></body>") for i in range(30)]
+    rows += [(300 + i, f"http://few.org/{i}", f"<body><div>Top</div><div>Own {i}</div></body>") for i in range(html.RECURS - 1)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Shop\n" + "\n".join(f"Card {k}\nIn stock" for k in range(12))
+    assert all(got[100 + i] == f"Title {i}\nOwn text {i} of an article" for i in range(30))
+    assert all(got[200 + i] == "Beside\nCopied text of a page" for i in range(30))
+    assert all(got[300 + i] == f"Top\nOwn {i}" for i in range(html.RECURS - 1))
+
+
+def brute(pages, recurs):
+    """Texts by page: subtrees counted over the different pages of each host, their blocks taken out."""
+    seen, parsed = {}, {i: (u.split("/")[2], *html.weighed(h)) for i, (u, h) in pages.items()}
+    for host, _, subtrees, page in parsed.values():
+        for h, _, _ in subtrees:
+            seen.setdefault((host, h), set()).add(page)
+    out = {}
+    for i, (host, blocks, subtrees, _) in parsed.items():
+        gone = {k for h, lo, hi in subtrees if len(seen[host, h]) >= recurs for k in range(lo, hi)}
+        left = [b for k, b in enumerate(blocks) if k not in gone]
+        size = lambda level: sum(len(t) for t, v in left if v >= level)  # noqa: E731,B023
+        best = next((v for v in (2, 1) if 2 * size(v) >= size(0)), 0)
+        out[i] = "\n".join(t for t, v in left if v >= best)
+    return out
+
+
+def test_templates_equal_brute_force(spark):
+    rng = random.Random(8)
+    parts = ["<div>{}</div>", "<ul><li>{}<li>x</ul>", "<section><div>{}</div><p>{}</p></section>", "<p>{}</p>", "<article><h2>{}</h2><div>{}</div>t</article>"]
+    words = ["a", "b", "c d", "e", "some longer text", "f g h"]
+    fill = lambda: "".join(rng.choice(parts).replace("{}", rng.choice(words)) for _ in range(rng.randrange(1, 7)))
+    pages = {i: (f"http://h{i % 3}.org/{i}", f"<body>{fill()}<div>{fill()}</div></body>") for i in range(120)}
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in pages.items()], "page_id long, url string, html string")
+    for recurs in (2, 5):
+        want = brute(pages, recurs)
+        assert {r.page_id: r.text for r in html.extract(df, recurs=recurs).collect()} == want
+        assert any(want[i] != "\n".join(t for t, _ in html.weighed(h)[0]) for i, (_, h) in pages.items())
+
+
+def test_counts_decide_on_the_pages(spark):
+    """op8: without any word of a class, the counts alone make some of the driver's pages right
+    that the main element alone does not, and spoil none."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    right = {r.page_id: r.text for r in html.extract(pages).collect()}
+    counted = {r.page_id: r.text for r in html.extract(pages, names=False).collect()}
+    uncounted = {r.page_id: r.text for r in html.extract(pages, names=False, recurs=10**9).collect()}
+    wrong, still = ({i for i in right if x[i] != right[i]} for x in (uncounted, counted))
+    assert still < wrong
+
+
+@pytest.mark.parametrize("page", ["<div>t" * 120_000, '<a "' * 250_000, '<a "' * 250_000 + ">", "<a '\">" * 150_000, "<b>" * 200_000 + "<p>x" * 100_000, "</i>" * 250_000, "<!--" * 250_000, "<" * 1_000_000, "<li>" * 250_000, "<p>a</b>" * 120_000, "<a href=" + "x" * 1_000_000])
+def test_time_is_linear(page):
+    start = time.process_time()
+    html.weighed(page)
+    assert time.process_time() - start < 8
+
+
+def test_a_deep_page(spark):
+    rows = [(i, f"http://h.org/{i}", "<div>a" * 20_000 + f"<div>own {i}") for i in range(html.RECURS)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text.count("\n") for r in got} == {i: 20_000 for i in range(html.RECURS)}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://h.org/1", "<p>x</p>", "T", 5, "k", "K", 1)], "page_id long, Url string, html string, Text string, N_chars int, k string, K string, _row int")
+    got = html.extract(df)
+    assert got.columns == ["page_id", "url", "k", "_row", "text", "n_chars"] and tuple(got.first()) == (1, "http://h.org/1", "k", 1, "x", 1)
+    assert html.extract(df.select("html", F.lit("u").alias("url"))).columns == ["url", "text", "n_chars"]
+
+
 def test_near_copies_are_no_template(spark):
     copies = [(i, f"http://h.org/{i}", f"<body><div>Beside {i}</div><article><h1>Title</h1><p>A paragraph of a near copy</p><p>Own {i}</p></article></body>") for i in range(2 * html.RECURS)]
     same = [(100 + i, f"http://s.org/{i}", f"<body><div>Beside {i}</div><article><h1>Title</h1><p>A paragraph of a copy</p></article></body>") for i in range(2 * html.RECURS)]
@@ -100,7 +177,10 @@ def test_near_copies_are_no_template(spark):
     ("page", "want"),
     [
         ("<div id=page class='layout has-sidebar'><article><p>a <b>b</b></p></article><div class=sidebar>s</div></div>", "a b"),
-        ("<article class='post comments-open'>own text<div class=comments>c</div></article>", "own text"),
+        ("<article class='post comments-open'>own text<div class=comments>c</div></article>", "own text\nc"),
+        ("<article><h1>T</h1><section class='related work'>a</section><p id=social>b</p><span class=ad>c</span></article>", "T\na\nb\nc"),
+        ("<article>own text<article>a reader</article><article>b</article></article>", "own text"),
+        ("<article>x<article>more text than that</article></article>", "x\nmore text than that"),
         ("<div class='content-widget'><h1>T</h1>most of the text</div><div class='related'>r</div>", "T\nmost of the text"),
         ("<section class='related-work'><main>t</main></section>", "t"),
         ("<body class=skip><div class='header alert-level'><p>most <i>of</i> it</p></div><p>t</p>", "most of it\nt"),
