@@ -8,7 +8,6 @@ mean weighted by length, put on the scale of the labels by one logistic step.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, wider
-from tessera.llm.sampling import fold, sampled_ids
+from tessera.llm.common import apart, fields, table, tidy, wider
+from tessera.llm.sampling import bounded_texts, fold, sampled_ids
 
 #: The fit sees about PER_CLASS documents of each label, and FIT_CHARS characters of
 #: text at most: the rest of the sample, in hash order, is left out of the fit alone.
 PER_CLASS, FIT_CHARS, ACCEPT = 1500, 10_000_000, 0.3
-#: Characters whose features are made at a time (a longer text is made alone).
-_AT_ONCE = 1_000_000
+#: Characters whose features are made at a time, and lines of a chain that is walked line by
+#: line; a text of more is scored in pieces.
+_AT_ONCE, _LINES = 250_000, 4000
 
 _CLASSES = ("blank", "letter", "upper", "digit", "symbol", "stop", "comma", "shout", "bar", "accent")
 _BLANK, _LETTER, _UPPER, _DIGIT, _SYMBOL, _STOP, _COMMA, _SHOUT, _BAR, _ACCENT = (1 << k for k in range(10))
@@ -54,30 +54,50 @@ _TABLE = _char_table()
 _OWN = 22
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features by line, lengths in characters without blanks, lines of each text).
+@dataclass
+class _Lines:
+    """What is counted of lines: by class of characters, points, words, and words equal to one
+    of the two before; a hash of the words; and the classes of the first and last character of words."""
 
-    Every text has at least one line.
+    counts: np.ndarray
+    hashed: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+    def put_behind(self, other: _Lines) -> _Lines:
+        """Both, where the first line of other goes on the last line of these."""
+        had, has = self.counts[-1, _WORDS] > 0, other.counts[0, _WORDS] > 0
+        self.counts[-1] += other.counts[0]
+        self.hashed[-1] += other.hashed[0]
+        if has:
+            self.last[-1] = other.last[0]
+            self.first[-1] = self.first[-1] if had else other.first[0]
+        return _Lines(*(np.concatenate([getattr(self, f), getattr(other, f)[1:]]) for f in ("counts", "hashed", "first", "last")))
+
+
+#: Columns of _Lines.counts behind those of the classes.
+_POINTS, _WORDS, _REPEATED = len(_CLASSES), len(_CLASSES) + 1, len(_CLASSES) + 2
+
+
+def _counted(joined: str, fresh: np.ndarray, before: np.ndarray, at_word: int) -> tuple[_Lines, np.ndarray]:
+    """The lines of a string, and its last two words.
+
+    fresh: where texts start in it; before: the (up to two) words before it, and at_word: how
+    many words the line that it goes on has already.
     """
-    joined = "\n".join(texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds = np.full(len(points), _LETTER, np.uint16)
     low = points < 0x600
     kinds[low] = _TABLE[points[low]]
     ends = np.append(np.flatnonzero(points == 10), len(points))
     starts = np.concatenate([[0], ends[:-1] + 1])
-    lines = np.array([t.count("\n") + 1 for t in texts], np.int64)
-    doc = np.repeat(np.arange(len(texts)), lines)
 
     def per_line(flags: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-        return (total[ends] - total[starts]).astype(np.float64)
+        return total[ends] - total[starts]
 
-    n = {name: per_line((kinds >> k) & 1) for k, name in enumerate(_CLASSES)}
-    chars = per_line(np.ones(len(points), np.uint8)) - n["blank"]
     blank = (kinds & _BLANK) > 0
     word_start = ~blank & np.concatenate([[True], blank[:-1]])
-    words = per_line(word_start)
     # words by a polynomial hash, from running sums (arithmetic modulo 2**64)
     at = np.flatnonzero(word_start)
     upto = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
@@ -88,12 +108,17 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     turn = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * step, dtype=np.uint64)])
     plain = total[upto] - total[at]
     word = plain * np.uint64(0x94D049BB133111EB) + (turn[upto] - turn[at]) - at.astype(np.uint64) * plain
+    every = np.concatenate([before, word])
+    new = np.searchsorted(at, fresh) + len(before)  # the first word of each text, among every
 
     def same_as(k: int) -> np.ndarray:
-        hit = np.zeros(len(points), np.uint8)
-        if len(word) > k:
-            hit[at[k:][word[k:] == word[:-k]]] = 1
-        return per_line(hit)
+        hit = np.zeros(len(every), bool)
+        hit[k:] = every[k:] == every[:-k]
+        for j in range(k):
+            hit[(new + j)[new + j < len(hit)]] = False
+        flags = np.zeros(len(points), np.uint8)
+        flags[at[hit[len(before) :]]] = 1
+        return per_line(flags)
 
     last = np.zeros(len(starts), np.uint16)
     if len(upto):
@@ -110,18 +135,47 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         owner = np.searchsorted(starts, at, "right") - 1
         base = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
         index = np.arange(len(at), dtype=np.uint64) - np.repeat(base, np.diff(np.append(base, len(at)))).astype(np.uint64)
+        index[owner == 0] += np.uint64(at_word)
         weight = word * (index * np.uint64(2) + np.uint64(1)) + (word >> np.uint64(17)) * index
         line[owner[base]] = np.add.reduceat(weight, base)
-    order = np.lexsort((line, doc))
-    again = np.zeros(len(line), bool)
-    again[order[1:]] = (line[order[1:]] == line[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-
+    counts = [*(per_line((kinds >> k) & 1) for k in range(len(_CLASSES))), ends - starts, per_line(word_start), same_as(1) + same_as(2)]
+    return _Lines(np.column_stack(counts).astype(np.uint32), line, first, last), every[-2:]
+
+
+def _long_text(text: str) -> _Lines:
+    """The lines of one text, counted in pieces that end between words where they can."""
+    out, before, at = None, np.zeros(0, np.uint64), 0
+    while True:
+        to = min(len(text), at + _AT_ONCE)
+        if to < len(text):
+            cut = max(text.rfind(" ", at, to), text.rfind("\n", at, to)) + 1
+            to = cut if cut > at else to
+        words = int(out.counts[-1, _WORDS]) if out else 0
+        part, before = _counted(text[at:to], np.zeros(0 if out else 1, np.int64), before, words)
+        out = out.put_behind(part) if out else part
+        at = to
+        if at >= len(text):
+            return out
+
+
+def _repeated(hashed: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a line is equal to one before it in its text."""
+    order = np.lexsort((hashed, doc))
+    out = np.zeros(len(hashed), bool)
+    out[order[1:]] = (hashed[order[1:]] == hashed[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    return out
+
+
+def _own(lines: _Lines, again: np.ndarray) -> np.ndarray:
+    """Features of lines by themselves."""
+    n = {name: lines.counts[:, k].astype(np.float64) for k, name in enumerate((*_CLASSES, "points", "words", "repeated"))}
+    chars, words = n["points"] - n["blank"], n["words"]
     c, w = np.maximum(chars, 1), np.maximum(words, 1)
     share = lambda x, y: np.minimum(x / y, 1.0)
     over = lambda x, limit: (x > limit).astype(np.float64)
-    repeated = share(same_as(1) + same_as(2), w)
+    repeated = share(n["repeated"], w)
     symbols, upper, bars, shouts = share(n["symbol"], c), share(n["upper"], np.maximum(n["letter"], 1)), share(n["bar"], w), share(n["shout"], w)
-    own = np.column_stack(
+    return np.column_stack(
         [
             (chars == 0).astype(np.float64),
             np.minimum(np.log1p(words) / 5, 2.0),
@@ -141,17 +195,33 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             over(repeated, 0.15),
             share(n["comma"] + n["stop"], w),
             np.minimum(chars / w / 10, 3.0),
-            ((last & (_STOP | _SHOUT)) > 0).astype(np.float64),
-            ((first & _UPPER) > 0).astype(np.float64),
+            ((lines.last & (_STOP | _SHOUT)) > 0).astype(np.float64),
+            ((lines.first & _UPPER) > 0).astype(np.float64),
             again.astype(np.float64),
             share(n["accent"], c),
         ]
     )
+
+
+def _visible(lines: _Lines) -> np.ndarray:
+    return (lines.counts[:, _POINTS] - lines.counts[:, 0]).astype(np.float64)
+
+
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features by line, lengths in characters without blanks, lines of each text).
+
+    Every text has at least one line.
+    """
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    got, _ = _counted("\n".join(texts), np.cumsum(sizes + 1) - sizes - 1, np.zeros(0, np.uint64), 0)
+    lines = np.array([t.count("\n") + 1 for t in texts], np.int64)
+    doc = np.repeat(np.arange(len(texts)), lines)
+    own = _own(got, _repeated(got.hashed, doc))
     inner = np.concatenate([[False], doc[1:] == doc[:-1]])[:, None]
     before = np.vstack([np.zeros((1, _OWN)), own[:-1]]) * inner
     after = np.vstack([own[1:], np.zeros((1, _OWN))]) * np.vstack([inner[1:], [[False]]])
     edge = np.column_stack([~inner[:, 0], np.append(~inner[1:, 0], True), np.ones(len(own))])
-    return np.hstack([own, before, after, edge]), chars, lines
+    return np.hstack([own, before, after, edge]), _visible(got), lines
 
 
 def _batches(texts: list[str]) -> Iterator[list[str]]:
@@ -216,6 +286,61 @@ def marginals(odds: np.ndarray, couple: np.ndarray, lines: np.ndarray) -> tuple[
     return good, pairs, partition
 
 
+def long_marginals(odds: np.ndarray, couple: np.ndarray) -> np.ndarray:
+    """P(good) by line of one long chain: forward-backward in blocks that take their steps
+    together, about the square root of its lines; first the products of each block's steps,
+    then what enters each block, then the messages inside."""
+    size = max(1, int(len(odds) ** 0.5))
+    n = -(-len(odds) // size)
+    node = np.zeros((n * size, 2))
+    node[: len(odds), 1] = odds
+    x = np.exp(node - node.max(1, keepdims=True)).reshape(n, size, 2)
+    real = (np.arange(n * size) < len(odds)).reshape(n, size)
+    e = np.exp(couple)
+
+    def messages(steps: list[int], forward: bool) -> np.ndarray:
+        """The normalised message that enters each line, in the order of steps; into the first, (1, 1)."""
+        m = e if forward else e.T
+        through = np.broadcast_to(np.eye(2), (n, 2, 2))
+        for t in steps:
+            new = (through * x[:, None, t]) @ m
+            through = np.where(real[:, t, None, None], new / new.max((1, 2), keepdims=True), through)
+        into = np.ones((n, 2))
+        blocks = range(n) if forward else range(n - 1, -1, -1)
+        now = np.ones(2)
+        for k in blocks:
+            into[k] = now
+            now = now @ through[k]
+            now = now / now.sum()
+        out = np.empty((n, size, 2))
+        for t in steps:
+            out[:, t] = into
+            new = (into * x[:, t]) @ m
+            into = np.where(real[:, t, None], new / new.sum(1, keepdims=True), into)
+        return out
+
+    both = messages(list(range(size)), True) * messages(list(range(size - 1, -1, -1)), False) * x
+    return (both[..., 1] / np.maximum(both.sum(2), 1e-300)).ravel()[: len(odds)]
+
+
+def _long_score(text: str, model: Model) -> tuple[float, int]:
+    """(length-weighted mean marginal, bad lines) of one text, its features made some lines at a time."""
+    lines = _long_text(text)
+    again, n = _repeated(lines.hashed, np.zeros(len(lines.hashed), np.int8)), len(lines.hashed)
+    odds = np.empty(n)
+    for k in range(0, n, _LINES):
+        lo, hi = max(0, k - 1), min(n, k + _LINES + 1)
+        own = _own(_Lines(*(getattr(lines, f)[lo:hi] for f in ("counts", "hashed", "first", "last"))), again[lo:hi])
+        at = np.arange(k, min(n, k + _LINES)) - lo
+        pad = np.vstack([own, np.zeros((1, _OWN))])
+        edge = np.column_stack([at + lo == 0, at + lo == n - 1, np.ones(len(at))])
+        odds[at + lo] = np.hstack([own[at], np.where((at + lo > 0)[:, None], pad[at - 1], 0), np.where((at + lo < n - 1)[:, None], pad[at + 1], 0), edge]) @ model.weights
+    good, chars = long_marginals(odds, model.couple), _visible(lines)
+    if not chars.sum():
+        return -1.0, 0
+    return float((good * chars).sum() / chars.sum()), int(((good < 0.5) & (chars > 0)).sum())
+
+
 def _mean(good: np.ndarray, chars: np.ndarray, lines: np.ndarray) -> np.ndarray:
     first = np.concatenate([[0], np.cumsum(lines)[:-1]])
     return np.add.reduceat(good * chars, first) / np.maximum(np.add.reduceat(chars, first), 1)
@@ -236,6 +361,7 @@ def fit(texts: list[str], labels: list[int], weights: list[float], rounds: int =
     if len(set(y.tolist())) < 2:
         return None
     x, chars, lines = (np.concatenate(c) for c in zip(*(line_features(t) for t in _batches([texts[k] for k in use])), strict=True))
+    x = x.astype(np.float32)
     doc_w = np.array([weights[k] for k in use])
     doc_w = doc_w / doc_w.sum()
     row_w, row_y = np.repeat(doc_w / lines, lines), np.repeat(y, lines)
@@ -243,8 +369,8 @@ def fit(texts: list[str], labels: list[int], weights: list[float], rounds: int =
     w, c = np.zeros(x.shape[1]), np.zeros((2, 2))
     m1, m2 = np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4)
     for k in range(1, rounds + 1):
-        good, pairs, _ = marginals(x @ w, c, lines)
-        gw = x.T @ (row_w * (good - row_y)) + penalty * w / 10
+        good, pairs, _ = marginals((x @ w.astype(np.float32)).astype(np.float64), c, lines)
+        gw = x.T @ (row_w * (good - row_y)).astype(np.float32) + penalty * w / 10
         expected = pairs
         expected[:, 0, 0] -= seen[:, 0]
         expected[:, 1, 1] -= seen[:, 1]
@@ -268,15 +394,24 @@ def fit(texts: list[str], labels: list[int], weights: list[float], rounds: int =
 def score_texts(texts: list[str | None], model: Model | None) -> tuple[np.ndarray, np.ndarray]:
     """(score, number of lines taken for bad) of each text; 0 for a text without a visible character."""
     out, bad = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    if model is None:
+        return out, bad
+    known = [t or "" for t in texts]
+    long = [len(t) > _AT_ONCE or t.count("\n") >= _LINES for t in known]
+    mean = np.full(len(texts), -1.0)
+    for k in np.flatnonzero(long):
+        mean[k], bad[k] = _long_score(known[k], model)
+    short = np.flatnonzero(~np.array(long, bool))
     at = 0
-    for run in _batches([t or "" for t in texts]) if model else ():
+    for run in _batches([known[k] for k in short]):
         x, chars, lines = line_features(run)
         good, _, _ = marginals(x @ model.weights, model.couple, lines)
-        first = np.concatenate([[0], np.cumsum(lines)[:-1]])
-        p = 1 / (1 + np.exp(-(model.gain * _logit(_mean(good, chars, lines)) + model.shift)))
-        out[at : at + len(run)] = np.where(np.add.reduceat(chars, first) > 0, p, 0.0)
-        bad[at : at + len(run)] = np.add.reduceat((good < 0.5) & (chars > 0), first)
+        first, these = np.concatenate([[0], np.cumsum(lines)[:-1]]), short[at : at + len(run)]
+        mean[these] = np.where(np.add.reduceat(chars, first) > 0, _mean(good, chars, lines), -1)
+        bad[these] = np.add.reduceat((good < 0.5) & (chars > 0), first)
         at += len(run)
+    ok = mean >= 0
+    out[ok] = 1 / (1 + np.exp(-(model.gain * _logit(mean[ok]) + model.shift)))
     return out, bad
 
 
@@ -284,10 +419,14 @@ def classify(docs: DataFrame, model: Model | None, text_col: str = "text", accep
     """docs (without text_col) with score, predicted and n_bad_lines.
 
     A null or blank text, and every text without a model, has score 0.  Whole texts
-    are read, about a million characters of features at a time.
+    are read; one of more than 250,000 characters, or 4000 lines, is counted in pieces and its
+    features are made some lines at a time, so it costs a few bytes a character.  A text's
+    score doesn't depend on other rows; repeated rows stay.  Columns named like those that are
+    made, whatever their case, give way.  No rows give no rows.
     """
-    keep = [c for c in docs.columns if c not in (text_col, "score", "predicted", "n_bad_lines")]
-    given = docs.select(*keep, text_col)
+    docs = tidy(docs, (text_col,), ("score", "predicted", "n_bad_lines"))
+    keep = [c for c in docs.columns if c != text_col]
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,22 +441,17 @@ def classify(docs: DataFrame, model: Model | None, text_col: str = "text", accep
     return given.mapInArrow(run, wider(given.drop(text_col).schema, "score double, predicted int, n_bad_lines long"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, chars: int = FIT_CHARS) -> Model | None:
     """A model of the texts and labels.quality of documents that are not held out.
 
-    The sampled ids are bounded, so they are broadcast; documents are only read.
+    The sampled ids are bounded, so they are broadcast; documents are only read, and at most
+    `chars` characters of them come to the driver.  None without both labels.
     """
+    docs, labels = tidy(docs, ("doc_id", "text")), tidy(labels, ("doc_id", "quality"))
     labelled = labels.where(fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
     ids, counts = sampled_ids(labelled.where("label IN (0, 1)"), per_class, 2)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text IS NOT NULL")
-    got = rows.select("doc_id", "text", "label").collect()
-    got.sort(key=lambda r: zlib.crc32(str(r.doc_id).encode()))
-    taken, size = [], 0
-    for r in got:
-        size += len(r.text)
-        if size > FIT_CHARS:
-            break
-        taken.append(r)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id").where("text IS NOT NULL")
+    taken = bounded_texts(rows, chars, _AT_ONCE)
     have = {y: sum(r.label == y for r in taken) for y in (0, 1)}
     return fit([r.text for r in taken], [r.label for r in taken], [counts.get(r.label, 0) / max(1, have[r.label]) for r in taken])
 
@@ -331,7 +465,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs that the model accepts, with the columns of docs; all rows without a model."""
+    """The rows of docs that the model accepts, with the columns of docs.
+
+    Without a model (no labels of both kinds) nothing is known against any row: all stay,
+    though classify() gives them no score.  Of columns that differ in case only, the first stays.
+    """
     if model is None:
         return docs
-    return classify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model).where("predicted = 1").select("row.*")
+    given, names = apart(docs, ("text",), whole=True)
+    return classify(given.withColumnRenamed("_row", "row"), model).where("predicted = 1").select(*fields(names, "row"))

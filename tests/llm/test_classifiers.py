@@ -45,6 +45,59 @@ def test_batches_do_not_change_scores(monkeypatch):
     assert np.allclose(one, two) and one[2] == one[3] == 0.0
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    """op1: a text counted in pieces has the lines, and the score, that it has as a whole."""
+    rng = np.random.default_rng(3)
+    words = ["Good", "bad!", "a", "a", "é,", "#tag", "1234", "line.", "\n", "\n\n", "|", "UPPER"]
+    texts = [" ".join(rng.choice(words, size=rng.integers(1, 400))) for _ in range(40)] + ["x" * 300, "\n" * 100, " ", "a\n" * 200]
+    model = crf.fit(texts, [k % 2 for k in range(len(texts))], [1.0] * len(texts), rounds=30)
+    whole, bad = crf.score_texts(texts, model)
+    monkeypatch.setattr(crf, "_AT_ONCE", 37)
+    monkeypatch.setattr(crf, "_LINES", 5)
+    for t in texts:
+        one, cut = crf._counted(t, np.zeros(1, np.int64), np.zeros(0, np.uint64), 0)[0], crf._long_text(t)
+        if len(max(t.split(), key=len, default="")) < 37:
+            assert (one.counts == cut.counts).all() and (one.hashed == cut.hashed).all() and (one.first == cut.first).all() and (one.last == cut.last).all()
+    pieces, also_bad = crf.score_texts(texts[:40], model)
+    assert np.allclose(whole[:40], pieces) and (bad[:40] == also_bad).all()
+
+
+def test_long_marginals():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 10, 101, 1000):
+        odds, couple = rng.normal(size=n) * 3, rng.normal(size=(2, 2))
+        assert np.allclose(crf.long_marginals(odds, couple), crf.marginals(odds, couple, np.array([n]))[0])
+
+
+def test_very_long_texts():
+    """op1: 20 MB in lines, and in one, take bounded time and memory."""
+    import resource
+    import time
+
+    model = crf.fit(["Good text is here.\nIt has lines."] * 4 + ["bad bad bad bad bad"] * 4, [1] * 4 + [0] * 4, [1.0] * 8, rounds=30)
+    before, start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    score, bad = crf.score_texts(["Good text is here with a line.\n" * 650_000, "word " * 4_000_000, "x" * 20_000_000], model)
+    assert time.process_time() - start < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_200_000
+    assert ((score >= 0) & (score <= 1)).all()
+
+
+def test_scores_do_not_depend_on_other_rows():
+    model = crf.fit(["Good text is here.\nIt has lines."] * 4 + ["bad bad bad bad bad"] * 4, [1] * 4 + [0] * 4, [1.0] * 8, rounds=30)
+    alone, _ = crf.score_texts(["bad one", "bad two"], model)
+    assert alone[1] == crf.score_texts(["bad two"], model)[0][0] and crf.line_features(["a a", "a b"])[0][1, 14] == 0
+
+
+def test_quality_odd_rows(spark):
+    """op1: repeated rows, null ids, clashing names; the fit's bound holds before texts are collected."""
+    docs = spark.createDataFrame([(1, "good words here.", "T", 1), (1, "good words here.", "U", 2), (None, "x", "V", 3), (2, None, "W", 4)], "Doc_ID long, text string, TEXT string, Score int")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (3, 0), (None, 1)], "doc_id long, Quality int")
+    assert crf.classify(docs, None).columns == ["Doc_ID", "score", "predicted", "n_bad_lines"]
+    assert crf.learn(docs, labels) is not None and crf.learn(docs, labels, chars=5) is None
+    model = crf.fit(["good words here."] * 3 + ["x"] * 3, [1] * 3 + [0] * 3, [1.0] * 6)
+    assert crf.keep_good(docs, model).columns == ["Doc_ID", "text", "Score"] and crf.keep_good(docs, model).count() == 2
+    assert crf.classify(docs.limit(0), model).count() == 0
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = crf.op1_quality_classifier(spark, sf).toPandas()
