@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, wider
-from tessera.llm.sampling import fold, sampled_ids
+from tessera.llm.common import table, tidy, wider
+from tessera.llm.sampling import bounded_texts, fold, sampled_ids
 
 #: Languages by family (ISO 639-1); a language that is not here is a family of its own.
 FAMILIES = {
@@ -36,12 +36,14 @@ FAMILIES = {
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-#: The fit sees about PER_LANGUAGE documents of each of the LANGUAGES most frequent
-#: labels, and the N_GRAMS n-grams of 1 to 3 characters that most of them have.
-PER_LANGUAGE, LANGUAGES, N_GRAMS = 600, 64, 2000
+#: The fit sees about PER_LANGUAGE documents of each label, ROWS and FIT_CHARS characters at
+#: most in all (the more labels, the fewer of each), and the N_GRAMS n-grams of 1 to 3
+#: characters that most of them have.  Texts of over LONGEST characters teach nothing.
+PER_LANGUAGE, ROWS, FIT_CHARS, LONGEST, N_GRAMS = 600, 6000, 10_000_000, 250_000, 2000
 _WORD = re.compile(r"[^\W\d_]+")
-#: Words that a worker remembers, numbers in its table of them, and the longest word that recurs.
-_REMEMBERED, _CELLS, _LONGEST = 500_000, 4_000_000, 40
+#: Words that a worker remembers, numbers in its table of them, the longest word that recurs,
+#: and letters of a longer one that are looked at together.
+_REMEMBERED, _CELLS, _LONGEST, _PIECE = 500_000, 4_000_000, 40, 20_000
 
 
 def grams(word: str) -> list[str]:
@@ -112,7 +114,10 @@ class Model:
 
 
 def fit(rows: list[tuple[str, str]], n_grams: int = N_GRAMS) -> Model | None:
-    """rows: (text, lang).  Short stretches of the texts are added, so that short texts are learnt too."""
+    """rows: (text, lang).  Short stretches of the texts are added, so that short texts are learnt too.
+
+    The matrix has three rows for a text and n_grams columns, in single precision.
+    """
     examples: list[tuple[list[str], str]] = []
     for text, lang in rows:
         words = _WORD.findall((text or "").lower())
@@ -179,6 +184,9 @@ class Scorer:
             self._at.clear()
             self._long = 0
         get, out = self._at.get, np.zeros(self._table.shape[1])
+        if any(len(w) > _PIECE for w in words):
+            out += sum(self._piecewise(w) for w in words if len(w) > _PIECE)
+            words = [w for w in words if len(w) <= _PIECE]
         for k in range(0, len(words), 200_000):
             part = words[k : k + 200_000]
             if new := list(dict.fromkeys(w for w in part if w not in self._at)):
@@ -186,8 +194,30 @@ class Scorer:
             out += self._table[list(map(get, part))].sum(0)
         return out
 
+    def _piecewise(self, word: str) -> np.ndarray:
+        """The sums of one very long word, its n-grams made some at a time."""
+        w, get, out = f" {word} ", self.model.gram.get, np.zeros(self._table.shape[1])
+        for k in range(0, len(w), _PIECE):
+            part = w[k : k + _PIECE + 2]
+            n = min(_PIECE, len(w) - k)  # n-grams that start here
+            found = [*part[:n], *(part[i : i + 2] for i in range(min(n, len(part) - 1))), *(part[i : i + 3] for i in range(min(n, len(part) - 2)))]
+            out[:-1] += self._weights[np.fromiter((get(g, -1) for g in found if g != " "), np.int64)].sum(0)
+            out[-1] += len(found) - found.count(" ")
+        return out
+
+    def _text(self, text: str) -> np.ndarray:
+        """The sums of a whole text, its words found some at a time."""
+        if len(text) <= LONGEST:
+            return self.sums(_WORD.findall(text.lower()))
+        out, run = np.zeros(self._table.shape[1]), []
+        for m in _WORD.finditer(text.lower()):
+            run.append(m[0])
+            if len(run) == 50_000:
+                out, run = out + self.sums(run), []
+        return out + self.sums(run)
+
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        sums = np.array([self.sums(_WORD.findall((t or "").lower())) for t in texts]).reshape(len(texts), -1)
+        sums = np.array([self._text(t or "") for t in texts]).reshape(len(texts), -1)
         n = sums[:, -1]
         langs, score = self.model.decide(sums[:, :-1] / np.maximum(n, 1)[:, None] + self.model.bias)
         ok = np.array([k > 0 and any(map(str.isalpha, t)) for k, t in zip(n, texts, strict=True)], bool)
@@ -197,10 +227,14 @@ class Scorer:
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs (without text_col) with lang_pred and score.
 
-    "und" and 0 for a null text, a text without letters, or without a model.
+    "und" and 0 for a null text, a text without letters, or without a model.  Whole texts are
+    read, the words of a very long one some at a time.  A row's result depends on no other
+    row; repeated rows stay.  Columns named like those that are made, whatever their case, give
+    way.  No rows give no rows.
     """
-    keep = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
-    given = docs.select(*keep, text_col)
+    docs = tidy(docs, (text_col,), ("lang_pred", "score"))
+    keep = [c for c in docs.columns if c != text_col]
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model else None
@@ -215,10 +249,17 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     return given.mapInArrow(run, wider(given.drop(text_col).schema, "lang_pred string, score double"))
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
-    """A model of docs' text and lang; rows without either teach nothing."""
-    ids, _ = sampled_ids(docs.where("text IS NOT NULL").withColumnRenamed("lang", "label"), per_language, languages)
-    return fit([(r.text, r.label) for r in ids.select("text", "label").collect()])
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS, chars: int = FIT_CHARS) -> Model | None:
+    """A model of docs' text and lang; rows without either teach nothing.
+
+    Every label is learnt, from at least one expected document; the number of machines grows
+    with the square of the families, and of the languages in each.
+    """
+    docs = tidy(docs, ("doc_id", "text", "lang"))
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", F.col("lang").alias("label"))
+    labels = known.select("label").distinct().count()
+    ids, _ = sampled_ids(known, max(1, min(per_language, rows // max(labels, 1))), labels)
+    return fit([(r.text, r.label) for r in bounded_texts(ids.select("doc_id", "text", "label"), chars, LONGEST)])
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,3 +143,23 @@ def test_remembered_words_do_not_change_scores(monkeypatch):
     monkeypatch.setattr(language, "_REMEMBERED", 2)
     again, two = language.Scorer(m)(texts)
     assert langs == again and np.allclose(one, two)
+
+
+def test_language_bounds_and_names(spark):
+    """op9: the fit's bounds, languages beyond any number, a very long text, clashing names, repeated rows."""
+    rows = [(k, f"{chr(97 + k % 20) * 3} {chr(98 + k % 20) * 4} text", f"l{k % 20}", "T") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, TEXT string")
+    m = language.learn(docs, rows=200)
+    assert sum(map(len, m.members.values())) == 20
+    assert language.learn(docs, chars=10) is None and language.learn(docs.limit(0)) is None
+    long = ["aaa bbbb text " * 1_500_000, "x" * 20_000_000, None]
+    langs, score = language.Scorer(m)(long)
+    assert langs[0] == "l0" and langs[2] == "und" and score.shape == (3,)
+    w = "".join(np.random.default_rng(1).choice(list("abcdé"), 50_001))
+    whole = language.Scorer(m)
+    whole._add([w])
+    assert np.allclose(language.Scorer(m)._piecewise(w), whole._table[0])
+    assert np.allclose(language.Scorer(m)._text("aaa bbbb text " * 100_000), language.Scorer(m).sums(["aaa", "bbbb", "text"]) * 100_000)
+    given = spark.createDataFrame([(1, "aaa bbbb", 5, "x"), (1, "aaa bbbb", 5, "x"), (None, "", 6, "y")], "doc_id long, text string, SCORE int, Lang_Pred string")
+    got = language.identify(given, m)
+    assert got.columns == ["doc_id", "lang_pred", "score"] and [r.lang_pred for r in got.collect()] == ["l0", "l0", "und"]
