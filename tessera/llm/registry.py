@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": rules.ORACLE_OP2,
     "op3_line_dedup": line_dedup.ORACLE_OP3,
     "op5_embedding_near_dedup": embedding_dedup.ORACLE_OP5,
     "op6_mixing_sources": mixing.ORACLE_OP6,

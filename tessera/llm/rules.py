@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, table
+from tessera.llm.common import apart, durable, fields, table, tidy
 
 _BLANK = " \t\n\x0b\x0c\r"
 _BLANKS = r"[\x20\x09-\x0D]+"
@@ -25,15 +25,20 @@ WINDOW, ROUNDS = 5, 40
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+#: What features() counts.
+COUNTS = (*BASE, "n_lines", "n_ended_lines", "n_upper", "n_distinct_words")
+
+
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs (without text_col) and the counts of each whole text (long; a null text has
-    none).  Columns of docs that are named like these counts give way.
+    none).  Columns of docs that are named like these counts, whatever their case, give way.
 
     A text's repeated windows are found inside its own row: the window hashes are
-    an array, and only a text with a repeat sorts them.  So no words are shuffled.
+    an array, and only a text with a repeat sorts them.  So no words are shuffled, and a
+    very long text costs memory in proportion to its length.  Repeated rows stay.
     """
-    made = [*BASE, "n_lines", "n_ended_lines", "n_upper", "n_distinct_words", "_t", "_w", "_l", "_h", "_s", "_p"]
-    others = [c for c in docs.columns if c not in (text_col, *made)]
+    docs, names = apart(docs, (text_col,), COUNTS)
+    others = ["_row"]
     size = lambda c: F.size(c).cast("long")
     rest = lambda pattern: F.length(F.regexp_replace("_t", pattern, "")).cast("long")
     step = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).select(
@@ -54,11 +59,11 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         size(F.array_distinct("_w")).alias("n_distinct_words"),
         F.expr(f"CASE WHEN size(_w) < {WINDOW} THEN CAST(array() AS ARRAY<BIGINT>) ELSE transform(sequence(0, size(_w) - {WINDOW}), i -> xxhash64({', '.join(f'_w[i + {k}]' for k in range(WINDOW))})) END").alias("_h"),
     )
-    names = [*others, *BASE[:-1], "n_lines", "n_ended_lines", "n_upper", "n_distinct_words"]
-    step = step.select(*names, F.expr("CASE WHEN size(array_distinct(_h)) < size(_h) THEN sort_array(transform(_h, (h, i) -> named_struct('h', h, 'i', i))) END").alias("_s"))
-    step = step.select(*names, F.expr("sort_array(transform(filter(_s, (x, k) -> x.h = get(_s, k - 1).h OR x.h = get(_s, k + 1).h), x -> x.i))").alias("_p"))
+    given = [*others, *(c for c in COUNTS if c != "n_repeat_words")]
+    step = step.select(*given, F.expr("CASE WHEN size(array_distinct(_h)) < size(_h) THEN sort_array(transform(_h, (h, i) -> named_struct('h', h, 'i', i))) END").alias("_s"))
+    step = step.select(*given, F.expr("sort_array(transform(filter(_s, (x, k) -> x.h = get(_s, k - 1).h OR x.h = get(_s, k + 1).h), x -> x.i))").alias("_p"))
     covered = f"coalesce(aggregate(_p, named_struct('last', -{WINDOW}, 'n', 0), (a, p) -> named_struct('last', p, 'n', a.n + least({WINDOW}, p - a.last))).n, 0)"
-    return step.select(*names, F.expr(covered).cast("long").alias("n_repeat_words"))
+    return step.select(*fields(names), *given[1:], F.expr(covered).cast("long").alias("n_repeat_words"))
 
 
 @dataclass(frozen=True)
@@ -140,8 +145,10 @@ def judge(counted: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.
     """counted (of features(), written) with the votes, p_good and kept.
 
     kept: not base_failed, and p_good >= least.  A text without words fails the base.
-    No rows give no rows.
+    No rows give no rows.  Columns named like the votes, p_good, base_failed and kept, whatever
+    their case, give way.
     """
+    counted = tidy(counted, COUNTS, (*(f"vote_{r.name}" for r in rules), "p_good", "base_failed", "kept"))
     voted = counted.select("*", *votes(rules))
     names = [f"vote_{r.name}" for r in rules]
     m = fit([(tuple(r)[:-1], r[-1]) for r in voted.groupBy(*names).count().orderBy(*names).collect()])
@@ -159,3 +166,50 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the five counts, base_failed, kept and p_good of every document."""
     counted = durable(features(table(spark, sf_dir, "documents").select("doc_id", "text")), "rules")
     return judge(counted).select("doc_id", *BASE, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+
+
+def _oracle() -> str:
+    """Counts by windows and sets of rows; then expectation-maximisation as a recursion whose
+    row holds the prior and, by rule r and vote v, the rates g{r}_{v} and b{r}_{v}."""
+    ks, vs = range(len(RULES)), ((1, "p"), (-1, "m"), (0, "z"))
+    cells = [(r, v, n, side) for side in "gb" for r in ks for v, n in vs]
+    prior = lambda side, v: PRIOR_VOTES["gb".index(side)][(1, -1, 0).index(v)]
+    odds = "ln(prior / (1 - prior))" + "".join(f" + CASE v{r} WHEN 1 THEN ln(g{r}_p / b{r}_p) WHEN -1 THEN ln(g{r}_m / b{r}_m) ELSE ln(g{r}_z / b{r}_z) END" for r in ks)
+    mass = {"g": "p * n", "b": "(1 - p) * n"}
+    sums = ", ".join(f"sum(CASE WHEN v{r} = {v} THEN {mass[side]} ELSE 0 END) AS {side}{r}_{n}" for r, v, n, side in cells)
+    rates = ", ".join(f"({side}{r}_{n} + {PRIOR_SIZE} * {prior(side, v)}::DOUBLE) / ({'good' if side == 'g' else 'total - good'} + {PRIOR_SIZE}) AS {side}{r}_{n}" for r, v, n, side in cells)
+    start = ", ".join(f"{prior(side, v)}::DOUBLE AS {side}{r}_{n}" for r, v, n, side in cells)
+    votes = ", ".join(f"CASE WHEN {x.bad} THEN -1 WHEN {x.good} THEN 1 ELSE 0 END AS v{r}" for r, x in enumerate(RULES))
+    all_v = ", ".join(f"v{r}" for r in ks)
+    blank = r"[\x20\x09-\x0D]"
+    return f"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS nr FROM documents
+), w AS (
+  SELECT doc_id, nr, t, list_filter(regexp_split_to_array(t, '{blank}+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t
+), g AS (
+  SELECT nr, i, count(*) OVER (PARTITION BY nr, w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS times FROM (SELECT nr, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= {WINDOW})
+), p AS (
+  SELECT nr, count(DISTINCT i + k) AS n FROM g, range({WINDOW}) s(k) WHERE times > 1 GROUP BY nr
+), c AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '{blank}+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_filter(l, lambda x: regexp_matches(x, '[.!?"''»”)]{blank}*$'))) AS n_ended_lines, length(regexp_replace(t, '\\P{{Lu}}+', '', 'g')) AS n_upper, len(list_distinct(w)) AS n_distinct_words
+  FROM w LEFT JOIN p USING (nr)
+), v AS (
+  SELECT *, {votes} FROM c
+), q AS (
+  SELECT {all_v}, count(*)::DOUBLE AS n FROM v GROUP BY {all_v}
+), em AS (
+  SELECT 0 AS k, {PRIOR_GOOD}::DOUBLE AS prior, {start}
+  UNION ALL
+  SELECT k + 1, (good + {PRIOR_SIZE} * {PRIOR_GOOD}::DOUBLE) / (total + {PRIOR_SIZE}), {rates}
+  FROM (SELECT k, sum(n) AS total, sum(p * n) AS good, {sums} FROM (SELECT *, 1 / (1 + exp(-greatest(-500, least(500, {odds})))) AS p FROM em CROSS JOIN q WHERE k < {ROUNDS}) GROUP BY k)
+), j AS (
+  SELECT v.*, round(1 / (1 + exp(-({odds}))), 6) AS p_good FROM v CROSS JOIN (SELECT * FROM em WHERE k = {ROUNDS})
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p_good >= 0.5 AS kept, p_good
+FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j)
+"""
+
+
+ORACLE_OP2 = _oracle()

@@ -62,5 +62,29 @@ def test_nothing(spark):
 
 
 def test_clashing_columns(spark):
-    df = spark.createDataFrame([(1, "a b", 9, "w")], "doc_id long, text string, n_words int, _w string")
-    assert rules.features(df).first().n_words == 2
+    df = spark.createDataFrame([(1, "a b", "T", 9, "w", 3, 4)], "doc_id long, text string, Text string, N_Words int, _w string, vote_length int, Kept int")
+    assert rules.features(df).first().n_words == 2 and rules.features(df).columns[:4] == ["doc_id", "_w", "vote_length", "Kept"]
+    got = rules.judge(rules.features(df))
+    assert got.columns.count("vote_length") == 1 and "Kept" not in got.columns and got.first()["_w"] == "w" and got.first().kept is False
+
+
+def test_very_long_text(spark):
+    """op2: 20 MB in one text, and repeated rows."""
+    text = " ".join(f"w{i % 100_000}" for i in range(3_000_000))
+    got = spark.createDataFrame([(1, "a b c"), (1, "a b c")], "doc_id long, text string").unionByName(spark.sql("SELECT 2L AS doc_id, concat_ws(' ', transform(sequence(0, 2999999), i -> concat('w', i % 100000))) AS text"))
+    rows = rules.features(got).collect()
+    assert sorted(r.n_words for r in rows) == [3, 3, 3_000_000] and max(r.n_repeat_words for r in rows) == 3_000_000 and max(r.word_chars for r in rows) == len(text.replace(" ", ""))
+
+
+def test_query_equals_oracle(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = c.execute(rules.ORACLE_OP2)
+    names = [x[0] for x in want.description]
+    got = rules.op2_quality_rules(spark, sf)
+    assert got.columns == names
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
