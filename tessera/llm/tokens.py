@@ -18,8 +18,9 @@ from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tessera.llm.common import wider
+from tessera.llm.common import tidy, wider
 
 #: Chunks and words that a worker remembers, and the longest of them, in characters.
 REMEMBERED, LONGEST = 300_000, 40
@@ -109,9 +110,14 @@ def tokenizer(path: str) -> ChunkTokenizer:
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
-    """docs with text_col replaced by n_tokens (long; a null text has 0)."""
+    """docs with text_col replaced by n_tokens (long; a null or empty text has 0).
+
+    Whole texts are encoded, one at a time.  Repeated rows stay; no rows give no rows.  A
+    column n_tokens of docs, whatever its case, gives way.
+    """
     path = path or default_path()
-    keep = [c for c in docs.columns if c not in (text_col, "n_tokens")]
+    docs = tidy(docs, (text_col,), ("n_tokens",))
+    keep = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode
@@ -119,5 +125,5 @@ def count_tokens(docs: DataFrame, path: str | None = None, text_col: str = "text
             n = [len(encode(t.as_py() or "")) // 4 for t in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], [*keep, "n_tokens"])
 
-    given = docs.select(*keep, text_col)
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], text_col)
     return given.mapInArrow(run, wider(given.drop(text_col).schema, "n_tokens long"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -27,7 +28,45 @@ def test_batches(spark, tmp_path):
     assert r.commit("c", frame([("s", "en", "1", "insert", 1, None, "t")]).limit(0)) and r.commit("d", frame([("s", "en", "1", "insert", 1, None, "t")]))
     r.compact()
     assert totals(r)[("s", "en", "1")] == (2, 5)
-    assert token_counts.TokenRollup(spark, f"file://{tmp_path}/r").committed() == {"a", "b", "c", "d"}
+    again = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
+    assert all(again.committed(b) for b in "abcd") and not again.committed("e")
+    r.compact()
+    assert all(again.committed(b) for b in "abcd") and not r.commit("a", load) and totals(r)[("s", "en", "1")] == (2, 5)
+
+
+def test_frames_outlive_a_compaction(spark, tmp_path):
+    """op4: totals that were asked for before a compaction can be read after it."""
+    r = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
+    one = spark.createDataFrame([("s", "en", "1", "insert", 5, None, "t")], SCHEMA)
+    for b in ("a", "b"):
+        r.commit(b, one)
+        before = r.totals()
+        r.compact()
+        assert [x.n_tokens for x in before.collect()] == [x.n_tokens for x in r.totals().collect()]
+    with pytest.raises(ValueError):
+        r.commit("../x", one)
+    with pytest.raises(ValueError):
+        r.commit(None, one)
+
+
+def test_a_died_compaction_counts_once(spark, tmp_path):
+    r = token_counts.TokenRollup(spark, f"file://{tmp_path}/r")
+    r.commit("a", spark.createDataFrame([("s", "en", "1", "insert", 5, None, "t")], SCHEMA))
+    (tmp_path / "r" / "pending" / "died" / "totals").mkdir(parents=True)
+    r.compact()  # the delta is still there, and the base has it
+    assert (tmp_path / "r" / "deltas" / "a").exists() and totals(r) == {("s", "en", "1"): (1, 5)}
+
+
+def test_clashing_names(spark, tmp_path):
+    df = spark.createDataFrame([("s", "en", "1", "insert", 5, None, "x", "y")], "Source string, lang string, tokenizer_version string, op string, n_tokens long, old_tokens long, OP string, LANG string")
+    assert [tuple(r) for r in token_counts.signed(df).collect()] == [("s", "en", "1", 1, 5)]
+    more = spark.createDataFrame([(1, "a b", "T", 9)], "k int, text string, Text string, N_Tokens int")
+    assert tokens.count_tokens(more).columns == ["k", "n_tokens"]
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([("a b " * 5_000_000,), ("x" * 1_000_000,)], "text string")
+    assert sorted(r.n_tokens for r in tokens.count_tokens(df).collect())[-1] == 10_000_000
 
 
 def test_query(spark, sf):
