@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, table, wider
+from tessera.llm.common import durable, table, tidy, wider
 from tessera.llm.tokens import default_path, tokenizer
 
 CAPACITY, END = 4096, 1
@@ -123,14 +123,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order_by: tuple[str, ...]
     numbered in `order_by` order within salted groups, so a length that a third of
     all pieces have is sorted by many tasks; to the driver come only counts by
     length and salt.  Ties are numbered arbitrarily, and each piece gets one place.
-    run_of names a column of small whole numbers from 0 that cuts the pieces into
-    ordered runs; it is the salt then, and pieces of a length are placed run by run.
-    No pieces give no rows.
+    run_of names a column of whole numbers from 0 that cuts the pieces into ordered runs; the
+    salts are then groups of neighbouring runs, and pieces of a length are placed run by run.
+    No pieces give no rows.  Columns sequence_id, offset, _salt and
+    _rank, whatever their case, give way.
     """
     spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset")
+    pieces = tidy(pieces, ("length", *order_by, *([run_of] if run_of else [])), ("sequence_id", "offset", "_salt", "_rank"))
     salts = min(512, max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    salted = pieces.withColumn("_salt", F.pmod(F.coalesce(run_of, F.lit(0)) if run_of else F.xxhash64(*order_by), F.lit(salts)).cast("int"))
+    salt = F.pmod(F.xxhash64(*order_by), F.lit(salts))
+    if run_of:
+        runs = (pieces.agg(F.max(run_of)).first()[0] or 0) + 1
+        salt = F.floor(F.coalesce(run_of, F.lit(0)) * F.lit(min(salts, runs)) / F.lit(runs))
+    salted = pieces.withColumn("_salt", salt.cast("int"))
     got = salted.groupBy("length", "_salt").count().toPandas()
     by = np.zeros((capacity + 1, salts), np.int64)
     by[got["length"].to_numpy(np.int64), got["_salt"].to_numpy(np.int64)] = got["count"].to_numpy(np.int64)
@@ -157,9 +162,12 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     """The pieces of every document: its ids, then `end`, cut after every `capacity` ids.
 
     doc_id, the columns in keep, piece, start, length, ids_crc32 and, if asked for,
-    the ids.  A null or empty text is the one id `end`.
+    the ids.  A null or empty text is the one id `end`.  A very long text is encoded whole and
+    gives many pieces.  Repeated rows and null ids have pieces of their own; no rows give no
+    rows.  Columns not named are left out, so none of docs' clashes with what is made.
     """
     path = path or default_path()
+    docs = tidy(docs, ("doc_id", "text", *keep))
     last = np.array([end], "<u4").tobytes()
     kept = ["doc_id", *keep]
 

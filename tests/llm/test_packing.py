@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -29,6 +30,80 @@ def test_exact_complements_come_first():
     assert ((60, 40), 2) in patterns and any(p[0] == 50 and sum(p) == 100 for p, _ in patterns)
 
 
+def one_by_one(lengths, capacity):
+    """The sequences that exact complements, then best fit, make one piece after another."""
+    left, out = Counter(lengths), []
+
+    def take(*xs):
+        if all(left[x] >= k for x, k in Counter(xs).items()):
+            left.subtract(xs)
+            return True
+        return False
+
+    def exact(gap):
+        if gap == 0 or take(gap):
+            return [gap] * (gap > 0)
+        for a in range(gap - 1, 0, -1):
+            if 2 * a >= gap and take(a, gap - a):
+                return [a, gap - a]
+        for a in range(gap - 2, 0, -1):
+            for b in range(min(a, gap - a - 1), 0, -1):
+                c = gap - a - b
+                if c <= b and take(a, b, c):
+                    return [a, b, c]
+        return None
+
+    for first in range(capacity, 0, -1):
+        while take(first):
+            rest = exact(capacity - first)
+            if rest is None:
+                left[first] += 1
+                break
+            out.append([first, *rest])
+    for first in range(capacity, 0, -1):
+        while take(first):
+            seq = [first]
+            while fits := [x for x in range(1, capacity - sum(seq) + 1) if left[x]]:
+                take(fits[-1])
+                seq.append(fits[-1])
+            out.append(seq)
+    return sorted(out)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 24), max_size=60))
+def test_plan_equals_brute_force(lengths):
+    counts = np.bincount(lengths, minlength=25)
+    assert sorted(list(p) for p, times in packing.plan(counts, 24) for _ in range(times)) == one_by_one(lengths, 24)
+
+
+def test_rows_equal_brute_force(spark):
+    """op10: the pieces of a table are placed in just the sequences that the brute force makes."""
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(1, 25, 300).tolist()
+    df = spark.createDataFrame([(i, 0, n, "s") for i, n in enumerate(lengths)], "doc_id long, piece int, length long, Offset string")
+    by = {}
+    for r in sorted(packing.pack(df, 24).collect(), key=lambda r: r.offset):
+        seq = by.setdefault(r.sequence_id, [])
+        assert r.offset == sum(seq)
+        seq.append(r.length)
+    assert sorted(by.values()) == one_by_one(lengths, 24)
+
+
+def test_runs_beyond_the_salts(spark):
+    """pipeline: pieces of a length are placed run by run, however many runs there are."""
+    df = spark.createDataFrame([(i, i * 7919 % 1200, 5) for i in range(1200)], "doc_id long, run int, length long")
+    rows = packing.pack(df, 10, order_by=("run", "doc_id"), run_of="run").collect()
+    assert [r.run for r in sorted(rows, key=lambda r: (r.offset, r.sequence_id))] == list(range(1200))
+
+
+def test_very_long_text_and_names(spark):
+    df = spark.createDataFrame([(1, "a b " * 3_000_000, "T", 3), (1, "x", "U", 4)], "Doc_Id long, text string, TEXT string, Piece int")
+    got = packing.pieces(df)
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(r.length for r in got.collect())[:3] == [2, 3457, 4096] and got.count() == 2 + 6_000_001 // 4096
+
+
 def test_near_the_bound():
     rng = np.random.default_rng(1)
     lengths = np.minimum(4096, rng.lognormal(6, 1, 20_000).astype(int) + 1)
