@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm import registry
 from tessera.llm.common import durable, table
@@ -40,6 +43,37 @@ def test_nothing_in(spark, sf):
         assert stage(spark, docs, sf).count() == 0
 
 
+def odd(spark):
+    """Nulls in every column, empty, blank and very long texts, ties, repeated rows, clashing names."""
+    long = "a line that is not like others, number %d.\n"
+    rows = [(1, "Good text.\nOf lines.\nAnd more.", "en", "s", 30), (1, "Good text.\nOf lines.\nAnd more.", "en", "s", 30), (None, "no id at all, but a text", None, None, None)]
+    rows += [(2, None, "en", "s", 0), (3, "", None, "s", 0), (4, " \n ", "en", None, 3), (5, "".join(long % i for i in range(450_000)), "en", "t", None), (6, "word " * 400_000, "de", "t", 2_000_000)]
+    rows += [(7, "Good text.\nOf lines.\nAnd more.", "en", "u", 30), (7, "another text of the same number", "en", "s", 30)]
+    return spark.createDataFrame(rows, "Doc_ID long, text string, lang string, source string, n_chars long")
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_odd_rows(spark, sf, stage):
+    docs = durable(odd(spark)).selectExpr("Doc_ID", "text", "lang", "source", "n_chars", "'x' AS TEXT")
+    if stage == "quality classifier":  # these teach
+        docs = docs.union(table(spark, sf, "documents").where("doc_id > 7").selectExpr("doc_id AS Doc_ID", "text", "lang", "source", "n_chars", "'x' AS TEXT"))
+    got = dict(corpus_pipeline.STAGES)[stage](spark, docs, sf)
+    if stage == "best-fit packing":
+        assert sum(r.length for r in got.collect()) > 3_000_000 and got.select("doc_id").distinct().count() == 8
+        return
+    assert got.columns == corpus_pipeline.COLUMNS
+    rows = durable(got).select("doc_id", F.length("text").alias("n")).collect()
+    ids = sorted(r.doc_id or 0 for r in rows)
+    if stage in ("line dedup", "mixing sources to target weights"):
+        assert ids == [0, 1, 1, 2, 3, 4, 5, 6, 7, 7]
+    if stage == "line dedup":
+        assert {r.doc_id: r.n for r in rows}[2] is None and sorted(r.n for r in rows if r.doc_id == 7) == [0, 31]
+    if stage == "simhash near-dedup":
+        assert ids == [0, 1, 1, 2, 5, 6, 7, 7] or ids == [0, 1, 1, 2, 5, 6]
+    if stage == "quality classifier":
+        assert not {2, 3, 4} & set(ids)
+
+
 def test_similar_documents_go_whatever_their_fingerprints(spark, sf):
     """pipeline: no pair of five-word similarity >= 0.8 is left, and none below is joined by it."""
     from tessera.llm import shingles, simhash
