@@ -8,10 +8,15 @@ compared with each other.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
-#: Links of a node above and on the bottom layer, beam while building, queries in step, nodes expanded in one step.
-LINKS, BEAM, TOGETHER, WIDTH = 16, 48, 512, 4
+#: Links of a node above and (twice as many) on the bottom layer, beam while building, queries in step, nodes expanded in one step.
+LINKS, BEAM, TOGETHER, WIDTH = 12, 32, 512, 4
+#: First beam of a search, and the beam from which on an exact product is made instead;
+#: queries audited, and the shares of their pairs and of their nearest to be found.
+FIRST, WIDEST, AUDITED, RECALL, NEAR = 24, 512, 64, 0.99, 0.9
 
 
 def _best(sims: np.ndarray, k: int) -> np.ndarray:
@@ -151,43 +156,59 @@ class Graph:
             done += len(new)
 
 
-def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return q @ x.T
+@dataclass
+class Found:
+    """Pairs (row, col) of unsaturated queries; the beam they were found with; and what the
+    audit wanted and got: pairs, and nearest neighbours."""
+
+    row: np.ndarray
+    col: np.ndarray
+    saturated: np.ndarray
+    beam: int
+    pairs: tuple[int, int] = (0, 0)
+    near: tuple[int, int] = (0, 0)
+
+
+def _spread(x: np.ndarray, k: int) -> np.ndarray:
+    return x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
 
 
-def range_search(graph: Graph, q: np.ndarray, least: float, beam: int = 64, audit: int = 48, recall: float = 0.98) -> tuple[np.ndarray, np.ndarray, float]:
-    """(query rows, vector ids, recall): all pairs found with similarity >= least.
+def range_search(graph: Graph, q: np.ndarray, least: float, own: bool = False, beam: int = FIRST, audit: int = AUDITED, recall: float = RECALL, near: float = NEAR) -> Found:
+    """All pairs with a similarity of `least` or more that the graph finds for queries q.
 
-    A query whose beam ends in a pair is searched again with a beam four times as
-    wide, as often as need be.  The audit holds a spread of the queries, among them
-    ones with pairs, against all vectors: while fewer than `recall` of their pairs
-    and of their five nearest are found, all are searched again with twice the beam
-    (a beam of all vectors is the exact search).
+    A query whose beam ends in a pair is searched again with a beam four times as wide;
+    where that would be WIDEST or all vectors, it is `saturated` and left to an exact
+    product, for a large group of near copies is cheaper to multiply than to walk.  The
+    audit holds a spread of the queries, and of those with pairs, against all vectors:
+    while fewer than `recall` of their pairs or `near` of their five nearest are found,
+    all queries are searched again with twice the beam; beyond WIDEST all are saturated.
+    own: the queries are the graph's vectors, and none is a pair of its own.
     """
     n = len(graph.x)
-    while True:
-        rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    itself = np.arange(len(q)) if own else np.full(len(q), -2)
+    while beam < min(n, WIDEST):
+        rows, cols, saturated = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(q), bool)
         nearest = np.full((len(q), 5), -1, np.int64)
         for k in range(0, len(q), TOGETHER):
-            at, width = np.arange(k, min(k + TOGETHER, len(q))), min(beam, n)
+            at, width = np.arange(k, min(k + TOGETHER, len(q))), beam
             while len(at):
                 ids, sims = graph.search(q[at], width)
                 nearest[at, : min(5, width)] = ids[:, :5]
-                full = (sims[:, -1] >= least) & (width < n)
-                hit = (sims >= least) & (ids >= 0) & ~full[:, None]
-                r, c = np.nonzero(hit)
+                full = sims[:, -1] >= least
+                r, c = np.nonzero((sims >= least) & (ids >= 0) & ~full[:, None] & (ids != itself[at][:, None]))
                 rows.append(at[r])
                 cols.append(ids[r, c].astype(np.int64))
-                at, width = at[full], min(4 * width, n)
+                at, width = at[full], 4 * width
+                if width >= min(n, WIDEST):
+                    saturated[at] = True
+                    break
         row, col = np.concatenate(rows), np.concatenate(cols)
-        linked = np.unique(row)
-        probe = np.unique(np.concatenate([np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int), linked[np.linspace(0, len(linked) - 1, min(audit, len(linked))).astype(int)]]))
-        true = _exact(graph.x, q[probe])
+        probe = np.setdiff1d(np.concatenate([_spread(np.arange(len(q)), audit), _spread(np.unique(row), audit)]), np.flatnonzero(saturated))
+        true = q[probe] @ graph.x.T
         five = _best(true, min(5, n))
-        want_near = five.size
-        got_near = sum(len(np.intersect1d(five[i], nearest[p])) for i, p in enumerate(probe))
-        want, got = int((true >= least).sum()), int(np.isin(row, probe).sum())
-        share = min(got / want if want else 1.0, got_near / want_near if want_near else 1.0)
-        if share >= recall or beam >= n:
-            return row, col, share
+        wanted = (true >= least) & (np.arange(n) != itself[probe][:, None])
+        out = Found(row, col, saturated, beam, (int(wanted.sum()), int(np.isin(row, probe).sum())), (five.size, sum(len(np.intersect1d(five[i], nearest[p])) for i, p in enumerate(probe))))
+        if out.pairs[1] >= recall * out.pairs[0] and out.near[1] >= near * out.near[0]:
+            return out
         beam *= 2
+    return Found(np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(len(q), bool), n)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.test_common import union_find
 from tessera.llm import embedding_dedup
@@ -19,16 +20,40 @@ def vectors(seed=1, n=600, groups=12, size=15, d=24):
 def test_recall():
     x = vectors()
     u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    row, col, recall = range_search(Graph(u), u, 0.98, beam=16)
+    got = range_search(Graph(u), u, 0.98, own=True, beam=16)
     s = u @ u.T
-    assert recall >= 0.98 and len(set(zip(row, col, strict=True)) & set(zip(*np.nonzero(s >= 0.98), strict=True))) >= 0.98 * (s >= 0.98).sum()
+    np.fill_diagonal(s, 0)
+    want = set(zip(*np.nonzero(s >= 0.98), strict=True))
+    found = set(zip(got.row, got.col, strict=True))
+    assert not got.saturated.any() and found <= want and len(found) >= 0.99 * len(want)
+    assert got.pairs[0] > 0 and got.pairs[1] >= 0.99 * got.pairs[0] and got.near[1] >= 0.9 * got.near[0]
 
 
-def test_beams_widen():
+def test_the_audit_sees_missing_links(monkeypatch):
+    """A graph that has lost half of its links is searched again with wider beams, and last not at all."""
+    x = vectors(n=900, groups=20)
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    g = Graph(u)
+    sound = range_search(g, u, 0.98, own=True, beam=8).beam
+    g.layers[0][:, 3:] = -1
+    got = range_search(g, u, 0.98, own=True, beam=8)
+    assert got.beam > sound and (got.saturated.all() or got.pairs[1] >= 0.99 * got.pairs[0])
+
+
+def test_large_groups_are_left_to_the_product():
     u = np.tile(np.eye(8, dtype=np.float32)[0], (300, 1)) + np.random.default_rng(1).normal(size=(300, 8)).astype(np.float32) * 1e-3
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    row, _, _ = range_search(Graph(u), u[:5], 0.98, beam=4)
-    assert len(row) == 5 * 300
+    got = range_search(Graph(u), u, 0.98, own=True, beam=4)
+    assert got.saturated.all() and not len(got.row)
+
+
+def test_groups_of_a_block():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        hit = rng.random((rng.integers(1, 9), rng.integers(1, 12))) < 0.2
+        cols, rows = embedding_dedup._grouped(hit)
+        want = union_find([(i, i) for i in range(len(hit))] + [(i, 100 + j) for i, j in zip(*np.nonzero(hit), strict=True)])
+        assert rows.tolist() == [want[i] for i in range(len(hit))] and all(cols[j] == want[100 + j] for j in np.flatnonzero(hit.any(0)))
 
 
 def brute(rows):
@@ -57,7 +82,31 @@ def test_equals_brute_force(spark):
     x = vectors(n=300)
     rows = [(i * 7 % 1009, v.tolist(), int(i % 3 == 0)) for i, v in enumerate(x)]
     rows += [(2000 + i, x[i % 5].tolist(), 0) for i in range(40)]
-    check(spark, rows, shard=64, block=50)
+    check(spark, rows, shard=64)
+
+
+def test_large_near_copy_group(spark, monkeypatch):
+    """op5: one group of near copies over several shards is linear in rows, and exact."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    c = rng.normal(size=16)
+    x = [c + rng.normal(size=16) * 0.08 for _ in range(700)] + list(rng.normal(size=(200, 16)))
+    rows = [(i, np.float32(v).tolist(), 1) for i, v in enumerate(x)]
+    check(spark, rows, shard=150)
+    df = spark.createDataFrame(rows, "vec_id long, v array<float>, label int")
+    found = embedding_dedup.links(embedding_dedup.durable(embedding_dedup.classes(df)), shard=150)
+    shards = -(-900 // 150)
+    assert found.where("kind < 2").count() <= 2 * 900 * (shards + 1)
+    audit = {r.kind: (r.wanted, r.got) for r in embedding_dedup.recall(found).collect()}
+    assert set(audit) == {2, 3}
+
+
+def test_extreme_lengths_and_names(spark):
+    big, small = [3e38, 1e38], [3e-40, 1e-40]
+    df = spark.createDataFrame([(1, big, 1, 0), (2, small, 1, 0), (3, [-3.0, 1.0], 1, 0)], "vec_id long, embedding array<float>, label int, V int")
+    df = df.withColumn("LABEL_", F.lit(2)).toDF("vec_id", "embedding", "label", "V", "Label")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
 
 
 def test_odd_vectors(spark):
