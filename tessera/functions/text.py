@@ -19,7 +19,8 @@ HYPHENATED = r"[a-z0-9]+(?:-[a-z0-9]+)+"
 IDENTIFIER = r"[a-z0-9]+(?:[-_.:/]+[a-z0-9]+)+|(?=[a-z0-9]*\d)[a-z0-9]*[a-z]\d[a-z0-9]*|\d+[a-z][a-z0-9]*"
 IDENTIFIER_QUERY = r"[A-Za-z0-9]+(?:[-_.:/]{1,2}[A-Za-z0-9]+)+|[A-Za-z]*\d[A-Za-z0-9]*"
 WIKILINK = r"(?<!!)\[\[([^\]|#]+)(?:[#|][^\]]*)?\]\]"
-LINE_BREAK = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085  ]"
+BREAKS = r"\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029"
+LINE_BREAK = rf"(?:\r\n|[{BREAKS}])"
 TOPIC_TERM = r"[a-z0-9]{2,}|[一-鿿]{2,4}"
 CHUNK_SIZE, CHUNK_OVERLAP, SHORT_TAIL = 800, 100, 30
 
@@ -120,18 +121,19 @@ def identifier_terms(query: Column) -> Column:
 # ---- front matter, tags, links ------------------------------------------------
 
 
+#: The block between two lines of ---, the first one at the very beginning; blanks are no line breaks here.
+_BLOCK = rf"(?sU)\A---[\s&&[^{BREAKS}]]*{LINE_BREAK}(?:(.*?){LINE_BREAK})??[\s&&[^{BREAKS}]]*---[\s&&[^{BREAKS}]]*(?:{LINE_BREAK}|\z)"
+
+
 def front_matter_lines(text: Column) -> Column:
-    """The lines between a leading --- fence and the next one; null without such a block."""
-    ls = lines(text)
-    rest = F.slice(ls, F.lit(2), F.greatest(F.size(ls) - 1, F.lit(0)))
-    shut = F.array_position(F.transform(rest, strip), "---")
-    return F.when(text.startswith("---") & (strip(F.get(ls, F.lit(0))) == "---") & (shut > 0), F.slice(rest, F.lit(1), (shut - 1).cast("int")))
+    """The lines of the front matter; null if there is none.  Only the block is cut into lines."""
+    return F.when(text.startswith("---") & text.rlike(_BLOCK), lines(F.regexp_extract(text, _BLOCK, 1)))
 
 
 def body(text: Column) -> Column:
-    """The text after its front matter."""
-    ls, block = lines(text), front_matter_lines(text)
-    return F.when(block.isNull(), text).otherwise(F.array_join(F.slice(ls, F.size(block) + 3, F.size(ls)), "\n"))
+    """The text after its front matter, its lines joined by \\n."""
+    there = text.startswith("---") & text.rlike(_BLOCK)
+    return F.when(there, F.array_join(lines(F.regexp_replace(text, _BLOCK, "")), "\n")).otherwise(text)
 
 
 def _unquoted(x: Column) -> Column:

@@ -12,7 +12,7 @@ from tessera.functions import text as T
 from tessera.operators import answers, chunking, transcripts
 from tessera.plans.catalog import query, table
 from tessera.plans.sql import TOKENS
-from tessera.sources import markup
+from tessera.sources import chats, markup
 
 WINDOWS = "SELECT doc_id, (i / 700)::BIGINT AS chunk, substr(text, i + 1, 800) AS piece FROM (SELECT doc_id, text, unnest(range(0, length(text), 700)) AS i FROM documents)"
 
@@ -91,9 +91,9 @@ def link_stems(spark, d):
     return table(spark, d, "documents").select("doc_id", T.stem(F.format_string('"[[notes\\sub/note-%d.MD#part|shown]]"', "doc_id")).alias("stem"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN s = '' THEN 'note' ELSE s END AS slug FROM (SELECT doc_id, trim(lower(substr(trim(regexp_replace(substr(text, 1, 60), '[^\p{L}\p{N}_]+', '-', 'g'), '-'), 1, 48)), '-') AS s FROM documents)""")
+@query(r"""SELECT doc_id, CASE WHEN s = '' THEN 'note' ELSE s END AS slug FROM (SELECT doc_id, trim(lower(substr(trim(regexp_replace(text, '[^\p{L}\p{N}_]+', '-', 'g'), '-'), 1, 48)), '-') AS s FROM documents)""")
 def slugs(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT doc_id, md5(substr(replace(text, chr(10), ' '), 1, 4000)) AS digest FROM documents")
@@ -121,28 +121,23 @@ def html_heading_count(spark, d):
     return m.select("page_id", F.size(F.filter("p", lambda x: x.startswith("# "))).alias("n_h1"), F.size(F.filter("p", lambda x: x.startswith("- "))).alias("n_items"))
 
 
-@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
 def html_title(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    """The title stands in as the first heading of a page that has none."""
+    bare = F.regexp_replace("html", r"(?s)<h1>.*?</h1>", "")
+    return table(spark, d, "pages").select("page_id", F.regexp_extract(to_markdown(bare), r"\A# ([^\n]*)", 1).alias("title"))
 
 
 @query("""SELECT doc_id, md5('---' || chr(10) || 'tags: [' || lang || ', ' || source || ']' || chr(10) || '---' || chr(10) || chr(10) || '# Doc ' || doc_id || chr(10) || chr(10) || '## Part' || chr(10) || '- item' || chr(10) || '[there](https://x.org/' || doc_id || ') here' || chr(10) || rtrim(text, chr(10))) AS digest FROM documents""")
 def org_to_md(spark, d):
     made = F.format_string("#+TITLE: Doc %d\n#+FILETAGS: :%s:%s:\n#+AUTHOR: someone\n* Part\n+ item\n[[https://x.org/%d][there]] [[here]]\n%s", "doc_id", "lang", "source", "doc_id", "text")
-    return table(spark, d, "documents").select("doc_id", F.md5(from_org(made).cast("binary")).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.md5(chats.org_to_markdown(made).cast("binary")).alias("digest"))
 
 
-def to_markdown(column: str):
+def to_markdown(column):
     return F.arrow_udf(_to_markdown, "string")(column)
 
 
-def from_org(column):
-    return F.arrow_udf(_from_org, "string")(column)
-
 
 def _to_markdown(html: pa.Array) -> pa.Array:
     return pa.array([markup.html_to_markdown(h or "") for h in html.to_pylist()], pa.string())
-
-
-def _from_org(text: pa.Array) -> pa.Array:
-    return pa.array([markup.org_to_markdown(t or "") for t in text.to_pylist()], pa.string())

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import importlib.util
+import re
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.sources import markup
+from tessera.sources import chats, markup
 
 # What is read, and what is noise.
 PLAIN, HTML, ORG, BINARY = (".md", ".txt"), (".html", ".htm"), (".org", ".org_archive"), (".pdf", ".docx")
@@ -51,35 +53,29 @@ def _ocr(raw: bytes) -> str | None:
 
 
 def to_text(name: str, raw: bytes) -> str | None:
-    """A file's Markdown by its suffix; None if it can't be read."""
+    """The Markdown of a file that is parsed as a whole, by its suffix; None if it can't be read."""
     kind = "." + name.lower().rpartition(".")[2]
-    try:
-        if kind in PLAIN:
-            return raw.decode("utf-8")
-        if kind in ORG:
-            return markup.org_to_markdown(raw.decode("utf-8"))
-    except UnicodeDecodeError:
-        return None
     if kind in HTML:
         html = markup.decode_html(raw)
         return None if html is None else markup.html_to_markdown(html)
     return {".docx": markup.docx_to_text, ".pdf": _pdf}.get(kind, _ocr if kind in IMAGES else lambda _: None)(raw)
 
 
-def _read(paths: pa.Array, contents: pa.Array) -> pa.Array:
-    out = []
-    for path, raw in zip(paths.to_pylist(), contents.to_pylist(), strict=True):
-        name = path.rpartition("/")[2]
-        if name.lower() in CHAT_EXPORTS:
-            try:
-                chats = markup.conversations(raw.decode("utf-8")) or []
-            except UnicodeDecodeError:
-                chats = []
-            out.append([{"path": f"{path}::{title}", "content": text, "tags": "chatlog"} for title, text in chats])
-        else:
-            text = to_text(name, raw)
-            out.append([{"path": path, "content": text, "tags": None}] if text and text.strip() else [])
-    return pa.array(out, pa.list_(pa.struct([("path", pa.string()), ("content", pa.string()), ("tags", pa.string())])))
+def _parse(names: pa.Array, contents: pa.Array) -> pa.Array:
+    return pa.array([None if raw is None else to_text(name, raw) for name, raw in zip(names.to_pylist(), contents.to_pylist(), strict=True)], pa.string())
+
+
+def decoded(path: Column, content: Column) -> Column:
+    """array<struct<path, content, tags>> of a file's documents: text, notes and chat exports by
+    column expressions, all else by a parser that gets only such files' bytes."""
+    name = F.substring_index(path, "/", -1)
+    chat, kind = F.lower(name).isin(*CHAT_EXPORTS), suffix(path)
+    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
+    parsed = F.arrow_udf(_parse, "string")(name, F.when(~chat & ~kind.isin(*PLAIN, *ORG), content))
+    whole = F.when(kind.isin(*PLAIN), text).when(kind.isin(*ORG), chats.org_to_markdown(text)).otherwise(parsed)
+    one = F.filter(F.array(F.struct(path.alias("path"), whole.alias("content"), F.lit(None).cast("string").alias("tags"))), lambda d: T.strip(d["content"]) != "")
+    many = F.transform(chats.conversations(F.when(chat, text)), lambda c: F.struct(F.concat(path, F.lit("::"), c["title"]).alias("path"), c["content"].alias("content"), F.lit("chatlog").alias("tags")))
+    return F.when(chat, F.coalesce(many, F.expr(f"CAST(array() AS {_DOC})"))).otherwise(one)
 
 
 def plain_path(uri: Column) -> Column:
@@ -114,16 +110,66 @@ def documents_of(read: DataFrame) -> DataFrame:
     )
 
 
+def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever store Spark reads."""
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
+def _left_out(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """(folders, files) below a root whose names begin with _, which Spark's listing leaves out."""
+    fs, p = _hadoop(spark, root)
+    folders, files = [], []
+    if not fs.exists(p):
+        return folders, files
+    if fs.getFileStatus(p).isFile():
+        return folders, [root] if p.getName().startswith("_") else files
+    at = re.sub(r"([\\*?\[\]{}])", r"\\\1", root)
+    for _ in range(100):
+        glob = lambda name: fs.globStatus(_hadoop(spark, f"{at}/{name}")[1]) or []  # noqa: B023,E731
+        for s in glob("_*"):
+            (folders if s.isDirectory() else files).append(s.getPath().toString())
+        at += "/*"
+        if not len(glob("")):
+            break
+    return folders, files
+
+
+def _binary(spark: SparkSession, root: str) -> DataFrame:
+    """path, content, modificationTime, length of all files below a root."""
+    folders, alone = _left_out(spark, root)
+    listed = spark.read.format("binaryFile").options(recursiveFileLookup=True, __globPaths__=False)
+    out = listed.load(root) if root not in alone else None
+    for f in folders:
+        out = out.unionByName(listed.load(f))
+    if alone:  # no reader of Spark takes such a name, so the driver reads these files one by one
+        util, rows = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils, []
+        for f in alone:
+            fs, p = _hadoop(spark, f)
+            stream, status = fs.open(p), fs.getFileStatus(p)
+            raw = bytes(util.readFullyToByteArray(stream)) if status.getLen() else b""
+            stream.close()
+            rows.append((f, raw, datetime.fromtimestamp(status.getModificationTime() / 1000), status.getLen()))
+        more = spark.createDataFrame(rows, "path string, content binary, modificationTime timestamp, length long")
+        out = more if out is None else out.select(more.columns).unionByName(more)
+    return out.select("path", "content", "modificationTime", "length")
+
+
 def scan(spark: SparkSession, sources: list[dict]) -> DataFrame:
     """Documents of source folders ({path, chunk_size?, chunk_overlap?}); of a file in
     two sources the first counts.  Listing and reading are Spark's binaryFile source."""
     found = None
     for i, s in enumerate(sources):
         root = str(s["path"]).rstrip("/")
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
         bare = root.removeprefix("file://")
         one = (
-            files.select(plain_path(F.col("path")).alias("path"), "content", F.col("modificationTime").cast("double").alias("mtime"))
+            _binary(spark, root)
+            .select(plain_path(F.col("path")).alias("path"), "content", F.col("modificationTime").cast("double").alias("mtime"))
             .where(wanted(F.col("path"), bare))
             .select("path", "content", "mtime", F.lit(i).alias("nth"), F.lit(s.get("chunk_size")).cast("int").alias("chunk_size"), F.lit(s.get("chunk_overlap")).cast("int").alias("chunk_overlap"))
         )
@@ -132,7 +178,7 @@ def scan(spark: SparkSession, sources: list[dict]) -> DataFrame:
         return spark.createDataFrame([], "path string, content string, hash string, tags string, links string, mtime double, chunk_size int, chunk_overlap int")
     if len(sources) > 1:
         found = found.groupBy("path").agg(F.min_by(F.struct("content", "mtime", "nth", "chunk_size", "chunk_overlap"), "nth").alias("f")).select("path", "f.*")
-    read = found.select(F.explode(F.arrow_udf(_read, _DOC)("path", "content")).alias("d"), "mtime", "chunk_size", "chunk_overlap")
+    read = found.select(F.explode(decoded(F.col("path"), F.col("content"))).alias("d"), "mtime", "chunk_size", "chunk_overlap")
     return documents_of(read.select(F.col("d.path").alias("path"), F.col("d.content").alias("raw"), F.col("d.tags").alias("given_tags"), "mtime", "chunk_size", "chunk_overlap"))
 
 

@@ -5,8 +5,9 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.sources import files, logs, markup, sinks
+from tessera.sources import chats, files, logs, markup, sinks
 
 
 def test_html():
@@ -18,10 +19,14 @@ def test_html():
     assert markup.decode_html(b'<meta charset="latin-1">\xe9') == '<meta charset="latin-1">é'
 
 
-def test_org():
-    org = "#+TITLE: T\n#+FILETAGS: :a:b:\n#+AUTHOR: me\n* One\n** Two\n  + item\n[[https://x][X]] [[file:y][Y]] [[z]]"
-    assert markup.org_to_markdown(org) == "---\ntags: [a, b]\n---\n\n# T\n\n## One\n### Two\n  - item\n[X](https://x) Y z"
-    assert markup.org_to_markdown("* One") == "# One"
+def one(spark, column, value):
+    return spark.createDataFrame([(value,)], "v string").select(column(F.col("v")).alias("x")).first().x
+
+
+def test_org(spark):
+    org = "#+TITLE: T\n#+FILETAGS: :a:b:\n#+AUTHOR: me\n* One\n** Two\n  + item\n[[https://x][X]] [[file:y][Y]] [[z]] [[mailto:m@x]] [[w][]]"
+    assert one(spark, chats.org_to_markdown, org) == "---\ntags: [a, b]\n---\n\n# T\n\n## One\n### Two\n  - item\n[X](https://x) Y z [mailto:m@x](mailto:m@x) w"
+    assert one(spark, chats.org_to_markdown, "* One") == "# One" and one(spark, chats.org_to_markdown, "#+TITLE: \n******* deep") == "###### deep"
 
 
 def test_docx():
@@ -32,16 +37,42 @@ def test_docx():
     assert markup.docx_to_text(b"no zip") is None
 
 
-def test_chat_exports():
+def test_docx_tables():
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        cell = "<w:tc><w:p><w:t>{}</w:t></w:p></w:tc>"
+        z.writestr("word/document.xml", "<w:p><w:t>before</w:t></w:p><w:tbl><w:tr w:x='1'>" + cell.format("a") + cell.format("b") + "</w:tr><w:tr>" + cell.format("c") + cell.format("") + "</w:tr></w:tbl><w:p><w:t>after</w:t></w:p>")
+    assert markup.docx_to_text(raw.getvalue()) == "before\n\nafter\n\na | b\n\nc | "
+
+
+def test_chat_exports(spark):
     def said(role, t, *parts, kind="text"):
         return {"message": {"author": {"role": role}, "create_time": t, "content": {"content_type": kind, "parts": list(parts)}}}
 
-    one = {"title": "A", "mapping": {"2": said("assistant", 2, "there"), "1": said("user", 1, "hi", {"x": 1}), "0": said("system", 0, "no"), "3": said("user", 3, "code", kind="code")}}
-    got = markup.conversations(json.dumps([one, {**one, "title": "a"}, {**one, "title": "x", "mapping": {}}]))
-    assert got[0] == ("A", "# A\n\n**user**: hi\n\n**assistant**: there") and [t for t, _ in got] == ["A", "a (2)"]
-    other = {"chats": [{"name": None, "chat_messages": [{"sender": "assistant", "created_at": "2", "content": [{"type": "text", "text": "b"}]}, {"sender": "human", "created_at": "1", "text": "a"}]}]}
-    assert markup.conversations(json.dumps(other)) == [("untitled conversation", "# untitled conversation\n\n**user**: a\n\n**assistant**: b")]
-    assert markup.conversations("{}") is None and markup.conversations("nope") is None
+    def read(raw):
+        got = one(spark, chats.conversations, raw)
+        return None if got is None else [tuple(r) for r in got]
+
+    first = {"title": "A", "mapping": {"2": said("assistant", 2, "there"), "1": said("user", 1, "hi", {"x": 1}), "0": said("system", 0, "no"), "3": said("user", 3, "code", kind="code"), "4": None, "5": {"message": None}, "9": said("user", None, "first", "of two"), "8": said("user", 0, "second", kind=None)}}
+    got = read(json.dumps([first, {**first, "title": "a"}, {**first, "title": "x", "mapping": {}}, {**first, "title": "a (2)"}, {**first, "title": None}]))
+    assert got[0] == ("A", "# A\n\n**user**: first\nof two\n\n**user**: second\n\n**user**: hi\n\n**assistant**: there")
+    assert [t for t, _ in got] == ["A", "a (2)", "a (2) (2)", "untitled conversation"]
+    other = {"chats": [{"name": None, "chat_messages": [{"sender": "assistant", "created_at": "2", "content": [{"type": "text", "text": "b"}, {"type": "tool"}, {"type": "text", "text": "c"}]}, {"sender": "human", "created_at": "1", "text": "a"}, {"sender": "human", "created_at": "3", "text": " "}]}]}
+    assert read(json.dumps(other)) == [("untitled conversation", "# untitled conversation\n\n**user**: a\n\n**assistant**: b\nc\n\n")]
+    assert read("{}") is None and read("nope") is None and read("[]") is None
+    assert [t for t, _ in read(json.dumps([first] * 4 + [{**first, "title": "A (3)"}]))] == ["A", "A (2)", "A (3)", "A (4)", "A (3) (2)"]
+
+
+def test_names_with_an_underscore(spark, tmp_path):
+    for name in ("_index.md", "_drafts/x.md", "sub [1]/_a.md", "sub [1]/_b/_c/d.md", "plain.md"):
+        p = tmp_path / "notes" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(f"text of {name}")
+    root = str(tmp_path / "notes")
+    got = {r.path.removeprefix(root + "/"): r.content for r in files.scan(spark, [{"path": root}]).collect()}
+    assert got == {n: f"text of {n}" for n in ("_index.md", "_drafts/x.md", "sub [1]/_a.md", "sub [1]/_b/_c/d.md", "plain.md")}
+    assert files.load_one(spark, f"{root}/_index.md").first().content == "text of _index.md"
+    assert files.is_folder(spark, root) and not files.is_folder(spark, f"{root}/no")
 
 
 def test_scan(spark, tmp_path):
