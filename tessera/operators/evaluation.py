@@ -6,6 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Words that a text and a passage in it are met on, and passages up to which they are broadcast.
+KEY, FEW = 5, 20_000
+
+
+def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, source) of docs (source, text) that contain a passage (query_id, text).
+
+    A passage of KEY + 2 words or more has KEY whole words inside; docs are met on the hash
+    of every such run of theirs, and only those that meet are searched.  A shorter one is
+    searched for everywhere.
+    """
+    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    cut = passages.where("text <> ''").select("query_id", F.col("text").alias("passage"), words(F.col("text")).alias("w"))
+    long = cut.where(F.size("w") >= KEY + 2).select("query_id", "passage", F.xxhash64(*[F.col("w")[k + 1] for k in range(KEY)]).alias("key"))
+    runs = F.expr(f"CASE WHEN size(w) >= {KEY} THEN array_distinct(transform(sequence(0, size(w) - {KEY}), i -> xxhash64({', '.join(f'w[i + {k}]' for k in range(KEY))}))) ELSE array() END")
+    keyed = docs.select("source", "text", words(F.col("text")).alias("w")).select("source", "text", runs.alias("keys"))
+    long = F.broadcast(long) if passages.count() <= FEW else long
+    met = keyed.select("source", "text", F.explode_outer("keys").alias("key")).join(long, "key").where(F.contains("text", "passage")).select("query_id", "source")
+    short = docs.join(cut.where(F.size("w") < KEY + 2), F.contains("text", "passage")).select("query_id", "source")
+    return met.unionByName(short).distinct()
+
+
 def first_ranks(cases: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, rank): the first hit whose source contains the case's expect; null if there is none."""
     ok = hits.join(cases.select("query_id", "expect"), "query_id").where(F.contains("source", "expect"))

@@ -73,13 +73,18 @@ def score(terms: DataFrame, postings: DataFrame, frequencies: DataFrame, stats:
     return weighted.select("query_id", "term", "w", "avgdl").join(postings, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
+#: Different query terms up to which they are broadcast.
+FEW = 200_000
+
+
 def search(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text", name: str = "default") -> DataFrame:
-    """BM25 scores without a saved index: one pass makes statistics, and only the
-    queries' terms are ever exploded."""
+    """BM25 scores without a saved index: each text is tokenised once, and its tokens are met
+    with the queries' terms by a hash join, a broadcast one where the terms are few."""
     toks = tokenised(docs, id_col, text_col, name)
     q = queries.select("query_id", F.explode(tokenizer(name)(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = q.agg(F.collect_set("term").alias("wanted"))
-    hit = toks.join(F.broadcast(wanted)).select("id", F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda t: F.array_contains("wanted", t))).alias("term"))
+    wanted = q.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    hit = toks.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term")
     postings = hit.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     return score(q, postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)

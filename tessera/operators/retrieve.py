@@ -8,7 +8,7 @@ than k rows; `prefilter` is there for those who want it otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.vectors import hash_embedding
+from tessera.functions.vectors import DIMENSIONS, token_bucket
 from tessera.operators import lexical
 
 # The fusion constant, hits of a search, over-fetch, what a bad rating
@@ -25,6 +25,8 @@ from tessera.operators import lexical
 RRF_K, TOP_K, OVER_FETCH, BAD_RATING, PENALTY_SHARE, MISSING_DISTANCE = 60, 5, 4, 0.5, 0.3, 0.5
 #: Queries that one dense search broadcasts at most.
 QUERY_BLOCK = 4096
+#: Queries with identifiers that are broadcast at most.
+LITERAL_QUERIES = 10_000
 
 
 def fetch_size(k: int, hybrid: bool = True, filtered: bool = False) -> int:
@@ -34,51 +36,96 @@ def fetch_size(k: int, hybrid: bool = True, filtered: bool = False) -> int:
 # ---- channels -----------------------------------------------------------------
 
 
-def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
-    """(query_id, id, distance, rank): the k nearest by cosine, exactly, in double precision.
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        return [queries]
+    parts = -(-n // (QUERY_BLOCK // 2))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+
+
+def _nearest(corpus: DataFrame, queries: DataFrame, k: int, matrices: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(query_id, id, distance, rank) of corpus (id, payload) and queries (query_id, vec).
 
-    queries: (query_id, vec), taken QUERY_BLOCK at a time, which bounds what is
-    broadcast; each batch of the corpus is one matrix product and keeps its own k
-    best, so k rows a query and batch are shuffled.  Ties of rounded distances go by id.
+    matrices: of a batch's payloads, (rows, their vectors) for each length of vectors.  The
+    queries are broadcast a block at a time; each batch is one matrix product for each
+    length, and keeps its own k best, so k rows a query and batch are shuffled.
     """
-    spark = corpus.sparkSession
-    blocks = [queries] if queries.count() <= QUERY_BLOCK else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for n in [-(-queries.count() // (QUERY_BLOCK // 2))] for i in range(n)]
-    found = None
-    for block in blocks:
-        rows = block.where(F.col("vec").isNotNull()).collect()
-        q = np.array([r.vec for r in rows], np.float64)
-        q = q / np.linalg.norm(q, axis=1, keepdims=True) if len(q) else q
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), q))
-
-        def run(batches, shared=shared, k=k):
-            names, q = shared.value
+    spark, found = corpus.sparkSession, None
+    for block in _blocks(queries):
+        by: dict[int, tuple[list, list]] = {}
+        for r in block.where(F.col("vec").isNotNull()).collect():
+            v = np.array(r.vec, np.float64)
+            length = np.linalg.norm(v)
+            if length > 0 and np.isfinite(length):
+                names, vs = by.setdefault(len(v), ([], []))
+                names.append(r.query_id)
+                vs.append(v / length)
+        shared = spark.sparkContext.broadcast({d: (np.array(n, np.int64), np.array(v)) for d, (n, v) in by.items()})
+
+        def run(batches, shared=shared):
+            known = shared.value
             for b in batches:
-                if not b.num_rows or not len(q):
-                    continue
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                length = np.linalg.norm(x, axis=1)
-                d = 1 - q @ (x / np.where(length > 0, length, 1)[:, None]).T
-                d = np.where(length > 0, np.round(d, 9), np.inf)
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                best = np.argsort(d, axis=1, kind="stable")[:, :k] if b.num_rows > k else np.broadcast_to(np.arange(b.num_rows), d.shape)
-                worst = np.take_along_axis(d, best, 1).max(1, keepdims=True)
-                r, c = np.nonzero((d <= worst) & np.isfinite(d))
-                yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(ids[c].astype(np.int64)), pa.array(d[r, c])], ["query_id", "id", "distance"])
-
-        part = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col)).mapInArrow(run, "query_id long, id long, distance double")
+                ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                for rows, x in matrices(b.column(1)):
+                    if x.shape[1] not in known or not len(x):
+                        continue
+                    names, q = known[x.shape[1]]
+                    length = np.linalg.norm(x, axis=1)
+                    ok = (length > 0) & np.isfinite(length)
+                    d = 1 - q @ (np.where(ok[:, None], x, 0) / np.where(ok, length, 1)[:, None]).T
+                    d = np.where(ok, np.round(d, 9), np.inf)
+                    if d.shape[1] > k:  # ties with the k-th stay
+                        worst = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+                        r, c = np.nonzero((d <= worst) & np.isfinite(d))
+                    else:
+                        r, c = np.nonzero(np.isfinite(d))
+                    yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(ids[rows[c]]), pa.array(d[r, c])], ["query_id", "id", "distance"])
+
+        part = corpus.mapInArrow(run, "query_id long, id long, distance double")
         found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _by_length(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(lengths) - lengths
+    for d in np.unique(lengths[lengths > 0]).astype(int):
+        rows = np.flatnonzero(lengths == d)
+        yield rows, flat[starts[rows][:, None] + np.arange(d)]
+
+
+def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec") -> DataFrame:
+    """(query_id, id, distance, rank): the k nearest by cosine, exactly, in double precision.
+
+    queries: (query_id, vec).  Vectors of another length than a query's are no hits of it;
+    null and zero vectors, and ones with null or infinite components, are none either.
+    Ties of rounded distances go by id.
+    """
+    part = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col))
+    return _nearest(part, queries, max(k, 1), _by_length).where(F.col("rank") <= k)
+
+
 def hashed_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The dense channel with token-hash embeddings: (query_id, id, distance, rank) for docs (id, text)."""
-    d = hash_embedding(docs, "id", "text")
-    q = hash_embedding(queries, "query_id", "text").select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("q"))
-    near = d.join(q, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("q")).alias("cosine"))
-    near = near.withColumn("distance", F.round(1 - F.col("cosine"), 9))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
+    """The dense channel with token-hash embeddings: (query_id, id, distance, rank) for docs (id, text).
+
+    The JVM gives each text's buckets; they become vectors batch by batch, so nothing of
+    the documents is shuffled but each batch's best.
+    """
+    buckets = lambda text: F.transform(F.array_distinct(T.tokens(text)), lambda t: token_bucket(t).cast("int"))
+    dims = F.sequence(F.lit(0), F.lit(DIMENSIONS - 1))
+    asked = queries.select("query_id", buckets(F.col("text")).alias("b")).select("query_id", F.transform(dims, lambda i: F.size(F.filter("b", lambda x: x == i)).cast("double")).alias("vec"))
+
+    def counted(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+        out = np.zeros((len(lists), DIMENSIONS))
+        np.add.at(out, (np.repeat(np.arange(len(lists)), lengths), lists.flatten().to_numpy(zero_copy_only=False)), 1)
+        yield np.arange(len(lists)), out
+
+    part = docs.where(F.col("text").isNotNull()).select(F.col("id").cast("long").alias("id"), buckets(F.col("text")).alias("b"))
+    return _nearest(part, asked, max(k, 1), counted).where(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
 
 
 def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int, tokenizer: str = "default", index: lexical.LexicalIndex | None = None) -> DataFrame:
@@ -89,9 +136,12 @@ def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int, tokenizer: str =
 def literal_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, n): how many of a query's identifiers a text contains.
 
-    Only queries that name an identifier take part; they are the small side.
+    Only queries that name an identifier take part.  Identifiers lie inside tokens of the
+    text or run over several, so each is searched for; up to LITERAL_QUERIES queries are
+    broadcast, and each text is lower-cased once for all of them.
     """
     q = queries.select("query_id", T.identifier_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    q = F.broadcast(q) if q.count() <= LITERAL_QUERIES else q
     low = docs.select("id", F.lower("text").alias("low"))
     n = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t)))
     return low.join(q, how="cross").select("query_id", "id", n.cast("long").alias("n")).where("n > 0")
@@ -175,7 +225,7 @@ def apply_feedback(hits: DataFrame, feedback: DataFrame, resort: bool = False) -
 def rerank(hits: DataFrame, scores: DataFrame) -> DataFrame:
     """hits by scores (query_id, id, score), the missing as 0; ties keep their order.
 
-    Fail-open: without scores, or for a single hit, the order stays.
+    Fail-open: a query without scores, or with a single hit, keeps its order.
     """
     both = hits.join(scores.select("query_id", "id", F.col("score").alias("rerank_score")), ["query_id", "id"], "left").withColumn("rerank_score", F.coalesce("rerank_score", F.lit(0.0)))
     return both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")))
@@ -186,44 +236,82 @@ def relative(hits: DataFrame, score: str = "score") -> DataFrame:
     return hits.withColumn("relative", F.try_divide(F.col(score), F.max(score).over(W.partitionBy("query_id"))))
 
 
-def search(
+def candidates(
     docs: DataFrame,
     queries: DataFrame,
-    k: int = TOP_K,
+    fetch: int,
     mode: str = "hybrid",
-    tag: str | None = None,
-    path_contains: str | None = None,
-    since: float | None = None,
-    exact: str | None = None,
-    feedback: DataFrame | None = None,
-    rerank_with: Callable[[DataFrame], DataFrame] | None = None,
     tokenizer: str = "default",
     rrf_k: int = RRF_K,
-    prefilter: bool = False,
     index: lexical.LexicalIndex | None = None,
+    vectors: Callable[[DataFrame, int], DataFrame] | None = None,
+    among: DataFrame | None = None,
 ) -> DataFrame:
-    """Ranked hits (query_id, rank, id, source, text, tags, mtime, distance, score) of
-    queries (query_id, text) in docs (id, source, text, tags, mtime).
+    """The best `fetch` (query_id, id, rank, score, distance) of each query before any filter.
 
-    Payload is joined last, to the ids that are left.  index: saved statistics of docs.
+    vectors: the dense channel, from (queries, fetch) to (query_id, id, distance, rank); token
+    hashes without it.  among: the ids that count; lexical statistics are of all docs.
     """
-    filtered = bool(tag or path_contains or since or exact or rerank_with)
-    cond = filters(tag, path_contains, since, exact)
-    if prefilter and filtered:
-        docs, cond, index = docs.where(cond), F.lit(True), None
-    fetch = fetch_size(max(k, 0), mode == "hybrid", filtered)
-    vector = hashed_top_k(docs, queries, fetch) if mode != "lexical" else None
+    inside = docs.join(among, "id", "left_semi") if among is not None else docs
+    if mode != "lexical":
+        vector = vectors(queries, fetch) if vectors else hashed_top_k(inside, queries, fetch)
+    if mode != "vector":
+        scored = index.scores(queries) if index else lexical.search(docs, queries, name=tokenizer)
+        scored = scored.join(among, "id", "left_semi") if among is not None else scored
+        words = lexical.top_k(scored, fetch).select("query_id", "id", "score", "rank")
     if mode == "vector":
         best = vector.withColumn("score", contribution(F.col("rank"), rrf_k))
     elif mode == "lexical":
-        best = lexical_top_k(docs, queries, fetch, tokenizer, index).withColumn("distance", F.lit(None).cast("double"))
+        best = words.withColumn("distance", F.lit(None).cast("double"))
     else:
-        best = fuse(vector, lexical_top_k(docs, queries, fetch, tokenizer, index), literal_hits(docs, queries), fetch, rrf_k)
+        best = fuse(vector, words, literal_hits(inside, queries), fetch, rrf_k)
         best = best.join(vector.select("query_id", "id", "distance"), ["query_id", "id"], "left")
-    hits = docs.join(best.select("query_id", "id", "rank", "score", "distance"), "id").where(cond)
+    return best.select("query_id", "id", "rank", "score", "distance")
+
+
+def finish(docs: DataFrame, best: DataFrame, k: int, cond: Column, feedback: DataFrame | None = None, rerank_with: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Payload for the candidates, then filters, feedback, reranking and the limit."""
+    hits = docs.join(best, "id").where(cond)
     if feedback is not None:
         hits = apply_feedback(hits, feedback)
     if rerank_with is not None:
         hits = rerank(hits, rerank_with(hits))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def search(
+    docs: DataFrame,
+    queries: DataFrame,
+    k: int = TOP_K,
+    mode: str = "hybrid",
+    tag: str | None = None,
+    path_contains: str | None = None,
+    since: float | None = None,
+    exact: str | None = None,
+    feedback: DataFrame | None = None,
+    rerank_with: Callable[[DataFrame], DataFrame] | None = None,
+    prefilter: bool = False,
+    variants: list[DataFrame] | None = None,
+    **channels,
+) -> DataFrame:
+    """Ranked hits (query_id, rank, id, source, text, tags, mtime, distance, score) of
+    queries (query_id, text) in docs (id, source, text, tags, mtime).
+
+    Payload is joined last, to the ids that are left.  variants: rewrites of the queries, as
+    further tables; their lists are merged before filters, feedback and reranking.  channels:
+    see candidates().
+    """
+    filtered = bool(tag or path_contains or since or exact or rerank_with)
+    cond = filters(tag, path_contains, since, exact)
+    among = docs.where(cond).select("id") if prefilter and filtered else None
+    fetch = fetch_size(max(k, 0), mode == "hybrid", filtered)
+    best = candidates(docs, queries, fetch, mode, among=among, **channels)
+    if variants:
+        lists = [best, *(candidates(docs, v, fetch, mode, among=among, **channels) for v in variants)]
+        near = None
+        for d in lists:
+            near = d if near is None else near.unionByName(d)
+        merged = merge_variants([d.select("query_id", "id", "rank") for d in lists], channels.get("rrf_k", RRF_K)).drop("first_seen")
+        best = merged.where(F.col("rank") <= fetch).join(near.groupBy("query_id", "id").agg(F.min("distance").alias("distance")), ["query_id", "id"])
+    return finish(docs, best.select("query_id", "id", "rank", "score", "distance"), k, cond, feedback, rerank_with)

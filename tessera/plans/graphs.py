@@ -29,7 +29,7 @@ def hub_top10(spark, d):
     return knowledge.hubs(knowledge.entities(edges(spark, d)))
 
 
-@query("SELECT n_nationkey, n_name AS s, 'in' AS p, 'region ' || n_regionkey AS o FROM nation")
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name AS s, 'in' AS p, 'region ' || n_regionkey AS o FROM nation")
 def triples_parse(spark, d):
     """Replies with fences, prose, short and blank triples around one good one."""
     reply = F.format_string('Sure:\n```json\n[["%s", " in ", "region %d"], ["a", "b"], ["", "x", "y"]]\n```', "n_name", "n_regionkey")

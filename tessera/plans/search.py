@@ -108,9 +108,7 @@ def search_lexical_mode(spark, d):
 g AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM w) SELECT query_id, rank, id AS doc_id FROM g WHERE rank <= 5""")
 def search_prefiltered(spark, d):
     """The extension that filters before the cut (with the corpus statistics of all documents)."""
-    docs, q = notes(spark, d), asked(spark)
-    scored = retrieve.lexical.search(docs, q).join(docs.where(retrieve.filters(tag="fr")).select("id"), "id", "left_semi")
-    return retrieve.lexical.top_k(scored, 5).select("query_id", "rank", F.col("id").alias("doc_id"))
+    return retrieve.search(notes(spark, d), asked(spark), 5, mode="lexical", tag="fr", prefilter=True).select("query_id", "rank", F.col("id").alias("doc_id"))
 
 
 @query(f"""WITH {sql.QUERIES}, {sql.BM25}, a AS (SELECT id, rank FROM lex WHERE query_id = 0 AND rank <= 20), b AS (SELECT id, rank FROM lex WHERE query_id = 1 AND rank <= 20),
