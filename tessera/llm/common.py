@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -190,14 +190,14 @@ def components(edges: DataFrame) -> DataFrame:
     whose skewed partitions adaptive execution can split.
     Self-links, nulls and repeated edges are ignored; no edges give no rows.
     """
-    e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    e = durable(e, "edges")
     state = None
+    e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or now[0] == 0:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        state = now
-        after = durable(_small_star(_large_star(e)), "edges")
-        release(e)
-        e = after
+        seen = Observation()
+        after = durable(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("all")), "edges")
+        if state is not None:
+            release(before)
+        now = seen.get
+        if now == state or not now["n"]:
+            return after.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        state, before, e = now, after, _small_star(_large_star(after))

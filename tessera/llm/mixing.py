@@ -35,8 +35,9 @@ from tessera.llm.common import apart, fields, table, written
 #: Documents in a block, the exponent that flattens corpus shares to target weights where
 #: none are given, and about what those weights sum to at most.
 BLOCK, FLATTEN, PARTS = 8, 0.7, 16384
-#: Ranges of frames that are looked up by an equi-join, at most.
-_RANGES = 1 << 16
+#: Ranges of frames that are looked up by an equi-join, at most; and rows of a table up to which
+#: it is broadcast, so that documents stay where they are.
+_RANGES, _FEW = 1 << 16, 1 << 18
 #: What mix() adds; columns of these names give way.
 OWN = ("mix_source", "block", "release", "deadline", "slot", "position")
 
@@ -148,7 +149,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
 
     A source may hold most of the rows: it is numbered in 4096 ranges of the hash.
     To the driver come the counts by source; back goes the plan (see above), a written
-    table that is joined by its keys.
+    table that is joined by its keys, and broadcast only where its rows are few (_FEW).
     """
     spark = docs.sparkSession
     given, names = apart(docs, ("doc_id", "source"), OWN, whole=True)
@@ -179,9 +180,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     sources = sources.select("_s", "_w", F.coalesce(F.unhex("_name").cast("string"), F.lit("")).alias("mix_source"))
     ranges = written(spark, (f"{x},{k},{r.v_from},{r.v_to},{r.start},{r.size}" for k, r in enumerate(frames) for x in range(r.v_from >> shift, ((r.v_to - 1) >> shift) + 1)), "_range long, _like int, _from long, _to long, _start long, _size long", "frames")
     placed = written(spark, slots(), "_like int, _s int, _j long, _release long, _deadline long, _slot long, _short long", "slots")
+    rows_of = lambda r: sum(max(0, min(w[s], b - r.v_from * w[s])) for s, b in blocks.items())
+    few = lambda df, n: F.broadcast(df) if n <= _FEW else df
+    sources, ranges, placed = few(sources, len(w)), few(ranges, _RANGES + len(frames)), few(placed, sum(map(rows_of, frames)))
     before = by_range.select("mix_source", "_b", (F.sum("count").over(W.partitionBy("mix_source").orderBy("_b")) - F.col("count")).alias("_before"))
     nth = F.row_number().over(W.partitionBy("mix_source", "_b").orderBy("_h", "doc_id")) - 1
-    ranked = hashed.withColumn("_n", nth.cast("long")).join(before, ["mix_source", "_b"]).join(sources, "mix_source")
+    ranked = hashed.withColumn("_n", nth.cast("long")).join(few(before, len(w) * 16**3), ["mix_source", "_b"]).join(sources, "mix_source")
     ranked = ranked.select("mix_source", "_row", "_s", "_w", (F.col("_n") + F.col("_before")).alias("_n")).withColumn("block", F.floor(F.col("_n") / block))
     ranked = ranked.withColumns({"_v": F.expr("block div _w"), "_j": F.expr("block % _w")}).withColumn("_range", F.shiftright("_v", shift))
     found = ranked.join(ranges, "_range").where("_v >= _from AND _v < _to").withColumn("_at", F.expr("_start + (_v - _from) * _size"))

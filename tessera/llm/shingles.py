@@ -1,33 +1,44 @@
-"""Pairs of documents whose sets of word shingles are similar, by prefix filtering.
-
-All shingles have one order.  Of a set of n, the overlap with a similar set is at
-least least * n, so two similar sets share `SHARED` of their first n - ceil(least * n) +
-SHARED shingles (or all of the least overlap, if that is fewer).  Pairs are met on these
-and verified on the whole sets, so none is missed, whatever the order.  The order puts
-shingles that are frequent in a sample last, so common passages are seldom met on.
-
-Pairs that are in one component already need no test: equal sets are one, then each
-document is tested against the first with the same shingle, and last the pairs whose
-components still differ.
+"""Documents whose sets of word shingles are similar, by bands of minimum hashes.
+
+BANDS times ROWS minimum hashes sketch a set; two sets of Jaccard similarity s agree in all
+of a band with the chance s ** ROWS, so a pair at 0.8 is missed by all bands with the
+chance (1 - 0.8 ** 4) ** 18 = 0.00008, and one above it with less.
+
+A pair that meets in a band is judged by one bit of each of BITS more minimum hashes.  Of
+these a pair at 0.8 differs in a tenth: in more than MOST, or in SURE or fewer, with a chance
+of less than 0.0003 each.  So beyond MOST a pair is not similar, up to SURE it is, and between
+them the whole sets are compared.
+
+Pairs that are in one component already need no test.  Equal sets are one; then, turn by
+turn, each document is held against the first of its band, in another order each turn,
+where the band still has different components.  So a large group of near copies costs a
+few pairs a document and turn.  When few pairs of different components are left, or a turn
+joins little, all that are left are judged, in the join itself.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, durable
+from tessera.llm.common import components, durable, release
 from tessera.llm.simhash import words
 
-#: Shingles that a pair must share to be verified, documents that are sampled for the
-#: order, and shingles that it may put last.
-SHARED, SAMPLE, LAST = 3, 10_000, 200_000
+#: Minimum hashes in a band and bands; shingles hashed at a time; groups of ids by which
+#: documents are sifted before their texts are shuffled (this bounds what is broadcast).
+ROWS, BANDS, AT_ONCE, SIFT = 4, 18, 512, 1 << 18
+#: Pairs for each row of a band that are few, and the share of pairs that a turn must settle
+#: for another to follow; bits of a sketch, and how many of a pair's may differ, and do no harm.
+SPARSE, LITTLE, BITS, MOST, SURE = 2, 0.1, 2048, 252, 153
+_RNG = np.random.default_rng(20)
+_TIMES, _PLUS = (_RNG.integers(0, 1 << 32, ROWS * BANDS + BITS, dtype=np.uint32) for _ in range(2))
+_TIMES |= np.uint32(1)
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -35,17 +46,39 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     got = words(text)
     if not got:
         return np.zeros(0, np.int64)
-    joined = b" ".join(got)
-    ends = np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
+    h = np.fromiter(map(xxhash.xxh64_intdigest, got), np.uint64, len(got))
     n = max(1, len(got) - width + 1)
-    one = xxhash.xxh64_intdigest
-    h = [one(joined[i:j]) for i, j in zip(starts[:n].tolist(), ends[min(width, len(got)) - 1 :].tolist())]
-    return np.unique(np.array(h, np.uint64).view(np.int64))
+    out = np.full(n, min(width, len(got)), np.uint64)
+    for k in range(min(width, len(got))):
+        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique((out * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64))
+
+
+def _least(s: np.ndarray, of: slice) -> np.ndarray:
+    """Minimum hashes of a set that is not empty."""
+    times, plus = _TIMES[of], _PLUS[of]
+    low = (s.view(np.uint64) >> np.uint64(17)).astype(np.uint32)
+    out = np.full(len(times), np.iinfo(np.uint32).max, np.uint32)
+    for k in range(0, len(s), AT_ONCE):
+        out = np.minimum(out, (low[k : k + AT_ONCE, None] * times + plus).min(0))
+    return out.astype(np.uint64)
+
 
+def bands(s: np.ndarray) -> np.ndarray:
+    """A key for each band of a set that is not empty."""
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in _least(s, slice(0, ROWS * BANDS)).reshape(BANDS, ROWS).T:
+        out = (out ^ column) * np.uint64(0x94D049BB133111EB)
+        out ^= out >> np.uint64(31)
+    return out.view(np.int64)
 
-def _least(n, least: float):  # noqa: ANN001, ANN202
-    return np.ceil(n * least - 1e-9).astype(np.int64) if isinstance(n, np.ndarray) else int(np.ceil(n * least - 1e-9))
+
+def bits(s: np.ndarray) -> np.ndarray:
+    """BITS bits, as longs, of a set that is not empty: two sets agree in one with the chance (1 + similarity) / 2."""
+    mixed = _least(s, slice(ROWS * BANDS, None)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return np.packbits((mixed >> np.uint64(63)).astype(np.uint8)).view(np.int64)
 
 
 def _mapped(docs: DataFrame, make, schema: str, names: list[str]) -> DataFrame:  # noqa: ANN001
@@ -62,18 +95,42 @@ def _lists(sets: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    return _mapped(docs, lambda texts: [_lists([shingles(t.as_py(), width) for t in texts])], "s array<long>", ["s"])
+def _sketched(docs: DataFrame, width: int) -> DataFrame:
+    """(id, n, name: of the set, bands) of documents with words."""
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        sets = [shingles(t.as_py(), width) for t in texts]
+        return [pa.array([len(s) for s in sets], pa.int32()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _lists([bands(s) if len(s) else s for s in sets])]
+
+    return _mapped(docs, make, "n int, name binary, bands array<long>", ["n", "name", "bands"]).where("n > 0")
+
+
+def _made(docs: DataFrame, ids: DataFrame, width: int, schema: str, *makes) -> DataFrame:  # noqa: ANN002
+    """(id, what makes give of the shingles) of the documents whose doc_id is in ids, written.
+
+    Texts are shuffled of these documents only: first a broadcast of the SIFT groups (by
+    hash) that their ids fall into leaves out most others, then the ids do.
+    """
+    ids = durable(ids, "ids")
+    group = F.pmod(F.xxhash64("doc_id"), F.lit(SIFT)).cast("int").alias("_group")
+    sifted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_group", group).join(F.broadcast(ids.select(group).distinct()), "_group", "left_semi")
+    texts = sifted.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+
+    def make(t: pa.Array) -> list[pa.Array]:
+        sets = [shingles(x.as_py(), width) for x in t]
+        return [_lists([f(s) if len(s) else s for s in sets]) for f in makes]
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    return durable(_mapped(texts, make, schema, names).dropDuplicates(["id"]), "made")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) of ids whose sets are similar."""
-    pairs = durable(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = durable(_sets(docs.join(ids, "doc_id", "left_semi"), width), "sets")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = _made(docs, ids, width, "s array<long>", lambda s: s)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= least * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b").distinct()
+    return both.where(common >= least * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
 
 
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -84,46 +141,54 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     return durable(comp.join(found, "component", "left").select("id", F.coalesce("_c", "component").alias("component")), "components")
 
 
+def _star(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of placed rows (h, id, n, component, bits) with different components: of each document
+    in a band and the first one, in an order that each turn has of its own."""
+    order = F.struct(F.xxhash64("id", F.lit(turn)).alias("x"), "id", "n", "component", "bits")
+    first = placed.groupBy("h").agg(F.min(order).alias("f"))
+    first = first.select("h", F.col("f.id").alias("a"), F.col("f.n").alias("na"), F.col("f.component").alias("ca"), F.col("f.bits").alias("sa"))
+    return placed.join(first, "h").where("component <> ca").select("a", "na", "sa", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("sb"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows of placed (h, component, ...) of bands whose rows are not of one component, written."""
+    lo_hi = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
+    return durable(placed.join(lo_hi, "h"), "mixed")
+
+
 def similar(docs: DataFrame, comp: DataFrame, width: int, least: float) -> DataFrame:
     """comp (id, component: the smallest id), its components joined where documents have
-    sets of `width`-word shingles of a Jaccard similarity of `least` or more."""
-    part = min(1.0, SAMPLE / max(docs.count(), 1))
-    few = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(part * 1_000_000))
-    often = _sets(few, width).select(F.explode("s").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(LAST).collect()
-    last = np.array([r.h for r in reversed(often)], np.int64)
-    order = np.argsort(last)
-    by_hash = last[order]
-
-    def firsts(texts: pa.Array) -> list[pa.Array]:
-        heads, sizes, names = [], [], []
-        for t in texts:
-            s = shingles(t.as_py(), width)
-            names.append(xxhash.xxh3_128_digest(s.tobytes()))
-            sizes.append(len(s))
-            if len(by_hash) and len(s):
-                at = np.minimum(np.searchsorted(by_hash, s), len(by_hash) - 1)
-                s = s[np.argsort(np.where(by_hash[at] == s, order[at] + 1, 0), kind="stable")]
-            heads.append(s[: len(s) - _least(len(s), least) + SHARED])
-        return [pa.array(sizes, pa.int32()), pa.array(names, pa.binary()), _lists(heads)]
-
-    met = durable(_mapped(docs, firsts, "n int, name binary, head array<long>", ["n", "name", "head"]).where("n > 0"), "heads")
+    sets of `width`-word shingles of a Jaccard similarity of `least` or more.
+
+    The bounds of the sketches are those for 0.8; for another least, all but the sure are
+    compared.  Documents without words have no set.  Rows that share an id are taken together.
+    """
+    met = durable(_sketched(docs, width), "sketches")
     reps = met.groupBy("name").agg(F.min("id").alias("rep"))
-    comp = _joined(comp, met.select("id", "name").join(reps, "name").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    alone = met.join(reps.select("name", F.col("rep").alias("id")), ["name", "id"]).dropDuplicates(["id", "name"])
-    size = lambda x, y: (F.least(x, y) >= least * F.greatest(x, y) - 1e-9)
-    enough: Column = F.least(F.lit(SHARED), F.ceil(least * F.greatest("na", "nb") - 1e-9))
-
-    def spread(comp: DataFrame) -> DataFrame:
-        return alone.join(comp.distinct(), "id").select("id", "n", "component", F.explode("head").alias("h"))
-
-    def differ(rows: DataFrame, more: Column) -> DataFrame:
-        return rows.where((F.col("ca") != F.col("cb")) & size(F.col("na"), F.col("nb")) & more).groupBy("a", "b", "na", "nb").count().where(F.col("count") >= enough).select("a", "b")
-
-    first = F.min(F.struct("id", "n", "component")).over(W.partitionBy("h"))
-    star = spread(comp).withColumn("f", first).select(F.col("f.id").alias("a"), F.col("id").alias("b"), F.col("f.n").alias("na"), F.col("n").alias("nb"), F.col("f.component").alias("ca"), F.col("component").alias("cb"))
-    comp = _joined(comp, _verified(differ(star, F.col("a") != F.col("b")), docs, width, least))
-    of_h = W.partitionBy("h")
-    mixed = durable(spread(comp).withColumn("lo", F.min("component").over(of_h)).withColumn("hi", F.max("component").over(of_h)).where("lo < hi").select("h", "id", "n", "component"), "mixed")
-    left = mixed.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = mixed.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return _joined(comp, _verified(differ(left.join(right, "h"), F.col("a") < F.col("b")), docs, width, least))
+    named = met.join(reps, "name")
+    comp = _joined(comp, named.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    alone = named.where("id = rep").dropDuplicates(["id", "name"]).join(comp.distinct(), "id").select("id", "n", "component", F.explode("bands").alias("h"))
+    mixed = _mixed(alone)
+    sketches = _made(docs, mixed.select(F.col("id").alias("doc_id")).distinct(), width, "bits array<long>, bands array<long>", bits, bands)
+    release(met)
+    mixed = durable(mixed.join(sketches, "id"), "mixed")
+    like = f"least(na, nb) >= {least}D * greatest(na, nb) - 1e-9D"
+    differ = "(" + " + ".join(f"bit_count(sa[{k}] ^ sb[{k}])" for k in range(BITS // 64)) + ")"
+    sure, most = (SURE, MOST) if least == 0.8 else (-1, BITS)
+    before = None
+    for turn in itertools.count():
+        by = mixed.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("twice"), F.sum("n").alias("n"))
+        pairs, rows = by.agg(F.sum(F.col("twice") / 2), F.sum("n")).first()
+        if not pairs or pairs <= SPARSE * rows or (before is not None and pairs > (1 - LITTLE) * before):
+            break
+        before = pairs
+        comp = _joined(comp, _star(mixed, turn).where(f"{like} AND {differ} <= {sure}").select("a", "b").distinct())
+        after = _mixed(mixed.drop("component").join(comp.distinct(), "id"))
+        release(mixed)
+        mixed = after
+    side = lambda x: [F.col("id").alias(x), F.col("n").alias("n" + x), F.col("component").alias("c" + x), F.col("bits").alias("s" + x), F.col("bands").alias("h" + x)]
+    # a pair comes of the first band that it shares
+    met = mixed.select("h", *side("a")).join(mixed.select("h", *side("b")), "h").where(f"ca < cb AND {like} AND {differ} <= {most} AND array_intersect(ha, hb)[0] = h")
+    left = durable(met.select("a", "b", F.expr(f"{differ} <= {sure}").alias("sure")).distinct(), "left")
+    doubt = _verified(left.where("NOT sure").select("a", "b"), docs, width, least)
+    return _joined(comp, left.where("sure").select("a", "b").unionByName(doubt))
