@@ -72,3 +72,10 @@ def plain(text: Column) -> Column:
     """Markdown as prose: without a first heading line, emphasis, code and list marks."""
     t = F.regexp_replace(text, r"\A\s*#{1,6}\s+[^\n]*\n?", "")
     return F.trim(F.regexp_replace(t, r"(?m)\*\*|\*|`|^#{1,6}\s+|^[-*]\s+", ""))
+
+
+def cite(source: Column, section: Column) -> Column:
+    """A hit's place without its first heading, which repeats the title."""
+    parts = F.filter(F.split(F.coalesce(section, F.lit("")), " > "), lambda x: x != "")
+    shown = F.when(F.size(parts) > 1, F.slice(parts, F.lit(2), F.size(parts))).otherwise(parts)
+    return F.concat_ws(" > ", F.array(source), shown)

@@ -68,19 +68,25 @@ def summary(index: DataFrame) -> DataFrame:
     return index.agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("files"))
 
 
-def under(counts: DataFrame, prefixes: DataFrame, slash: bool = True) -> DataFrame:
-    """(prefix, chunks): chunks of sources that are a prefix or lie under it (slash=False: just begin with it).
+def matched(counts: DataFrame, prefixes: DataFrame, slash: bool = False) -> DataFrame:
+    """(prefix, source, chunks) of sources that begin with a prefix (slash: are it or lie under it).
 
-    Prefixes are configured folders, a small table; with folder borders each folder of
-    a path is a key, so even many prefixes are an equi-join.
+    Each folder of a path (without slash: each beginning as long as some prefix) is a key, so
+    even many prefixes are an equi-join.
     """
-    if not slash:
-        hit = counts.join(F.broadcast(prefixes), F.startswith("source", "prefix"))
-        found = hit.groupBy("prefix").agg(F.sum("chunks").alias("chunks"))
-    else:
+    if slash:
         parts = F.split("source", "/")
-        keys = counts.select("chunks", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("prefix"))
-        found = keys.join(prefixes, "prefix").groupBy("prefix").agg(F.sum("chunks").alias("chunks"))
+        starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    else:
+        lengths = sorted(r.n for r in prefixes.select(F.length("prefix").alias("n")).distinct().collect())
+        known = F.array(*map(F.lit, lengths)).cast("array<int>") if lengths else F.expr("CAST(array() AS array<int>)")
+        starts = F.transform(F.filter(known, lambda n: n <= F.length("source")), lambda n: F.substring(F.col("source"), F.lit(1), n))
+    return counts.select("source", "chunks", F.explode(starts).alias("prefix")).join(prefixes.select("prefix").distinct(), "prefix").select("prefix", "source", "chunks")
+
+
+def under(counts: DataFrame, prefixes: DataFrame, slash: bool = True) -> DataFrame:
+    """(prefix, chunks): chunks of sources that are a prefix or lie under it (slash=False: just begin with it)."""
+    found = matched(counts, prefixes, slash).groupBy("prefix").agg(F.sum("chunks").alias("chunks"))
     return prefixes.join(found, "prefix", "left").select("prefix", F.coalesce("chunks", F.lit(0)).alias("chunks"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # What of a file is read for triples, and sources named for an entity.
@@ -35,9 +36,15 @@ def rebuild(edges: DataFrame, processed: DataFrame, files: DataFrame, fresh: Cal
 
 
 def entities(edges: DataFrame) -> DataFrame:
-    """(name, degree, sources): each edge counts for both its ends; five sources are named."""
-    ends = edges.select(F.explode(F.array("s", "o")).alias("name"), "source")
-    return ends.groupBy("name").agg(F.count("*").alias("degree"), F.slice(F.sort_array(F.collect_set("source")), 1, SOURCES_SHOWN).alias("sources"))
+    """(name, degree, sources): each edge counts for both its ends; five sources are named.
+
+    Only the first sources of a name are gathered, so an entity of most edges costs no more.
+    """
+    by_source = edges.select(F.explode(F.array("s", "o")).alias("name"), "source").groupBy("name", "source").agg(F.count("*").alias("n"))
+    degree = by_source.groupBy("name").agg(F.sum("n").alias("degree"))
+    nth = F.row_number().over(W.partitionBy("name").orderBy("source"))
+    named = by_source.select("name", "source").withColumn("nth", nth).where(F.col("nth") <= SOURCES_SHOWN).groupBy("name").agg(F.sort_array(F.collect_list("source")).alias("sources"))
+    return degree.join(named, "name").select("name", "degree", "sources")
 
 
 def neighbours(edges: DataFrame, entity: str) -> DataFrame:

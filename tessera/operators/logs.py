@@ -75,9 +75,12 @@ def ledger_rows(hits: DataFrame, tag: str = "memory") -> DataFrame:
 
 def citations(ledger: DataFrame) -> DataFrame:
     """(source, count, last_ts, queries): the queries are the last three, in order of (ts, ord)."""
-    one = F.struct("ts", "ord", "query")
-    asked = F.transform(F.slice(F.reverse(F.sort_array(F.collect_list(F.when(F.coalesce("query", F.lit("")) != "", one)))), 1, RECENT_QUERIES), lambda x: x.query)
-    return ledger.where("source <> ''").groupBy("source").agg(F.count("*").alias("count"), F.max("ts").alias("last_ts"), F.reverse(asked).alias("queries"))
+    mine = ledger.where("source <> ''")
+    nth = F.row_number().over(W.partitionBy("source").orderBy(F.desc("ts"), F.desc("ord")))
+    last = mine.where(F.coalesce("query", F.lit("")) != "").withColumn("nth", nth).where(F.col("nth") <= RECENT_QUERIES)
+    asked = last.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("nth")).alias("k"), "query"))), lambda x: x.query).alias("queries"))
+    counts = mine.groupBy("source").agg(F.count("*").alias("count"), F.max("ts").alias("last_ts"))
+    return counts.join(asked, "source", "left").select("source", "count", "last_ts", F.coalesce("queries", F.expr("CAST(array() AS array<string>)")).alias("queries"))
 
 
 def corrections(feedback: DataFrame) -> DataFrame:

@@ -17,12 +17,13 @@ Ask = Callable[[Column], Column]
 # Facts kept of a conversation, characters of it that are read, and the best relevance.
 FACTS, TRANSCRIPT, BEST = 3, 2000, 3
 
-CLAIMS = "array<struct<claim:string,status:string,excerpts:array<int>,cross_file:string,reason:string>>"
+CLAIM = "struct<claim:string,status:string,excerpts:array<int>,cross_file:string,reason:string>"
 
 
-def listed(reply: Column) -> Column:
-    """The outermost [...] of a reply, which may stand in prose or a fence."""
-    return F.regexp_extract(reply, r"(?s)\[.*\]", 0)
+def listed(reply: Column, item: str) -> Column:
+    """The items of one type in the outermost [...] of a reply, which may stand in prose or a fence; null without a list."""
+    found = F.from_json(F.regexp_extract(reply, r"(?s)\[.*\]", 0), "array<variant>")
+    return F.filter(F.transform(found, lambda x: F.try_variant_get(x, "$", item)), lambda x: x.isNotNull())
 
 
 def relevance(hits: DataFrame, queries: DataFrame, ask: Ask) -> DataFrame:
@@ -33,7 +34,7 @@ def relevance(hits: DataFrame, queries: DataFrame, ask: Ask) -> DataFrame:
     listing = F.array_join(F.transform("hs", lambda h, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), h["text"])), "\n\n")
     prompt = F.concat(F.lit(f"Rate how well each candidate answers the query, 0 (not) to {BEST} (fully). Reply with a JSON array of [number, rating] only.\n\nQuery: "), "asked", F.lit("\n\nCandidates:\n"), listing)
     rows = numbered.where(F.size("hs") >= 2).join(queries.select("query_id", F.col("text").alias("asked")), "query_id")
-    pairs = rows.select("query_id", "hs", F.from_json(listed(ask(prompt)), "array<array<double>>").alias("ps"))
+    pairs = rows.select("query_id", "hs", listed(ask(prompt), "array<double>").alias("ps"))
     one = pairs.select("query_id", "hs", F.explode(F.filter("ps", lambda p: F.size(p) == 2)).alias("p"))
     rated = one.select("query_id", F.get("hs", F.col("p")[0].cast("int"))["id"].alias("id"), F.col("p")[1].alias("score"))
     return rated.where("id IS NOT NULL").groupBy("query_id", "id").agg(F.max("score").alias("score"))
@@ -50,11 +51,11 @@ def similarity(hits: DataFrame, queries: DataFrame, score: Callable[[Column, Col
 def claims(replies: DataFrame) -> DataFrame:
     """(query_id, pos, claim, status, excerpts, cross_file, reason) of replies (query_id, reply)."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    rows = replies.select("query_id", F.posexplode(F.from_json(listed(F.col("reply")), CLAIMS)).alias("pos", "c")).select("query_id", "pos", "c.*")
+    rows = replies.select("query_id", F.posexplode(listed(F.col("reply"), CLAIM)).alias("pos", "c")).select("query_id", "pos", "c.*")
     return rows.where("claim IS NOT NULL").select("query_id", "pos", "claim", empty("status"), F.coalesce("excerpts", F.expr("CAST(array() AS array<int>)")).alias("excerpts"), empty("cross_file"), empty("reason"))
 
 
 def facts(replies: DataFrame) -> DataFrame:
     """(query_id, pos, title, text): the first facts with a text of replies (query_id, reply)."""
-    found = F.filter(F.from_json(listed(F.col("reply")), "array<struct<title:string,text:string>>"), lambda x: F.trim(F.coalesce(x["text"], F.lit(""))) != "")
+    found = F.filter(listed(F.col("reply"), "struct<title:string,text:string>"), lambda x: F.trim(F.coalesce(x["text"], F.lit(""))) != "")
     return replies.select("query_id", F.posexplode(F.slice(found, 1, FACTS)).alias("pos", "f")).select("query_id", "pos", "f.title", "f.text")

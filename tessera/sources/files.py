@@ -26,6 +26,16 @@ def supported_suffixes() -> list[str]:
     return sorted({*PLAIN, *HTML, *ORG, *BINARY} | (set(IMAGES) if importlib.util.find_spec("rapidocr_onnxruntime") else set()))
 
 
+def readable(name: str) -> bool:
+    return name.lower() in CHAT_EXPORTS or name.lower().endswith(tuple(supported_suffixes()))
+
+
+def optional_readers() -> dict[str, bool]:
+    """Kinds of files that need a package of their own, and whether it is there."""
+    there = lambda m: importlib.util.find_spec(m) is not None
+    return {"pdf": there("pypdf"), "images": there("rapidocr_onnxruntime"), "docx": True}
+
+
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
@@ -182,6 +192,14 @@ def scan(spark: SparkSession, sources: list[dict]) -> DataFrame:
     return documents_of(read.select(F.col("d.path").alias("path"), F.col("d.content").alias("raw"), F.col("d.tags").alias("given_tags"), "mtime", "chunk_size", "chunk_overlap"))
 
 
+def raw_notes(spark: SparkSession, root: str) -> DataFrame:
+    """path, text, mtime of the Markdown files below a root, as they stand; bytes that are no UTF-8 are replaced."""
+    read = _binary(spark, root.rstrip("/")).select(plain_path(F.col("path")).alias("path"), "content", F.col("modificationTime").cast("double").alias("mtime"))
+    below = F.substring("path", len(root.rstrip("/").removeprefix("file://")) + 2, 1 << 20)
+    kept = read.where(suffix(F.col("path")).isin(".md", ".markdown") & ~below.rlike(r"(?:^|/)\.") & ~F.substring_index("path", "/", -1).startswith("~$"))
+    return kept.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), "mtime")
+
+
 def load_one(spark: SparkSession, path: str, chunk_size: int | None = None, chunk_overlap: int | None = None) -> DataFrame:
     """The document of one file; no row if there is nothing but front matter."""
     docs = scan(spark, [{"path": path, "chunk_size": chunk_size, "chunk_overlap": chunk_overlap}])

@@ -6,17 +6,27 @@ import glob
 import os
 import re
 from dataclasses import dataclass, field
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import incremental, topics
+from tessera.sources import sinks
 
 # What a preset takes of a root folder; zcode falls back to everything.
 PRESETS = {"zcode": "projects/*/memory/*", "codex": "*", "generic": "**/*"}
 FALLBACK = frozenset(["zcode"])
 
+# Tools that are known, as (name, kind, display, icon, what shows that it is there, its memory).
+KNOWN = (
+    ("zcode", "zcode", "ZCode", "⚡", ["~/.zcode"], ["~/.zcode/cli/memories"]),
+    ("codex", "codex", "Codex", "🐙", ["~/.codex"], ["~/.codex/memories"]),
+    ("dsh", "generic", "DeepSeek Harness", "🐳", ["$DSH_HOME", "/Applications/DeepSeek Harness.app", "~/Applications/DeepSeek Harness.app"], ["$DSH_HOME"]),
+    ("claude", "codex", "Claude Code", "🧠", ["~/.claude"], ["~/.claude/memories", "~/.claude/CLAUDE.md"]),
+)
+
 
 @dataclass
 class Harness:
@@ -27,6 +37,18 @@ class Harness:
     display: str = ""
 
 
+def _full(path: str) -> str | None:
+    """~ and variables replaced; None where a variable is unset."""
+    out = os.path.expanduser(os.path.expandvars(path)).strip()
+    return out if out and not out.startswith("$") else None
+
+
+def discovered() -> list[Harness]:
+    """The known tools that this machine has."""
+    full = lambda paths: [p for x in paths if (p := _full(x))]
+    return [Harness(name, kind, full(memory), icon, display) for name, kind, display, icon, probes, memory in KNOWN if any(map(os.path.exists, full(probes)))]
+
+
 def configured(entries: list[dict], known: list[Harness] = ()) -> list[Harness]:
     """Tools found on the machine, overridden or joined by configured ones of the same name."""
     out = {h.name: h for h in known}
@@ -80,15 +102,42 @@ def files(spark: SparkSession, harnesses: list[Harness]) -> DataFrame:
     return both.select("owner", "path", F.substring_index("path", "/", -1).alias("name"), "content", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), "mtime", "size")
 
 
+def stored(spark: SparkSession, folder: Path) -> DataFrame:
+    """(owner, fingerprint) of the digests in a folder."""
+    found = []
+    for p in sorted(Path(folder).expanduser().glob("*.md")):
+        head = p.read_text(encoding="utf-8", errors="replace")[:4000]
+        of = {k: m[1].strip() for k in ("harness", "fingerprint") if (m := re.search(rf"(?m)^{k}:(.*)$", head))}
+        if len(of) == 2:
+            found.append((of["harness"], of["fingerprint"]))
+    return spark.createDataFrame(found, "owner string, fingerprint string")
+
+
+def write_digest(folder: Path, h: Harness, body: str, fingerprint: str, n: int, now: datetime | None = None) -> Path:
+    """The summary note of a tool, which says what it was made of."""
+    name, now = h.display or h.name, now or datetime.now()
+    head = f'---\ntags: [memory, harness, summary]\ntitle: {name} memory digest\nupdated: {now:%Y-%m-%d %H:%M}\nharness: {h.name}\ntype: {h.kind}\nicon: "{h.icon}"\nfingerprint: {fingerprint}\nfiles: {n}\n---\n'
+    path = Path(folder).expanduser() / f"{sinks.slug(h.name)}.md"
+    sinks.atomic_write(path, f"{head}# {name} · memory digest\n\n{body.strip()}\n")
+    return path
+
+
 def stats(spark: SparkSession, harnesses: list[Harness], index: DataFrame, stored: DataFrame) -> DataFrame:
-    """(owner, files, chars, last_updated, chunks, status): one row for each tool; stored: (owner, fingerprint)."""
+    """(owner, files, chars, last_updated, chunks, status, missing_roots): one row for each tool; stored: (owner, fingerprint)."""
     own = files(spark, harnesses)
-    names = spark.createDataFrame([(h.name,) for h in harnesses], "owner string")
+    names = spark.createDataFrame([(h.name, [r for r in h.roots if not glob.glob(r)]) for h in harnesses], "owner string, missing_roots array<string>")
+    return summed(names, own, [(h.name, prefix(r)) for h in harnesses for r in h.roots], incremental.per_source(index), stored)
+
+
+def summed(names: DataFrame, own: DataFrame, roots: list[tuple[str, str]], counts: DataFrame, stored: DataFrame) -> DataFrame:
+    """names (owner, missing_roots) with what files own (owner, path, name, content, mtime, size), and
+    chunks counted by source, say of them; roots: (owner, prefix)."""
+    spark = names.sparkSession
     sums = own.groupBy("owner").agg(F.count("*").alias("files"), F.sum("size").alias("chars"), F.max("mtime").alias("last_updated"))
-    roots = spark.createDataFrame([(h.name, prefix(r)) for h in harnesses for r in h.roots], "owner string, prefix string")
-    counts = incremental.per_source(index).join(F.broadcast(roots), F.startswith("source", "prefix")).select("owner", "source", "chunks").distinct()
-    chunks = counts.groupBy("owner").agg(F.sum("chunks").alias("chunks"))
+    known = spark.createDataFrame(roots, "owner string, prefix string").distinct()
+    hit = incremental.matched(counts, known.select("prefix").distinct()).join(known, "prefix").select("owner", "source", "chunks").distinct()
+    chunks = hit.groupBy("owner").agg(F.sum("chunks").alias("chunks"))
     fresh = topics.freshness(topics.fingerprints(own), stored)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     out = names.join(sums, "owner", "left").join(chunks, "owner", "left").join(fresh, "owner", "left")
-    return out.select("owner", zero("files"), zero("chars"), "last_updated", zero("chunks"), F.coalesce("status", F.lit("missing")).alias("status"))
+    return out.select("owner", zero("files"), zero("chars"), "last_updated", zero("chunks"), F.coalesce("status", F.lit("missing")).alias("status"), "missing_roots")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.engine import Config, Engine
 
@@ -93,3 +94,202 @@ def test_the_rest_works_without_the_optional_parts():
         "assert 'bm25_topk' in e.queries() and not any(q.startswith('op') for q in e.queries())\n"
     )
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+
+
+# ---- hooks and verbs ------------------------------------------------------------
+
+
+def vector_of(text):
+    """A hook's embedding: counts of three words."""
+    low = F.lower(text)
+    return F.array(*[F.size(F.regexp_extract_all(low, F.lit(rf"\b({w})\b"), F.lit(1))).cast("double") for w in ("apple", "ocean", "stone")], F.lit(0.01))
+
+
+def made(spark, tmp_path, **hooks):
+    notes = tmp_path / "notes"
+    notes.mkdir(exist_ok=True)
+    (notes / "a.md").write_text("# A\nword word word ocean ocean")
+    (notes / "b.md").write_text("# B\nword apple apple apple")
+    (notes / "c.md").write_text("# C\nword stone")
+    c = Config(sources=[{"path": str(notes)}], store=str(tmp_path / "index"), memories=str(tmp_path / "mem"), wiki=str(tmp_path / "wiki"), state=str(tmp_path / "state"), query_log=str(tmp_path / "q.jsonl"))
+    return Engine(spark, c, **hooks)
+
+
+def test_stored_vectors_decide(spark, tmp_path):
+    e = made(spark, tmp_path, embed=vector_of)
+    assert e.ingest() == {"added": 3, "pruned": 0}
+    hits = e.search("apple", 3, mode="vector").orderBy("rank").collect()
+    assert hits[0].source.endswith("b.md") and hits[0].distance < 0.01 < hits[1].distance
+    assert e.search(["ocean", "stone"], 1, mode="vector").count() == 2
+    # another model, or another length, is refused, and nothing is written
+    e.config.embed_model = "other"
+    with pytest.raises(ValueError, match="rebuild"):
+        e.ingest()
+    e.config.embed_model = "token-hash"
+    e._embed = lambda t: F.array(F.lit(1.0), F.lit(2.0))
+    with pytest.raises(ValueError, match="rebuild"):
+        e.ingest()
+    assert e.rebuild() == {"added": 3, "pruned": 0} and {len(r.vec) for r in e.index().collect()} == {2}
+    assert e.ingest() == {"unchanged": 3, "pruned": 0}
+
+
+def test_logs_of_searches(spark, tmp_path):
+    e = made(spark, tmp_path, label="me", role="editor")
+    e.ingest()
+    note = e.remember("A fact about the ocean.", "Ocean fact")
+    e.search("ocean fact", 2)
+    e.ask("ocean fact", 2)
+    log = e.queries().collect()
+    assert [(r.kind, r.query, r.label, r.role, r.hits) for r in log] == [("ask", "ocean fact", "me", "editor", 2), ("search", "ocean fact", "me", "editor", 2)] and log[0].top.startswith(note)
+    health = e.memory_health().first()
+    assert health.citations == 2 and health.recent_queries == ["ocean fact", "ocean fact"]
+    with pytest.raises(PermissionError):
+        e.audit()
+    e.role = "admin"
+    assert [r.action for r in e.audit().collect()] == ["remember"]
+    e.role = "viewer"
+    for verb in (e.ingest, lambda: e.remember("x"), lambda: e.forget("x"), e.digest):
+        with pytest.raises(PermissionError):
+            verb()
+
+
+def test_rewrites_are_merged_before_filters(spark, tmp_path):
+    e = made(spark, tmp_path)
+    e.ingest()
+    got = e.search("stone", 3, rewrite=lambda q: ["apple apple", 7, " "]).orderBy("rank").collect()
+    assert {r.source[-4:] for r in got[:2]} == {"b.md", "c.md"}
+    assert e.search("stone", 3, rewrite=lambda q: ["apple"], path_contains="b.md").count() == 1
+    assert e.search("stone", 3, rewrite=lambda q: 1 / 0).first().source.endswith("c.md")
+    assert e.search("stone", 3, rewrite=lambda q: "apple").count() == e.search("stone", 3).count()
+
+
+def test_reranking(spark, tmp_path):
+    reply = lambda p: F.when(p.contains("Query: word"), F.lit("Sure: [[0, 0], [1, 1], [2, 3], [9, 3], [1]]"))
+    e = made(spark, tmp_path, ask_column=reply, similarity=lambda q, p: F.length(p))
+    e.ingest()
+    plain = [r.source for r in e.search("word", 3).orderBy("rank").collect()]
+    assert [r.source for r in e.search("word", 3, rerank="model").orderBy("rank").collect()] == plain[::-1]
+    assert [r.source for r in e.search("apple word", 3, rerank="model").orderBy("rank").collect()] == [r.source for r in e.search("apple word", 3).orderBy("rank").collect()]
+    longest = e.search("word", 3, rerank="pairs").orderBy("rank").collect()
+    assert [len(r.text) for r in longest] == sorted((len(r.text) for r in longest), reverse=True)
+
+
+def test_verified_answers_and_chat(spark, tmp_path):
+    asked = []
+
+    def model(prompt):
+        asked.append(prompt)
+        if prompt.startswith("Check"):
+            return 'ok [{"claim": "it is", "status": "supported", "excerpts": [1]}]'
+        if prompt.startswith("List"):
+            return '[{"title": "T", "text": "a lasting fact"}, {"text": " "}, 3]' if "first" in prompt else "nothing"
+        return "the answer"
+
+    e = made(spark, tmp_path, ask=model)
+    e.ingest()
+    text = e.ask("apple", 1, verify=True)
+    assert text.startswith("the answer\n\nClaim-by-claim") and "✓ it is [excerpt 1]" in text
+    assert e.verify("q", " ", e.search("apple")) == "(nothing to verify)"
+    assert e.chat("first apple") == "the answer" and e.memories().first().title == "T"
+    e.chat("second apple")
+    assert "User: first apple" in next(p for p in reversed(asked) if "Question: second" in p)
+    for i in range(6):
+        e.chat(f"apple {i}")
+    assert len(e._history) == 8 and e.memories().count() == 1
+    e.clear()
+    assert e._history == []
+    e._ask = lambda p: 1 / 0
+    assert e.extract("x") == [] and "no claims" in e.verify("q", "a", e.search("apple"))
+
+
+def test_graph_is_incremental(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def reply(prompt):
+        return F.concat(F.lit('[["'), F.regexp_extract(prompt, r"# (\w)", 1), F.lit('", "has", "word"]]'))
+
+    e = made(spark, tmp_path, ask_column=reply)
+    e.ingest()
+    assert {(r.s, r.o) for r in e.graph().collect()} == {("A", "word"), ("B", "word"), ("C", "word")}
+    (tmp_path / "notes/a.md").unlink()
+    (tmp_path / "notes/b.md").write_text("# D\nword")
+    e.ingest()
+    assert {r.s for r in e.graph("word").collect()} == {"C", "D"} and e.hubs().first().name == "word"
+    assert seen.value == 0
+    assert "C has word" not in e.wiki("stone") and e.sources().collect()
+
+
+def test_governance(spark, tmp_path):
+    e = made(spark, tmp_path)
+    n = tmp_path / "notes"
+    (n / "old.md").write_text("---\n# a comment: no\nSuperseded_By: '[[new|x]]'\ntitle: The Rule\n---\ntext")
+    (n / "new.markdown").write_text("---\nsupersedes: gone.md\nTITLE: the rule\n---\n\n# Heading\nother")
+    (n / "lost.md").write_text("---\nreplaced_by: nowhere\n---\nno title")
+    (n / ".hidden").mkdir()
+    (n / ".hidden/x.md").write_text("---\nsupersedes: y\n---\n")
+    got = {(r.category, r.file, r.detail) for r in e.governance(now=0).collect()}
+    assert got == {("superseded_live", "old.md", "new"), ("superseded_live", "lost.md", "nowhere"), ("dangling", "new.markdown", "gone"), ("duplicate_truth", "new.markdown, old.md", "the rule")}
+    late = e.governance(now=4e9).where("category = 'stale'")
+    assert late.count() == 6 and late.first().n == 6
+
+
+def test_upload_texts_doctor(spark, tmp_path):
+    e = made(spark, tmp_path)
+    e.ingest()
+    path = e.upload("../new note.md", b"# New\nuploaded words")
+    assert path == str(tmp_path / "notes/new note.md") and e.search("uploaded", 1).first().source == path
+    assert e.upload("new note.md", b"# Other").endswith("new note-2.md")
+    for name, raw in (("x.exe", b""), (".x.md", b""), ("big.md", b"x" * (16 * 1024 * 1024 + 1))):
+        with pytest.raises(ValueError):
+            e.upload(name, raw)
+    assert [r.text for r in e.texts_of(path).collect()] == ["# New\nuploaded words"] or e.texts_of(path).count() == 1
+    found = {c["check"]: c["ok"] for c in e.doctor()}
+    assert found["source folder"] and not found["embedding hook"] and found["index"]
+    assert e.sources().first().chunks == 5
+
+
+def test_snapshots_are_collected(spark, tmp_path):
+    e = made(spark, tmp_path)
+    for i in range(4):
+        (tmp_path / "notes/a.md").write_text(f"# A\nversion {i}")
+        e.ingest()
+        e.search("version")
+    assert len(list((tmp_path / "index/chunks/snapshots").iterdir())) == 2 and len(list((tmp_path / "index/lexical").iterdir())) <= 2
+    assert e.search("version 3", 1).first().text.endswith("version 3")
+
+
+def test_digests(spark, tmp_path):
+    root = tmp_path / "tool"
+    root.mkdir()
+    (root / "m.md").write_text("a memory")
+    e = made(spark, tmp_path, ask=lambda p: "summary of " + p.split("\n")[-1] if "a memory" in p or "changed" in p else "?")
+    e.config.harness = [{"name": "mine", "paths": [str(root), str(tmp_path / "no")]}]
+    e._tools = lambda: __import__("tessera.sources.harness", fromlist=["x"]).configured(e.config.harness)
+    e.ingest()
+    assert e.harness().first().status == "missing" and e.harness().first().missing_roots == [str(tmp_path / "no")]
+    assert e.digest() == {"mine": "written"} and e.digest() == {"mine": "unchanged"} and e.harness().first().status == "fresh"
+    (root / "m.md").write_text("changed")
+    assert e.harness().first().status == "stale" and e.digest() == {"mine": "written"}
+    e._ask = lambda p: 1 / 0
+    assert e.digest(force=True) == {"mine": "error"}
+
+
+def test_drift_and_bench(spark, tmp_path):
+    e = made(spark, tmp_path)
+    e.ingest()
+    for _ in range(4):
+        e.search("apple")
+    assert e.drift(pin=True).count() == 0
+    for i in range(8):
+        e.log_query(f"none {i}", 0, "", 1.0)
+    assert [r.kind for r in e.drift().collect()][0] in ("zero_hit_spike", "fewer_hits")
+    cases = spark.createDataFrame([(5, "apple", "b.md"), (9, "stone", "zzz")], "query_id long, query string, expect string")
+    assert {(r.variant, r.found, r.cases) for r in e.bench(cases).collect()} == {(m, 1, 2) for m in ("hybrid", "vector", "lexical")}
+
+
+def test_demo_scores_the_whole_corpus(spark, tmp_path):
+    e = made(spark, tmp_path)
+    e.ingest()
+    every = {r.source: r.score for r in e.demo("word", 3).collect()}
+    one = e.demo("word", 3, path_contains="c.md").collect()
+    assert len(one) == 1 and one[0].score == every[one[0].source] and one[0].cite.endswith("c.md > C") and one[0].preview == "word stone"

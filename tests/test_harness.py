@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from tessera import cli
+from tessera.operators import access
 from tessera.sources import harness
 
 
@@ -42,4 +43,4 @@ def test_command_line(spark, tmp_path, capsys):
     assert '{"a": 1}' in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.since(spark, "last week")
-    assert cli.allowed("admin", "editor") and not cli.allowed("viewer", "editor") and not cli.allowed("x", "viewer")
+    assert access.allowed("admin", "editor") and not access.allowed("viewer", "editor") and not access.allowed("x", "viewer")
