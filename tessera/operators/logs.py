@@ -27,6 +27,17 @@ def p95_exclusive(values: Column) -> Column:
     return F.when(n >= P95_LEAST, cut)
 
 
+def p95_by(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, p95) as p95_exclusive() has it, from the two ranks that it needs: no group's values are gathered."""
+    n = rows.groupBy(key).agg(F.count(value).alias("n")).withColumn("at", F.least(F.greatest((F.lit(19) * (F.col("n") + 1) / 20).cast("int"), F.lit(1)), F.col("n") - 1))
+    ranked = rows.where(F.col(value).isNotNull()).select(key, value, F.row_number().over(W.partitionBy(key).orderBy(value)).alias("nth"))
+    two = ranked.join(n, key).where((F.col("nth") == F.col("at")) | (F.col("nth") == F.col("at") + 1))
+    share = F.lit(19) * (F.col("n") + 1) - F.col("at") * 20
+    part = F.col(value) * F.when(F.col("nth") == F.col("at"), 20 - share).otherwise(share) / 20
+    cut = two.groupBy(key, "n").agg(F.sum(part).alias("p95"))
+    return n.select(key).join(cut, key, "left").select(key, F.when(F.col("n") >= P95_LEAST, F.col("p95")).alias("p95"))
+
+
 def quality_snapshot(queries: DataFrame, feedback: DataFrame, window: int = QUALITY_WINDOW, order: str = "ord") -> DataFrame:
     """One row about the last `window` queries (hits, ms) and all feedback (verdict)."""
     last = queries.orderBy(F.desc(order)).limit(window)
@@ -120,11 +131,15 @@ def in_range(ts: Column, span: str, today: str) -> Column:
     return day == end if back == 0 else day >= F.date_sub(end, back)
 
 
-def cards(log: DataFrame) -> DataFrame:
-    """One row: total, searches, asks, avg_hits, zero_pct, warn."""
+SPANS = ("today", "7d", "30d", "all")
+
+
+def cards(log: DataFrame, by: str | None = None) -> DataFrame:
+    """One row (for each value of by): total, searches, asks, avg_hits, zero_pct, warn."""
     hits = F.coalesce("hits", F.lit(0))
     zero = F.coalesce(F.round(100 * F.try_divide(F.count_if(hits == 0), F.count("*"))).cast("long"), F.lit(0))
-    return log.agg(
+    grouped = log.groupBy(by) if by else log.groupBy()
+    return grouped.agg(
         F.count("*").alias("total"),
         F.count_if(F.col("kind") == "search").alias("searches"),
         (F.count("*") - F.count_if(F.col("kind") == "search")).alias("asks"),
@@ -134,6 +149,12 @@ def cards(log: DataFrame) -> DataFrame:
     )
 
 
+def cards_by_span(log: DataFrame, today: str) -> DataFrame:
+    """(span, cards) of all spans in one pass; a span without rows has none."""
+    spans = F.array_compact(F.array(*[F.when(in_range(F.col("ts"), s, today), F.lit(s)) for s in SPANS]))
+    return cards(log.select("ts", "kind", "hits", F.explode(spans).alias("span")), "span")
+
+
 def top_queries(log: DataFrame, n: int = TOP) -> DataFrame:
     q = F.lower(F.trim("query"))
     return log.where(q != "").groupBy(q.alias("query")).agg(F.count("*").alias("n"), F.sum(F.coalesce("hits", F.lit(0))).alias("hits")).orderBy(F.desc("n"), "query").limit(n)
@@ -182,3 +203,9 @@ def matching(log: DataFrame, needle: str, label: str | None = None) -> DataFrame
     low = needle.strip().lower()
     cond = F.exists(F.array("query", "top", "label", "kind", "role"), lambda x: F.contains(F.lower(F.coalesce(x, F.lit(""))), F.lit(low))) if low else F.lit(True)
     return log.where(cond & ((F.col("label") == label) if label else F.lit(True)))
+
+
+def state_records(rows: DataFrame, prefix: str = "", n: int | None = None) -> DataFrame:
+    """State records (type, key, mtime, ...) of types that begin with a prefix, newest first, ties by type and key."""
+    found = rows.where(F.col("type").startswith(prefix)).orderBy(F.desc("mtime"), "type", "key")
+    return found.limit(n) if n is not None else found

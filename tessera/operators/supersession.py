@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.scratch import durable
+
 # Front-matter keys by direction.
 FORWARD = ("supersedes", "superseded", "replaces")
 BACKWARD = ("superseded_by", "superseded-by", "replaced_by")
 
-#: Steps of a chain that are followed at most; a longer one is an error, not a cut.
-DEPTH = 1000
-
 
 def collect(notes: DataFrame) -> DataFrame:
     """stem, path, supersedes, superseded_by, effective of notes (ord, stem, path and the
@@ -37,34 +36,42 @@ def collect(notes: DataFrame) -> DataFrame:
     return full.select("stem", empty("path").alias("path"), empty("supersedes").alias("supersedes"), F.coalesce(F.nullif("superseded_by", F.lit("")), "implied", F.lit("")).alias("superseded_by"), empty("effective").alias("effective"))
 
 
-def chains(table: DataFrame, starts: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
+def _walk(steps: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, pos, stem): where each start gets along steps (stem, next), from itself at 0 until
+    there is no next or a stem comes again.
+
+    Steps are doubled: after the k-th round a jump is 2 ** k steps, and the lines are twice as
+    long.  So a line of n needs log2(n) rounds, each of them a written table.
+    """
+    lines = starts.select(F.col("stem").alias("start"), "stem", F.lit(0).alias("pos")).distinct()
+    jumps, size, known = steps, 1, None
+    while True:
+        seen = Observation()
+        lines = durable(lines.observe(seen, F.count(F.lit(1)).alias("n")), "lines")
+        if seen.get["n"] == known:
+            return lines
+        known = seen.get["n"]
+        further = lines.join(jumps, "stem").select("start", F.col("next").alias("stem"), (F.col("pos") + size).alias("pos"))
+        lines = lines.unionByName(further).groupBy("start", "stem").agg(F.min("pos").alias("pos"))
+        jumps = durable(jumps.join(jumps.select(F.col("stem").alias("next"), F.col("next").alias("_n")), "next").select("stem", F.col("_n").alias("next")), "jumps")
+        size *= 2
+
+
+def chains(table: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(start, pos, stem, effective): the whole line of each start (default: every note),
     oldest first from 0.
 
     Back along supersedes to the first decision, then along superseded_by to the
-    last; a cycle stops at the repeat.  One recursive query for all starts.
+    last; a cycle stops at the repeat.
     """
-    spark = table.sparkSession
-    table.createOrReplaceTempView("_tessera_supersession")
-    (starts if starts is not None else table.select("stem")).createOrReplaceTempView("_tessera_starts")
-    return spark.sql(f"""
-        WITH RECURSIVE back(start, stem, seen, n) MAX RECURSION LEVEL {depth} AS (
-            SELECT s.stem, s.stem, array(s.stem), 0 FROM _tessera_starts s JOIN _tessera_supersession t ON t.stem = s.stem
-            UNION ALL
-            SELECT b.start, p.stem, array_append(b.seen, p.stem), b.n + 1
-            FROM back b JOIN _tessera_supersession t ON t.stem = b.stem JOIN _tessera_supersession p ON p.stem = t.supersedes
-            WHERE NOT array_contains(b.seen, p.stem)
-        ), root AS (
-            SELECT start, max_by(stem, n) AS stem FROM back GROUP BY start
-        ), line(start, stem, seen, pos) MAX RECURSION LEVEL {depth} AS (
-            SELECT start, stem, array(stem), 0 FROM root
-            UNION ALL
-            SELECT l.start, n.stem, array_append(l.seen, n.stem), l.pos + 1
-            FROM line l JOIN _tessera_supersession t ON t.stem = l.stem JOIN _tessera_supersession n ON n.stem = t.superseded_by
-            WHERE NOT array_contains(l.seen, n.stem)
-        )
-        SELECT l.start, CAST(l.pos AS BIGINT) AS pos, l.stem, t.effective FROM line l JOIN _tessera_supersession t ON t.stem = l.stem
-    """)
+    t = durable(table.select("stem", "supersedes", "superseded_by", "effective"), "supersession")
+    there = t.select(F.col("stem").alias("next"))
+    steps = lambda c: durable(t.where(F.col(c) != "").select("stem", F.col(c).alias("next")).join(there, "next").select("stem", "next"), "steps")
+    known = starts.select("stem").join(t, "stem", "left_semi") if starts is not None else t.select("stem")
+    back = _walk(steps("supersedes"), known)
+    roots = durable(back.groupBy("start").agg(F.max_by("stem", "pos").alias("root")), "roots")
+    lines = _walk(steps("superseded_by"), roots.select(F.col("root").alias("stem"))).withColumnRenamed("start", "root")
+    return roots.join(lines, "root").join(t.select("stem", "effective"), "stem").select("start", F.col("pos").cast("long").alias("pos"), "stem", "effective")
 
 
 def current(chained: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from tessera.functions import text as T
 from tessera.operators import governance, logs, topics
 from tessera.plans.catalog import query, table
 from tessera.plans.sql import TOKENS
+from tessera.sources import harness
 
 #: The log's last day and moment.
 TODAY, NOW = "2024-01-30", 1706659200.0
@@ -69,8 +70,8 @@ def quality_drift(spark, d):
 
 @query(f"SELECT kind, round({P95}, 6) AS p95 FROM (SELECT kind, s, greatest(1, least(len(s) - 1, (19 * (len(s) + 1)) // 20)) AS j FROM (SELECT event_type AS kind, list_sort(list(value)) AS s FROM events GROUP BY event_type))")
 def p95_exclusive(spark, d):
-    e = table(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.collect_list("value").alias("v"))
-    return e.select("kind", F.round(logs.p95_exclusive(F.col("v")), 6).alias("p95"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("kind"), "value")
+    return logs.p95_by(e, "kind", "value").select("kind", F.round("p95", 6).alias("p95"))
 
 
 LEDGER = "SELECT event_id AS ord, epoch(ts) AS ts, 'mem/' || user_id || '.md' AS source, CASE WHEN event_type = 'click' THEN '' ELSE event_type || ' ' || event_id END AS query FROM events"
@@ -173,12 +174,7 @@ def gov_report(spark, d):
 @query(f"""WITH log AS ({LOG}) SELECT span, count(*) AS total, count_if(kind = 'search')::BIGINT AS searches, count_if(kind <> 'search')::BIGINT AS asks, round(avg(hits), 1) AS avg_hits, round(100 * count_if(hits = 0) / count(*))::BIGINT AS zero_pct, round(100 * count_if(hits = 0) / count(*)) >= 30 AS warn
 FROM log JOIN (VALUES ('today', '2024-01-30'), ('7d', '2024-01-24'), ('30d', '2024-01-01'), ('all', '')) v(span, first) ON ts[1:10] >= first GROUP BY span""")
 def dashboard_cards(spark, d):
-    rows = log(spark, d)
-    out = None
-    for span in ("today", "7d", "30d", "all"):
-        one = logs.cards(rows.where(logs.in_range(F.col("ts"), span, TODAY))).select(F.lit(span).alias("span"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return logs.cards_by_span(log(spark, d), TODAY)
 
 
 @query(f"WITH log AS ({LOG}) SELECT lower(trim(query)) AS query, count(*) AS n, sum(hits)::BIGINT AS hits FROM log GROUP BY 1 ORDER BY n DESC, 1 LIMIT 8")
@@ -229,7 +225,7 @@ def recent_log(spark, d):
 def state_list(spark, d):
     """Newest first, ties by type and key; one type prefix, 50 rows."""
     rows = table(spark, d, "customer").select(F.format_string("%s-%d", F.when(F.col("c_mktsegment").startswith("A"), "a").otherwise("b"), "c_nationkey").alias("type"), F.col("c_custkey").cast("string").alias("key"), (F.col("c_custkey") % 10).cast("double").alias("mtime"))
-    return rows.where(F.col("type").startswith("a")).orderBy(F.desc("mtime"), "type", "key").limit(50)
+    return logs.state_records(rows, "a", 50)
 
 
 @query(f"SELECT query_id, source FROM (SELECT DISTINCT 0::BIGINT AS query_id, 'mem/' || user_id || '.md' AS source FROM events WHERE event_type = 'view')")
@@ -276,9 +272,15 @@ def digest_freshness(spark, d):
     return topics.freshness(now, stored)
 
 
-@query("SELECT source AS owner, count(*) AS files, sum(strlen(text))::BIGINT AS chars, max(doc_id) AS last FROM documents GROUP BY source")
+@query("""SELECT source AS owner, count(*) AS files, sum(strlen(text))::BIGINT AS chars, max(doc_id)::DOUBLE AS last_updated, sum(doc_id % 3)::BIGINT AS chunks, CASE WHEN source LIKE 'src1%' THEN 'fresh' ELSE 'missing' END AS status, CASE WHEN source = 'src2' THEN '/no' ELSE '' END AS missing_roots FROM documents GROUP BY source""")
 def harness_stats(spark, d):
-    return table(spark, d, "documents").groupBy(F.col("source").alias("owner")).agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("chars"), F.max("doc_id").alias("last"))
+    """The folders of the notes as tools' memories, some with a stored digest, one with a root that is missing."""
+    own = contents(spark, d).join(table(spark, d, "documents").select(F.format_string("%s/%d.md", "source", "doc_id").alias("path"), F.col("doc_id").cast("double").alias("mtime"), F.octet_length("text").alias("size")), "path")
+    owners = [r.owner for r in own.select("owner").distinct().collect()]
+    names = spark.createDataFrame([(o, ["/no"] if o == "src2" else []) for o in owners], "owner string, missing_roots array<string>")
+    counts = table(spark, d, "documents").select(F.format_string("%s/%d.md", "source", "doc_id").alias("source"), (F.col("doc_id") % 3).alias("chunks"))
+    stored = topics.fingerprints(own).where("owner LIKE 'src1%'")
+    return harness.summed(names, own, [(o, f"{o}/") for o in owners], counts, stored).withColumn("missing_roots", F.array_join("missing_roots", ","))
 
 
 _ = TOKENS

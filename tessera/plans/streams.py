@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import time
 import uuid
 
 from pyspark.sql import functions as F
 
 from tessera.plans.catalog import query, table
+from tessera.scratch import scratch_path
 from tessera.streaming import watch
 
 
 def scratch(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tessera-scratch"
-    return f"{root}/streams/{uuid.uuid4().hex}"
+    return scratch_path(spark, "streams")
 
 
 def log_stream(spark, d):
@@ -60,9 +60,16 @@ def stream_watch_batch(spark, d):
         fresh = seen.where("status <> 'unchanged'").select(F.col("path").alias("source"), "doc_id", "hash", F.when(F.col("status") == "added", "kept").otherwise("changed").alias("state"))
         index.replace(fresh if old is None else incremental.upsert(incremental.prune(old, now), fresh))
 
-    beats = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
-    q = beats.writeStream.foreachBatch(lambda _, n: one_pass(states[n]) if n < len(states) else None).option("checkpointLocation", scratch(spark)).start()
-    while q.isActive and (q.lastProgress is None or q.lastProgress["batchId"] < len(states)):
-        q.awaitTermination(1)
+    done = iter(states)
+
+    def beat() -> None:
+        if (now := next(done, None)) is not None:
+            one_pass(now)
+            passed.append(1)
+
+    passed: list[int] = []
+    q = watch.watch(spark, beat, watch.LEAST_INTERVAL, scratch(spark))
+    while q.isActive and len(passed) < len(states):
+        time.sleep(0.2)
     q.stop()
     return index.read().select("doc_id", "state")
