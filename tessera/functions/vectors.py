@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from tessera.functions.text import tokens
 
 #: Fixed value: dimensions of the token-hash embedding.
 DIMENSIONS = 128
+# Dimensions, start and factor of the 64-bit FNV-1a embedding.
+FNV_DIMENSIONS, FNV_START, FNV_TIMES = 64, 0xCBF29CE484222325, 0x100000001B3
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,9 +29,36 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def token_bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
-    """md5 of the token modulo a power of two up to 256."""
-    return (F.conv(F.right(F.md5(token), F.lit(2)), 16, 10).cast("int") % dimensions).cast("int")
+def token_bucket(token: Column, dimensions: int = DIMENSIONS, digest: str = "md5") -> Column:
+    """md5 or sha256 of the token modulo a power of two up to 256."""
+    hashed = F.md5(token) if digest == "md5" else F.sha2(token, 256)
+    return (F.conv(F.right(hashed, F.lit(2)), 16, 10).cast("int") % dimensions).cast("int")
+
+
+def hash_vector(text: Column, dimensions: int = DIMENSIONS, digest: str = "md5") -> Column:
+    """The unit vector that counts a text's different tokens by bucket; zeros for a text without tokens."""
+    buckets = F.transform(F.array_distinct(tokens(text)), lambda t: token_bucket(t, dimensions, digest))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(buckets, lambda x: x == i)).cast("double"))
+    return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm(counts)), F.lit(0.0)))
+
+
+def _fnv(texts: pa.Array) -> pa.Array:
+    out = np.zeros((len(texts), FNV_DIMENSIONS))
+    for row, text in zip(out, texts.to_pylist(), strict=True):
+        for word in (text or "").split():
+            h = FNV_START
+            for byte in word.encode():
+                h = (h ^ byte) * FNV_TIMES % (1 << 64)
+            row[h % FNV_DIMENSIONS] += 1
+        if row.any():
+            row /= np.linalg.norm(row)
+    return pa.array(list(out), pa.list_(pa.float64()))
+
+
+def fnv_vector(text: Column) -> Column:
+    """The unit vector that counts a text's blank-separated words, each time they occur, by FNV-1a; a
+    64-bit product that wraps, so Arrow batches."""
+    return F.arrow_udf(_fnv, "array<double>")(text)
 
 
 def hash_embedding(docs: DataFrame, id_col: str, text_col: str, dimensions: int = DIMENSIONS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import cosine_distance, hash_embedding
+from tessera.functions.vectors import cosine_distance, hash_embedding, hash_vector
 from tessera.operators import retrieve
 from tessera.plans import sql
 from tessera.plans.catalog import query, table
@@ -52,6 +52,14 @@ def hash_embed_norm(spark, d):
     return v.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("buckets"), F.round(F.max("weight"), 6).alias("heaviest"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("norm"))
 
 
+@query(f"""WITH t AS (SELECT item_id, unnest(list_distinct({sql.TOKENS})) AS t FROM benchmark), b AS (SELECT item_id, ('0x' || right(sha256(t), 2))::INT AS b, count(*) AS n FROM t GROUP BY ALL)
+SELECT item_id, b::BIGINT AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)::DOUBLE), 9) AS weight FROM b""")
+def hash_vector_sha256(spark, d):
+    """The 256-dimensional embedding as a dense vector, its non-zero components."""
+    v = table(spark, d, "benchmark").select("item_id", F.posexplode(hash_vector(F.col("text"), 256, "sha256")).alias("bucket", "weight"))
+    return v.where("weight > 0").select("item_id", "bucket", F.round("weight", 9).alias("weight"))
+
+
 @query(f"WITH {sql.QUERIES}, {sql.HASHED} SELECT query_id, id AS doc_id, round(distance, 4) AS distance, rank FROM vec WHERE rank <= 20")
 def vector_channel(spark, d):
     return retrieve.hashed_top_k(documents(spark, d), asked(spark), 20).select("query_id", F.col("id").alias("doc_id"), F.round("distance", 4).alias("distance"), "rank")
