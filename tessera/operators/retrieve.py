@@ -25,6 +25,8 @@ from tessera.operators import lexical
 RRF_K, TOP_K, OVER_FETCH, BAD_RATING, PENALTY_SHARE, MISSING_DISTANCE = 60, 5, 4, 0.5, 0.3, 0.5
 #: Queries that one dense search broadcasts at most.
 QUERY_BLOCK = 4096
+#: Queries up to which token hashes are compared without Python.
+FEW_QUERIES = 16
 #: Queries with identifiers that are broadcast at most.
 LITERAL_QUERIES = 10_000
 
@@ -111,12 +113,15 @@ def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "id
 def hashed_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The dense channel with token-hash embeddings: (query_id, id, distance, rank) for docs (id, text).
 
-    The JVM gives each text's buckets; they become vectors batch by batch, so nothing of
-    the documents is shuffled but each batch's best.
+    Each text's buckets are found once; a few queries are then held against them in the
+    JVM, more of them by matrix products.  Nothing of the documents is shuffled but the best.
     """
     buckets = lambda text: F.transform(F.array_distinct(T.tokens(text)), lambda t: token_bucket(t).cast("int"))
     dims = F.sequence(F.lit(0), F.lit(DIMENSIONS - 1))
     asked = queries.select("query_id", buckets(F.col("text")).alias("b")).select("query_id", F.transform(dims, lambda i: F.size(F.filter("b", lambda x: x == i)).cast("double")).alias("vec"))
+    part = docs.where(F.col("text").isNotNull()).select(F.col("id").cast("long").alias("id"), buckets(F.col("text")).alias("b"))
+    if queries.count() <= FEW_QUERIES:
+        return _held_against(part, asked, max(k, 1)).where(F.col("rank") <= k)
 
     def counted(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
@@ -124,10 +129,24 @@ def hashed_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         np.add.at(out, (np.repeat(np.arange(len(lists)), lengths), lists.flatten().to_numpy(zero_copy_only=False)), 1)
         yield np.arange(len(lists)), out
 
-    part = docs.where(F.col("text").isNotNull()).select(F.col("id").cast("long").alias("id"), buckets(F.col("text")).alias("b"))
     return _nearest(part, asked, max(k, 1), counted).where(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
 
 
+def _held_against(part: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, distance, rank) of part (id, b: buckets) and a few queries (query_id, vec), in Catalyst."""
+    # squares of the bucket counts, from the sorted buckets: the n-th of a run adds 2 n - 1
+    start = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"))
+    n = lambda acc, x: F.when(acc["at"] == x, acc["n"] + 1).otherwise(1)
+    square = F.aggregate(F.array_sort("b"), start, lambda acc, x: F.struct(x.alias("at"), n(acc, x).alias("n"), (acc["sum"] + 2 * n(acc, x) - 1).cast("double").alias("sum")), lambda acc: acc["sum"])
+    length = F.aggregate("vec", F.lit(0.0), lambda t, x: t + x * x)
+    few = asked.select("query_id", "vec", F.sqrt(length).alias("long")).where("long > 0")
+    both = part.select("id", "b", F.sqrt(square).alias("size")).join(F.broadcast(few))
+    dot = F.aggregate("b", F.lit(0.0), lambda t, x: t + F.get("vec", x))
+    near = both.select("query_id", "id", F.round(1 - F.try_divide(dot, F.col("size") * F.col("long")), 9).alias("distance"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "id"))
+    return near.withColumn("rank", rank).where((F.col("rank") <= k) & F.col("distance").isNotNull())
+
+
 def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int, tokenizer: str = "default", index: lexical.LexicalIndex | None = None) -> DataFrame:
     scored = index.scores(queries) if index else lexical.search(docs, queries, name=tokenizer)
     return lexical.top_k(scored, k).select("query_id", "id", "score", "rank")

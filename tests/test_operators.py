@@ -122,3 +122,18 @@ def test_triples(spark):
 def test_plain(spark):
     t = "# Head\n**bold** `code`\n- item"
     assert frame(spark, [(t,)], "t string").select(answers.plain(F.col("t")).alias("p")).first().p == "bold code\nitem"
+
+
+def test_few_and_many_queries_agree(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(i % 9))) for i in range(60)] + [(99, None)], "id long, text string")
+    asked = spark.createDataFrame([(0, "w1 w2 w3"), (1, "w5 w5 w16"), (2, "")], "query_id long, text string")
+    few = sorted(map(tuple, retrieve.hashed_top_k(docs, asked, 7).select("query_id", "id", "distance", "rank").collect()))
+    monkeypatch.setattr(retrieve, "FEW_QUERIES", 0)
+    assert sorted(map(tuple, retrieve.hashed_top_k(docs, asked, 7).collect())) == few and len(few) == 14
+
+
+def test_vectors_of_two_lengths(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [0.5, 0.5])], "id long, vec array<double>")
+    asked = spark.createDataFrame([(0, [2.0, 0.0]), (1, [0.0, 0.0, 3.0]), (2, None)], "query_id long, vec array<double>")
+    got = {(r.query_id, r.id): r["rank"] for r in retrieve.dense_top_k(corpus, asked, 5).collect()}
+    assert got == {(0, 1): 1, (0, 6): 2, (1, 2): 1}
