@@ -55,8 +55,6 @@ def test_recall_and_rank(spark, engine):
     hits = engine.search([q for q, _ in CASES], 5)
     m = evaluation.metrics(evaluation.first_ranks(cases, hits)).first()
     assert m.cases == 28 and min(m.recall_at_1, m.recall_at_5, m.mrr) >= 27 / 28 - 1e-6
-    by = {r.variant: r.found for r in engine.bench(cases).collect()}
-    assert by["hybrid"] == 28 and by["hybrid"] >= by["vector"]
 
 
 def test_exact_evidence(spark, engine):
