@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import crf, embedding_dedup, html, language, line_dedup, mixing, packing, rules, simhash, token_counts
+from tessera.llm import crf, embedding_dedup, html, importance, language, line_dedup, mixing, packing, rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         html.op8_html_extraction,
         language.op9_language_id,
         packing.op10_best_fit_packing,
+        importance.op11_importance_resampling,
     )
 }
 
@@ -29,4 +30,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE_OP3,
     "op5_embedding_near_dedup": embedding_dedup.ORACLE_OP5,
     "op6_mixing_sources": mixing.ORACLE_OP6,
+    "op11_importance_resampling": importance.ORACLE_OP11,
 }
