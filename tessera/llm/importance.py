@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ from tessera.llm.common import durable, scratch_path, table, tidy, wider
 #: Buckets, words of the longest run, per cent drawn, words of a document that may be drawn, seed.
 BUCKETS, RUN, PERCENT, LEAST, SEED = 10_000, 2, 25, 20, 7
 #: Characters of a piece that a long text is cut into, and of the pieces of one SQL statement.
-PIECE, AT_ONCE = 1_000_000, 4_000_000
+PIECE, AT_ONCE = 500_000, 1_000_000
 #: Different scores: gains and noise in thousandths of natural logarithms of 64-bit counts.
 SCORES = 150_000
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -89,6 +90,16 @@ def _runs(texts: list[str | None], run: int) -> Iterator[list[tuple[int, int, in
         yield out
 
 
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about AT_ONCE bytes, of one row at least."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + AT_ONCE, "right")))
+        yield start, end
+        start = end
+
+
 class _Counter:
     """Bucket counts of batches of texts, by a DuckDB of its own."""
 
@@ -96,7 +107,7 @@ class _Counter:
         import duckdb
         from duckdb.sqltypes import UINTEGER, VARCHAR
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.create_function("crc", _crc, [VARCHAR], UINTEGER, type="arrow")
         self.sql, self.run, self.buckets = _statement(buckets, run), run, buckets
 
@@ -130,15 +141,16 @@ def counted(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), buckets: int =
         counter, sums, words, types = None, np.zeros(buckets, np.int64), 0, None
         for b in batches:
             counter = counter or _Counter(buckets, run)
-            types = b.schema.types[:-1]
-            row, bucket, n, single = counter.count(b.column(b.num_columns - 1).to_pylist())
-            by = lambda x: np.bincount(row, x, b.num_rows).astype(np.int64) if len(row) else np.zeros(b.num_rows, np.int64)  # noqa: B023, E731
-            ends = pa.array(np.concatenate([[0], np.cumsum(by(None))]), pa.int32())
-            n_words = by(single)
-            lists = [pa.ListArray.from_arrays(ends, pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(n))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n_words), pa.array(by(n)), *lists, pa.array(np.zeros(b.num_rows, bool))], names)
-            np.add.at(sums, bucket, n)
-            words += int(n_words.sum())
+            types, texts = b.schema.types[:-1], b.column(b.num_columns - 1)
+            for start, end in _slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)):
+                size = end - start
+                row, bucket, n, single = counter.count(texts.slice(start, size).to_pylist())
+                by = lambda x: np.bincount(row, x, size).astype(np.int64) if len(row) else np.zeros(size, np.int64)  # noqa: B023, E731
+                ends, n_words = pa.array(np.concatenate([[0], np.cumsum(by(None))]), pa.int32()), by(single)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(n))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, size) for c in b.columns[:-1]), pa.array(n_words), pa.array(by(n)), *lists, pa.array(np.zeros(size, bool))], names)
+                np.add.at(sums, bucket, n)
+                words += int(n_words.sum())
         if types is not None:
             at = np.flatnonzero(sums)
             row = [pa.nulls(1, t) for t in types]
