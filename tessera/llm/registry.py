@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import crf, embedding_dedup, html, importance, language, line_dedup, mixing, packing, ranked, rules, simhash, token_counts
+from tessera.llm import chat, crf, embedding_dedup, html, importance, language, line_dedup, mixing, packing, ranked, rules, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         language.op9_language_id,
         packing.op10_best_fit_packing,
         importance.op11_importance_resampling,
+        chat.op12_chat_formatting,
         ranked.op13_ranked_search,
     )
 }
@@ -32,5 +33,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_embedding_near_dedup": embedding_dedup.ORACLE_OP5,
     "op6_mixing_sources": mixing.ORACLE_OP6,
     "op11_importance_resampling": importance.ORACLE_OP11,
+    "op12_chat_formatting": chat.ORACLE_OP12,
     "op13_ranked_search": ranked.ORACLE_OP13,
 }
