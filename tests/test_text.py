@@ -91,3 +91,30 @@ def test_chunk_parameters_of_a_document(spark):
     docs = spark.createDataFrame([("a", "x" * 100, 40, 0), ("b", "x" * 100, None, None), ("c", "", None, None)], "path string, content string, chunk_size int, chunk_overlap int")
     got = {r.path: r.n for r in chunking.chunks(docs, 60, 10).groupBy("path").agg(F.count("*").alias("n")).collect()}
     assert got == {"a": 2, "b": 2}
+
+
+def test_hash_embeddings_against_plain_loops(spark):
+    """Buckets in one fold, FNV-1a by byte positions: equal to a loop for each token and byte."""
+    import hashlib
+    import math
+    import re
+
+    from tessera.functions import vectors
+
+    texts = ["the quick fox", "", None, "été \u2003straße " * 40, "a" * 3000 + " b a", "x\x1cy z", "one two two 3"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", vectors.hash_vector(F.col("t"), 256, "sha256").alias("h"), vectors.fnv_vector(F.col("t")).alias("v")).orderBy("i").collect()
+    for text, row in zip(texts, got, strict=True):
+        counts = [0] * 256
+        for token in dict.fromkeys(re.findall("[a-z0-9]+", (text or "").lower())):
+            counts[int(hashlib.sha256(token.encode()).hexdigest(), 16) % 256] += 1
+        n = math.sqrt(sum(c * c for c in counts))
+        assert row.h == [c / n if n else 0.0 for c in counts]
+        counts = [0] * 64
+        for word in (text or "").split():
+            h = 0xCBF29CE484222325
+            for byte in word.encode():
+                h = (h ^ byte) * 0x100000001B3 % (1 << 64)
+            counts[h % 64] += 1
+        n = math.sqrt(sum(c * c for c in counts))
+        assert row.v == pytest.approx([c / n if n else 0.0 for c in counts])
