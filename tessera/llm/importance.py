@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,14 @@ _GAP = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
 
 def _crc(features: pa.ChunkedArray) -> pa.Array:
-    crc = zlib.crc32
-    return pa.array([crc(x) for x in features.cast(pa.binary()).to_pylist()], pa.uint32())
+    """zlib's CRC-32 of each string, cut from one copy of their bytes."""
+    crc, out = zlib.crc32, []
+    for part in features.chunks:
+        _, at, data = part.cast(pa.binary()).buffers()
+        ends = np.frombuffer(at, np.int32, len(part) + 1, part.offset * 4).tolist() if len(part) else [0]
+        first, raw = ends[0], b"" if data is None else memoryview(data)[ends[0] : ends[-1]].tobytes()
+        out += [crc(raw[i - first : j - first]) for i, j in pairwise(ends)]
+    return pa.array(np.array(out, np.uint32))
 
 
 def _statement(buckets: int, run: int) -> str:
@@ -50,16 +57,14 @@ def _statement(buckets: int, run: int) -> str:
     met by a run of 1 to `run` words, and how many of these are single words.  A piece's
     first `seen` words are the last ones of the piece before it."""
     after = "".join(f", lead(word, {k}) OVER inside AS w{k}" for k in range(1, run))
-    runs = ["SELECT row, word AS feature, 1 AS one FROM follow WHERE pos > seen"]
-    for k in range(1, run):
-        joined = "word" + "".join(f" || ' ' || w{j}" for j in range(1, k + 1))
-        runs.append(f"SELECT row, {joined}, 0 FROM follow WHERE w{k} IS NOT NULL AND pos + {k} > seen")
+    runs = ["word" + "".join(f" || ' ' || w{j}" for j in range(1, k + 1)) for k in range(run)]  # null past the last word
     return f"""
     WITH parts AS (SELECT row, part, seen, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_WORD}') AS words FROM texts),
     flat AS (SELECT row, part, seen, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM parts),
     follow AS (SELECT row, seen, pos, word{after} FROM flat WINDOW inside AS (PARTITION BY row, part ORDER BY pos)),
-    features AS ({" UNION ALL ".join(runs)})
-    SELECT row, (crc(feature) % {buckets})::INT AS bucket, count(*) AS n, sum(one)::BIGINT AS words FROM features GROUP BY row, bucket ORDER BY row, bucket"""
+    features AS (SELECT row, seen, pos, unnest([{", ".join(runs)}]) AS feature, unnest(range({run})) AS more FROM follow)
+    SELECT row, (crc(feature) % {buckets})::INT AS bucket, count(*) AS n, count(*) FILTER (more = 0) AS words
+    FROM features WHERE feature IS NOT NULL AND pos + more > seen GROUP BY row, bucket"""
 
 
 def _pieces(text: str, run: int) -> Iterator[tuple[int, str]]:
