@@ -15,8 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import access, answers, chunking, evaluation, governance, incremental, knowledge, lexical, links, logs, models, retrieve, supersession, topics
-from tessera.sources import files, harness, sinks
+from tessera.operators import access, answers, chunking, evaluation, governance, incremental, knowledge, links, logs, models, postings, retrieve, supersession, topics
+from tessera.sources import files, harness, segments, sinks
 from tessera.sources import logs as log_files
 
 INDEX = "source string, hash string, tags string, links string, mtime double, chunk int, text string, section string, id string, chash string, vec array<double>"
@@ -69,6 +69,11 @@ class Config:
         return out
 
 
+def _indexed(chunks: DataFrame) -> DataFrame:
+    """(id, text) of chunks as the lexical index numbers them."""
+    return chunks.select(F.xxhash64("id").alias("id"), "text")
+
+
 class Engine:
     def __init__(
         self,
@@ -87,7 +92,8 @@ class Engine:
         name the logs get."""
         self.spark, self.config, self.role, self.label = spark, config, role, label
         self._embed, self._ask, self._ask_column, self._similarity = embed, ask, ask_column, similarity
-        self.table = sinks.SnapshotTable(spark, f"{config.store}/chunks")
+        self.table = segments.SegmentTable(spark, f"{config.store}/chunks")
+        self.lexical = postings.DeltaIndex(spark, f"{config.store}/lexical", config.tokenizer)
         self.state = sinks.StateStore(config.state)
         self._history: list[tuple[str, str]] = []
 
@@ -168,39 +174,57 @@ class Engine:
         return self.config.embed_model, one.first().n
 
     def _apply(self, docs: DataFrame, force: bool, prune: bool, rebuild: bool = False) -> dict[str, int]:
-        old = self.index()
+        old, version = self.index(), self.table.current()
         model, dim = self._space()
-        known = old.agg(F.count("*").alias("rows"), F.max(F.size("vec")).alias("dim")).first()
-        verdict = incremental.check_vector_space(self._meta(), model, dim, known.rows, known.dim if known.dim and known.dim > 0 else None, rebuild)
+        meta = self._meta()
+        dims = None if not meta.isEmpty() else old.agg(F.max(F.size("vec")).alias("n")).first().n
+        verdict = incremental.check_vector_space(meta, model, dim, 0 if old.isEmpty() else 1, dims if dims and dims > 0 else None, rebuild)
         if verdict == "rebuild":
-            old, force = old.limit(0), True
+            old, force, version = old.limit(0), True, None
         docs = docs.persist()
-        seen = incremental.classify(docs, old.select(F.col("source").alias("path"), "hash").distinct(), force)
-        counts = {r.status: r.n for r in incremental.report(seen).collect()}
-        changed = seen.where("status <> 'unchanged'").drop("status")
+        try:
+            heads = old if prune or version is None else self.table.of_sources(docs.select(F.col("path").alias("source")))
+            seen = incremental.classify(docs, heads.select(F.col("source").alias("path"), "hash").distinct(), force)
+            counts = {r.status: r.n for r in incremental.report(seen).collect()}
+            changed = seen.where("status <> 'unchanged'").drop("status")
+            gone = incremental.vanished(old, docs).persist() if prune else old.select("source").limit(0)
+            counts["pruned"] = gone.count() if prune else 0
+            if counts["pruned"] or set(counts) & {"added", "updated"} or version is None:
+                self._commit(changed, gone, version)
+            if verdict != "ok":
+                sinks.write_small(self.spark, f"{self.config.store}/meta.json", json.dumps({"embed_model": model, "embed_dim": dim}))
+            gone.unpersist()
+        finally:
+            docs.unpersist()
+        self._tidy()
+        return counts
+
+    def _commit(self, changed: DataFrame, gone: DataFrame, version: str | None) -> None:
+        """One version more: changed documents cut anew, those that are gone taken out.  Only rows of
+        these are read and written, and the lexical index gets what changed."""
+        touched = changed.select(F.col("path").alias("source")).unionByName(gone.select("source"))
         cut = chunking.chunks(changed.withColumnRenamed("path", "source").withColumn("path", F.col("source")), self.config.chunk_size, self.config.chunk_overlap)
         fresh = cut.withColumn("chash", T.chunk_hash(F.col("text"))).drop("path")
-        fresh = incremental.reuse(fresh, old)
+        before = self.table.of_sources(touched) if version else self.spark.createDataFrame([], INDEX)
+        fresh = incremental.reuse(fresh, before)
         if self._embed:
             fresh = fresh.withColumn("vec", F.coalesce("vec", self._embed(answers.embed_input(F.col("text")))))
-        kept = incremental.prune(old, docs) if prune else old
-        counts["pruned"] = incremental.vanished(old, docs).count() if prune else 0
-        names = old.columns
-        self.table.replace(incremental.upsert(kept, fresh.select(names), changed.select(F.col("path").alias("source"))), key="source")
-        if verdict != "ok":
-            sinks.write_small(self.spark, f"{self.config.store}/meta.json", json.dumps({"embed_model": model, "embed_dim": dim}))
-        docs.unpersist()
-        self._tidy()
-        return counts
+        names = [f.split()[0] for f in INDEX.split(", ")]
+        now = self.table.upsert(fresh.select(names), touched) if version else self.table.replace(fresh.select(names))
+        if version and self.lexical.of() == version:
+            self.lexical.apply(_indexed(before), _indexed(self.table.of_sources(touched)), now)
 
     def _tidy(self) -> None:
-        """Snapshots but the last two go, and the lexical indexes of those that went."""
-        live = self.table.drop_old()
-        sinks.drop_folders(self.spark, f"{self.config.store}/lexical", lambda name: name.rsplit("-", 1)[0] not in live)
+        """Versions but the last two go, with what only they use."""
+        self.table.vacuum()
+        self.lexical.vacuum()
 
     def forget_source(self, source: str) -> None:
         self._may("editor")
-        self.table.replace(incremental.delete_source(self.index(), source), key="source")
+        version = self.table.current()
+        if version is None:
+            return
+        self._commit(self.spark.createDataFrame([], "path string, content string, hash string, tags string, links string, mtime double"), self.spark.createDataFrame([(source,)], "source string"), version)
         self._tidy()
 
     def texts_of(self, source: str) -> DataFrame:
@@ -250,8 +274,9 @@ class Engine:
         common = {"tokenizer": self.config.tokenizer, "rrf_k": self.config.rrf_k}
         snapshot = self.table.current()
         if snapshot and chosen != "vector":
-            path = f"{self.config.store}/lexical/{snapshot}-{self.config.tokenizer}"
-            common["index"] = lexical.LexicalIndex.kept(self.spark, path, docs, self.config.tokenizer)
+            if self.lexical.of() != snapshot:
+                self.lexical.build(docs, snapshot)
+            common["index"] = self.lexical
         if self._embed is not None:
             stored = numbered.select(F.col("doc").alias("id"), "vec")
             common["vectors"] = lambda q, n: retrieve.dense_top_k(stored, q.select("query_id", self._embed(answers.embed_input(F.col("text"))).alias("vec")), n).select("query_id", "id", "distance", "rank")

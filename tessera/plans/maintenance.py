@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import incremental
+from tessera.operators import incremental, lexical, postings
 from tessera.plans.catalog import query, table
+from tessera.plans.lexical import asked, documents
+from tessera.plans.sql import BM25, QUERIES
 from tessera.plans.structure import WINDOWS
+from tessera.scratch import scratch_path
+from tessera.sources.segments import SegmentTable
 
 PATH = "source || '/' || doc_id || '.md'"
 OLD = f"SELECT {PATH} AS path, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE sha1(text) END AS hash FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT 'gone/' || n_nationkey || '.md', 'x' FROM nation"
@@ -93,3 +97,36 @@ def export_rows(spark, d):
     c = chunks(spark, d).select(F.concat_ws("::", "source", F.col("chunk").cast("string")).alias("id"), "source", "chunk", F.lit("").alias("section"), "text", F.lit("").alias("tags"), F.lit("").alias("links"), F.lit(0.0).alias("mtime"), F.lit("").alias("hash"), "chash", F.array(F.lit(1.0) / 3).alias("vec"))
     back = F.from_json("line", "id string, text string, vec array<double>")
     return incremental.export_rows(c).select("source", "chunk", back.alias("r")).select("source", "chunk", "r.id", T.chunk_hash(F.col("r.text")).alias("chash"), F.col("r.vec")[0].alias("first"))
+
+
+@query(f"""WITH c AS (SELECT x.*, doc_id FROM ({CHUNKS}) x JOIN (SELECT {PATH} AS source, doc_id FROM documents) d USING (source))
+SELECT source, chunk, chash, CASE WHEN doc_id % 7 = 0 THEN 'second' WHEN doc_id % 10 = 3 THEN 'third' ELSE 'first' END AS state
+FROM c WHERE doc_id % 11 <> 0 AND NOT (doc_id % 7 = 0 AND chunk > 0)""")
+def segmented_index(spark, d):
+    """Three passes on a table in segments: most documents; those of every seventh cut to one
+    chunk; new ones, and every eleventh pruned.  Merged on reading, some buckets compacted."""
+    t = SegmentTable(spark, scratch_path(spark, "segmented"), buckets=16, most=2)
+    of = F.regexp_extract("source", r"/(\d+)\.md$", 1).cast("long")
+    every = chunks(spark, d).select("source", "chunk", "chash", of.alias("doc"))
+    made = lambda rows, state: rows.withColumn("state", F.lit(state))
+    t.replace(made(every.where("doc % 10 <> 3"), "first"))
+    seventh = every.where("doc % 7 = 0")
+    t.upsert(made(seventh.where("chunk = 0"), "second"), seventh.select("source"))
+    t.upsert(made(every.where("doc % 10 = 3 AND doc % 7 <> 0"), "third"), every.where("doc % 11 = 0").select("source"))
+    t.delete(every.where("doc % 11 = 0").select("source"))
+    return t.read().select("source", "chunk", "chash", "state")
+
+
+@query(f"WITH {QUERIES}, {BM25} SELECT query_id, id AS doc_id, score, rank FROM lex WHERE rank <= 10")
+def bm25_delta_topk(spark, d):
+    """An index of other documents, brought to these by three batches of deltas."""
+    docs = documents(spark, d)
+    wrong = docs.where("id % 7 = 0").select("id", F.translate("text", "aet", "tea").alias("text"))
+    gone = table(spark, d, "nation").select((F.col("n_nationkey") + 1_000_000_000).cast("long").alias("id"), F.concat(F.lit("the thand "), "n_name").alias("text"))
+    index = postings.DeltaIndex(spark, scratch_path(spark, "postings"))
+    index.build(docs.where("id % 10 <> 3 AND id % 7 <> 0").unionByName(wrong).unionByName(gone), "a")
+    none = docs.limit(0)
+    index.apply(none, docs.where("id % 10 = 3 AND id % 7 <> 0"), "b")
+    index.apply(wrong, docs.where("id % 7 = 0"), "c")
+    index.apply(gone, none, "d")
+    return lexical.top_k(index.scores(asked(spark)), 10).select("query_id", F.col("id").alias("doc_id"), "score", "rank")

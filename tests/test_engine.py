@@ -254,7 +254,7 @@ def test_snapshots_are_collected(spark, tmp_path):
         (tmp_path / "notes/a.md").write_text(f"# A\nversion {i}")
         e.ingest()
         e.search("version")
-    assert len(list((tmp_path / "index/chunks/snapshots").iterdir())) == 2 and len(list((tmp_path / "index/lexical").iterdir())) <= 2
+    assert len(list((tmp_path / "index/chunks/manifests").glob("*.json"))) == 2 and len(list((tmp_path / "index/lexical/manifests").glob("*.json"))) == 1
     assert e.search("version 3", 1).first().text.endswith("version 3")
 
 
