@@ -40,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("entity", nargs="?")
     d = verbs.add_parser("drift")
     d.add_argument("--pin", action="store_true")
-    for name, arg in (("links", "name"), ("texts", "source"), ("history", "note"), ("wiki", "topic"), ("forget", "query"), ("feedback", "verdict"), ("export", "path")):
+    for name, arg in (("links", "name"), ("texts", "source"), ("history", "note"), ("wiki", "topic"), ("forget", "query"), ("feedback", "verdict"), ("export", "path"), ("import", "path")):
         verbs.add_parser(name).add_argument(arg)
     r = verbs.add_parser("remember")
     r.add_argument("text")
@@ -106,6 +106,8 @@ def run(engine: Engine, a: argparse.Namespace) -> object:
         return engine.upload(a.file, Path(a.file).read_bytes())
     if a.verb in ("digest", "graph", "drift"):
         return getattr(engine, a.verb)(getattr(a, {"digest": "force", "graph": "entity", "drift": "pin"}[a.verb]))
+    if a.verb == "import":
+        return engine.import_index(a.path)
     if a.verb == "texts":
         return engine.texts_of(a.source)
     if a.verb == "demo":

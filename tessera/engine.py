@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import access, answers, chunking, evaluation, governance, incremental, knowledge, links, logs, models, postings, retrieve, supersession, topics
+from tessera.scratch import durable, release
 from tessera.sources import files, harness, segments, sinks
 from tessera.sources import logs as log_files
 
@@ -63,9 +64,10 @@ class Config:
             if raw is not None and k not in ("sources", "harness"):
                 given[k] = type(f.default)(raw) if not isinstance(f.default, bool) else raw.lower() in ("1", "true", "yes")
         out, root = cls(**given), p.parent.resolve()
+        at = lambda path: path if "://" in path else str(root / Path(path).expanduser())  # noqa: E731  another store's path stands as it is
         for k in ("store", "memories", "wiki", "state", "query_log"):
-            setattr(out, k, str(root / Path(getattr(out, k)).expanduser()))
-        out.sources = [{**s, "path": str(root / Path(s["path"]).expanduser())} for s in out.sources]
+            setattr(out, k, at(getattr(out, k)))
+        out.sources = [{**s, "path": at(s["path"])} for s in out.sources]
         return out
 
 
@@ -102,7 +104,7 @@ class Engine:
             raise PermissionError(f"{self.role} may not do what needs {needed}")
 
     def _audit(self, action: str, detail: str = "") -> None:
-        sinks.append_line(Path(self.config.store) / "audit.jsonl", {"ts": time.strftime("%Y-%m-%d %H:%M:%S"), "label": self.label, "role": self.role, "action": action, "detail": detail[: sinks.DETAIL_CAP]})
+        sinks.append_record(self.spark, f"{self.config.store}/audit.jsonl", {"ts": time.strftime("%Y-%m-%d %H:%M:%S"), "label": self.label, "role": self.role, "action": action, "detail": detail[: sinks.DETAIL_CAP]})
 
     def _replies(self, prompts: DataFrame) -> DataFrame:
         """(query_id, reply) of prompts (query_id, prompt), null where the hook fails.
@@ -181,21 +183,19 @@ class Engine:
         verdict = incremental.check_vector_space(meta, model, dim, 0 if old.isEmpty() else 1, dims if dims and dims > 0 else None, rebuild)
         if verdict == "rebuild":
             old, force, version = old.limit(0), True, None
-        docs = docs.persist()
+        heads = old if prune or version is None else self.table.of_sources(docs.select(F.col("path").alias("source")))
+        seen = incremental.classify(docs, heads.select(F.col("source").alias("path"), "hash").distinct(), force).persist()
+        gone = incremental.vanished(old, seen).persist() if prune and version else self.spark.createDataFrame([], "source string")
         try:
-            heads = old if prune or version is None else self.table.of_sources(docs.select(F.col("path").alias("source")))
-            seen = incremental.classify(docs, heads.select(F.col("source").alias("path"), "hash").distinct(), force)
             counts = {r.status: r.n for r in incremental.report(seen).collect()}
-            changed = seen.where("status <> 'unchanged'").drop("status")
-            gone = incremental.vanished(old, docs).persist() if prune else old.select("source").limit(0)
-            counts["pruned"] = gone.count() if prune else 0
+            counts["pruned"] = gone.count() if prune and version else 0
             if counts["pruned"] or set(counts) & {"added", "updated"} or version is None:
-                self._commit(changed, gone, version)
+                self._commit(seen.where("status <> 'unchanged'").drop("status"), gone, version)
             if verdict != "ok":
                 sinks.write_small(self.spark, f"{self.config.store}/meta.json", json.dumps({"embed_model": model, "embed_dim": dim}))
-            gone.unpersist()
         finally:
-            docs.unpersist()
+            gone.unpersist()
+            seen.unpersist()
         self._tidy()
         return counts
 
@@ -203,16 +203,17 @@ class Engine:
         """One version more: changed documents cut anew, those that are gone taken out.  Only rows of
         these are read and written, and the lexical index gets what changed."""
         touched = changed.select(F.col("path").alias("source")).unionByName(gone.select("source"))
+        at = self.table.buckets_of(touched) if version else set()
         cut = chunking.chunks(changed.withColumnRenamed("path", "source").withColumn("path", F.col("source")), self.config.chunk_size, self.config.chunk_overlap)
         fresh = cut.withColumn("chash", T.chunk_hash(F.col("text"))).drop("path")
-        before = self.table.of_sources(touched) if version else self.spark.createDataFrame([], INDEX)
+        before = self.table.of_sources(touched, at) if version else self.spark.createDataFrame([], INDEX)
         fresh = incremental.reuse(fresh, before)
         if self._embed:
             fresh = fresh.withColumn("vec", F.coalesce("vec", self._embed(answers.embed_input(F.col("text")))))
         names = [f.split()[0] for f in INDEX.split(", ")]
         now = self.table.upsert(fresh.select(names), touched) if version else self.table.replace(fresh.select(names))
         if version and self.lexical.of() == version:
-            self.lexical.apply(_indexed(before), _indexed(self.table.of_sources(touched)), now)
+            self.lexical.apply(_indexed(before), _indexed(self.table.of_sources(touched, at)), now)
 
     def _tidy(self) -> None:
         """Versions but the last two go, with what only they use."""
@@ -221,11 +222,12 @@ class Engine:
 
     def forget_source(self, source: str) -> None:
         self._may("editor")
-        version = self.table.current()
-        if version is None:
-            return
-        self._commit(self.spark.createDataFrame([], "path string, content string, hash string, tags string, links string, mtime double"), self.spark.createDataFrame([(source,)], "source string"), version)
-        self._tidy()
+        self._take_out(self.spark.createDataFrame([(source,)], "source string"))
+
+    def _take_out(self, sources: DataFrame) -> None:
+        if version := self.table.current():
+            self._commit(self.spark.createDataFrame([], "path string, content string, hash string, tags string, links string, mtime double"), sources, version)
+            self._tidy()
 
     def texts_of(self, source: str) -> DataFrame:
         """(chunk, section, text) of a source in order."""
@@ -251,7 +253,27 @@ class Engine:
         return incremental.summary(self.index()).first().asDict()
 
     def export(self, path: str) -> None:
-        sinks.export_jsonl(self.index(), path, self.config.embed_model, 0)
+        """Rows and a trailer as JSON lines; embed_dim is the length of the stored vectors."""
+        known = self._meta().first()
+        sinks.export_jsonl(self.index(), path, known.embed_model if known else self.config.embed_model, known.embed_dim if known else 0)
+
+    def import_index(self, path: str, force: bool = False) -> int:
+        """Take in an exported file: its sources replace ones of the same name; how many rows it
+        had.  Refused for another model or length of vectors, unless the index is empty or forced."""
+        self._may("admin")
+        rows, meta = log_files.import_rows(self.spark, path, self.config.embed_model, force)
+        known, old = self._meta().first(), self.table.current()
+        dim = rows.select(F.size("vec").alias("n")).limit(1).collect()
+        if known and old and dim and known.embed_dim not in (0, dim[0].n) and not force:
+            raise ValueError(f"the index has vectors of length {known.embed_dim}, the file of {dim[0].n}")
+        rows = durable(rows.select([f.split()[0] for f in INDEX.split(", ")]), "import")
+        self.table.upsert(rows)
+        sinks.write_small(self.spark, f"{self.config.store}/meta.json", json.dumps({"embed_model": meta.get("embed_model") or self.config.embed_model, "embed_dim": dim[0].n if dim else 0}))
+        self._tidy()
+        self._audit("import", path)
+        n = rows.count()
+        release(rows)
+        return n
 
     # ---- search --------------------------------------------------------------
 
@@ -308,28 +330,40 @@ class Engine:
             top = (mine[0].source + (f" > {mine[0].section}" if mine[0].section else "")) if mine else ""
             self.log_query(q, len(mine), top, ms / len(asked), self.label, self.role, kind)
             for source in dict.fromkeys(r.source for r in mine if "memory" in [t.strip().lower() for t in (r.tags or "").split(",")]):
-                sinks.append_line(Path(self.config.store) / "ledger.jsonl", {"ts": time.time(), "via": kind, "query": q[: sinks.LEDGER_CAP], "source": source})
+                sinks.append_record(self.spark, f"{self.config.store}/ledger.jsonl", {"ts": time.time(), "via": kind, "query": q[: sinks.LEDGER_CAP], "source": source})
         return self.spark.createDataFrame(rows, schema)
 
     def _feedback(self) -> DataFrame | None:
-        path = Path(self.config.store) / "feedback.jsonl"
-        if not path.exists():
+        path = f"{self.config.store}/feedback.jsonl"
+        if not sinks.exists(self.spark, path):
             return None
-        rated = log_files.read(self.spark, str(path), "feedback")
+        rated = log_files.read(self.spark, path, "feedback")
         return rated.select(F.xxhash64("chunk_id").alias("chunk_id"), "verdict")
 
     def supersession(self) -> DataFrame:
-        docs = files.scan(self.spark, self.folders())
-        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        """Which note supersedes which, made from the notes' front matter once for each version of
+        the index and kept with it."""
+        version = self.table.current()
+        kept = sinks.SnapshotTable(self.spark, f"{self.config.store}/supersession/{version}") if version else None
+        if kept is not None and kept.current():
+            return kept.read()
+        found = supersession.collect(self._successions())
+        if kept is None:
+            return found
+        kept.replace(found)
+        sinks.drop_folders(self.spark, f"{self.config.store}/supersession", lambda n: n != version)
+        return kept.read()
+
+    def _successions(self) -> DataFrame:
         rows = None
         for s in self.folders():
-            one = raw.load(s["path"]).select(files.plain_path(F.col("path")).alias("path"), F.col("content").cast("string").alias("t"))
+            one = files.raw_notes(self.spark, s["path"])
             rows = one if rows is None else rows.unionByName(one)
         if rows is None:
-            return docs.select(F.col("path").alias("stem"), "path", F.lit("").alias("supersedes"), F.lit("").alias("superseded_by"), F.lit("").alias("effective")).limit(0)
-        meta = T.front_matter(F.col("t"))
+            return self.spark.createDataFrame([], "ord string, stem string, path string, supersedes string, superseded_by string, effective string")
+        meta = T.front_matter(F.col("text"))
         first = lambda keys: F.coalesce(*[F.nullif(T.stem(F.get(meta[k], F.lit(0))), F.lit("")) for k in keys], F.lit(""))
-        notes = rows.where(files.suffix(F.col("path")).isin(".md", ".markdown")).select(
+        return rows.select(
             F.col("path").alias("ord"),
             F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "").alias("stem"),
             "path",
@@ -337,7 +371,6 @@ class Engine:
             first(supersession.BACKWARD).alias("superseded_by"),
             F.coalesce(F.get(meta["effective"], F.lit(0)), F.lit("")).alias("effective"),
         )
-        return supersession.collect(notes)
 
     def ask(self, question: str, k: int | None = None, verify: bool = False, history: list[tuple[str, str]] = (), **given) -> str:
         """An answer from the model hook over the hits' context (the context itself without one),
@@ -347,7 +380,7 @@ class Engine:
         if shown is None:
             return "(no relevant content found)"
         ids = [r.chunk_id for r in hits.orderBy("rank").select("chunk_id").collect()]
-        sinks.atomic_write(Path(self.config.store) / "last_ask.json", json.dumps({"query": question[:300], "ts": time.time(), "chunk_ids": ids}))
+        sinks.write_small(self.spark, f"{self.config.store}/last_ask.json", json.dumps({"query": question[:300], "ts": time.time(), "chunk_ids": ids}))
         reply = shown.context
         if self._ask is not None:
             said = "".join(f"{who}: {what}\n\n" for who, what in history)
@@ -397,9 +430,9 @@ class Engine:
         self._may("editor")
         if verdict not in ("good", "bad"):
             raise ValueError("good or bad")
-        last = json.loads((Path(self.config.store) / "last_ask.json").read_text(encoding="utf-8"))
+        last = json.loads(sinks.read_small(self.spark, f"{self.config.store}/last_ask.json") or '{"query": "", "chunk_ids": []}')
         for c in last["chunk_ids"]:
-            sinks.append_line(Path(self.config.store) / "feedback.jsonl", {"chunk_id": c, "query": last["query"], "verdict": verdict, "ts": time.time()})
+            sinks.append_record(self.spark, f"{self.config.store}/feedback.jsonl", {"chunk_id": c, "query": last["query"], "verdict": verdict, "ts": time.time()})
         self._audit("feedback", verdict)
         return len(last["chunk_ids"])
 
@@ -433,11 +466,16 @@ class Engine:
 
     def forget(self, query: str) -> list[str]:
         self._may("editor")
-        moved = sinks.forget_notes(self.config.memories, query)
-        for old, _ in moved:
-            self.forget_source(old)
+        if not files.is_folder(self.spark, self.config.memories):
+            return []
+        notes = files.raw_notes(self.spark, self.config.memories)
+        own = F.length(F.regexp_replace("path", r"/[^/]*$", "")) == F.length(F.lit(self.config.memories.rstrip("/").removeprefix("file://")))
+        found = [r.path for r in sinks.notes_with(notes.where(own), query).collect()]  # names of notes that the caller asks to move
+        moved = [sinks.to_trash(self.spark, path) for path in found]
+        if found:
+            self._take_out(self.spark.createDataFrame([(x,) for x in found], "source string"))
         self._audit("forget", query)
-        return [to for _, to in moved]
+        return moved
 
     def wiki(self, topic: str, k: int = 12) -> str:
         """A page from the best hits and the entity relations of their sources."""
@@ -476,29 +514,37 @@ class Engine:
         row = supersession.describe(supersession.chains(t, t.where(F.col("stem") == stem).select("stem"))).first()
         return row.history if row else None
 
+    def _graph(self) -> DataFrame | None:
+        """Edges (s, p, o, source) and, with s null, what was read (source, hash): one table, so both change together."""
+        return sinks.SnapshotTable(self.spark, f"{self.config.store}/graph").read()
+
     def edges(self) -> DataFrame | None:
         """The entity edges of the last graph()."""
-        return sinks.SnapshotTable(self.spark, f"{self.config.store}/edges").read()
+        found = self._graph()
+        return found.where("s IS NOT NULL").drop("hash") if found is not None else None
 
-    def graph(self, entity: str | None = None) -> DataFrame:
-        """Entity edges by the model hook, kept from pass to pass: vanished and changed files lose
-        theirs, changed and new ones are read again.  With entity, its neighbourhood."""
+    def graph(self, entity: str | None = None, folders: list[str] | None = None) -> DataFrame:
+        """Entity edges of the memories and wiki pages (or of other folders) by the model hook, kept
+        from pass to pass: vanished and changed files lose theirs, changed and new ones are read
+        again.  With entity, its neighbourhood."""
         if self._ask_column is not None:
-            kept, done = (sinks.SnapshotTable(self.spark, f"{self.config.store}/{n}") for n in ("edges", "processed"))
-            index = self.index()
-            none = lambda schema: self.spark.createDataFrame([], schema)
-            old, processed = kept.read(), done.read()
-            seen = index.select("source", "hash").distinct()
+            notes = self.spark.createDataFrame([], "path string, text string, mtime double")
+            for f in folders or [self.config.memories, self.config.wiki]:
+                if files.is_folder(self.spark, f):
+                    notes = notes.unionByName(files.raw_notes(self.spark, f))
+            notes = notes.select(F.col("path").alias("source"), F.col("text").alias("content"), T.file_hash(F.col("text")).alias("hash"))
+            old = self._graph()
+            old = old if old is not None else self.spark.createDataFrame([], "s string, p string, o string, source string, hash string")
             after, now = knowledge.rebuild(
-                old if old is not None else none("s string, p string, o string, source string"),
-                processed if processed is not None else none("source string, hash string"),
-                seen,
-                lambda changed: knowledge.extract(index.join(changed.select("source"), "source", "left_semi"), self._ask_column),
+                old.where("s IS NOT NULL").drop("hash"),
+                old.where("s IS NULL").select("source", "hash"),
+                notes.select("source", "hash"),
+                lambda changed: knowledge.extract(knowledge.parts(notes.join(changed.select("source"), "source", "left_semi")), self._ask_column),
             )
-            kept.replace(after)
-            done.replace(now)
-            for t in (kept, done):
-                t.drop_old()
+            none = F.lit(None).cast("string")
+            kept = sinks.SnapshotTable(self.spark, f"{self.config.store}/graph")
+            kept.replace(after.withColumn("hash", none).unionByName(now.select(none.alias("s"), none.alias("p"), none.alias("o"), "source", "hash")))
+            kept.drop_old()
         found = self.edges()
         found = found if found is not None else self.spark.createDataFrame([], "s string, p string, o string, source string")
         return knowledge.neighbours(found, entity) if entity else found
@@ -508,8 +554,8 @@ class Engine:
         return knowledge.hubs(knowledge.entities(found if found is not None else self.graph()))
 
     def _log(self, name: str, kind: str) -> DataFrame:
-        path = Path(self.config.query_log) if name == "queries" else Path(self.config.store) / f"{name}.jsonl"
-        return log_files.read(self.spark, str(path), kind) if path.exists() else self.spark.createDataFrame([], f"{log_files.SCHEMAS[kind]}, ord long")
+        path = self.config.query_log if name == "queries" else f"{self.config.store}/{name}.jsonl"
+        return log_files.read(self.spark, path, kind) if sinks.exists(self.spark, path) else self.spark.createDataFrame([], f"{log_files.SCHEMAS[kind]}, ord long")
 
     def queries(self, n: int = 50) -> DataFrame:
         return logs.recent(self._log("queries", "queries"), n, "ts", "ord")
@@ -586,7 +632,7 @@ class Engine:
         return logs.drift(now, base if base is not None else now.limit(0))
 
     def log_query(self, query: str, hits: int, top: str, ms: float, label: str = "local", role: str = "admin", kind: str = "search") -> None:
-        sinks.append_line(Path(self.config.query_log), {"ts": time.strftime("%Y-%m-%d %H:%M:%S"), "label": label, "role": role, "kind": kind, "query": query[: sinks.QUERY_CAP], "hits": hits, "top": top, "ms": round(ms, 1)})
+        sinks.append_record(self.spark, self.config.query_log, {"ts": time.strftime("%Y-%m-%d %H:%M:%S"), "label": label, "role": role, "kind": kind, "query": query[: sinks.QUERY_CAP], "hits": hits, "top": top, "ms": round(ms, 1)})
 
     def watch(self, checkpoint: str | None = None):
         from tessera.streaming.watch import watch

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import chunking
+
 # What of a file is read for triples, and sources named for an entity.
 CHUNKS_READ, CHUNK_SIZE, TEXT_READ, SOURCES_SHOWN, HUBS = 2, 2000, 3000, 5, 10
 
@@ -21,6 +23,12 @@ def triples_of(reply: Column) -> Column:
     return F.coalesce(F.transform(good, lambda t: F.struct(F.trim(t[0]).alias("s"), F.trim(t[1]).alias("p"), F.trim(t[2]).alias("o"))), F.expr("CAST(array() AS array<struct<s:string,p:string,o:string>>)"))
 
 
+def parts(notes: DataFrame) -> DataFrame:
+    """(source, chunk, text) of notes (source, content), cut for reading: longer pieces than search has, no overlap."""
+    cut = chunking.chunks(notes.select("source", F.col("source").alias("path"), "content"), CHUNK_SIZE, 0)
+    return cut.select("source", "chunk", "text")
+
+
 def extract(chunks: DataFrame, model: Callable[[Column], Column]) -> DataFrame:
     """(s, p, o, source) of the first chunks of each source; model maps a text to a reply."""
     first = chunks.where(F.col("chunk") < CHUNKS_READ)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import answers, evaluation, lexical, retrieve
+from tessera.operators import answers, evaluation, lexical, models, retrieve
 from tessera.plans import sql
 from tessera.plans.catalog import query, table
 from tessera.plans.lexical import asked
@@ -81,17 +81,26 @@ def self_reference_guard(spark, d):
     return answers.outside(hits(spark, d), "SRC1/").select("query_id", "source")
 
 
-@query("""SELECT i AS query_id, CASE WHEN i % 2 = 0 THEN 'Claim-by-claim check across 2 files (2 excerpts; ✓ supported, ~ partial, ✗ unsupported, ⚠ unlicensed cross-file join):' ELSE 'Claim-by-claim check against the sources (✓ supported, ~ partial, ✗ unsupported):' END || chr(10) ||
-'  ✓ one [excerpt 1]' || chr(10) || CASE WHEN i % 2 = 0 THEN '  ~ two [excerpts 1, 2]  ⚠ cross-file inference not in the sources: a step' ELSE '  ~ two [excerpt 1]  ⚠ cross-file inference not in the sources: a step' END || chr(10) || '  ? three' AS report FROM range(20) t(i)""")
+@query(f"""WITH {CASES}, {sql.BM25},
+hits AS (SELECT l.query_id, l.rank, d.source FROM lex l JOIN documents d ON d.doc_id = l.id WHERE l.rank <= 3),
+sizes AS (SELECT query_id, count(*) AS n, count(DISTINCT source) AS files FROM hits GROUP BY query_id),
+c AS (SELECT item_id AS query_id, n, files, trim(replace(substr(text, 1, 40), chr(10), ' ')) AS head, trim(replace(right(text, 30), chr(10), ' ')) AS tail, item_id % 4 AS k FROM benchmark JOIN sizes ON query_id = item_id)
+SELECT query_id, md5(CASE WHEN files > 1 THEN 'Claim-by-claim check across ' || files || ' files (' || n || ' excerpts; ✓ supported, ~ partial, ✗ unsupported, ⚠ unlicensed cross-file join):' ELSE 'Claim-by-claim check against the sources (✓ supported, ~ partial, ✗ unsupported):' END
+|| chr(10) || '  ' || CASE k WHEN 0 THEN '✓' WHEN 1 THEN '~' WHEN 2 THEN '✗' ELSE '?' END || ' ' || head || CASE WHEN n > 1 THEN ' [excerpts 1, 2]' ELSE ' [excerpt 1]' END
+|| CASE k WHEN 0 THEN '  ⚠ cross-file inference not in the sources: ' || tail WHEN 1 THEN CASE WHEN n > 1 THEN '  (cross-file join checked)' ELSE '' END ELSE '' END
+|| chr(10) || '  ✓ ' || tail) AS report FROM c""")
 def verify_render(spark, d):
-    """Reports on three claims; every second answer rests on two files."""
-    q = spark.range(20).withColumnRenamed("id", "query_id")
-    claims = q.select("query_id", F.inline(F.expr("""array(
-        named_struct('pos', 1, 'claim', ' one ', 'status', 'Supported', 'excerpts', array(1, 9), 'cross_file', 'n/a', 'reason', ''),
-        named_struct('pos', 2, 'claim', 'two', 'status', 'partial', 'excerpts', array(1, 2), 'cross_file', 'unstated', 'reason', ' a step '),
-        named_struct('pos', 3, 'claim', 'three', 'status', 'odd', 'excerpts', CAST(array() AS array<int>), 'cross_file', 'ok', 'reason', ''))""")))
-    rows = q.select("query_id", F.explode(F.expr("IF(query_id % 2 = 0, array('a.md', 'b.md'), array('a.md'))")).alias("source"))
-    return answers.verification(claims, rows)
+    """Reports on two claims about each benchmark item, read from a model's reply in prose, over its best three documents."""
+    n, q = notes(spark, d), questions(spark, d)
+    found = lexical.top_k(lexical.search(n, q), 3).join(n.select("id", "source"), "id").withColumn("source", F.regexp_replace("source", "/.*", ""))
+    flat = lambda c: F.trim(F.replace(c, F.lit("\n"), F.lit(" ")))
+    k, head, tail = F.col("query_id") % 4, flat(F.substring("text", 1, 40)), flat(F.right("text", F.lit(30)))
+    said = lambda *names: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    claim = lambda text, status, excerpts, cross, reason: F.struct(text.alias("claim"), status.alias("status"), F.array(*map(F.lit, excerpts)).cast("array<int>").alias("excerpts"), cross.alias("cross_file"), reason.alias("reason"))
+    first = claim(head, said("Supported", "partial", "UNSUPPORTED", "odd"), (1, 2, 9), said("unstated", "ok", "n/a", ""), tail)
+    reply = F.concat(F.lit("Here it is:\n```\n"), F.to_json(F.array(first, claim(tail, F.lit("supported"), (), F.lit("ok"), F.lit("")))), F.lit("\n```"))
+    report = answers.verification(models.claims(q.select("query_id", reply.alias("reply"))), found)
+    return report.select("query_id", F.md5(F.col("report").cast("binary")).alias("report"))
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '^\s*#{1,6}\s+[^\n]*\n?', ''), '(?m)\*\*|\*|`|^#{1,6}\s+|^[-*]\s+', '', 'g')) AS plain FROM documents""")

@@ -105,12 +105,17 @@ class SegmentTable:
         m = self.manifest(version)
         return self._live(m).drop(_SEQ) if m else None
 
-    def of_sources(self, sources: DataFrame, version: str | None = None) -> DataFrame | None:
-        """The rows of some sources (column key), read from their buckets only."""
-        m = self.manifest(version)
+    def buckets_of(self, sources: DataFrame) -> set[int]:
+        """The buckets of some sources (column key)."""
+        m = self.manifest()
+        return {r[0] for r in sources.select(self._bucket(m.buckets if m else self.buckets)).distinct().collect()}
+
+    def of_sources(self, sources: DataFrame, buckets: set[int] | None = None) -> DataFrame | None:
+        """The rows of some sources (column key), read from their buckets only (buckets: where these are known)."""
+        m = self.manifest()
         if m is None:
             return None
-        at = {r[0] for r in sources.select(self._bucket(m.buckets)).distinct().collect()}
+        at = self.buckets_of(sources) if buckets is None else buckets
         return self._live(m, at).drop(_SEQ).join(sources.select(self.key).distinct(), self.key, "left_semi")
 
     # ---- writing ---------------------------------------------------------------

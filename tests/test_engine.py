@@ -203,20 +203,70 @@ def test_verified_answers_and_chat(spark, tmp_path):
 
 
 def test_graph_is_incremental(spark, tmp_path):
-    seen = spark.sparkContext.accumulator(0)
-
     def reply(prompt):
         return F.concat(F.lit('[["'), F.regexp_extract(prompt, r"# (\w)", 1), F.lit('", "has", "word"]]'))
 
     e = made(spark, tmp_path, ask_column=reply)
-    e.ingest()
-    assert {(r.s, r.o) for r in e.graph().collect()} == {("A", "word"), ("B", "word"), ("C", "word")}
-    (tmp_path / "notes/a.md").unlink()
-    (tmp_path / "notes/b.md").write_text("# D\nword")
-    e.ingest()
+    (tmp_path / "notes").rename(tmp_path / "mem")  # memories and wiki pages are what the graph reads
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "notes/z.md").write_text("# Z\nnot read")
+    long = "\n".join(f"# {c}\n" + c * 1990 for c in "EFG")  # two pieces of 2000 characters are read
+    (tmp_path / "mem/long.md").write_text(long)
+    assert {(r.s, r.o) for r in e.graph().collect()} == {(c, "word") for c in "ABCEF"}
+    (tmp_path / "mem/a.md").unlink()
+    (tmp_path / "mem/long.md").unlink()
+    (tmp_path / "mem/b.md").write_text("# D\nword")
     assert {r.s for r in e.graph("word").collect()} == {"C", "D"} and e.hubs().first().name == "word"
-    assert seen.value == 0
-    assert "C has word" not in e.wiki("stone") and e.sources().collect()
+    assert {r.s for r in Engine(spark, e.config).edges().collect()} == {"C", "D"}
+
+
+def test_export_import_and_forget(spark, tmp_path):
+    e = made(spark, tmp_path, embed=vector_of)
+    e.ingest()
+    e.export(str(tmp_path / "out"))
+    other = Engine(spark, Config(store=str(tmp_path / "other"), memories=str(tmp_path / "m2"), wiki=str(tmp_path / "w2"), query_log=str(tmp_path / "q2.jsonl")), embed=vector_of)
+    assert other.import_index(str(tmp_path / "out")) == 3
+    plain = lambda x: sorted((r.id, r.text, r.chash, tuple(round(v, 6) for v in r.vec)) for r in x.index().collect())
+    assert plain(other) == plain(e)
+    assert [r.source for r in other.search("apple", 1, mode="vector").collect()] == [r.source for r in e.search("apple", 1, mode="vector").collect()]
+    other.config.embed_model = "another"
+    with pytest.raises(ValueError, match="exported with"):
+        other.import_index(str(tmp_path / "out"))
+    first = e.remember("Milk is white.", "Milk")
+    second = e.remember("Oats make MILK too.", "Oats")
+    moved = e.forget("milk")
+    assert len(moved) == 2 and {p.rsplit("/", 1)[1] for p in moved} == {p.rsplit("/", 1)[1] for p in (first, second)}
+    assert all("/.trash/" in p for p in moved) and e.index().where("source LIKE '%/mem/%'").count() == 0
+    assert e.forget("milk") == []
+    from tessera.sources import sinks
+
+    for k in (2, 3):  # names that are taken in the trash
+        (tmp_path / "mem" / first.rsplit("/", 1)[1]).write_text("again")
+        assert sinks.to_trash(spark, first).endswith(f"-{k}.md")
+
+
+def test_supersession_is_kept_with_the_version(spark, engine, tmp_path):
+    engine.ingest()
+    rows = {(r.stem, r.superseded_by) for r in engine.supersession().select("stem", "superseded_by").collect()}
+    kept = list((tmp_path / "index/supersession").iterdir())
+    assert len(kept) == 1 and {(r.stem, r.superseded_by) for r in engine.supersession().select("stem", "superseded_by").collect()} == rows
+    (tmp_path / "notes/_new.md").write_text("---\nsupersedes: plan\n---\n# New\nkey")
+    engine.ingest()
+    engine.supersession()
+    assert [p.name for p in (tmp_path / "index/supersession").iterdir()] != [p.name for p in kept]
+    assert engine.history("plan").splitlines()[-1].strip().startswith("3. _new")
+
+
+def test_paths_of_other_stores(tmp_path, spark):
+    (tmp_path / "c.toml").write_text('store = "hdfs://cluster/index"\nquery_log = "s3a://b/q"\n[[sources]]\npath = "hdfs://cluster/notes"\n')
+    c = Config.load(str(tmp_path / "c.toml"))
+    assert (c.store, c.query_log, c.sources) == ("hdfs://cluster/index", "s3a://b/q", [{"path": "hdfs://cluster/notes"}])
+    from tessera.sources import logs, sinks
+
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.logs.link./in", f"file://{tmp_path}")
+    for n in range(3):  # a store whose files don't grow: one file a record, in order
+        sinks.append_record(spark, "viewfs://logs/in/q.jsonl", {"query": f"q{n}", "hits": n})
+    assert [r.query for r in logs.read(spark, "viewfs://logs/in/q.jsonl", "queries").orderBy("ord").collect()] == ["q0", "q1", "q2"]
 
 
 def test_governance(spark, tmp_path):
