@@ -27,8 +27,8 @@ RRF_K, TOP_K, OVER_FETCH, BAD_RATING, PENALTY_SHARE, MISSING_DISTANCE = 60, 5, 4
 QUERY_BLOCK = 4096
 #: Queries up to which token hashes are compared without Python.
 FEW_QUERIES = 16
-#: Queries with identifiers that are broadcast at most.
-LITERAL_QUERIES = 10_000
+#: Different identifiers up to which each text is held against all of them.
+LITERAL_TERMS = 200
 
 
 def fetch_size(k: int, hybrid: bool = True, filtered: bool = False) -> int:
@@ -155,15 +155,42 @@ def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int, tokenizer: str =
 def literal_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, n): how many of a query's identifiers a text contains.
 
-    Only queries that name an identifier take part.  Identifiers lie inside tokens of the
-    text or run over several, so each is searched for; up to LITERAL_QUERIES queries are
-    broadcast, and each text is lower-cased once for all of them.
+    Only queries that name an identifier take part.  Up to LITERAL_TERMS different identifiers
+    are an array that each text is held against, in one pass without a join; more of them
+    go by trigrams.
     """
-    q = queries.select("query_id", T.identifier_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-    q = F.broadcast(q) if q.count() <= LITERAL_QUERIES else q
-    low = docs.select("id", F.lower("text").alias("low"))
-    n = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t)))
-    return low.join(q, how="cross").select("query_id", "id", n.cast("long").alias("n")).where("n > 0")
+    asked = queries.select("query_id", F.explode(T.identifier_terms(F.col("text"))).alias("term")).distinct()
+    known = [r.term for r in asked.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
+    if len(known) > LITERAL_TERMS:
+        found = by_trigrams(docs, asked.select("term").distinct())
+    else:
+        terms = F.array(*map(F.lit, sorted(known))) if known else F.expr("CAST(array() AS array<string>)")
+        low = docs.select("id", F.lower("text").alias("low")) if known else docs.select("id", F.lower("text").alias("low")).limit(0)
+        found = low.select("id", F.explode(F.filter(terms, lambda t: F.contains(F.col("low"), t))).alias("term"))
+    return found.join(asked, "term").groupBy("query_id", "id").agg(F.count("*").alias("n")).select("query_id", "id", "n")
+
+
+def _trigrams(run: Column) -> Column:
+    """The different trigrams of an ASCII string, in linear time."""
+    chars = lambda cs: F.transform(F.sequence(F.lit(0), F.size(cs) - 3), lambda i: F.concat(cs[i], cs[i + 1], cs[i + 2]))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.split(run, "(?!^)(?=.)")), chars)))
+
+
+def by_trigrams(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, term) of terms that texts contain, by equi-joins alone.
+
+    An identifier lies inside one run of the characters that identifiers have, so a text is
+    its different runs.  Terms meet the runs of the whole corpus, each once, by their rarest
+    trigram there, and are then looked for in the run itself; the runs that hold a term
+    lead back to the texts.
+    """
+    runs = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9_.:/-]{3,})"), F.lit(1)))).alias("run"))
+    grams = runs.select("run").distinct().select("run", F.explode(_trigrams(F.col("run"))).alias("gram"))
+    mine = terms.where(F.length("term") >= 3).select("term", F.explode(_trigrams(F.col("term"))).alias("gram"))
+    often = grams.join(mine.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
+    rarest = mine.join(often, "gram").groupBy("term").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
+    holds = grams.join(rarest, "gram").where(F.contains("run", "term")).select("run", "term")
+    return runs.join(holds, "run").select("id", "term").distinct()
 
 
 # ---- fusion -------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import lexical, retrieve
+from tessera.operators import blockmax, lexical, retrieve
 from tessera.plans.catalog import query, table
 from tessera.plans.sql import ASKED, BM25, QUERIES, TOK, TOKENS
 
@@ -29,6 +29,13 @@ def bm25_index_topk(spark, d):
     return lexical.top_k(lexical.LexicalIndex.build(documents(spark, d)).scores(asked(spark)), 10).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
+@query(f"WITH queries AS (SELECT item_id AS query_id, text FROM benchmark), {BM25} SELECT query_id, id AS doc_id, score, rank FROM lex WHERE rank <= 10")
+def bm25_blockmax_topk(spark, d):
+    """All benchmark items as queries, by block maxima: ranges of documents that can't reach the tenth score are left out."""
+    asked_for = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return blockmax.BlockIndex.build(documents(spark, d)).search(asked_for, 10).select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+
+
 @query(f"WITH {QUERIES}, {BM25} SELECT query_id, id AS doc_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS relative FROM lex WHERE rank <= 10")
 def relative_scores(spark, d):
     best = lexical.top_k(lexical.search(documents(spark, d), asked(spark)), 10)
