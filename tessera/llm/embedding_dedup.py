@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm.common import components, durable, scratch, table, tidy
 from tessera.llm.hnsw import Graph, range_search
@@ -131,7 +132,7 @@ def links(reps: DataFrame, least: float = COSINE, shard: int = SHARD) -> DataFra
     """
     n = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
     sized = reps.join(n, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep", F.lit(3)), "shards").cast("int"))
-    made = "label int, dim int, shard int, shards int, graph binary"
+    made = StructType([reps.schema["label"], *StructType.fromDDL("dim int, shard int, shards int, graph binary").fields])
     graphs = durable(sized.select("label", "dim", "shard", "shards", "rep", "m", "v").groupBy("label", "dim", "shard").applyInArrow(_build, made), "graphs")
     met = graphs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     keys = ["label", "dim", "low", "high"]
@@ -147,7 +148,7 @@ def recall(found: DataFrame) -> DataFrame:
 def near_duplicates(embeddings: DataFrame, least: float = COSINE, shard: int = SHARD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of embeddings (vec_id, embedding, label).
 
-    Links join vectors with equal labels and a cosine of at least `least` (double
+    Labels are of any type.  Links join vectors with equal labels and a cosine of at least `least` (double
     precision).  Null or zero vectors, ones with null, infinite or NaN components, a
     null label, and vectors of different lengths link with nothing.  Copies are
     compared once, as a class.  Repeated rows are vectors like any other.  Other columns
@@ -155,7 +156,7 @@ def near_duplicates(embeddings: DataFrame, least: float = COSINE, shard: int = S
     No rows give no rows.
     """
     embeddings = tidy(embeddings, ("vec_id", "embedding", "label"))
-    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), F.col("label").cast("int").alias("label"))
+    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), "label")
     with scratch() as keep:
         reps = keep(durable(classes(vectors), "classes"))
         found = durable(links(reps, least, shard), "links")

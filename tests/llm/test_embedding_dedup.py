@@ -120,3 +120,11 @@ def test_query(spark, sf):
     assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == brute(rows)
+
+
+def test_labels_in_their_own_type(spark):
+    """Strings are labels like numbers; ones that only look alike are different."""
+    v, w = [1.0, 0.0, 0.5], [1.0, 0.001, 0.5]
+    rows = [(1, v, "a"), (2, w, "a"), (3, v, "A"), (4, v, "1"), (5, w, "01"), (6, v, None), (7, w, "1")]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got.collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (0, 5), 6: (0, 6), 7: (1, 4)}
