@@ -1,123 +1,149 @@
-"""Heading-aware Markdown chunks.
+"""Heading-aware Markdown chunks, as column expressions.
 
-Documents are parsed one by one, in Arrow batches: fences and headings are state
-that runs through a document's lines.  Text without either needs no parser: see
-prose_chunks(), which is Catalyst only.
+Fences and headings are state that runs through a document's lines.  Only the few lines
+that look like one or the other are folded, into events with line numbers; sections,
+and stretches of code and prose, are then slices of the lines between events.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
-_HEADING = re.compile(r"(#{1,6})\s+(.*)$")
-_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
-
-
-class _Fence:
-    """Whether the lines so far have left a code fence open."""
-
-    def __init__(self) -> None:
-        self.mark = ""
-
-    def turns(self, line: str) -> bool:
-        """True if this line opens or closes a fence."""
-        m = _FENCE.match(line)
-        if not m:
-            return False
-        mark, info = m[1], m[2]
-        if self.mark:
-            if mark[0] != self.mark[0] or len(mark) < len(self.mark) or info.strip(" \t"):
-                return False
-            self.mark = ""
-            return True
-        if mark[0] == "`" and "`" in info:
-            return False
-        self.mark = mark
-        return True
-
-
-def sections(text: str) -> list[tuple[str, str]]:
-    """(breadcrumb, block) in order; each heading outside code begins a block."""
-    fence, path, crumb = _Fence(), [], ""
-    blocks: list[tuple[str, list[str]]] = [("", [])]
-    for line in text.splitlines():
-        inside = bool(fence.mark)
-        m = None if fence.turns(line) or inside else _HEADING.match(line)
-        if m:
-            path = [(n, t) for n, t in path if n < len(m[1])] + [(len(m[1]), m[2].strip())]
-            crumb = " > ".join(t for _, t in path)
-            blocks.append((crumb, []))
-        blocks[-1][1].append(line)
-    return [(c, b) for c, ls in blocks if (b := "\n".join(ls)).strip()]
-
-
-def code_and_prose(block: str) -> list[tuple[str, bool]]:
-    """Stretches of a block and whether they are fenced code; an open fence runs to the end."""
-    fence, marked, part = _Fence(), [], 0
-    for line in block.splitlines():
-        was = bool(fence.mark)
-        turned = fence.turns(line)
-        if turned and not was:
-            part += 1
-        marked.append((part, was or turned, line))
-        if turned and was:
-            part += 1
-    runs = [("\n".join(x[2] for x in g), code) for (_, code), g in groupby(marked, key=lambda x: x[:2])]
-    return [(s, code) for s, code in runs if code or s.strip()]
-
-
-def split_markdown(text: str, size: object = T.CHUNK_SIZE, overlap: object = T.CHUNK_OVERLAP) -> list[tuple[str, str]]:
-    """(text, breadcrumb) of each chunk: a section if it fits, else its code whole and
+# Blanks are Unicode blanks and the four separators that end lines or fields.
+_BLANK = r"[\s\x1C-\x1F]"
+_HEADING = rf"(?Us)^(#{{1,6}}){_BLANK}+(.*)\z"
+_FENCE = r"(?s)^ {0,3}(`{3,}|~{3,})(.*)\z"
+_MARKED = rf"(?U)^(?: {{0,3}}(?:```|~~~)|#{{1,6}}{_BLANK})"
+_EVENTS = "CAST(array() AS array<struct<at:int,kind:string,level:int,title:string>>)"
+
+
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, rf"(?U)^{_BLANK}+|{_BLANK}+\z", "")
+
+
+def _events(lines: Column) -> Column:
+    """array<struct<at, kind, level, title>>: where code fences open and close, and the headings
+    outside of them.  A fence closes with at least as many of the marks it was opened with."""
+    numbered = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("at"), line.alias("line"))), lambda x: x["line"].rlike(_MARKED))
+    read = F.transform(
+        numbered,
+        lambda x: F.struct(
+            x["at"].alias("at"),
+            F.regexp_extract(x["line"], _FENCE, 1).alias("mark"),
+            F.regexp_extract(x["line"], _FENCE, 2).alias("info"),
+            F.length(F.regexp_extract(x["line"], _HEADING, 1)).alias("level"),
+            _strip(F.regexp_extract(x["line"], _HEADING, 2)).alias("title"),
+        ),
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        inside, fence = acc["mark"] != "", x["mark"] != ""
+        alike = (F.left(x["mark"], F.lit(1)) == F.left(acc["mark"], F.lit(1))) & (F.length(x["mark"]) >= F.length(acc["mark"]))
+        closes = inside & fence & alike & (F.regexp_replace(x["info"], r"[ \t]", "") == "")
+        opens = ~inside & fence & ~((F.left(x["mark"], F.lit(1)) == "`") & F.contains(x["info"], F.lit("`")))
+        kind = F.when(closes, "close").when(opens, "open").when(~inside & ~fence & (x["level"] > 0), "head")
+        event = F.struct(x["at"].alias("at"), kind.alias("kind"), x["level"].alias("level"), x["title"].alias("title"))
+        return F.struct(
+            F.when(closes, "").when(opens, x["mark"]).otherwise(acc["mark"]).alias("mark"),
+            F.when(kind.isNotNull(), F.concat(acc["out"], F.array(event))).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.aggregate(read, F.struct(F.lit("").alias("mark"), F.expr(_EVENTS).alias("out")), step, lambda acc: acc["out"])
+
+
+def _crumbs(heads: Column) -> Column:
+    """array<struct<at, crumb>>: where each section begins, and its headings from the outermost on."""
+    start = F.struct(F.expr("CAST(array() AS array<struct<n:int,t:string>>)").alias("path"), F.expr("array(struct(0 AS at, '' AS crumb))").alias("out"))
+
+    def step(acc: Column, h: Column) -> Column:
+        above = F.filter(acc["path"], lambda p: p["n"] < h["level"])
+        path = F.concat(above, F.array(F.struct(h["level"].alias("n"), h["title"].alias("t"))))
+        crumb = F.concat_ws(" > ", F.transform(path, lambda p: p["t"]))
+        return F.struct(path.alias("path"), F.concat(acc["out"], F.array(F.struct(h["at"].alias("at"), crumb.alias("crumb")))).alias("out"))
+
+    return F.aggregate(heads, start, step, lambda acc: acc["out"])
+
+
+def _between(lines: Column, at: Column, after: Column) -> Column:
+    """The lines from one number to before another, as text."""
+    return F.array_join(F.slice(lines, at + 1, F.greatest(after - at, F.lit(0))), "\n")
+
+
+def _following(starts: Column, k: Column, lines: Column) -> Column:
+    return F.coalesce(F.get(starts, k + 1)["at"], F.size(lines))
+
+
+def sections(text: Column) -> Column:
+    """array<struct<crumb, text>>: each heading outside code begins one; blank ones are left out."""
+
+    def cut(lines: Column) -> Column:
+        begin = lambda starts: F.transform(starts, lambda s, k: F.struct(s["crumb"].alias("crumb"), _between(lines, s["at"], _following(starts, k, lines)).alias("text")))
+        return _once(_crumbs(F.filter(_events(lines), lambda e: e["kind"] == "head")), begin)
+
+    return F.filter(_once(T.lines(text), cut), lambda b: _strip(b["text"]) != "")
+
+
+def code_and_prose(block: Column) -> Column:
+    """array<struct<text, code>>: stretches of a block; an open fence runs to the end, blank prose is left out."""
+
+    def cut(lines: Column) -> Column:
+        fences = F.filter(_events(lines), lambda e: e["kind"] != "head")
+        starts = F.concat(F.expr("array(struct(0 AS at, false AS code))"), F.transform(fences, lambda e: F.struct((e["at"] + F.when(e["kind"] == "close", 1).otherwise(0)).alias("at"), (e["kind"] == "open").alias("code"))))
+        parts = lambda ss: F.transform(ss, lambda s, k: F.struct(_between(lines, s["at"], _following(ss, k, lines)).alias("text"), (s["code"] & (_following(ss, k, lines) > s["at"])).alias("code")))
+        return _once(starts, parts)
+
+    return F.filter(_once(T.lines(block), cut), lambda p: p["code"] | (_strip(p["text"]) != ""))
+
+
+def _windows(text: Column, size: Column, overlap: Column) -> Column:
+    step = F.greatest(size - overlap, F.lit(1))
+    return F.transform(F.sequence(F.lit(0), F.length(text) - 1, step), lambda i: F.substring(text, i + 1, size))
+
+
+def split_markdown(text: Column, size: Column, overlap: Column) -> Column:
+    """array<struct<text, section>> of each chunk: a section if it fits, else its code whole and
     its prose in overlapping windows, of which a short last one joins its neighbour."""
-    size, overlap = T.clamped(size, overlap)
-    out = []
-    for crumb, block in sections(text):
-        block = block.strip()
-        if len(block) <= size:
-            out.append((block, crumb))
-            continue
-        for part, code in code_and_prose(block):
-            part = part.strip()
-            if code or len(part) <= size:
-                out.append((part, crumb))
-                continue
-            pieces = [part[i : i + size] for i in range(0, len(part), max(size - overlap, 1))]
-            if len(pieces) > 1 and len(pieces[-1]) < T.SHORT_TAIL:
-                pieces[-2:] = ["".join(pieces[-2:])]
-            out += [(p, crumb) for p in pieces]
-    return [(t, c) for t, c in out if t.strip()]
+
+    def pieces(part: Column) -> Column:
+        whole = lambda t: F.when(part["code"] | (F.length(t) <= size), F.array(t)).otherwise(_once(_windows(t, size, overlap), lambda ws: T.merged_tail(ws)))
+        return _once(_strip(part["text"]), whole)
+
+    def cut(section: Column) -> Column:
+        texts = lambda b: F.when(F.length(b) <= size, F.array(b)).otherwise(F.flatten(F.transform(code_and_prose(b), pieces)))
+        return F.transform(_once(_strip(section["text"]), texts), lambda t: F.struct(t.alias("text"), section["crumb"].alias("section")))
+
+    return F.filter(F.flatten(F.transform(sections(text), cut)), lambda c: _strip(c["text"]) != "")
 
 
 def chunks(docs: DataFrame, size: int = T.CHUNK_SIZE, overlap: int = T.CHUNK_OVERLAP) -> DataFrame:
     """One row for each chunk of docs (path, content, and perhaps chunk_size and
-    chunk_overlap of their own): the other columns, chunk, text, section, id."""
+    chunk_overlap of their own): the other columns, chunk, text, section, id.
+
+    A null text has no chunks.  Sizes below 1 are 1, an overlap is at most half a size.
+    """
     own = {c: c in docs.columns for c in ("chunk_size", "chunk_overlap")}
     keep = [c for c in docs.columns if c not in ("content", "chunk_size", "chunk_overlap")]
-    param = [F.coalesce(F.col(c).cast("int") if own[c] else F.lit(None), F.lit(d)).alias(c) for c, d in (("chunk_size", size), ("chunk_overlap", overlap))]
-    given = docs.select(*keep, *param, "content")
-    made = "array<struct<text:string,section:string>>"
-    kind = pa.list_(pa.struct([("text", pa.string()), ("section", pa.string())]))
-
-    @F.arrow_udf(made)
-    def split(text: pa.Array, n: pa.Array, o: pa.Array) -> pa.Array:
-        rows = zip(text.to_pylist(), n.to_pylist(), o.to_pylist(), strict=True)
-        return pa.array([[{"text": t, "section": s} for t, s in split_markdown(x or "", a, b)] for x, a, b in rows], kind)
-
-    found = given.select(*keep, F.posexplode(split("content", "chunk_size", "chunk_overlap")).alias("chunk", "c"))
+    given = lambda c, d: F.coalesce(F.col(c).cast("int") if own[c] else F.lit(None), F.lit(d))
+    n = F.greatest(given("chunk_size", T.clamped(size, 0)[0]), F.lit(1))
+    laps = F.greatest(F.least(given("chunk_overlap", int(overlap)), F.floor(F.col("_size") / 2).cast("int")), F.lit(0))
+    sized = docs.withColumn("_size", n).withColumn("_overlap", laps).select(*keep, "content", "_size", "_overlap")
+    found = sized.select(*keep, F.posexplode(split_markdown(F.coalesce("content", F.lit("")), F.col("_size"), F.col("_overlap"))).alias("chunk", "c"))
     return found.select(*keep, "chunk", "c.text", "c.section", F.concat_ws("::", "path", F.col("chunk").cast("string")).alias("id"))
 
 
 def prose_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = T.CHUNK_SIZE, overlap: int = T.CHUNK_OVERLAP) -> DataFrame:
     """(id, chunk, text) of texts without headings and fences, in Catalyst alone."""
-    whole = T.strip(F.col(text_col))
-    pieces = F.when(F.length(whole) <= size, F.array(whole)).otherwise(T.merged_tail(T.windows(whole, size, overlap)))
+    cut_up = lambda w: F.when(F.length(w) <= size, F.array(w)).otherwise(_once(T.windows(w, size, overlap), lambda ws: T.merged_tail(ws)))
+    pieces = _once(T.strip(F.col(text_col)), cut_up)
     cut = docs.select(F.col(id_col).alias("id"), F.posexplode(pieces).alias("chunk", "text"))
     return cut.where(T.strip(F.col("text")) != "")

@@ -47,6 +47,6 @@ def test_queries_without_oracle_have_rows(spark, sf):
 
 
 def test_no_python_where_catalyst_can_do_it(spark, sf):
-    for name in ("bm25_topk", "hybrid_search", "chunk_windows", "frontmatter_meta", "link_resolution", "quality_snapshot", "supersede_chain"):
+    for name in ("bm25_topk", "hybrid_search", "chunk_windows", "frontmatter_meta", "link_resolution", "quality_snapshot", "supersede_chain", "chunk_breadcrumbs", "chunk_markdown_prose", "literal_channel"):
         plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan, name

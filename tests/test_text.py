@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunking
+from tests import plain_chunks
 
 
 def one(spark, fn, value):
@@ -73,18 +76,36 @@ def test_windows_and_tail(spark):
 
 def test_sections():
     text = "intro\n# A\none\n### C\n```\n# not\n```\n## B\n~~~~\n~~~\n# still code\n~~~~\n# D\n#no"
-    assert [c for c, _ in chunking.sections(text)] == ["", "A", "A > C", "A > B", "D"]
-    assert chunking.sections(text)[4][1] == "# D\n#no"
-    assert chunking.sections("\n \n") == []
+    assert [c for c, _ in plain_chunks.sections(text)] == ["", "A", "A > C", "A > B", "D"]
+    assert plain_chunks.sections(text)[4][1] == "# D\n#no"
+    assert plain_chunks.sections("\n \n") == []
 
 
 def test_split_markdown():
     code = "```\n" + "x = 1\n" * 30 + "```"
-    got = chunking.split_markdown(f"# A\n{'word ' * 30}\n{code}\nend", 100, 20)
+    got = plain_chunks.split_markdown(f"# A\n{'word ' * 30}\n{code}\nend", 100, 20)
     assert any(t == code for t, _ in got) and all(c == "A" for _, c in got) and got[-1][0] == "end"
     assert all(len(t) <= 130 for t, _ in got if not t.startswith("```"))
-    assert chunking.split_markdown("# A\n```\n" + "y\n" * 90, 50, 0)[-1][0].startswith("```")
-    assert chunking.split_markdown("", 10, 2) == [] and chunking.split_markdown("ab", 10, 2) == [("ab", "")]
+    assert plain_chunks.split_markdown("# A\n```\n" + "y\n" * 90, 50, 0)[-1][0].startswith("```")
+    assert plain_chunks.split_markdown("", 10, 2) == [] and plain_chunks.split_markdown("ab", 10, 2) == [("ab", "")]
+
+
+def test_chunks_equal_the_plain_version(spark):
+    """Column expressions and a loop over lines cut alike: fences, headings, odd line breaks, all sizes."""
+    r = random.Random(6)
+    parts = ["# A", "## B c ", "### ", "#no", "#\tT", "```", "```py", "~~~", "~~~~ x", "````", "``` a`b", "   ```", "    ```", "\t```", "text and more words", "", "   ", "\x1f", "\xa0x", "- item", "#### deep # x", "####### seven", "a" * 70, "é ñ " * 30, "~~~ ~", "a😀"]
+    breaks = ["\n"] * 12 + ["\r\n", "\r", "\x0b", "\u2028", "\x85", "\n\n", "\x1c"]
+    texts = ["".join(r.choice(parts) + r.choice(breaks) for _ in range(r.choice([0, 1, 2, 5, 20, 60]))) for _ in range(400)] + [None, "x" * 50_000, "```\n" * 301, "# h\n" * 500]
+    rows = [(str(i), t, r.choice([None, 1, 10, 40, 200]), r.choice([None, 0, 5, 100])) for i, t in enumerate(texts)]
+    cut = chunking.chunks(spark.createDataFrame(rows, "path string, content string, chunk_size int, chunk_overlap int"), 80, 20)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    got: dict = {}
+    for c in cut.collect():
+        got.setdefault(c.path, {})[c.chunk] = (c.text, c.section)
+    for path, text, size, overlap in rows:
+        mine = got.get(path, {})
+        assert [mine[k] for k in range(len(mine))] == plain_chunks.split_markdown(text or "", 80 if size is None else size, 20 if overlap is None else overlap), (text, size, overlap)
 
 
 def test_chunk_parameters_of_a_document(spark):
