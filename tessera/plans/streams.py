@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.plans.catalog import query, table
 from tessera.scratch import scratch_path
+from tessera.sources import notes_source
+from tessera.sources.sinks import drop_path
 from tessera.streaming import watch
 
 
@@ -36,12 +38,10 @@ def stream_query_log(spark, d):
 @query("SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type AS query, value AS ms FROM events ORDER BY ts DESC, value LIMIT 200")
 def stream_last_200(spark, d):
     """A ring of the last 200 rows of a stream."""
-    from tessera.sources.sinks import SnapshotTable
-
     ring = scratch(spark)
     rows = log_stream(spark, d).withColumn("at", F.concat_ws("|", "ts", F.format_string("%012.3f", 1e6 - F.col("ms"))))
     watch.keep_last(rows, ring, 200, scratch(spark), order="at").awaitTermination()
-    return SnapshotTable(spark, ring).read().select("ts", "query", "ms")
+    return watch.last_of(spark, ring, 200, order="at").select("ts", "query", "ms")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'changed' ELSE 'kept' END AS state FROM documents WHERE doc_id % 5 <> 0")
@@ -69,7 +69,58 @@ def stream_watch_batch(spark, d):
 
     passed: list[int] = []
     q = watch.watch(spark, beat, watch.LEAST_INTERVAL, scratch(spark))
-    while q.isActive and len(passed) < len(states):
+    deadline = time.time() + 600
+    while q.isActive and len(passed) < len(states) and time.time() < deadline:
         time.sleep(0.2)
     q.stop()
+    if len(passed) < len(states):
+        raise TimeoutError(f"{len(passed)} of {len(states)} passes of the watch came to an end")
     return index.read().select("doc_id", "state")
+
+
+def as_files(docs, path: str) -> None:
+    """A folder for each source, with one file of its texts, a line each."""
+    lines = docs.select("doc_id", "source", F.regexp_replace("text", "[\r\n]", " ").alias("line")).where("text IS NOT NULL AND source IS NOT NULL")
+    lines.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "line").write.mode("append").partitionBy("source").text(path)
+
+
+def source_of(path):
+    return F.regexp_extract(path, "source=([^/]*)/", 1)
+
+
+@query("""SELECT source, count(*) AS n_texts, sum(length(text))::BIGINT AS n_chars, md5(string_agg(regexp_replace(text, '[\r\n]', ' ', 'g') || chr(10), '' ORDER BY doc_id)) AS digest FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source""")
+def notes_source_read(spark, d):
+    """The documents as files, read by the data source of notes; the filter on suffixes reaches its listing."""
+    root = scratch(spark)
+    as_files(table(spark, d, "documents"), root)
+    notes_source.register(spark)
+    files = spark.read.format("notes").load(root).where("suffix = '.txt'")
+    text = F.col("content").cast("string")
+    n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return files.select(source_of(F.col("path")).alias("source"), n.alias("n_texts"), (F.length(text) - n).alias("n_chars"), F.md5("content").alias("digest"))
+
+
+@query("""WITH s AS (SELECT DISTINCT source FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)
+SELECT 0::BIGINT AS run, source, 'added' AS change FROM s UNION ALL SELECT 1, min(source), 'removed' FROM s UNION ALL SELECT 1, 'copy-' || max(source), 'added' FROM s""")
+def stream_changes(spark, d):
+    """The files of all sources as a feed of changes; between two runs of it one source goes and one comes."""
+    root, state, checkpoint, out = (scratch(spark) for _ in range(4))
+    docs = table(spark, d, "documents")
+    as_files(docs, root)
+    ends = docs.where("text IS NOT NULL").agg(F.min("source").alias("low"), F.max("source").alias("high")).first()
+
+    def run(n: int) -> None:
+        def put(batch, _: int) -> None:
+            batch.where("path LIKE '%.txt'").select(F.lit(n).cast("long").alias("run"), source_of(F.col("path")).alias("source"), "change").write.mode("append").parquet(out)
+
+        q = watch.changes(spark, root, state).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(once=True).start()
+        if not q.awaitTermination(600):
+            q.stop()
+            raise TimeoutError("the feed of changes came to no end")
+
+    run(0)
+    if ends.low is not None:
+        drop_path(spark, f"{root}/source={ends.low}")
+        as_files(docs.where(F.col("source") == ends.high).withColumn("source", F.concat(F.lit("copy-"), "source")), root)
+    run(1)
+    return spark.read.schema("run long, source string, change string").parquet(out).distinct()
