@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 
 #: Words that a text and a passage in it are met on, and passages up to which they are broadcast.
 KEY, FEW = 5, 20_000
+#: Short passages that a text is held against in one pass.
+BLOCK = 500
 
 
 def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(query_id, source) of docs (source, text) that contain a passage (query_id, text).
 
     A passage of KEY + 2 words or more has KEY whole words inside; docs are met on the hash
-    of every such run of theirs, and only those that meet are searched.  A shorter one is
-    searched for everywhere.
+    of every such run of theirs, and only those that meet are searched.  Shorter ones are an
+    array that each text is held against, a block of BLOCK passages at a time.
     """
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
     cut = passages.where("text <> ''").select("query_id", F.col("text").alias("passage"), words(F.col("text")).alias("w"))
@@ -24,8 +26,18 @@ def holding(docs: DataFrame, passages: DataFrame) -> DataFrame:
     keyed = docs.select("source", "text", words(F.col("text")).alias("w")).select("source", "text", runs.alias("keys"))
     long = F.broadcast(long) if passages.count() <= FEW else long
     met = keyed.select("source", "text", F.explode_outer("keys").alias("key")).join(long, "key").where(F.contains("text", "passage")).select("query_id", "source")
-    short = docs.join(cut.where(F.size("w") < KEY + 2), F.contains("text", "passage")).select("query_id", "source")
-    return met.unionByName(short).distinct()
+    short = cut.where(F.size("w") < KEY + 2).select("query_id", "passage")
+    known: list[str] = []
+    for r in short.select("passage").distinct().orderBy("passage").toLocalIterator():
+        known.append(r.passage)
+        if len(known) == BLOCK:
+            met, known = met.unionByName(_held(docs, known, short)), []
+    return (met.unionByName(_held(docs, known, short)) if known else met).distinct()
+
+
+def _held(docs: DataFrame, passages: list[str], asked: DataFrame) -> DataFrame:
+    hits = docs.select("source", F.explode(F.filter(F.array(*map(F.lit, passages)), lambda p: F.contains(F.col("text"), p))).alias("passage"))
+    return hits.join(asked, "passage").select("query_id", "source")
 
 
 def first_ranks(cases: DataFrame, hits: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -66,5 +65,6 @@ def labels(notes: DataFrame) -> DataFrame:
     """(source, label): the base name, with the parent folder before it where the name is not unique."""
     parts = F.filter(F.split(F.regexp_replace(F.replace("source", F.lit("\\"), F.lit("/")), r"(?i)\.md$", ""), "/"), lambda x: x != "")
     named = notes.select("source", F.element_at(parts, -1).alias("base"), F.when(F.size(parts) > 1, F.element_at(parts, -2)).alias("parent"))
-    many = F.count("*").over(W.partitionBy("base")) > 1
-    return named.select("source", F.when(many & F.col("parent").isNotNull(), F.concat_ws("/", "parent", "base")).otherwise(F.col("base")).alias("label"))
+    many = named.groupBy("base").agg((F.count("*") > 1).alias("many"))
+    both = named.join(many, "base")
+    return both.select("source", F.when(F.col("many") & F.col("parent").isNotNull(), F.concat_ws("/", "parent", "base")).otherwise(F.col("base")).alias("label"))

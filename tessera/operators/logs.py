@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.scratch import durable
+
 # Windows, caps and what counts as drift or as stale.
 QUALITY_WINDOW, P95_LEAST = 200, 20
 ZERO_HIT_RISE, BAD_RATE_RISE, HITS_DROP, FEEDBACK_LEAST = 0.10, 0.08, -1.0, 10
@@ -27,15 +29,32 @@ def p95_exclusive(values: Column) -> Column:
     return F.when(n >= P95_LEAST, cut)
 
 
+def values_at(rows: DataFrame, key: str, value: str, ranks: DataFrame) -> DataFrame:
+    """(key, rank, value): the values at given ranks (key, rank from 1) of each key's values in order.
+
+    Equal values are counted first; what is left is dealt out by ranges of key and value, so a
+    key with most of the rows lies in many parts.  Sums by part say which part has a rank,
+    and only within such parts is there an order to go through: no task has a whole key.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    parts = durable(counted.repartitionByRange(key, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    upto = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = parts.groupBy(key, "_part").agg(F.sum("n").alias("_n")).withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+    wanted = sums.join(ranks, key).where((F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_before") + F.col("_n"))).select(key, "_part", "_before", "rank")
+    within = W.partitionBy(key, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    there = parts.join(wanted.select(key, "_part").distinct(), [key, "_part"], "left_semi").withColumn("_upto", F.sum("n").over(within))
+    at = F.col("rank") - F.col("_before")
+    return there.join(wanted, [key, "_part"]).where((at <= F.col("_upto")) & (at > F.col("_upto") - F.col("n"))).select(key, "rank", value)
+
+
 def p95_by(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, p95) as p95_exclusive() has it, from the two ranks that it needs: no group's values are gathered."""
+    """(key, p95) as p95_exclusive() has it, from the two ranks that it needs."""
     n = rows.groupBy(key).agg(F.count(value).alias("n")).withColumn("at", F.least(F.greatest((F.lit(19) * (F.col("n") + 1) / 20).cast("int"), F.lit(1)), F.col("n") - 1))
-    ranked = rows.where(F.col(value).isNotNull()).select(key, value, F.row_number().over(W.partitionBy(key).orderBy(value)).alias("nth"))
-    two = ranked.join(n, key).where((F.col("nth") == F.col("at")) | (F.col("nth") == F.col("at") + 1))
+    ranks = n.where(F.col("n") >= P95_LEAST).select(key, F.explode(F.array("at", F.col("at") + 1)).alias("rank"))
+    two = values_at(rows, key, value, ranks).join(n, key)
     share = F.lit(19) * (F.col("n") + 1) - F.col("at") * 20
-    part = F.col(value) * F.when(F.col("nth") == F.col("at"), 20 - share).otherwise(share) / 20
-    cut = two.groupBy(key, "n").agg(F.sum(part).alias("p95"))
-    return n.select(key).join(cut, key, "left").select(key, F.when(F.col("n") >= P95_LEAST, F.col("p95")).alias("p95"))
+    cut = two.groupBy(key).agg(F.sum(F.col(value) * F.when(F.col("rank") == F.col("at"), 20 - share).otherwise(share) / 20).alias("p95"))
+    return n.select(key).join(cut, key, "left").select(key, "p95")
 
 
 def quality_snapshot(queries: DataFrame, feedback: DataFrame, window: int = QUALITY_WINDOW, order: str = "ord") -> DataFrame:

@@ -137,3 +137,37 @@ def test_vectors_of_two_lengths(spark):
     asked = spark.createDataFrame([(0, [2.0, 0.0]), (1, [0.0, 0.0, 3.0]), (2, None)], "query_id long, vec array<double>")
     got = {(r.query_id, r.id): r["rank"] for r in retrieve.dense_top_k(corpus, asked, 5).collect()}
     assert got == {(0, 1): 1, (0, 6): 2, (1, 2): 1}
+
+
+def test_ranks_of_a_hot_key(spark):
+    """Quantiles from parts of a key: as from the whole list, with ties, nulls and one key that has most rows."""
+    import random
+    import statistics
+
+    from tessera.operators import logs
+
+    r = random.Random(8)
+    rows = [("hot", r.choice([0.0, 1.5, r.random() * 100])) for _ in range(3000)] + [("few", float(i)) for i in range(19)] + [("even", 7.0)] * 40 + [("some", float(i * i % 37)) for i in range(25)] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = {x.k: x.p95 for x in logs.p95_by(df, "k", "v").collect()}
+        ranks = spark.createDataFrame([("hot", n) for n in (1, 2, 1500, 2999, 3000)], "k string, rank long")
+        found = {x["rank"]: x.v for x in logs.values_at(df, "k", "v", ranks).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    by = {k: [v for key, v in rows if key == k and v is not None] for k in got}
+    want = {k: statistics.quantiles(vs, n=20)[-1] if len(vs) >= 20 else None for k, vs in by.items()}
+    assert {k: v and round(v, 9) for k, v in got.items()} == {k: v and round(v, 9) for k, v in want.items()}
+    assert found == {n: sorted(by["hot"])[n - 1] for n in (1, 2, 1500, 2999, 3000)}
+
+
+def test_short_passages_without_a_nested_loop(spark, monkeypatch):
+    from tessera.operators import evaluation
+
+    monkeypatch.setattr(evaluation, "BLOCK", 2)
+    docs = spark.createDataFrame([("a", "one two three"), ("b", "two three four"), ("c", None)], "source string, text string")
+    asked = spark.createDataFrame([(1, "two"), (2, "one two"), (3, "four"), (4, ""), (5, "two"), (6, "none"), (7, None)], "query_id long, text string")
+    got = evaluation.holding(docs, asked)
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (1, "b"), (2, "a"), (3, "b"), (5, "a"), (5, "b")]
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
