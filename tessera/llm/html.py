@@ -54,6 +54,11 @@ _MARKS = frozenset(
     "newsletter subscribe subscription signup popup modal overlay sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead toolbar "
     "comment comments respond disqus share sharing social related recommended widget skip login header".split()
 )
+#: Whole names of a class or id that say reader comments or adverts, whatever their share of a page.
+_STRONG = frozenset(
+    "comment comments comment-list comments-list commentlist comments-area comments-section comment-section user-comments reader-comments respond disqus_thread "
+    "advert adverts advertisement advertisements ad-container ad-slot adsbygoogle".split()
+)
 #: An open element that a start tag closes, and the elements that stop the search for it.
 _CLOSES = {t: frozenset([t]) for t in ("li", "option", "tr")} | {t: frozenset(["dt", "dd"]) for t in ("dt", "dd")} | {t: frozenset(["td", "th"]) for t in ("td", "th")}
 _CLOSES |= {t: frozenset(["tr", "td", "th"]) for t in ("tr", "tbody", "thead", "tfoot")}
@@ -63,7 +68,7 @@ _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dt dd td th tr tbody t
 
 
 class _Node:
-    __slots__ = ("article", "first", "gone", "hashed", "holds", "last", "live", "main", "marked", "mute", "named", "nested", "parent", "parts", "region", "size", "tag")
+    __slots__ = ("article", "first", "gone", "hashed", "holds", "last", "live", "main", "marked", "mute", "named", "nested", "parent", "parts", "region", "size", "strong", "tag", "within")
 
     def __init__(self, tag: str, parent: "_Node | None", gone: bool, main: int, named: str, marked: bool, mute: bool) -> None:
         self.tag, self.parent, self.gone, self.main, self.named, self.marked, self.mute = tag, parent, gone, main, named, marked, mute
@@ -71,6 +76,7 @@ class _Node:
         self.live, self.holds, self.region = 0, False, self  # text that is not gone; holds the main region
         self.article = self if tag == "article" else parent.article if parent else None
         self.nested = 0  # text of the articles in an article
+        self.strong = self.within = False  # named as comments or an advert; it, or what it is in
         self.first, self.last = 1 << 30, -1  # blocks that are left
 
 
@@ -98,8 +104,9 @@ def weighed(html: str, names: bool = True) -> tuple[list[tuple[str, int]], list[
 
     names: whether a word of a class or id outside <article> and <main> rules an element
     out.  It does not rule out what holds <main> or the only <article>, nor, on a page
-    without these, what has more than half of the text.  Articles in an article are
-    ruled out where they hold at most three quarters of its text."""
+    without these, what has more than half of the text.  A name that says comments or
+    advert rules out any share of such a page, and up to half of an <article> or <main>.
+    Articles in an article are ruled out where they hold at most three quarters of its text."""
     root = _Node("", None, False, 0, "", False, False)
     stack, nodes, blocks, text, opened = [root], [], [], [], Counter()
 
@@ -198,6 +205,8 @@ def weighed(html: str, names: bool = True) -> tuple[list[tuple[str, int]], list[
         gone = gone or "display:none" in got.get("style", "").replace(" ", "").lower() or (tag == "header" and not main)
         marked = names and bool(named) and not main and tag not in ("html", "body") and not _MARKS.isdisjoint(_WORDS.split(named))
         node = _Node(tag, parent, gone, main, named, marked, tag not in _BLOCK and (parent.mute or marked))
+        node.strong = names and tag not in ("html", "body", "main", "article") and not _STRONG.isdisjoint(named.split())
+        node.within = node.strong or parent.within
         stack.append(node)
         opened[tag] += 1
         nodes.append(node)
@@ -224,7 +233,7 @@ def weighed(html: str, names: bool = True) -> tuple[list[tuple[str, int]], list[
         x.parent.article.nested += x.live
     for x in inner:
         x.gone = x.gone or 4 * x.parent.article.nested <= 3 * x.parent.article.live
-    regions = [x for x in nodes if x.live and x.main > x.parent.main]
+    regions = [x for x in nodes if x.live and x.main > x.parent.main and not x.within]
     x = max(regions, key=lambda x: (x.main, x.live), default=root)
     alone = x.main == 2 or sum(y.main == x.main for y in regions) == 1  # else there is none, or a list
     spared = set()
@@ -234,7 +243,9 @@ def weighed(html: str, names: bool = True) -> tuple[list[tuple[str, int]], list[
             spared.add(x)
         x = x.parent
     for x in nodes:
+        x.region = x if x.main > x.parent.main else x.parent.region
         x.gone = x.gone or x.parent.gone or (x.marked and x not in spared and (alone or 2 * x.live <= root.live))
+        x.gone = x.gone or (x.strong and not x.holds and (2 * x.live <= x.region.live if x.main else x.live < root.live))
     left = [(t, x) for t, x in blocks if not x.gone]
     for k, (_, x) in enumerate(left):
         x.first, x.last = min(x.first, k), k
@@ -242,7 +253,6 @@ def weighed(html: str, names: bool = True) -> tuple[list[tuple[str, int]], list[
         x.parent.first, x.parent.last = min(x.parent.first, x.first), max(x.parent.last, x.last)
     may = []
     for x in nodes:
-        x.region = x if x.main > x.parent.main else x.parent.region
         if x.last >= 0 and not x.gone and not x.holds and x.tag not in ("html", "body"):
             if not x.main or x is x.region or (x.tag not in _PLAIN and 2 * x.live <= x.region.live):
                 may.append((x.hashed, x.first, x.last + 1))

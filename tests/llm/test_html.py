@@ -177,7 +177,7 @@ def test_near_copies_are_no_template(spark):
     ("page", "want"),
     [
         ("<div id=page class='layout has-sidebar'><article><p>a <b>b</b></p></article><div class=sidebar>s</div></div>", "a b"),
-        ("<article class='post comments-open'>own text<div class=comments>c</div></article>", "own text\nc"),
+        ("<article class='post comments-open'>own text<div class=comments>c</div></article>", "own text"),
         ("<article><h1>T</h1><section class='related work'>a</section><p id=social>b</p><span class=ad>c</span></article>", "T\na\nb\nc"),
         ("<article>own text<article>a reader</article><article>b</article></article>", "own text"),
         ("<article>x<article>more text than that</article></article>", "x\nmore text than that"),
@@ -204,3 +204,21 @@ def test_wrapper_of_a_whole_site(spark):
 def test_a_long_advert_beside_a_short_article(spark):
     row = (1, "http://h.org/1", "<body><div class=ad>an advert longer than the article</div><article>short</article></body>")
     assert [r.text for r in html.extract(spark.createDataFrame([row], "page_id long, url string, html string")).collect()] == ["short"]
+
+
+def test_comments_and_adverts_of_any_share(spark):
+    """Comments and adverts by whole names go outside a main element whatever their share, and inside up to half."""
+    from tessera.llm import html
+
+    long = "<p>" + "a reader says so much more than the post itself. " * 5 + "</p>"
+    pages = [
+        (f'<body><div class="post"><p>The post.</p></div><section id="comments">{long}</section></body>', "The post."),
+        (f'<body><div class="post"><p>The post.</p></div><div class="box comment-list"><article>{long}</article></div></body>', "The post."),
+        ('<article><h1>Title</h1><p>The post is long enough here.</p><div class="advert">Buy this</div><div class="comments"><p>First!</p></div></article>', "Title\nThe post is long enough here."),
+        ('<body><div class="comments"><p>Only this page text.</p></div></body>', "Only this page text."),
+        ('<div class="comments-open"><article><p>Kept, for its wrapper only sounds alike.</p></article></div>', "Kept, for its wrapper only sounds alike."),
+        ('<div class="comments"><article><p>All there is.</p></article></div>', "All there is."),
+    ]
+    df = spark.createDataFrame([(i, f"http://h{i}.org/", h) for i, (h, _) in enumerate(pages)], "page_id int, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got == {i: t for i, (_, t) in enumerate(pages)}
