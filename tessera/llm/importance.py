@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, scratch_path, table, tidy, wider
+from tessera.llm.common import durable, table, tidy, wider
 
 #: Buckets, words of the longest run, per cent drawn, words of a document that may be drawn, seed.
 BUCKETS, RUN, PERCENT, LEAST, SEED = 10_000, 2, 25, 20, 7
@@ -35,6 +35,7 @@ BUCKETS, RUN, PERCENT, LEAST, SEED = 10_000, 2, 25, 20, 7
 PIECE, AT_ONCE = 500_000, 1_000_000
 #: Different scores: gains and noise in thousandths of natural logarithms of 64-bit counts.
 SCORES = 150_000
+_TOTAL = pa.struct([("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GIVEN_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -134,16 +135,17 @@ class _Counter:
 def counted(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), buckets: int = BUCKETS, run: int = RUN) -> DataFrame:
     """The kept columns, n_words, n_features, buckets and counts (arrays of one length), total.
 
-    A row with total = false is a document.  Each partition ends with a row of its sums
-    (total = true, the kept columns null).  A null text has no words.
+    A row whose total is null is a document.  Each partition ends with a row of its sums, in
+    total (arrays of buckets and counts) alone, so they are read without the documents'
+    arrays.  A null text has no words.
     """
     docs = tidy(docs, (*keep, "text")).select(*keep, "text")
     kept = docs.drop("text").schema
-    schema = wider(kept, "n_words long, n_features long, buckets array<int>, counts array<long>, total boolean")
+    schema = wider(kept, "n_words long, n_features long, buckets array<int>, counts array<long>, total struct<buckets:array<int>,counts:array<bigint>>")
     names = [f.name for f in schema.fields]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, sums, words, types = None, np.zeros(buckets, np.int64), 0, None
+        counter, sums, types = None, np.zeros(buckets, np.int64), None
         for b in batches:
             counter = counter or _Counter(buckets, run)
             types, texts = b.schema.types[:-1], b.column(b.num_columns - 1)
@@ -153,21 +155,21 @@ def counted(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), buckets: int =
                 by = lambda x: np.bincount(row, x, size).astype(np.int64) if len(row) else np.zeros(size, np.int64)  # noqa: B023, E731
                 ends, n_words = pa.array(np.concatenate([[0], np.cumsum(by(None))]), pa.int32()), by(single)
                 lists = [pa.ListArray.from_arrays(ends, pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(n))]
-                yield pa.RecordBatch.from_arrays([*(c.slice(start, size) for c in b.columns[:-1]), pa.array(n_words), pa.array(by(n)), *lists, pa.array(np.zeros(size, bool))], names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, size) for c in b.columns[:-1]), pa.array(n_words), pa.array(by(n)), *lists, pa.nulls(size, _TOTAL)], names)
                 np.add.at(sums, bucket, n)
-                words += int(n_words.sum())
         if types is not None:
             at = np.flatnonzero(sums)
-            row = [pa.nulls(1, t) for t in types]
-            row += [pa.array([words]), pa.array([int(sums.sum())]), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([sums[at].tolist()], pa.list_(pa.int64())), pa.array([True])]
+            row = [pa.nulls(1, t) for t in (*types, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))]
+            row.append(pa.array([{"buckets": at.tolist(), "counts": sums[at].tolist()}], _TOTAL))
             yield pa.RecordBatch.from_arrays(row, names)
 
     return docs.mapInArrow(count, schema)
 
 
-def merged(totals: DataFrame) -> DataFrame:
-    """(bucket, n) of the partitions' rows of totals."""
-    return totals.select(F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy(F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias("n"))
+def merged(rows: DataFrame) -> DataFrame:
+    """(bucket, n) of the partitions' sums."""
+    each = rows.where("total IS NOT NULL").select(F.explode(F.arrays_zip("total.buckets", "total.counts")).alias("x"))
+    return each.groupBy(F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias("n"))
 
 
 def gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -237,13 +239,9 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least:
     documents give no rows, and an empty target makes all buckets alike but for their counts.
     Other columns, and any whose names clash with made ones, are left out.
     """
-    spark = docs.sparkSession
-    path = scratch_path(spark, "buckets")
-    made = counted(docs, buckets=buckets, run=run)
-    made.write.partitionBy("total").option("compression", "zstd").parquet(path)
-    kept = spark.read.schema(made.schema).parquet(path)
-    gain = gains(merged(kept.where("total")), merged(counted(target, (), buckets, run).where("total")), buckets)
-    weight = weighed(kept.where("NOT total"), gain, buckets)
+    kept = durable(counted(docs, buckets=buckets, run=run), "buckets")
+    gain = gains(merged(kept), merged(counted(target, (), buckets, run)), buckets)
+    weight = weighed(kept.where("total IS NULL"), gain, buckets)
     return ranked(durable(weight.withColumn("score", F.col("weight") + noise(seed)), "scored"), percent, least)
 
 
