@@ -1,15 +1,14 @@
 """Okapi BM25 over Spark tables.
 
 Statistics are aggregates of token arrays; scoring is a join of query terms with
-postings, so a table of queries costs one plan.  The postings of a saved index lie
-sorted by term, so a query reads the row groups of its terms only.
+postings, so a table of queries costs one plan.  Saved indexes are in postings.py.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,26 +39,6 @@ class LexicalIndex:
         postings = toks.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
         return cls(postings.select("term", "id", "tf", "dl"), postings.groupBy("term").agg(F.count("*").alias("df")), stats, name)
 
-    def save(self, path: str, partitions: int = 32) -> None:
-        self.postings.repartitionByRange(partitions, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.frequencies.write.mode("overwrite").parquet(f"{path}/frequencies")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str, name: str = "default") -> LexicalIndex:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "frequencies", "stats")), name)
-
-    @classmethod
-    def kept(cls, spark: SparkSession, path: str, docs: DataFrame, name: str = "default") -> LexicalIndex:
-        """The index saved under a path, made and saved first if it is not there.
-
-        The path names a snapshot of docs, so a changed corpus has another one.
-        """
-        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
-        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-            cls.build(docs, name=name).save(path)
-        return cls.load(spark, path, name)
-
     def scores(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
         """(query_id, id, score > 0) for queries (query_id, text); a repeated term counts as often as it is there."""
         q = queries.select("query_id", F.explode(tokenizer(self.tokenizer)(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
