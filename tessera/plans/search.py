@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine_distance, hash_embedding, hash_vector
-from tessera.operators import retrieve
+from tessera.operators import cells, retrieve
 from tessera.plans import sql
 from tessera.plans.catalog import query, table
 from tessera.plans.lexical import asked, documents
@@ -36,9 +36,12 @@ def vector_topk(spark, d):
     return near.orderBy("distance", "vec_id").limit(10).select("vec_id", F.round("distance", 4).alias("distance"))
 
 
-@query("""SELECT query_id, vec_id, round(distance, 4) AS distance, rank FROM (
+NEAREST = """SELECT query_id, vec_id, round(distance, 4) AS distance, rank FROM (
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
-SELECT q.vec_id AS query_id, e.vec_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)) WHERE rank <= 5""")
+SELECT q.vec_id AS query_id, e.vec_id, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)) WHERE rank <= 5"""
+
+
+@query(NEAREST)
 def vector_batch_topk(spark, d):
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
@@ -46,6 +49,15 @@ def vector_batch_topk(spark, d):
     return found.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 4).alias("distance"), "rank")
 
 
+@query(NEAREST)
+def vector_cells_topk(spark, d):
+    """The same by cells, of which those that can't hold a neighbour are left out."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    found = cells.CellIndex.build(e, "vec_id", "embedding").search(q, 5)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 4).alias("distance"), "rank")
+
+
 @query(f"WITH {sql.QUERIES}, {sql.HASHED} SELECT id AS doc_id, count(*) AS buckets, round(max(w), 6) AS heaviest, round(sum(w * w), 6) AS norm FROM dv GROUP BY id")
 def hash_embed_norm(spark, d):
     v = hash_embedding(table(spark, d, "documents"), "doc_id", "text")
