@@ -8,6 +8,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessera.functions import sql
 from tessera.functions import text as T
 from tessera.operators import answers, chunking, transcripts
 from tessera.plans.catalog import query, table
@@ -37,15 +38,32 @@ def chunk_tail_merge(spark, d):
     return c.select(F.col("id").alias("doc_id"), "chunk", F.length("text").alias("n_chars"), T.chunk_hash(F.col("text")).alias("chash"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, trim(text, E' \n\t\r') AS x FROM documents), w AS (SELECT doc_id, x, CASE WHEN length(x) <= 800 THEN [x] ELSE list_transform(range(0, length(x), 700), lambda i: substr(x, i + 1, 800)) END AS p FROM t),
+PROSE = r"""WITH t AS (SELECT doc_id, trim(text, E' \n\t\r') AS x FROM documents), w AS (SELECT doc_id, x, CASE WHEN length(x) <= 800 THEN [x] ELSE list_transform(range(0, length(x), 700), lambda i: substr(x, i + 1, 800)) END AS p FROM t),
 m AS (SELECT doc_id, CASE WHEN len(p) > 1 AND length(p[-1]) < 30 THEN list_concat(p[1:len(p) - 2], [p[len(p) - 1] || p[-1]]) ELSE p END AS p FROM w)
-SELECT doc_id, (generate_subscripts(p, 1) - 1)::BIGINT AS chunk, sha1(unnest(p))[1:16] AS chash FROM m""")
+SELECT doc_id, (generate_subscripts(p, 1) - 1)::BIGINT AS chunk, sha1(unnest(p))[1:16] AS chash FROM m"""
+
+
+@query(PROSE)
 def chunk_markdown_prose(spark, d):
     """The Markdown splitter on texts without mark-up agrees with the plain one."""
     docs = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     return chunking.chunks(docs).select("doc_id", "chunk", T.chunk_hash(F.col("text")).alias("chash"))
 
 
+@query(PROSE)
+def sql_chunks(spark, d):
+    """The same in SQL text alone, by the table function."""
+    sql.register(spark)
+    return spark.sql(f"SELECT d.doc_id, c.chunk, tessera_chunk_hash(c.text) AS chash FROM parquet.`{d}/documents.parquet` d, LATERAL tessera_chunks(d.text, 800, 100) c")
+
+
+@query(f"SELECT doc_id, len({TOKENS})::BIGINT AS n_tokens, md5(array_to_string({TOKENS}, ' ')) AS digest, sha1(text) AS hash FROM documents")
+def sql_text_functions(spark, d):
+    """Text functions called by their names in SQL."""
+    sql.register(spark)
+    return spark.sql(f"SELECT doc_id, size(tessera_tokens(text)) AS n_tokens, md5(array_join(tessera_tokens(text), ' ')) AS digest, tessera_file_hash(text) AS hash FROM parquet.`{d}/documents.parquet`")
+
+
 @query("""WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system'), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM c)
 SELECT conv_id, k::BIGINT AS chunk, 'Conversation ' || conv_id || ' > ' || role || ' ' || turn AS section, sha1('## ' || role || ' ' || turn || chr(10) || '```' || chr(10) || '# ' || turn || chr(10) || '```' || chr(10) || trim(text, E' \n\t\r')) [1:16] AS chash FROM n
 UNION ALL SELECT DISTINCT conv_id, 0, 'Conversation ' || conv_id, sha1('# Conversation ' || conv_id)[1:16] FROM n""")
