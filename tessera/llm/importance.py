@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, table, tidy, wider
+from tessera.llm.common import durable, scratch_path, table, tidy, wider
 
 #: Buckets, words of the longest run, per cent drawn, words of a document that may be drawn, seed.
 BUCKETS, RUN, PERCENT, LEAST, SEED = 10_000, 2, 25, 20, 7
 #: Characters of a piece that a long text is cut into, and of the pieces of one SQL statement.
 PIECE, AT_ONCE = 500_000, 1_000_000
+#: Bytes of a row group, which the writer holds in memory.
+ROW_GROUP = 16 * 1024 * 1024
 #: Different scores: gains and noise in thousandths of natural logarithms of 64-bit counts.
 SCORES = 150_000
 _TOTAL = pa.struct([("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
@@ -141,7 +143,7 @@ def counted(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), buckets: int =
     """
     docs = tidy(docs, (*keep, "text")).select(*keep, "text")
     kept = docs.drop("text").schema
-    schema = wider(kept, "n_words long, n_features long, buckets array<int>, counts array<long>, total struct<buckets:array<int>,counts:array<bigint>>")
+    schema = wider(kept, "n_words long, n_features long, buckets array<int>, counts array<int>, total struct<buckets:array<int>,counts:array<bigint>>")
     names = [f.name for f in schema.fields]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,12 +156,12 @@ def counted(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), buckets: int =
                 row, bucket, n, single = counter.count(texts.slice(start, size).to_pylist())
                 by = lambda x: np.bincount(row, x, size).astype(np.int64) if len(row) else np.zeros(size, np.int64)  # noqa: B023, E731
                 ends, n_words = pa.array(np.concatenate([[0], np.cumsum(by(None))]), pa.int32()), by(single)
-                lists = [pa.ListArray.from_arrays(ends, pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(n))]
+                lists = [pa.ListArray.from_arrays(ends, pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(n, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, size) for c in b.columns[:-1]), pa.array(n_words), pa.array(by(n)), *lists, pa.nulls(size, _TOTAL)], names)
                 np.add.at(sums, bucket, n)
         if types is not None:
             at = np.flatnonzero(sums)
-            row = [pa.nulls(1, t) for t in (*types, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))]
+            row = [pa.nulls(1, t) for t in (*types, pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))]
             row.append(pa.array([{"buckets": at.tolist(), "counts": sums[at].tolist()}], _TOTAL))
             yield pa.RecordBatch.from_arrays(row, names)
 
@@ -197,7 +199,7 @@ def weighed(docs: DataFrame, gain: DataFrame, buckets: int = BUCKETS) -> DataFra
         for b in batches:
             bucket, n = b.column("buckets"), b.column("counts")
             ends = np.concatenate([[0], np.cumsum(bucket.value_lengths().to_numpy())])
-            each = np.concatenate([[0], np.cumsum(shared.value[bucket.flatten().to_numpy()] * n.flatten().to_numpy())])
+            each = np.concatenate([[0], np.cumsum(shared.value[bucket.flatten().to_numpy()] * n.flatten().to_numpy().astype(np.int64))])
             features = b.column("n_features").to_numpy()
             weight = (each[ends[1:]] - each[ends[:-1]]) // np.maximum(features, 1)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(weight.astype(np.int64))], [*names, "weight"])
@@ -239,7 +241,9 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least:
     documents give no rows, and an empty target makes all buckets alike but for their counts.
     Other columns, and any whose names clash with made ones, are left out.
     """
-    kept = durable(counted(docs, buckets=buckets, run=run), "buckets")
+    made, path = counted(docs, buckets=buckets, run=run), scratch_path(docs.sparkSession, "buckets")
+    made.write.options(compression="zstd", **{"parquet.block.size": ROW_GROUP}).parquet(path)
+    kept = docs.sparkSession.read.schema(made.schema).parquet(path)
     gain = gains(merged(kept), merged(counted(target, (), buckets, run)), buckets)
     weight = weighed(kept.where("total IS NULL"), gain, buckets)
     return ranked(durable(weight.withColumn("score", F.col("weight") + noise(seed)), "scored"), percent, least)
