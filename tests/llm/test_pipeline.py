@@ -31,7 +31,7 @@ def test_pieces_of_one_length_keep_the_mixed_order(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
-    assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and len([q for q in registry.QUERIES if q.startswith("op")]) == 10
+    assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and len([q for q in registry.QUERIES if q.startswith("op")]) == 13
     import __spark_entry__
 
     assert set(__spark_entry__.queries()) > {*registry.QUERIES, "pipeline"}
