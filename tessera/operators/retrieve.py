@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.vectors import DIMENSIONS, token_bucket
 from tessera.operators import lexical
+from tessera.scratch import durable
 
 # The fusion constant, hits of a search, over-fetch, what a bad rating
 # adds to a distance and what stands in for a missing one.
@@ -42,7 +43,7 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
     n = queries.count()
     if n <= QUERY_BLOCK:
         return [queries]
-    parts = -(-n // (QUERY_BLOCK // 2))
+    queries, parts = durable(queries, "queries"), -(-n // (QUERY_BLOCK // 2))  # each block reads them, none makes them anew
     return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
 
 
