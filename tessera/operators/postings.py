@@ -27,8 +27,9 @@ from tessera.sources import sinks
 
 #: Segments before they are merged, and the share of the first from which it is merged too.
 MOST, MERGE = 8, 0.25
-#: Different query terms up to which they go to the scan as a filter.
-FEW_TERMS = 500
+#: Different query terms up to which they go to the scan as a filter, and rows of queries' terms up to
+#: which these are broadcast.
+FEW_TERMS, ASKED = 500, 10_000
 #: Tokens of the documents behind a file.
 FILE = 4_000_000
 _POSTINGS, _GONE, _TERMS = "term string, id long, tf long, dl int, _seq long", "id long, _seq long", "term string, df long"
@@ -165,21 +166,23 @@ class DeltaIndex:
         """(query_id, id, score > 0) for queries (query_id, text), as an index built anew gives it.
 
         Few terms are a filter of the scans, which then read the row groups that may hold
-        them; more are joined.  Tombstones meet the postings of the queries' terms only.
+        them; more are broadcast up to ASKED rows, and joined beyond.  Tombstones meet the postings of the queries' terms only.
         """
         m = self._known()
         q = queries.select("query_id", F.explode(tokenizer(self.name)(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
         rows, terms = self._read(m, "postings", _POSTINGS), self._read(m, "terms", _TERMS)
-        asked = q.limit(FEW_TERMS * 20 + 1).collect()
-        wanted = {r.term for r in asked}
-        few = len(asked) <= FEW_TERMS * 20 and len(wanted) <= FEW_TERMS
+        asked = q.limit(ASKED + 1).collect()
         avgdl = m.total / m.n if m.n else 0.0
-        if few:
-            only = F.col("term").isin(*sorted(wanted)) if wanted else F.lit(False)
-            df = {r.term: r.df for r in terms.where(only).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0").collect()}
+        if len(asked) <= ASKED:
+            wanted = sorted({r.term for r in asked})
+            if len(wanted) <= FEW_TERMS:
+                only = F.col("term").isin(*wanted) if wanted else F.lit(False)
+                rows, terms = rows.where(only), terms.where(only)
+            else:
+                terms = terms.join(F.broadcast(self.spark.createDataFrame([(t,) for t in wanted], "term string")), "term", "left_semi")
+            df = {r.term: r.df for r in terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0").collect()}
             weighed = [(r.query_id, r.term, r.qtf * math.log(1 + (m.n - df[r.term] + 0.5) / (df[r.term] + 0.5))) for r in asked if r.term in df]
             weights = F.broadcast(self.spark.createDataFrame(weighed, f"query_id {q.schema['query_id'].dataType.simpleString()}, term string, w double"))
-            rows = rows.where(only)
         else:
             df = terms.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
             weights = q.join(df, "term").select("query_id", "term", (F.col("qtf") * F.ln(1 + (F.lit(m.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))

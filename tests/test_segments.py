@@ -8,7 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import lexical
+from tessera.operators import lexical, postings
 from tessera.operators.postings import MOST, DeltaIndex
 from tessera.sources.segments import SegmentTable
 
@@ -82,7 +82,7 @@ def texts(r, ids):
     return [(i, " ".join(r.choices(WORDS, k=r.choice([0, 5, 40, 80])))) for i in ids]
 
 
-def test_deltas_score_as_a_rebuild(spark, tmp_path):
+def test_deltas_score_as_a_rebuild(spark, tmp_path, monkeypatch):
     r = random.Random(7)
     frame = lambda m: spark.createDataFrame(sorted(m.items()), "id long, text string")
     docs = dict(texts(r, range(300)))
@@ -104,7 +104,10 @@ def test_deltas_score_as_a_rebuild(spark, tmp_path):
             assert plain(d.scores(queries)) == plain(whole.scores(queries))
             assert sorted(map(tuple, d.frequencies().collect())) == sorted(map(tuple, whole.frequencies.collect()))
             assert d.stats().first() == whole.stats.first()
-    assert plain(d.scores(many)) == plain(whole.scores(many))
+    for few, asked in ((1000, 10_000), (5, 10_000), (5, 10)):  # terms as a filter, broadcast, joined
+        monkeypatch.setattr(postings, "FEW_TERMS", few)
+        monkeypatch.setattr(postings, "ASKED", asked)
+        assert plain(d.scores(many)) == plain(whole.scores(many))
     assert sorted(map(tuple, d.postings().select("term", "id", "tf", "dl").collect())) == sorted(map(tuple, whole.postings.collect()))
     assert d.of() == f"v{MOST + 2}" and len(d.manifest().segments) <= MOST
     d.vacuum()
