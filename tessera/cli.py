@@ -49,7 +49,7 @@ def parser() -> argparse.ArgumentParser:
     s = verbs.add_parser("state")
     s.add_argument("action", choices=("save", "get", "list", "del"))
     s.add_argument("args", nargs="*")
-    for name in ("stats", "suggest", "quality", "watch", "chat", "rebuild", "doctor", "governance", "memory-health", "memories", "sources", "queries", "audit", "harness", "hubs"):
+    for name in ("stats", "suggest", "quality", "watch", "chat", "rebuild", "doctor", "governance", "memory-health", "memories", "memory-files", "sources", "queries", "audit", "harness", "hubs"):
         verbs.add_parser(name)
     return p
 

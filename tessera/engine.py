@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import access, answers, chunking, evaluation, governance, incremental, knowledge, links, logs, models, postings, retrieve, supersession, topics
 from tessera.scratch import durable, release
-from tessera.sources import files, harness, segments, sinks
+from tessera.sources import files, harness, notes_source, segments, sinks
 from tessera.sources import logs as log_files
 
 INDEX = "source string, hash string, tags string, links string, mtime double, chunk int, text string, section string, id string, chash string, vec array<double>"
@@ -464,6 +464,28 @@ class Engine:
         notes = files.scan(self.spark, [{"path": self.config.memories}]) if files.is_folder(self.spark, self.config.memories) else files.scan(self.spark, [])
         return notes.select(F.col("path").alias("source"), F.regexp_extract("content", r"(?m)^# (.*)$", 1).alias("title"), "mtime").orderBy(F.desc("mtime"), "source")
 
+    def memory_files(self) -> DataFrame:
+        """(name, group, tool, size, mtime, title) of the notes in the memories folder and of the
+        digests below it (group harness, tool: whose), by name; title: of the front matter, else the name."""
+        if not files.is_folder(self.spark, self.config.memories):
+            return self.spark.createDataFrame([], "name string, group string, tool string, size long, mtime string, title string")
+        notes_source.register(self.spark)
+        root = self.config.memories.rstrip("/").removeprefix("file://")
+        read = self.spark.read.format("notes").load(self.config.memories).where("suffix = '.md'")
+        name = F.substring("path", len(root) + 2, 1 << 20)
+        own = read.withColumn("name", name).where(F.col("name").rlike(r"^(?:harness/)?[^/]+$") & ~F.col("name").rlike(r"(?:^|/)\._"))
+        stem = F.regexp_replace(F.substring_index("name", "/", -1), r"\.[^.]*$", "")
+        tool = F.col("name").startswith("harness/")
+        title = F.get(T.front_matter(F.make_valid_utf8(F.col("content").cast("string")))["title"], F.lit(0))
+        return own.select(
+            "name",
+            F.when(tool, "harness").otherwise("shared").alias("group"),
+            F.when(tool, stem).otherwise("").alias("tool"),
+            F.col("length").alias("size"),
+            F.date_format(F.timestamp_seconds("mtime"), "yyyy-MM-dd HH:mm").alias("mtime"),
+            F.coalesce(F.nullif(F.substring(title, 1, 80), F.lit("")), stem).alias("title"),
+        ).orderBy("name")
+
     def forget(self, query: str) -> list[str]:
         self._may("editor")
         if not files.is_folder(self.spark, self.config.memories):

@@ -44,3 +44,16 @@ def test_command_line(spark, tmp_path, capsys):
     with pytest.raises(SystemExit):
         cli.since(spark, "last week")
     assert access.allowed("admin", "editor") and not access.allowed("viewer", "editor") and not access.allowed("x", "viewer")
+
+
+def test_memory_files(spark, tmp_path):
+    from tessera.engine import Config, Engine
+
+    mem = tmp_path / "mem"
+    e = Engine(spark, Config(store=str(tmp_path / "i"), memories=str(mem)))
+    assert e.memory_files().count() == 0
+    for name, text in {"a.md": "---\ntags: [x]\ntitle: \"A note\"\n---\nbody", "B.MD": "no head", "harness/z.md": "---\ntitle: Z digest\n---\n", "._c.md": "no", ".trash/d.md": "no", "sub/e.md": "no", "f.txt": "no"}.items():
+        (mem / name).parent.mkdir(parents=True, exist_ok=True)
+        (mem / name).write_text(text)
+    got = [(r.name, r.group, r.tool, r.size, r.title) for r in e.memory_files().collect()]
+    assert got == [("B.MD", "shared", "", 7, "B"), ("a.md", "shared", "", (mem / "a.md").stat().st_size, "A note"), ("harness/z.md", "harness", "z", (mem / "harness/z.md").stat().st_size, "Z digest")]
