@@ -14,9 +14,12 @@ SCHEMAS = {
 
 
 def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Rows of a log with ord, their order in the files."""
+    """Rows of a log with ord, their order: the line in a file, or the time in the names of files
+    that hold a record each."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select(F.from_json("value", SCHEMAS[kind], {"mode": "PERMISSIVE"}).alias("r"), F.monotonically_increasing_id().alias("ord"), F.try_parse_json("value").alias("v"))
+    at = F.regexp_extract("_metadata.file_name", r"^(\d{20})-", 1)
+    order = F.when(at != "", at.cast("long")).otherwise(F.monotonically_increasing_id()).alias("ord")
+    parsed = lines.select(F.from_json("value", SCHEMAS[kind], {"mode": "PERMISSIVE"}).alias("r"), order, F.try_parse_json("value").alias("v"))
     return parsed.where(F.col("v").isNotNull()).select("r.*", "ord")
 
 
