@@ -65,13 +65,13 @@ def _large_star(e: DataFrame) -> DataFrame:
     """Every neighbour above u is linked to the least of u and its neighbours."""
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Every neighbour below u, and u, is linked to the least of them (e has u > v)."""
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    lower = e.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    lower = e.join(least.hint("merge"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return lower.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -83,7 +83,8 @@ def components(edges: DataFrame) -> DataFrame:
     small-star steps, O(log^2 n) rounds; each round is one written table and
     nothing but a count and a checksum reaches the driver.  Hubs: the minimum per
     node is pre-aggregated before the shuffle, and the join back is an inner join
-    whose skewed partitions adaptive execution can split.
+    whose skewed partitions adaptive execution can split.  It is a merge join at any size:
+    the size of a compressed file says little of what a broadcast of it takes in the driver.
     Self-links, nulls and repeated edges are ignored; no edges give no rows.
     """
     state = None

@@ -12,6 +12,9 @@ such pairs are candidates:
 * the cumulative budgets for two and three segments are tested in the join, before
   the full Hamming check.
 
+The joins are merge joins by hint: Spark takes the rows that are made of a fingerprint for no
+larger than the compressed file that it is read from, and would broadcast millions of them.
+
 Groups need no list of all pairs: each fingerprint is first linked with the smallest one
 of the same 32 bits, and then only pairs whose components still differ are made.
 """
@@ -89,7 +92,7 @@ def links(fps: DataFrame, more: str = "true") -> DataFrame:
     turned = _turned(fps)
     flips = F.expr("filter(sequence(-1, 15), k -> k < 0 OR (shiftrightunsigned(r, 16 + k) & 1) = 0)")
     probe = turned.withColumn("k", F.explode(flips)).select(F.expr(f"{_KEY} + CASE WHEN k < 0 THEN 0 ELSE shiftleft(65536L, k) END").alias("key"), "k", *side("a"))
-    met = probe.join(turned.select(F.expr(_KEY).alias("key"), *side("b")), "key").where(f"(k >= 0 OR fa < fb) AND {_CHAIN} AND {more}")
+    met = probe.join(turned.select(F.expr(_KEY).alias("key"), *side("b")).hint("merge"), "key").where(f"(k >= 0 OR fa < fb) AND {_CHAIN} AND {more}")
     return met.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct()
 
 
@@ -97,7 +100,7 @@ def _stars(fps: DataFrame) -> DataFrame:
     """Pairs (a, b) at 3 or fewer differing bits, of each fingerprint and the smallest one with the same 32 bits."""
     keyed = _turned(fps).select(F.expr(_KEY).alias("key"), F.col("fp").alias("b"))
     least = keyed.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("most")).where("a < most").select("key", "a")
-    return keyed.join(least, "key").where("a < b AND bit_count(a ^ b) <= 3").select("a", "b").distinct()
+    return keyed.join(least.hint("merge"), "key").where("a < b AND bit_count(a ^ b) <= 3").select("a", "b").distinct()
 
 
 def grouped(reps: DataFrame) -> DataFrame:
@@ -106,8 +109,8 @@ def grouped(reps: DataFrame) -> DataFrame:
         known = reps if "component_id" in reps.columns else reps.withColumn("component_id", F.col("rep"))
         ends = lambda n, to: known.select(F.col("fp").alias(n), F.col("component_id").alias(to))
         given = pairs(known.select("fp", "component_id") if "component_id" in reps.columns else known.select("fp"))
-        found = components(given.join(ends("a", "src"), "a").join(ends("b", "dst"), "b").select("src", "dst"))
-        after = known.join(found.select(F.col("node").alias("component_id"), "component"), "component_id", "left")
+        found = components(given.join(ends("a", "src").hint("merge"), "a").join(ends("b", "dst").hint("merge"), "b").select("src", "dst"))
+        after = known.join(found.select(F.col("node").alias("component_id"), "component").hint("merge"), "component_id", "left")
         reps = durable(after.select("fp", "rep", F.coalesce("component", "component_id").alias("component_id")), "groups")
     return reps
 
@@ -126,7 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         docs = tidy(docs, (id_col, text_col))
         fp = keep(durable(fingerprints(docs, id_col, text_col, width), "fp"))
         label = keep(grouped(durable(fp.groupBy("fp").agg(F.min("id").alias("rep")), "reps")))
-    return fp.join(label.select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return fp.join(label.select("fp", "component_id").hint("merge"), "fp").select("id", "fp", "component_id")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,4 +161,4 @@ def keep_one(docs: DataFrame, width: int = 5, least: float | None = None) -> Dat
             found = similar(docs, durable(found.where("id IS NOT NULL"), "components"), width, least)
         gone = found.groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("kept")).where("NOT kept")
         gone = keep(durable(gone.select(F.col("id").alias("doc_id")), "gone"))
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)

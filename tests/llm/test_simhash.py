@@ -67,3 +67,13 @@ def test_odd_rows(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 7, 7, 8]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_rows_of_documents_are_never_broadcast(spark):
+    from tessera.llm import common
+
+    fps = spark.range(50).select(F.xxhash64("id").alias("fp"))
+    edges = spark.range(1, 50).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
+    for made in (simhash.links(fps), simhash._stars(fps), common._large_star(edges), common._small_star(edges)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
