@@ -13,7 +13,8 @@ Pairs that are in one component already need no test.  Equal sets are one; then,
 turn, each document is held against the first of its band, in another order each turn,
 where the band still has different components.  So a large group of near copies costs a
 few pairs a document and turn.  When few pairs of different components are left, or a turn
-joins little, all that are left are judged, in the join itself.
+joins little, all that are left are judged, in the join itself.  Joins of rows, whose number grows with
+the documents, are merge joins by hint, so that none is broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def _made(docs: DataFrame, ids: DataFrame, width: int, schema: str, *makes) -> D
     ids = durable(ids, "ids")
     group = F.pmod(F.xxhash64("doc_id"), F.lit(SIFT)).cast("int").alias("_group")
     sifted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_group", group).join(F.broadcast(ids.select(group).distinct()), "_group", "left_semi")
-    texts = sifted.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    texts = sifted.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
 
     def make(t: pa.Array) -> list[pa.Array]:
         sets = [shingles(x.as_py(), width) for x in t]
@@ -128,7 +129,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Da
     """The pairs (a, b) of ids whose sets are similar."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = _made(docs, ids, width, "s array<long>", lambda s: s)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= least * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
 
@@ -136,9 +137,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Da
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """comp (id, component) after its components are joined by links (a, b) of ids."""
     ca, cb = comp.select(F.col("id").alias("a"), F.col("component").alias("src")), comp.select(F.col("id").alias("b"), F.col("component").alias("dst"))
-    found = components(links.join(ca, "a").join(cb, "b").select("src", "dst"))
+    found = components(links.join(ca.hint("merge"), "a").join(cb.hint("merge"), "b").select("src", "dst"))
     found = found.select(F.col("node").alias("component"), F.col("component").alias("_c"))
-    return durable(comp.join(found, "component", "left").select("id", F.coalesce("_c", "component").alias("component")), "components")
+    return durable(comp.join(found.hint("merge"), "component", "left").select("id", F.coalesce("_c", "component").alias("component")), "components")
 
 
 def _star(placed: DataFrame, turn: int) -> DataFrame:
@@ -147,13 +148,13 @@ def _star(placed: DataFrame, turn: int) -> DataFrame:
     order = F.struct(F.xxhash64("id", F.lit(turn)).alias("x"), "id", "n", "component", "bits")
     first = placed.groupBy("h").agg(F.min(order).alias("f"))
     first = first.select("h", F.col("f.id").alias("a"), F.col("f.n").alias("na"), F.col("f.component").alias("ca"), F.col("f.bits").alias("sa"))
-    return placed.join(first, "h").where("component <> ca").select("a", "na", "sa", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("sb"))
+    return placed.join(first.hint("merge"), "h").where("component <> ca").select("a", "na", "sa", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("sb"))
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
     """The rows of placed (h, component, ...) of bands whose rows are not of one component, written."""
     lo_hi = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
-    return durable(placed.join(lo_hi, "h"), "mixed")
+    return durable(placed.join(lo_hi.hint("merge"), "h"), "mixed")
 
 
 def similar(docs: DataFrame, comp: DataFrame, width: int, least: float) -> DataFrame:
@@ -165,13 +166,13 @@ def similar(docs: DataFrame, comp: DataFrame, width: int, least: float) -> DataF
     """
     met = durable(_sketched(docs, width), "sketches")
     reps = met.groupBy("name").agg(F.min("id").alias("rep"))
-    named = met.join(reps, "name")
+    named = met.join(reps.hint("merge"), "name")
     comp = _joined(comp, named.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    alone = named.where("id = rep").dropDuplicates(["id", "name"]).join(comp.distinct(), "id").select("id", "n", "component", F.explode("bands").alias("h"))
+    alone = named.where("id = rep").dropDuplicates(["id", "name"]).join(comp.distinct().hint("merge"), "id").select("id", "n", "component", F.explode("bands").alias("h"))
     mixed = _mixed(alone)
     sketches = _made(docs, mixed.select(F.col("id").alias("doc_id")).distinct(), width, "bits array<long>, bands array<long>", bits, bands)
     release(met)
-    mixed = durable(mixed.join(sketches, "id"), "mixed")
+    mixed = durable(mixed.join(sketches.hint("merge"), "id"), "mixed")
     like = f"least(na, nb) >= {least}D * greatest(na, nb) - 1e-9D"
     differ = "(" + " + ".join(f"bit_count(sa[{k}] ^ sb[{k}])" for k in range(BITS // 64)) + ")"
     sure, most = (SURE, MOST) if least == 0.8 else (-1, BITS)
@@ -183,12 +184,12 @@ def similar(docs: DataFrame, comp: DataFrame, width: int, least: float) -> DataF
             break
         before = pairs
         comp = _joined(comp, _star(mixed, turn).where(f"{like} AND {differ} <= {sure}").select("a", "b").distinct())
-        after = _mixed(mixed.drop("component").join(comp.distinct(), "id"))
+        after = _mixed(mixed.drop("component").join(comp.distinct().hint("merge"), "id"))
         release(mixed)
         mixed = after
     side = lambda x: [F.col("id").alias(x), F.col("n").alias("n" + x), F.col("component").alias("c" + x), F.col("bits").alias("s" + x), F.col("bands").alias("h" + x)]
     # a pair comes of the first band that it shares
-    met = mixed.select("h", *side("a")).join(mixed.select("h", *side("b")), "h").where(f"ca < cb AND {like} AND {differ} <= {most} AND array_intersect(ha, hb)[0] = h")
+    met = mixed.select("h", *side("a")).join(mixed.select("h", *side("b")).hint("merge"), "h").where(f"ca < cb AND {like} AND {differ} <= {most} AND array_intersect(ha, hb)[0] = h")
     left = durable(met.select("a", "b", F.expr(f"{differ} <= {sure}").alias("sure")).distinct(), "left")
     doubt = _verified(left.where("NOT sure").select("a", "b"), docs, width, least)
     return _joined(comp, left.where("sure").select("a", "b").unionByName(doubt))

@@ -77,3 +77,11 @@ def test_rows_of_documents_are_never_broadcast(spark):
     for made in (simhash.links(fps), simhash._stars(fps), common._large_star(edges), common._small_star(edges)):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_bands_are_never_broadcast(spark):
+    from tessera.llm import shingles
+
+    placed = spark.range(50).selectExpr("id % 5 AS h", "id", "1 AS n", "id AS component", "array(id) AS bits")
+    plan = shingles._star(placed, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
