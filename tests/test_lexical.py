@@ -59,3 +59,35 @@ def test_identifiers_by_trigrams(spark, monkeypatch):
         plan = plan_of(found)
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "Python" not in plan
         assert retrieve.literal_hits(docs, queries.where("query_id = 62")).count() == 0
+
+
+def test_many_queries_are_scored_in_batches(spark, sf, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import nearest, retrieve
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text").unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, "")], "id long, text string"))
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text").unionByName(spark.createDataFrame([(10**6, "nosuchword"), (10**6 + 1, "")], "query_id long, text string"))
+    theirs = sorted(map(tuple, lexical.top_k(lexical.search(docs, asked), 7).select("query_id", "id", "score", "rank").collect()))
+    for cells, often in ((1 << 20, 16), (64, 1), (1 << 20, 0)):
+        monkeypatch.setattr(nearest.Best, "cells", cells)
+        monkeypatch.setattr(lexical, "OFTEN", often)
+        found = retrieve.lexical_top_k(docs, asked, 7)
+        assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()  # no row for each query and document
+        assert sorted(map(tuple, found.collect())) == theirs
+
+
+def test_best_keeps_k_with_ties_by_id():
+    import numpy as np
+
+    from tessera.operators.nearest import Best
+
+    rng = np.random.default_rng(3)
+    values, ids = rng.integers(0, 6, (5, 90)).astype(float), rng.permutation(90)
+    values[rng.random(values.shape) < 0.3], values[4] = np.inf, np.inf
+    found = Best(5, 4)
+    for i in range(0, 90, 7):
+        found.add(values[:, i : i + 7], ids[i : i + 7])
+        assert len(found.q) <= 5 * 4
+    brute = [(q, v, i) for q in range(5) for v, i in sorted(zip(values[q], ids.tolist()))[:4] if np.isfinite(v)]
+    assert list(zip(*(x.tolist() for x in found.rows()))) == brute
