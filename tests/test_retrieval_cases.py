@@ -72,3 +72,18 @@ def test_embeddings_of_words(spark):
     v = got[0].v
     assert len(v) == 64 and v[at("a")] == pytest.approx(2 / 5**0.5) and v[at("b")] == pytest.approx(1 / 5**0.5) and set(got[1].v) == {0.0}
     assert sum(x * x for x in got[0].h) == pytest.approx(1.0) and len(got[0].h) == 128 and set(got[1].h) == {0.0}
+
+
+def test_passages_are_found_with_few_and_many_keys(spark, sf, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import evaluation
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").cast("string").alias("source"), "text")
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    every = [(r.source, r.text) for r in docs.collect()]
+    brute = sorted((q.query_id, s) for q in asked.collect() for s, t in every if q.text and q.text in t)
+    for few in (20_000, 3):
+        monkeypatch.setattr(evaluation, "FEW", few)
+        found = evaluation.holding(docs, asked)
+        assert sorted(map(tuple, found.collect())) == brute
