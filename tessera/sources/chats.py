@@ -21,6 +21,7 @@ _DOC = "array<struct<title:string,content:string>>"
 
 def _linked(line: Column) -> Column:
     """[[target][shown]]: outside targets become Markdown links, others their shown text."""
+    whole = line
     for pattern, made in (
         (rf"\[\[({OUTSIDE})\]\[([^\]]+)\]\]", "[$2]($1)"),
         (rf"\[\[({OUTSIDE})\](?:\[\])?\]", "[$1]($1)"),
@@ -28,13 +29,17 @@ def _linked(line: Column) -> Column:
         (r"\[\[([^\]]+)\](?:\[\])?\]", "$1"),
     ):
         line = F.regexp_replace(line, pattern, made)
-    return line
+    return F.when(F.contains(whole, F.lit("[[")), line).otherwise(whole)
 
 
 def org_to_markdown(text: Column) -> Column:
     """TITLE as the first heading, with the others one level below it; FILETAGS as front matter; links; bullets."""
-    rows = T.lines(text)
-    values = lambda key: F.transform(F.filter(rows, lambda x: x.rlike(rf"^#\+{key}:")), lambda x: T.strip(F.regexp_replace(x, rf"^#\+{key}:", "")))
+    return F.transform(F.array(T.lines(text)), _of_lines)[0]  # the lines are made once
+
+
+def _of_lines(rows: Column) -> Column:
+    """The Markdown of an org file's lines.  What a line begins with or holds tells whether a pattern can match."""
+    values = lambda key: F.transform(F.filter(rows, lambda x: x.startswith("#+") & x.rlike(rf"^#\+{key}:")), lambda x: T.strip(F.regexp_replace(x, rf"^#\+{key}:", "")))
     title = F.coalesce(F.try_element_at(values("TITLE"), F.lit(-1)), F.lit(""))
     below = F.when(F.exists(values("TITLE"), lambda x: x != ""), 1).otherwise(0)
     tags = F.filter(F.transform(values("FILETAGS"), lambda x: F.filter(F.split(x, ":"), lambda t: t != "")), lambda ts: F.size(ts) > 0)
@@ -43,9 +48,9 @@ def org_to_markdown(text: Column) -> Column:
     def line(x: Column) -> Column:
         stars = F.length(F.regexp_extract(x, r"^(\*+)\s", 1))
         heading = F.concat(F.repeat(F.lit("#"), F.least(stars + below, F.lit(DEEPEST))), F.lit(" "), T.strip(F.regexp_replace(x, r"^\*+\s+", "")))
-        return F.when(stars > 0, heading).when(x.rlike(r"^\s*\+\s"), F.regexp_replace(x, r"^(\s*)\+\s+", "$1- ")).otherwise(x)
+        return F.when(x.startswith("*") & (stars > 0), heading).when(F.contains(x, F.lit("+")) & x.rlike(r"^\s*\+\s"), F.regexp_replace(x, r"^(\s*)\+\s+", "$1- ")).otherwise(x)
 
-    kept = F.filter(rows, lambda x: ~x.rlike(r"^#\+[A-Z_]+:"))
+    kept = F.filter(rows, lambda x: ~(x.startswith("#+") & x.rlike(r"^#\+[A-Z_]+:")))
     out = F.array_join(F.transform(kept, lambda x: _linked(line(x))), "\n")
     out = F.when(title != "", F.concat(F.lit("# "), title, F.lit("\n\n"), out)).otherwise(out)
     return F.when(front != "", F.concat(F.lit("---\n"), front, F.lit("---\n\n"), out)).otherwise(out)

@@ -148,3 +148,11 @@ def test_names(tmp_path):
         with pytest.raises(ValueError, match="not a file name"):
             sinks.free_name(str(tmp_path), bad)
     assert sinks.slug("Über uns!") == "über-uns" and sinks.slug("!!") == "memory"
+
+
+def test_org_lines_are_split_once(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("#+TITLE: T\n* a\n + b\n[[c]] +d\n#+x\n",), (None,)], "t string").select(chats.org_to_markdown(F.col("t")).alias("m"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(regexp_replace(") == 1
+    assert [r.m for r in df.collect()] == ["# T\n\n## a\n - b\nc +d\n#+x", None]
