@@ -41,7 +41,8 @@ def _walk(steps: DataFrame, starts: DataFrame) -> DataFrame:
     there is no next or a stem comes again.
 
     Steps are doubled: after the k-th round a jump is 2 ** k steps, and the lines are twice as
-    long.  So a line of n needs log2(n) rounds, each of them a written table.
+    long.  So a line of n needs log2(n) rounds, each of them a written table; without a jump left
+    the lines are whole, and no further round looks whether they grow.
     """
     lines = starts.select(F.col("stem").alias("start"), "stem", F.lit(0).alias("pos")).distinct()
     jumps, size, known = steps, 1, None
@@ -53,7 +54,11 @@ def _walk(steps: DataFrame, starts: DataFrame) -> DataFrame:
         known = seen.get["n"]
         further = lines.join(jumps, "stem").select("start", F.col("next").alias("stem"), (F.col("pos") + size).alias("pos"))
         lines = lines.unionByName(further).groupBy("start", "stem").agg(F.min("pos").alias("pos"))
-        jumps = durable(jumps.join(jumps.select(F.col("stem").alias("next"), F.col("next").alias("_n")), "next").select("stem", F.col("_n").alias("next")), "jumps")
+        left = Observation()
+        twice = jumps.join(jumps.select(F.col("stem").alias("next"), F.col("next").alias("_n")), "next").select("stem", F.col("_n").alias("next"))
+        jumps = durable(twice.observe(left, F.count(F.lit(1)).alias("n")), "jumps")
+        if not left.get["n"]:
+            return durable(lines, "lines")
         size *= 2
 
 

@@ -171,3 +171,12 @@ def test_short_passages_without_a_nested_loop(spark, monkeypatch):
     got = evaluation.holding(docs, asked)
     assert sorted(map(tuple, got.collect())) == [(1, "a"), (1, "b"), (2, "a"), (3, "b"), (5, "a"), (5, "b")]
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_walk_ends_when_no_jump_is_left(spark, monkeypatch):
+    made, durable = [], supersession.durable
+    monkeypatch.setattr(supersession, "durable", lambda df, what: made.append(what) or durable(df, what))
+    steps = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "stem string, next string")
+    lines = supersession._walk(steps, spark.createDataFrame([("a",)], "stem string"))
+    assert sorted(map(tuple, lines.select("pos", "stem").collect())) == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+    assert made.count("lines") == 3  # no round that only finds that nothing came
