@@ -91,3 +91,22 @@ def test_best_keeps_k_with_ties_by_id():
         assert len(found.q) <= 5 * 4
     brute = [(q, v, i) for q in range(5) for v, i in sorted(zip(values[q], ids.tolist()))[:4] if np.isfinite(v)]
     assert list(zip(*(x.tolist() for x in found.rows()))) == brute
+
+
+def test_a_search_reads_each_text_once_a_channel(spark, sf, monkeypatch):
+    """No channel is made twice, and statistics, frequencies and scores share a pass; with the rows of the other ways."""
+    made, durable = [], lexical.durable
+    monkeypatch.setattr(lexical, "durable", lambda df, what: made.append(what) or durable(df, what))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "source", F.col("lang").alias("tags"), F.lit(0.0).alias("mtime"))
+    docs = docs.unionByName(spark.createDataFrame([(10**6, None, "s", "fr", 0.0), (10**6 + 1, "", "s", "fr", 0.0)], docs.schema))
+    asked = spark.createDataFrame([(0, "the thand the example.com"), (1, ""), (2, None), (3, "is nosuchword")], "query_id long, text string")
+    for given in ({"exact": "The th"}, {"path_contains": "SRC1"}, {"tag": "FR"}):
+        found = retrieve.search(docs, asked, 5, **given)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [doc_id") == 3  # token hashes, literal hits, payload
+    assert made == ["held"] * 3
+    plain = lambda: sorted(map(tuple, lexical.search(docs, asked).select("query_id", "id", F.round("score", 9)).collect()))
+    held = plain()
+    assert made.pop() == "held" and len(held) > 100
+    monkeypatch.setattr(lexical, "TERMS", 0)
+    assert plain() == held and made.pop() == "postings"
