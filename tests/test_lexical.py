@@ -108,5 +108,11 @@ def test_a_search_reads_each_text_once_a_channel(spark, sf, monkeypatch):
     plain = lambda: sorted(map(tuple, lexical.search(docs, asked).select("query_id", "id", F.round("score", 9)).collect()))
     held = plain()
     assert made.pop() == "held" and len(held) > 100
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan_of(lexical.search(docs, asked)).count("SortMergeJoin") == 1  # terms with their frequencies; postings stay where they are
+        assert made.pop() == "held" and plain() == held and made.pop() == "held"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     monkeypatch.setattr(lexical, "TERMS", 0)
     assert plain() == held and made.pop() == "postings"
