@@ -32,6 +32,11 @@ def _linked(line: Column) -> Column:
     return F.when(F.contains(whole, F.lit("[[")), line).otherwise(whole)
 
 
+def may_be_org(text: Column) -> Column:
+    """Whether a text may hold org mark-up, or a break that is no \\n; without these org_to_markdown leaves its lines as they are."""
+    return F.contains(text, F.lit("[[")) | text.rlike(r"(?m)^(?:\*+[ \t]|#\+|[ \t]*\+[ \t])") | text.rlike(r"[\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")
+
+
 def org_to_markdown(text: Column) -> Column:
     """TITLE as the first heading, with the others one level below it; FILETAGS as front matter; links; bullets."""
     return F.transform(F.array(T.lines(text)), _of_lines)[0]  # the lines are made once

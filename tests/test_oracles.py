@@ -59,3 +59,23 @@ def test_titles_with_open_references(spark, tmp_path):
     c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     theirs = c.execute(catalog.oracle_sql()["html_title"]).fetchall()
     assert sorted(map(tuple, catalog.queries()["html_title"](spark, str(tmp_path)).collect())) == sorted(theirs)
+
+
+#: Texts that a reader of mark-up may change or drop, and their plain neighbours.
+ODD = [None, "", "  \n ", "\n\na", "a\n\n\n", "a\r\nb", "a\rb\x0bc\x0cd", "a\x1cb\x85c d", "\xa0a　", "a\x1f", "* head\ntext", "  + item\n+", "*bold* #+ [x]", "[[a]] [[http://x.y][z]]", "#+TITLE: other\nb", "# h\ntext", "#h\n ```\n# code\n```\nend", "~~~\nopen",
+       "x" * 1429, "x" * 1430, "x" * 1400 + "\n# h\n" + "y" * 900, "x" * 800 + " " * 900 + "y", ("l" * 79 + "\r\n") * 30, "😀" * 900]
+
+
+def held_against_sql(spark, folder, name, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    found = c.execute(catalog.oracle_sql()[name])
+    names = [x[0] for x in found.description]
+    assert sorted(map(tuple, catalog.queries()[name](spark, folder).select(names).collect()), key=repr) == sorted(found.fetchall(), key=repr)
+
+
+def test_org_of_odd_texts_and_tags(spark, tmp_path):
+    tags = [(None, "s"), ("en", None), ("", ""), ("a:b", " s"), ("x, y", "e\nn")]
+    rows = [(i, t, "en", "src1") for i, t in enumerate(ODD)] + [(100 + i, "x", *t) for i, t in enumerate(tags)] + [(None, "x", "en", "s")]
+    held_against_sql(spark, str(tmp_path), "org_to_md", rows)
