@@ -1,8 +1,8 @@
 """The text functions under names of their own in SQL.
 
 `register(spark)` makes temporary SQL functions (`tessera_tokens(text)`, ...) from the same column
-expressions that DataFrames use, and the table function `tessera_chunks(text, size, overlap)`,
-which stands in FROM with LATERAL.  They are inlined by Catalyst: no Python, nothing hidden
+expressions that DataFrames use, and the table function `tessera_chunks(text, size, overlap[, plain])`,
+which stands in FROM with LATERAL; where plain holds, a text is no Markdown.  They are inlined by Catalyst: no Python, nothing hidden
 from the optimizer.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import chunking
 
 #: SQL name, by function of one text.
 FUNCTIONS: dict[str, Callable[[Column], Column]] = {
@@ -32,6 +33,7 @@ FUNCTIONS: dict[str, Callable[[Column], Column]] = {
     "stem": T.stem,
     "slug": T.slug,
     "folded_path": T.folded_path,
+    "may_be_markdown": chunking.may_be_markdown,
 }
 _PARTS = re.compile(r"('(?:[^'\\]|\\.|'')*')", re.S)
 _OPERATOR = re.compile(r"(?<![\w`])(<=>|<=|>=|==|!=|[=<>!+\-*/%]|\b(?:and|or|not)\b)(?=\()")
@@ -45,13 +47,11 @@ def sql_of(column: Column) -> str:
 
 def register(spark: SparkSession, prefix: str = "tessera_") -> list[str]:
     """Make the functions known to a session; their names."""
-    from tessera.operators import chunking
-
     for name, f in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(given STRING) RETURN {sql_of(f(F.col('given')))}")
-    cut = sql_of(chunking.split_markdown(F.coalesce(F.col("given"), F.lit("")), F.col("size"), F.col("overlap")))
+    cut = sql_of(chunking.split(F.col("given"), F.col("size"), F.col("overlap"), F.col("plain")))
     spark.sql(
-        f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}chunks(given STRING, size INT, overlap INT) "
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}chunks(given STRING, size INT, overlap INT, plain BOOLEAN DEFAULT false) "
         f"RETURNS TABLE (chunk INT, text STRING, section STRING) RETURN SELECT pos, c.text, c.section FROM (SELECT posexplode({cut}) AS (pos, c))"
     )
     return [*(f"{prefix}{n}" for n in FUNCTIONS), f"{prefix}chunks"]

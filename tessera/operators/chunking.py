@@ -8,6 +8,8 @@ and stretches of code and prose, are then slices of the lines between events.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ _BLANK = r"[\s\x1C-\x1F]"
 _HEADING = rf"(?Us)^(#{{1,6}}){_BLANK}+(.*)\z"
 _FENCE = r"(?s)^ {0,3}(`{3,}|~{3,})(.*)\z"
 _MARKED = rf"(?U)^(?: {{0,3}}(?:```|~~~)|#{{1,6}}{_BLANK})"
+#: The same blanks by themselves: those of prose, breaks that are no \n, and others.
+_PROSE, _BREAKS, _OTHERS = "\t\n ", "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029", "\x1f\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 _EVENTS = "CAST(array() AS array<struct<at:int,kind:string,level:int,title:string>>)"
 
 
@@ -110,6 +114,30 @@ def _windows(text: Column, size: Column, overlap: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.length(text) - 1, step), lambda i: F.substring(text, i + 1, size))
 
 
+def trimmed(text: Column) -> Column:
+    """Without blanks, tabs and breaks of ASCII at both ends."""
+    return F.btrim(text, F.lit(" \n\t\r"))
+
+
+def split_plain(text: Column, size: Column, overlap: Column) -> Column:
+    """Overlapping windows of a trimmed text, whatever marks it holds; a short last one joins its neighbour."""
+    return _once(trimmed(text), lambda t: F.when(F.length(t) <= size, F.array(t)).otherwise(_once(_windows(t, size, overlap), lambda ws: T.merged_tail(ws))))
+
+
+def may_be_markdown(text: Column) -> Column:
+    """Whether split_markdown may cut a text in another way than split_plain: it is blank, has lines like
+    headings or fences, breaks other than \\n, more blanks at an end than ASCII's, or a whole window of them."""
+    any_of = lambda parts: reduce(or_, [F.contains(text, F.lit(x)) for x in parts])
+    bare = trimmed(text)
+    ends = (bare == "") | (bare != F.btrim(bare, F.lit(_PROSE + _BREAKS + _OTHERS)))
+    lines = any_of(["#", "```", "~~~"]) & text.rlike(_MARKED.replace("(?U)", "(?mU)"))
+    ascii = F.octet_length(text) == F.length(text)
+    breaks = any_of([x for x in _BREAKS if x < "\x80"]) | (~ascii & any_of([x for x in _BREAKS if x > "\x80"]))
+    # blanks of prose in a row, however mixed, have a pair of these
+    run = (F.length(bare) > T.CHUNK_SIZE) & (~ascii | any_of(["  ", "\t\t", "\n\n", " \t", " \n", "\t\n", "\x1f"])) & text.rlike(rf"(?U){_BLANK}{{{T.CHUNK_SIZE}}}")
+    return ends | breaks | lines | run
+
+
 def split_markdown(text: Column, size: Column, overlap: Column) -> Column:
     """array<struct<text, section>> of each chunk: a section if it fits, else its code whole and
     its prose in overlapping windows, of which a short last one joins its neighbour."""
@@ -125,25 +153,31 @@ def split_markdown(text: Column, size: Column, overlap: Column) -> Column:
     return F.filter(F.flatten(F.transform(sections(text), cut)), lambda c: _strip(c["text"]) != "")
 
 
+def split(text: Column, size: Column, overlap: Column, plain: Column) -> Column:
+    """split_markdown, or where plain holds split_plain, with an empty section.  A null text has no chunks."""
+    bare = F.transform(split_plain(text, size, overlap), lambda t: F.struct(t.alias("text"), F.lit("").alias("section")))
+    return F.when(plain & text.isNotNull(), bare).otherwise(split_markdown(F.coalesce(text, F.lit("")), size, overlap))
+
+
 def chunks(docs: DataFrame, size: int = T.CHUNK_SIZE, overlap: int = T.CHUNK_OVERLAP) -> DataFrame:
-    """One row for each chunk of docs (path, content, and perhaps chunk_size and
-    chunk_overlap of their own): the other columns, chunk, text, section, id.
+    """One row for each chunk of docs (path, content, and perhaps chunk_size and chunk_overlap
+    of their own, and plain: the text is no Markdown): the other columns, chunk, text, section, id.
 
     A null text has no chunks.  Sizes below 1 are 1, an overlap is at most half a size.
     """
     own = {c: c in docs.columns for c in ("chunk_size", "chunk_overlap")}
-    keep = [c for c in docs.columns if c not in ("content", "chunk_size", "chunk_overlap")]
+    plain = ["plain"] if dict(docs.dtypes).get("plain") == "boolean" else []
+    keep = [c for c in docs.columns if c not in ("content", "chunk_size", "chunk_overlap", *plain)]
     given = lambda c, d: F.coalesce(F.col(c).cast("int") if own[c] else F.lit(None), F.lit(d))
     n = F.greatest(given("chunk_size", T.clamped(size, 0)[0]), F.lit(1))
     laps = F.greatest(F.least(given("chunk_overlap", int(overlap)), F.floor(F.col("_size") / 2).cast("int")), F.lit(0))
-    sized = docs.withColumn("_size", n).withColumn("_overlap", laps).select(*keep, "content", "_size", "_overlap")
-    found = sized.select(*keep, F.posexplode(split_markdown(F.coalesce("content", F.lit("")), F.col("_size"), F.col("_overlap"))).alias("chunk", "c"))
+    sized = docs.withColumn("_size", n).withColumn("_overlap", laps).select(*keep, *plain, "content", "_size", "_overlap")
+    cut = split(F.col("content"), F.col("_size"), F.col("_overlap"), F.col("plain")) if plain else split_markdown(F.coalesce("content", F.lit("")), F.col("_size"), F.col("_overlap"))
+    found = sized.select(*keep, F.posexplode(cut).alias("chunk", "c"))
     return found.select(*keep, "chunk", "c.text", "c.section", F.concat_ws("::", "path", F.col("chunk").cast("string")).alias("id"))
 
 
 def prose_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = T.CHUNK_SIZE, overlap: int = T.CHUNK_OVERLAP) -> DataFrame:
-    """(id, chunk, text) of texts without headings and fences, in Catalyst alone."""
-    cut_up = lambda w: F.when(F.length(w) <= size, F.array(w)).otherwise(_once(T.windows(w, size, overlap), lambda ws: T.merged_tail(ws)))
-    pieces = _once(T.strip(F.col(text_col)), cut_up)
-    cut = docs.select(F.col(id_col).alias("id"), F.posexplode(pieces).alias("chunk", "text"))
-    return cut.where(T.strip(F.col("text")) != "")
+    """(id, chunk, text) of texts that are no Markdown: split_plain, in Catalyst alone.  A null text has no chunks."""
+    size, overlap = T.clamped(size, overlap)
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(split_plain(F.col(text_col), F.lit(size), F.lit(overlap))).alias("chunk", "text"))

@@ -63,7 +63,7 @@ def test_titles_with_open_references(spark, tmp_path):
 
 #: Texts that a reader of mark-up may change or drop, and their plain neighbours.
 ODD = [None, "", "  \n ", "\n\na", "a\n\n\n", "a\r\nb", "a\rb\x0bc\x0cd", "a\x1cb\x85c d", "\xa0a　", "a\x1f", "* head\ntext", "  + item\n+", "*bold* #+ [x]", "[[a]] [[http://x.y][z]]", "#+TITLE: other\nb", "# h\ntext", "#h\n ```\n# code\n```\nend", "~~~\nopen",
-       "x" * 1429, "x" * 1430, "x" * 1400 + "\n# h\n" + "y" * 900, "x" * 800 + " " * 900 + "y", ("l" * 79 + "\r\n") * 30, "😀" * 900]
+       "x" * 1429, "x" * 1430, "x" * 1400 + "\n# h\n" + "y" * 900, "x" * 800 + " " * 900 + "y", "x" * 800 + " \xa0" * 450 + "y", "a　b\n\nc", "\r" + "x" * 1429, "# " + "t" * 1427, ("l" * 79 + "\r\n") * 30, "😀" * 900]
 
 
 def held_against_sql(spark, folder, name, rows):
@@ -79,3 +79,8 @@ def test_org_of_odd_texts_and_tags(spark, tmp_path):
     tags = [(None, "s"), ("en", None), ("", ""), ("a:b", " s"), ("x, y", "e\nn")]
     rows = [(i, t, "en", "src1") for i, t in enumerate(ODD)] + [(100 + i, "x", *t) for i, t in enumerate(tags)] + [(None, "x", "en", "s")]
     held_against_sql(spark, str(tmp_path), "org_to_md", rows)
+
+
+@pytest.mark.parametrize("name", ["sql_chunks", "chunk_markdown_prose", "chunk_tail_merge"])
+def test_chunks_of_odd_texts(spark, tmp_path, name):
+    held_against_sql(spark, str(tmp_path), name, [(i, t, "en", "s") for i, t in enumerate(ODD)])
